@@ -7,8 +7,10 @@ their row groups and pages by the minimum and maximum of doc_id.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -24,47 +26,66 @@ ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 64 << 10, 1000
 MEMO_WORDS = 800_000
 
 
+def _byte_letters() -> str:
+    """The character that a byte-level vocabulary writes for each byte: itself if printable, else the next from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return "".join(chr(b if b in own else next(rest)) for b in range(256))
+
+
 class WordEncoder:
-    """Encodes text with a tokenizers file; the ids of each white-space-separated word are kept for its next use.
+    """Encodes text with a tokenizers file; the ids of each word are kept for its next use.
 
     The tokenizer drops white space and no token or pattern of it reaches across, so a text's ids are those of its
-    words one after the other. It lower-cases by itself, so A-Z is lower-cased before, which leaves fewer words; and
-    one full stop or comma after a letter is a piece of its own. Unknown words go to the library many at once, with
-    a private-use character between them.
+    words one after the other. It lower-cases by itself, so A-Z is lower-cased before; and between a letter or digit
+    and a mark other than the apostrophe a piece always ends, so a space is put there. Both leave fewer words to
+    learn. Words of plain small letters go to the BPE model at once; others to the library, many at a time with a
+    private-use character between them; those with such a character, or with the sign that begins special tokens,
+    one by one.
     """
 
     MARK = "\ue000"
+    _ENDS = (re.compile(rb"(?<=[a-z0-9])(?=[!-&(-/:-@\[-`{-~])"), re.compile(rb"(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])(?=[!-&(-/:-@\[-`{-~])"))
+    #: a-z and the small letters of Latin-1, which neither lower-casing nor composition changes.
+    _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo, self.memo_words = Tokenizer.from_file(path), {}, memo_words
         self.mark = np.array(self._ids(self.MARK), dtype="<i4")
-        self.stops = {x: self._bytes(self._ids(x.decode())) for x in (b",", b".")}
+        self.letters = str.maketrans(dict(enumerate(_byte_letters())))
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    @staticmethod
-    def _bytes(ids) -> bytes:
-        return np.asarray(ids, dtype="<i4").tobytes()
-
     def _learn(self, words: set[bytes]) -> None:
-        core = {w: w[:-1] if w[-1:] in self.stops and w[-2:-1].isalnum() else w for w in words}
-        unknown = [w for w in {*core.values()}.difference(self.memo) if b"\xee" not in w and b"<|" not in w]
+        memo, plain, of, letters = self.memo, self._PLAIN.fullmatch, self.tokenizer.model.tokenize, self.letters
+        unknown = []
+        for w in words:
+            if plain(w):
+                ids = [t.id for t in of(w.decode("latin-1").translate(letters))]
+                memo[w] = pack(f"<{len(ids)}i", *ids)
+            elif b"\xee" in w or b"<|" in w:
+                memo[w] = np.array(self._ids(w.decode()), dtype="<i4").tobytes()
+            else:
+                unknown.append(w)
         for at in range(0, len(unknown), 1 << 12):
             part = unknown[at : at + (1 << 12)]
-            joined = f" {self.MARK} ".join([w.decode() for w in part] + [""])
-            ids = np.array(self._ids(joined), dtype="<i4")
+            ids = np.array(self._ids(f" {self.MARK} ".join([w.decode() for w in part] + [""])), dtype="<i4")
             ends = np.flatnonzero(np.all([np.roll(ids, -k) == x for k, x in enumerate(self.mark)], axis=0))
             starts = [0, *(ends + len(self.mark))]
-            self.memo.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, starts, ends, strict=False))
-        for w in {*core.values()}.difference(self.memo):  # with a private-use character or a special token's mark
-            self.memo[w] = self._bytes(self._ids(w.decode()))
-        self.memo.update((w, self.memo[c] + self.stops[w[-1:]]) for w, c in core.items() if w != c)
+            memo.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, starts, ends, strict=False))
+
+    def words(self, text: bytes) -> list[bytes]:
+        if b"<|" not in text:
+            text = text.lower()
+            for end in self._ENDS:
+                text = end.sub(b" ", text)
+        return text.split()
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        split = [self.words(t) for t in texts]
         seen = {w for words in split for w in words}
         new = seen.difference(self.memo)
         if len(self.memo) + len(new) > self.memo_words:

@@ -90,6 +90,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no window of the benchmark stands."""
     distinct, _ = windows(benchmark)
-    hit = written(occurrences(docs, distinct).select(F.col("doc_id").alias("hit_id"), "tag").distinct(), "contaminated")
+    hit = written(occurrences(docs, distinct).select(F.col("doc_id").alias("hit_id"), F.col("tag").alias("hit_tag")).distinct(), "contaminated")
+    hit = hit.select(F.col("hit_id").alias("hit id"), F.col("hit_tag").alias("hit tag"))
     held = docs.withColumn("row tag", F.xxhash64("text"))
-    return held.join(small_side(hit), held["doc_id"].eqNullSafe(F.col("hit_id")) & (held["row tag"] == F.col("tag")), "left_anti").drop("row tag")
+    return held.join(small_side(hit), F.col("doc_id").eqNullSafe(F.col("hit id")) & (F.col("row tag") == F.col("hit tag")), "left_anti").drop("row tag")

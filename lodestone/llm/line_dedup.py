@@ -113,8 +113,8 @@ def without_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """
     gone = dropped_lines(docs, batches).groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("gone at"))
     held = docs.withColumn("row tag", F.xxhash64("text"))
-    rows = held.join(gone.withColumnRenamed("doc_id", "gone id"), (held["doc_id"] == F.col("gone id")) & (held["row tag"] == F.col("tag")), "left").select(
-        *(held[f"`{c}`"] for c in docs.columns), "gone at"
+    rows = held.join(gone.withColumnsRenamed({"doc_id": "gone id", "tag": "gone tag"}), (F.col("doc_id") == F.col("gone id")) & (F.col("row tag") == F.col("gone tag")), "left").select(
+        *(f"`{c}`" for c in docs.columns), "gone at"
     )
     lines = text_lines(F.col("text"))
     rows = rows.withColumn("all lines", lines)

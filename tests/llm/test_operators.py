@@ -1,0 +1,283 @@
+"""The corpus operators against brute force, on small tables with the odd cases in them."""
+
+import base64
+import hashlib
+import itertools
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from lodestone.llm import byte_bpe, common, decontamination, line_dedup, perplexity, quality, simhash, token_files, token_rollup, url_filter, warc
+
+ODD = ["", None, "  \n\t", "one", "One", "a b c d e f", "a b c d e f", "é ½ Ⅷ x²3 日本語 <|endoftext|>x don't  ", "x" * 3000, "ab " * 2000, "The quick brown fox jumps over the lazy dog again and again\nshared line of text\n", "shared line of text\nother\n SHARED line of text \n", "\n\n", "tail without end\nshared line of text"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, tag long, item_id long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, None if i % 5 == 0 else "en", None, None, 1.0, 2, 3) for i, t in enumerate(ODD)]
+    return spark.createDataFrame([*rows, rows[5], (None, "no id here", None, None, None, None, None, None)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def low(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def plain_fingerprint(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
+    shingles = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_near_duplicates(spark, docs, none):
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == docs.count() and simhash.near_duplicates(none).count() == 0
+    want = {i: plain_fingerprint(t) for i, t in enumerate(ODD)}
+    root = {i: i for i in want}
+    for _ in want:
+        for a, b in itertools.combinations(want, 2):
+            if (want[a] ^ want[b]).bit_count() <= 4:
+                root[a] = root[b] = min(root[a], root[b])
+    for r in got:
+        if r.doc_id is not None:
+            assert (r.fingerprint, r.component_id) == (f"{want[r.doc_id]:016x}", root[r.doc_id])
+    kept = simhash.first_of_each(docs.where("doc_id is not null"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values())) and kept.columns == docs.columns
+
+
+def test_crowds_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = np.random.default_rng(1)
+    centre = int(rng.integers(1 << 62))
+    fps = {centre}
+    for _ in range(150):
+        x = centre
+        for b in rng.choice(64, rng.integers(1, 6), replace=False):
+            x ^= 1 << int(b)
+        fps.add(x)
+    fps |= {int(x) for x in rng.integers(1 << 62, size=100)}
+    signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
+    got = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame(signed, "fp long"))).collect()}
+    nodes = [x for x, in signed]
+    group = {x: x for x in nodes}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a, b in itertools.combinations(nodes, 2):
+        if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4:
+            x, y = find(a), find(b)
+            group[max(x, y)] = min(x, y)
+    assert all(got.get(x, x) == find(x) for x in nodes)
+
+
+def test_anchors_cover_all_close_pairs(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(1 << 62, size=40)
+    rows = []
+    for x in base.tolist():
+        y = x
+        for b in rng.choice(62, 4, replace=False):
+            y ^= 1 << int(b)
+        rows += [(x,), (y,)]
+    at = {}
+    for r in simhash.anchors(spark.createDataFrame(rows, "fp long")).collect():
+        at.setdefault(r.fp, set()).add(r.anchor)
+    assert all(at[a[0]] & at[b[0]] for a, b in zip(rows[::2], rows[1::2], strict=True))
+
+
+def test_quality(spark, docs, none):
+    good = [(i, f"Plain words of text number {i} stand here in order, and more of them follow below.") for i in range(300)]
+    bad = [(i, f"WORDS!! {i}!! SHOUTED!! LOUD!! {i * 7}!! AGAIN!!") for i in range(300, 450)]
+    train = spark.createDataFrame(good + bad, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 300), 0) for i in range(450)] + [(None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
+    got = quality.quality(train, labels).collect()
+    assert all(r.predicted == int(r.doc_id < 300) for r in got if r.held_out)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in got)
+    assert quality.quality(docs, labels).count() == docs.count() and quality.quality(none, labels).count() == 0
+    assert all(r.score == 0.5 for r in quality.quality(train, labels.limit(0)).collect())
+    assert quality.accepted(docs, labels).columns == docs.columns
+
+
+def test_url_filter(spark):
+    urls = [f"http://{'spam-farm' if i % 3 == 0 else 'blog'}.example.com/en/{i}" for i in range(90)]
+    labelled = spark.createDataFrame([(u, "spam" in u) for u in urls] + [(None, True)], "url string, block boolean")
+    odd = [None, "no mark", "http://A.NET/x", "http://net/", "http://net?x", "http://x.example.net/en/1", "http://example.com/de/1", "http://u@example.org/fr/a?b", "https://spam-farm.example.org/zz", "x://h", "https://spam-farm.example.net/"]
+    pages = spark.createDataFrame(list(enumerate(odd)) + [(1, odd[2])], "page_id long, url string")
+    got = [(r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, labelled).orderBy("page_id", "host").collect()]
+    assert got == [
+        ("", "", None, "allow"), ("", "", None, "allow"), ("a.net", "/x", "net/", "block"), ("a.net", "/x", "net/", "block"), ("net", "/", "net/", "block"), ("net", "", None, "allow"),
+        ("x.example.net", "/en/1", "example.net/en/", "allow"), ("example.com", "/de/1", "example.com/de/", "block"), ("u@example.org", "/fr/a", "org/fr/", "allow"),
+        ("spam-farm.example.org", "/zz", None, "block"), ("h", "", None, "allow"), ("spam-farm.example.net", "/", "net/", "block"),
+    ]
+    assert url_filter.judge(pages.limit(0), labelled).count() == 0 and url_filter.judge(pages, labelled.limit(0)).count() == 12
+
+
+@pytest.mark.parametrize("encoding", ["dictionary", "delta"])
+def test_token_files(spark, docs, none, encoding, tmp_path):
+    from tokenizers import Tokenizer
+
+    path, own = P.path("word_bpe_49k.json"), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    token_files.write_tokens(docs.where("doc_id is not null"), str(tmp_path / "t"), path, encoding)
+    got = sorted(token_files.token_digests(spark, str(tmp_path / "t")).collect(), key=lambda r: r.start)
+    start = 0
+    for r in got:
+        ids = np.array([*own.encode(ODD[r.doc_id] or "", add_special_tokens=False).ids, 1], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert [r.doc_id for r in got] == sorted([*range(len(ODD)), 5])
+    assert token_files.read_tokens(spark, str(tmp_path / "t")).count() == len(got)
+    token_files.write_tokens(none, str(tmp_path / "n"), path)
+    assert token_files.token_digests(spark, str(tmp_path / "n")).count() == 0
+
+
+def test_byte_bpe(spark, docs, none):
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in byte_bpe.round_trip(docs, path, P.PATTERN).collect():
+        t = "no id here" if r.doc_id is None else ODD[r.doc_id] or ""
+        ids = np.array(own.encode_ordinary(t), "<u4")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    assert byte_bpe.round_trip(none, path, P.PATTERN).count() == 0
+    back = byte_bpe.decode(byte_bpe.encode(docs, path, P.PATTERN), path, P.PATTERN)
+    assert {r.doc_id: bytes(r.data).decode() for r in back.where("doc_id is not null").collect()} == {i: t or "" for i, t in enumerate(ODD)}
+    bpe = byte_bpe.ByteBPE.from_file(path, P.PATTERN)
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        piece = bytes(rng.choice(list(b"etaoin shrdluETA01.,\xc3\xa9"), rng.integers(1, 40)))
+        assert bpe.encode_piece(piece) == own._encode_single_piece(piece)
+
+
+def plain_basics(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines, seen, dup = t.split("\n"), set(), 0
+    for x in lines:
+        if re.search(r"[^\x20\x09-\x0D]", x):
+            dup += x in seen
+            seen.add(x)
+    wins = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    hit = {i + k for i, x in enumerate(wins) if wins.count(x) > 1 for k in range(3)}
+    return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), dup, len(hit)
+
+
+def test_quality_rules(spark, docs, none):
+    got = {r.doc_id: r for r in perplexity.quality_rules(docs).collect()}
+    for i, t in enumerate(ODD):
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_basics((t or "").replace("ab " * 2000, "ab " * 2000)), i
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept)
+    assert perplexity.quality_rules(none).count() == 0
+
+
+def test_kneser_ney_sums_to_one(spark, docs):
+    path = common.scratch(spark, "kn-test")
+    perplexity.kneser_ney(perplexity.count_grams(docs.where("lang = 'en'"))).write.parquet(path)
+    model = perplexity._models(path)["en"]
+    for context in (0, 2 << 10 | 3 << 5 | 4, 31, 1 << 5 | 2):
+        p = np.exp(model.logs(np.array([context << 5 | s for s in range(32)], np.uint32)))
+        assert abs(p.sum() - 1) < 1e-6
+
+
+def test_perplexity_rejects_the_odd_one(spark):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 8))) for _ in range(80)]
+    text = lambda: " ".join(rng.choice(words, 120))
+    rows = [(i, text(), "en") for i in range(80)] + [(99, " ".join(rng.permutation([f"{a}{b}#*{c}" for a in "QXZ" for b in "jkv" for c in range(12)])), "en")]
+    got = {r.doc_id: r.kept for r in perplexity.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not got[99] and sum(not v for v in got.values()) == 1
+
+
+def test_warc(spark):
+    big = "<p>" + "x" * 1200
+    rows = [(1, "http://b.com/x?y", big), (2, "http://a.com/", "small"), (3, "http://a.com/", "small"), (4, None, None), (5, "http://b.com/x y", big), (6, "http://c.b.com", "é" * 600), (5, "http://b.com/x y", big), (None, "http://n.com", big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.archived(pages).orderBy("part", "at").collect()
+    assert [r.key for r in got] == sorted(r.key for r in got) and len(got) == len(rows)
+    for r in got:
+        html = next(h for i, _, h in rows if i == r.page_id) or ""
+        assert (r.payload_bytes, r.payload_digest) == (len(html.encode()), hashlib.sha1(html.encode()).hexdigest())
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got if r.page_id in (1, 3, 5)} == {(1, "revisit", 5), (3, "response", None), (5, "response", None)}
+    assert warc.archived(pages.limit(0)).count() == 0
+    for k in range(1, 9):
+        runs = [sorted(({"key": f"{(i * 7 + j * j) % 23:02d}"} for i in range(j)), key=lambda r: r["key"]) for j in range(k)]
+        merged = [r["key"] for r in warc.loser_tree([iter(r) for r in runs])]
+        assert merged == sorted(x["key"] for r in runs for x in r)
+
+
+def test_many_runs_are_merged_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FAN_IN", 2)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 200)
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.com/{i}", f"t{i}") for i in range(40)], "page_id long, url string, html string")
+    folder = common.scratch(spark, "t")
+    runs_folder, runs = warc.read_archives(spark, folder, warc.write_archives(pages, folder))
+    assert runs.count() > 2
+    rounds = warc._spread(spark, [([r[0] for r in runs.select("run").limit(2).collect()],)], "runs array<string>").mapInArrow(warc._merge_runs(runs_folder), warc._RUN_DDL)
+    assert rounds.count() == 1
+
+
+def test_decontamination(spark, docs, none):
+    bench = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog again and again"), (20, "A, b c! d e f"), (3, "one"), (4, "..."), (None, "one"), (5, None), (6, "absent words here")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontamination.decontaminate(docs, bench).collect()}
+    items = {r.item_id: re.findall(r"[0-9a-z\x80-\U0010ffff]+", low(r.text)) for r in bench.collect() if r.item_id}
+    for i, t in enumerate(ODD):
+        w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", low(t))
+        hit, found = set(), set()
+        for k, x in items.items():
+            for a in range(max(len(x) - 9, 1) if x else 0):
+                win = x[a : a + 10]
+                for at in range(len(w) - len(win) + 1):
+                    if w[at : at + len(win)] == win:
+                        found.add(str(k))
+                        hit |= set(range(at, at + len(win)))
+        r = got[i]
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(found), bool(hit)), i
+        assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+    assert len(decontamination.decontaminate(docs, bench).collect()) == docs.count()
+    assert decontamination.decontaminate(none, bench).count() == 0 and not decontamination.decontaminate(docs, bench.limit(0)).where("contaminated").count()
+    assert decontamination.clean(docs, bench).columns == docs.columns
+
+
+@pytest.mark.parametrize("batches", [1, 3, 6])
+def test_line_dedup(spark, docs, none, batches):
+    key = lambda x: low(x.strip(" \t\n\v\f\r"))
+    owner = {}
+    for i, t in enumerate(ODD):
+        for x in (t or "").split("\n"):
+            owner.setdefault(key(x), i)
+    got = line_dedup.line_digests(docs, batches).collect()
+    for r in got:
+        t = "no id here" if r.doc_id is None else ODD[r.doc_id] or ""
+        kept = [x for x in t.split("\n") if r.doc_id is None or len(key(x)) < 10 or owner[key(x)] == r.doc_id]
+        n = len(t.split("\n"))
+        assert (r.n_lines, r.n_dropped, r.kept_sha256) == (n, n - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()), r.doc_id
+    assert len(got) == docs.count() and line_dedup.line_digests(none, batches).count() == 0
+    assert line_dedup.without_repeats(docs, batches).columns == [*docs.columns, "n_lines", "n_dropped"]
+
+
+def test_rollup(spark, docs):
+    counters = {"v1": F.length("text")}
+    r = token_rollup.TokenRollup(spark)
+    assert r.totals().count() == 0
+    assert r.commit("a", token_rollup.inserts(docs, counters)) and not r.commit("a", token_rollup.inserts(docs, counters))
+    total = sum(len(t or "") for t in ODD) + len(ODD[5]) + len("no id here")
+    assert r.totals().agg(F.sum("n_tokens"), F.sum("n_docs")).first() == (total, docs.count())
+    r.commit("b", token_rollup.revisions(docs.where("doc_id = 3"), counters, {"v1": F.lit(10)}))
+    r.commit("c", token_rollup.deletes(docs.where("doc_id = 8"), counters))
+    again = token_rollup.TokenRollup(spark, r.path)
+    assert again.version == 2 and again.totals().agg(F.sum("n_tokens"), F.sum("n_docs")).first() == (total + 7 - 3000, docs.count() - 1)

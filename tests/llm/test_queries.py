@@ -1,0 +1,51 @@
+"""The registered corpus queries against DuckDB, and the pipeline against its stages' brute force."""
+
+import oracle
+import pytest
+
+from lodestone.llm.queries import ORACLE_SQL, QUERIES
+
+AT = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ORACLE_SQL)
+def test_query(spark, name):
+    n, off = oracle.compare(spark, oracle.connect(AT), QUERIES[name], ORACLE_SQL[name], AT)
+    assert n and not off
+
+
+def test_pipeline(spark):
+    """The stages by plain Python, but for the classifier, whose verdicts are those of its own query."""
+    import re
+
+    import tiktoken
+
+    import corpus_pipeline
+    from lodestone.llm import byte_bpe, simhash
+
+    con = oracle.connect(AT)
+    docs = dict(con.sql("select doc_id, coalesce(text, '') from documents").fetchall())
+    good = {r.doc_id for r in QUERIES["op2_quality"](spark, AT).where("predicted = 1").collect()}
+    docs = {i: t for i, t in sorted(docs.items()) if i in good}
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    key = lambda x: low(x.strip(" \t\n\v\f\r"))
+    owner = {}
+    for i, t in docs.items():
+        for x in t.split("\n"):
+            owner.setdefault(key(x), i)
+    docs = {i: "\n".join(x for x in t.split("\n") if len(key(x)) < 10 or owner[key(x)] == i) for i, t in docs.items()}
+    fps = {i: simhash.fingerprint(t.encode()) for i, t in docs.items()}
+    root = {i: i for i in docs}
+    for _ in range(20):
+        for a in docs:
+            for b in docs:
+                if a < b and (fps[a] ^ fps[b]).bit_count() <= 4:
+                    root[a] = root[b] = min(root[a], root[b])
+    docs = {i: t for i, t in docs.items() if root[i] == i}
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", low(t))
+    windows = {tuple(w[a : a + 10]) for (t,) in con.sql("select text from benchmark").fetchall() for w in [words(t)] for a in range(max(len(w) - 9, 1))}
+    docs = {i: t for i, t in docs.items() if not windows & {tuple(w[a : a + 10]) for w in [words(t)] for a in range(len(w) - 9)}}
+    bpe = byte_bpe.ByteBPE.from_file(corpus_pipeline.public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), corpus_pipeline.public_tokenizers.PATTERN)
+    own = tiktoken.Encoding("own", pat_str=corpus_pipeline.public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, AT).collect()}
+    assert got == {i: len(own.encode_ordinary(t)) for i, t in docs.items()}

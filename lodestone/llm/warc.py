@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ from lodestone.llm.common import scratch, slices, utf8, written
 #: Payloads under this size are never revisits. Bytes of an archive, from which a new one begins.
 MIN_REVISIT, ARCHIVE_BYTES = 1000, 16 << 20
 #: Runs of one merge, rows that a run gives at once, one key of so many that is kept to cut ranges.
-FAN_IN, RUN_ROWS, SAMPLE = 64, 2048, 256
+FAN_IN, RUN_ROWS, SAMPLE = 64, 512, 256
 #: Captures have no time of their own; page n is taken n seconds after this.
 EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -93,7 +94,7 @@ def _write(folder: str):
                     name, size = f"{uuid.uuid4().hex}.warc.gz", 0  # a task that runs again writes files of its own
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
                     made.append(name)
-                packer = zlib.compressobj(4, zlib.DEFLATED, 31)
+                packer = zlib.compressobj(1, zlib.DEFLATED, 31)
                 size += out.write(packer.compress(record(page, url, html, to)) + packer.flush())
         if out is not None:
             out.close()
@@ -206,9 +207,12 @@ def read_run(fs: pa.fs.FileSystem, path: str, low: str | None, high: str | None)
             ends = file.metadata.row_group(g).column(0).statistics
             if ends is not None and ends.has_min_max and (low is not None and ends.max < low or high is not None and ends.min >= high):
                 continue
-            for row in file.read_row_group(g).to_pylist():
-                if (low is None or row["key"] >= low) and (high is None or row["key"] < high):
-                    yield row
+            rows = file.read_row_group(g)
+            if low is not None:
+                rows = rows.filter(pc.greater_equal(rows["key"], low))
+            if high is not None:
+                rows = rows.filter(pc.less(rows["key"], high))
+            yield from rows.to_pylist()
 
 
 def loser_tree(runs: list[Iterator[dict]]) -> Iterator[dict]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import byte_bpe, decontamination, line_dedup, perplexity, quality, simhash, token_files, token_rollup, url_filter, warc
-from lodestone.llm.common import scratch, table
+from lodestone.llm.common import scratch, table, written
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counters = {"bytes-1": F.octet_length(text), "words-1": F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+"))}
     lean = docs.select("doc_id", "source", "lang", F.sha2(text.cast("binary"), 256).alias("digest"), *(c.alias(k) for k, c in counters.items()), F.regexp_count(text, F.lit("[A-Za-z]+|[0-9]+")).alias("words-2"))
     before = {k: F.col(f"`{k}`") for k in counters}
-    first = lean.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    # A table of its own, so that the join has a shuffle of its own that Spark can split where a digest is frequent.
+    first = written(lean.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-of-digest")
     copies = lean.join(first, "digest").where("doc_id > first")
     rollup = token_rollup.TokenRollup(spark)
     added = token_rollup.inserts(lean, before)

@@ -152,10 +152,9 @@ def column_report(rows: DataFrame) -> DataFrame:
 
 def resolve(pending: DataFrame, decisions: DataFrame) -> DataFrame:
     """Pending items (kind, feature_index, field) with the action decided for them; those without one have none."""
-    key = ["kind", "feature_index"]
-    d = decisions.withColumnRenamed("field", "_field")
-    same = [pending[k] == d[k] for k in key]
-    return pending.join(d, [*same, pending["field"].eqNullSafe(d["_field"])], "left").select(*(pending[c] for c in pending.columns), d["action"])
+    d = decisions.select(F.col("kind").alias("_kind"), F.col("feature_index").alias("_index"), F.col("field").alias("_field"), "action")
+    same = (F.col("kind") == F.col("_kind")) & (F.col("feature_index") == F.col("_index")) & F.col("field").eqNullSafe(F.col("_field"))
+    return pending.join(d, same, "left").drop("_kind", "_index", "_field")
 
 
 def committed(rows: DataFrame, decisions: DataFrame) -> DataFrame:

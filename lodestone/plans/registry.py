@@ -11,6 +11,7 @@ from lodestone.functions import geo, text
 from lodestone.operators import analytics, chunking, guardrails, retrieval, spatial, state, validation
 from lodestone.plans.catalog import Catalog
 from lodestone.sources import documents as document_sources
+from lodestone.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -347,8 +348,6 @@ def recursive_split(spark, d):
     return chunking.recursive_chunks(read(spark, d, "documents"))
 
 
-
-
 def _sql_html() -> str:
     out = r"regexp_replace(coalesce(html, ''), '<!--.*?-->', ' ', 'gs')"
     for n in document_sources.DROPPED:
@@ -600,3 +599,227 @@ def catalog_listing(spark, d):
     catalog.register("customer", read(spark, d, "customer"))
     catalog.register("nation", read(spark, d, "nation"), "Polygon")
     return catalog.listing().select("name", "geometry_type", F.size("columns").alias("n_columns"))
+
+
+# ---- cleaning, decisions and shapes --------------------------------------------------------------------------------
+
+
+def _ring(lon: Column, lat: Column, *steps: tuple[float, float]) -> Column:
+    return F.array(*(F.struct((lon + dx).alias("x"), (lat + dy).alias("y")) for dx, dy in steps))
+
+
+@query("select s_suppkey, case s_suppkey % 2 when 0 then 5 else 4 end::int as n_vertices, case s_suppkey % 2 when 0 then 2 else 4 end::int as n_line from supplier")
+def ring_cleanup(spark, d):
+    """Open rings and repeated vertices: rings are closed and lose what repeats, lines lose what repeats."""
+    s = suppliers(spark, d)
+    lon, lat = F.col("ref_lon"), F.col("ref_lat")
+    ring = F.when(F.col("s_suppkey") % 2 == 0, _ring(lon, lat, (0, 0), (0, 0), (1, 0), (1, 1), (0, 1))).otherwise(_ring(lon, lat, (0, 0), (1, 0), (1, 0), (0, 1), (0, 0)))
+    line = F.when(F.col("s_suppkey") % 2 == 0, _ring(lon, lat, (0, 0), (0, 0), (1, 1))).otherwise(_ring(lon, lat, (0, 0), (1, 0), (0, 0), (1, 0)))
+    return s.select("s_suppkey", F.size(validation.closed(validation.without_repeats(ring))).alias("n_vertices"), F.size(validation.without_repeats(line)).alias("n_line"))
+
+
+@query(f"select s_suppkey, round(ref_lat, 6) as x, round(ref_lon, 6) as y from {REFS}")
+def swapped_points(spark, d):
+    parts = F.array(F.array(F.struct(F.col("ref_lon").alias("x"), F.col("ref_lat").alias("y"))))
+    p = F.get(F.get(validation.swapped(parts), 0), 0)
+    return suppliers(spark, d).select("s_suppkey", F.round(p.x, 6).alias("x"), F.round(p.y, 6).alias("y"))
+
+
+@query(f"select s_suppkey, round(degrees(ref_lon * 100000 / 6378137.0::double), 6) as lon, round(degrees(2 * atan(exp(ref_lat * 100000 / 6378137.0::double)) - pi() / 2), 6) as lat from {REFS}")
+def mercator_points(spark, d):
+    lon, lat = validation.web_mercator_to_lonlat(F.col("ref_lon") * 100000, F.col("ref_lat") * 100000)
+    return suppliers(spark, d).select("s_suppkey", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
+@query(f"select s_suppkey, 1.0::double as area, round(ref_lon + 0.5, 4) as cx, round(ref_lat + 0.5, 4) as cy, round(ref_lon + 0.4, 4) as mx, round(ref_lat + 0.4, 4) as my from {REFS}")
+def ring_centres(spark, d):
+    """Area, area-weighted centroid and vertex mean of a closed unit square at each supplier."""
+    ring = _ring(F.col("ref_lon"), F.col("ref_lat"), (0, 0), (1, 0), (1, 1), (0, 1), (0, 0))
+    c, m = geo.centroid(ring), geo.vertex_mean(ring)
+    return suppliers(spark, d).select("s_suppkey", F.round(F.abs(geo.ring_area(ring)), 6).alias("area"), *(F.round(v, 4).alias(n) for n, v in (("cx", c.x), ("cy", c.y), ("mx", m.x), ("my", m.y))))
+
+
+@query("select o_orderkey, 2::int as n_points, case o_orderkey % 2 when 0 then 0.00001 else -0.00001 end::double as x, 0.00003::double as y from orders")
+def polyline_points(spark, d):
+    """Two points of a short line of precision 5: the second one is the first (0, 0) plus known steps."""
+    line = geo.decode_polyline(F.when(F.col("o_orderkey") % 2 == 0, F.lit("??EA")).otherwise(F.lit("??E@")), 5)
+    last = F.element_at(line, -1)
+    return read(spark, d, "orders").select("o_orderkey", F.size(line).alias("n_points"), F.round(last.x, 6).alias("x"), F.round(last.y, 6).alias("y"))
+
+
+@query("select c_custkey, nullif(case c_custkey % 4 when 0 then '  ' else c_mktsegment end, '  ') as c_mktsegment, case when c_custkey % 4 = 0 then 'c_mktsegment' else '' end as missing from customer")
+def blanks_and_required(spark, d):
+    c = read(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, "  ").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
+    marked = c.withColumn("missing", F.array_join(validation.missing_required(c, ["c_mktsegment"]), ","))
+    return validation.empty_to_null(marked, ("missing",))
+
+
+@query("select p_partkey, case when p_partkey % 9 = 0 then 'p_size' else '' end as negative from part")
+def negative_counts(spark, d):
+    p = read(spark, d, "part").withColumn("p_size", F.when(F.col("p_partkey") % 9 == 0, -F.col("p_size")).otherwise(F.col("p_size")))
+    return p.select("p_partkey", F.array_join(validation.negative_outliers(p), ",").alias("negative"))
+
+
+@query("""select 'n_nationkey' as "column", 'integer' as dtype, 0::bigint as nulls union all select 'n_name', 'string', 0 union all select 'price', 'number', 0
+    union all select 'flag', 'boolean', (select count(*) filter (n_nationkey % 5 = 0) from nation) union all select 'both', 'mixed', 0 union all select 'none', 'null', (select count(*) from nation)""")
+def column_types(spark, d):
+    k = F.col("n_nationkey")
+    rows = read(spark, d, "nation").select(
+        k.cast("string").alias("n_nationkey"), "n_name", F.concat(k, F.lit(".5")).alias("price"), F.when(k % 5 == 0, "").when(k % 2 == 0, "true").otherwise("False").alias("flag"),
+        F.when(k % 2 == 0, "12").otherwise("none").alias("both"), F.lit(" ").alias("none"),
+    )
+    return validation.column_report(rows)
+
+
+@query("select s_suppkey as feature_index, case s_suppkey % 3 when 0 then 'drop' when 1 then 'keep' end as action from supplier")
+def decisions_joined(spark, d):
+    pending = read(spark, d, "supplier").select(F.lit("missing_geometry").alias("kind"), F.col("s_suppkey").alias("feature_index"), F.lit(None).cast("string").alias("field"))
+    made = pending.where("feature_index % 3 != 2").withColumn("action", F.when(F.col("feature_index") % 3 == 0, "drop").otherwise("keep"))
+    return validation.resolve(pending, made).select("feature_index", "action")
+
+
+@query(f"select s_suppkey, round(case when s_suppkey % 4 = 1 then ref_lon else ref_lat end, 6) as y from {REFS} where s_suppkey % 4 <> 0")
+def committed_layer(spark, d):
+    """Of four features one is dropped, one is turned round, and two are kept as they are."""
+    s = suppliers(spark, d).withColumn("_src_index", F.col("s_suppkey")).withColumn("pending", F.col("s_suppkey") % 4 < 2).withColumn("geometry", F.lit("point"))
+    s = s.withColumn("parts", F.array(F.array(F.struct(F.col("ref_lon").alias("x"), F.col("ref_lat").alias("y")))))
+    made = s.where("pending").select("_src_index", F.when(F.col("s_suppkey") % 4 == 0, "drop").otherwise("fix").alias("action"))
+    return validation.committed(s, made).select("s_suppkey", F.round(F.get(F.get("parts", 0), 0).y, 6).alias("y"))
+
+
+# ---- documents, questions and answers ------------------------------------------------------------------------------
+
+
+@query("select doc_id, n_chars_a_page > 0 and n_chars_a_page >= 40 and spaces >= 0.05 * chars as readable from (select doc_id, length(coalesce(text, ''))::double as n_chars_a_page, length(coalesce(text, '')) as chars, length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) as spaces from documents)")
+def readable_documents(spark, d):
+    return document_sources.readable(read(spark, d, "documents"), "doc_id").select("doc_id", "readable")
+
+
+@query("select doc_id, 'hyphenated words are joined' || chr(10) || 'Next: ' || doc_id % 7 || ' lines.' || chr(10) || 'end' as text from documents")
+def reflowed_text(spark, d):
+    wrapped = F.concat(F.lit("hyphen-\nated words\nare joined\nNext: "), F.col("doc_id") % 7, F.lit("\nlines.\nend"))
+    return read(spark, d, "documents").select("doc_id", document_sources.reflowed(wrapped).alias("text"))
+
+
+@query(r"select doc_id, case when length(t) > 80 then substr(t, 1, 80) || '…' else t end as snippet from (select doc_id, trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g')) as t from documents)")
+def snippets(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"))
+
+
+@query("select doc_id, length(t) >= 150 and not regexp_matches(lower(t), 'may refer to|disambiguation|versioning|can refer to') as good from (select doc_id, coalesce(text, '') || case when doc_id % 5 = 0 then ' It may refer to others.' else '' end as t from documents)")
+def good_extracts(spark, d):
+    t = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 5 == 0, " It may refer to others.").otherwise(""))
+    return read(spark, d, "documents").select("doc_id", text.good_extract(t).alias("good"))
+
+
+@query(f"""with q as (select list_filter(list_distinct({_SQL_TOKENS.format("'" + _QUERY + "'")}), lambda x: length(x) > 1 and x not in ({_STOP})) as t),
+    o as (select doc_id, lang, len(list_intersect(q.t, list_filter(list_distinct({_SQL_TOKENS.format('text')}), lambda x: length(x) > 1 and x not in ({_STOP})))) / len(q.t)::double as overlap from documents, q),
+    m as (select lang, min(overlap) as lo, max(overlap) as hi from o group by 1)
+    select doc_id, round(overlap, 9) as overlap, round(case when hi = lo then 1.0 else (overlap - lo) / (hi - lo) end, 9) as scaled from o join m on o.lang is not distinct from m.lang""")
+def overlap_scaled(spark, d):
+    """The share of a question's words in each document, and the same from 0 to 1 in each language."""
+    o = read(spark, d, "documents").select("doc_id", "lang", text.overlap(F.lit(_QUERY), F.col("text")).alias("overlap"))
+    ends = o.groupBy("lang").agg(F.min("overlap").alias("lo"), F.max("overlap").alias("hi"))
+    scaled = F.when(F.col("hi") == F.col("lo"), F.lit(1.0)).otherwise((F.col("overlap") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    return o.join(F.broadcast(ends), o["lang"].eqNullSafe(ends["lang"])).select("doc_id", F.round("overlap", 9).alias("overlap"), F.round(scaled, 9).alias("scaled"))
+
+
+@query("select doc_id, 'D-' || doc_id % 10 || ' — body' as a, 'body of D' as b from documents")
+def context_prefixes(spark, d):
+    """A heading stands before a text unless the text begins with it."""
+    docs = read(spark, d, "documents")
+    return docs.select("doc_id", text.context_prefix(F.concat(F.lit("D-"), F.col("doc_id") % 10), F.lit("body")).alias("a"), text.context_prefix(F.lit("Body"), F.lit("body of D")).alias("b"))
+
+
+def _sections(spark, d) -> DataFrame:
+    t = F.element_at(F.array(*map(F.lit, ["Menu", "MENU", "Hours", "", "menu"])), (F.col("turn") % 5 + 1).cast("int"))
+    return read(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), t.alias("section"), "text")
+
+
+@query("""select document_id, arg_min(section, turn) as section, min(turn) as first_index from (select conv_id as document_id, turn, (['Menu', 'MENU', 'Hours', '', 'menu'])[turn % 5 + 1] as section from conversations)
+    where section <> '' group by document_id, lower(section)""")
+def sections_once(spark, d):
+    return retrieval.distinct_sections(_sections(spark, d))
+
+
+@query("select conv_id as document_id, turn as chunk_index from conversations where conv_id = 1 order by turn limit 40")
+def document_chunks(spark, d):
+    """The first chunks of the document of the best hit; the limit is the feature."""
+    return retrieval.expansion(_sections(spark, d), F.lit(1)).select("document_id", "chunk_index")
+
+
+@query("select n_nationkey, n_name from nation where contains(lower(n_name), 'nation_1') or (length(n_name) >= 3 and contains('nation_1', lower(n_name))) order by n_nationkey limit 5")
+def record_lookup(spark, d):
+    """At most five records are the feature."""
+    return retrieval.lookup(read(spark, d, "nation"), "n_name", "Nation_1", "n_nationkey").select("n_nationkey", "n_name")
+
+
+@query("select c_custkey, concat_ws(' | ', 'c_custkey: ' || c_custkey, case when c_custkey % 3 = 0 then null when c_custkey % 5 = 0 then null else 'c_mktsegment: ' || c_mktsegment end) as record from customer")
+def records_as_text(spark, d):
+    segment = F.when(F.col("c_custkey") % 3 == 0, "nan").when(F.col("c_custkey") % 5 == 0, " ").otherwise(F.col("c_mktsegment"))
+    rows = read(spark, d, "customer").select("c_custkey", segment.alias("c_mktsegment"))
+    return rows.select("c_custkey", retrieval.record_text(rows).alias("record"))
+
+
+_WEB = "(['https://a.org/x', 'HTTP://b.org', 'c.org/y', 'no web', '//d.org', 'e@f.org'])[s_suppkey % 6 + 1]"
+
+
+@query(f"""select s_suppkey, regexp_matches(v, '^(?i)https?://') or (not contains(v, ' ') and contains(v, '.') and not contains(v, '@') and length(v) > 3) as is_url,
+    case when regexp_matches(v, '^(?i)https?://') then v else 'https://' || ltrim(v, '/') end as url from (select s_suppkey, {_WEB} as v from supplier)""")
+def websites(spark, d):
+    v = F.element_at(F.array(*map(F.lit, ["https://a.org/x", "HTTP://b.org", "c.org/y", "no web", "//d.org", "e@f.org"])), (F.col("s_suppkey") % 6 + 1).cast("int"))
+    return read(spark, d, "supplier").select("s_suppkey", text.looks_like_url(v).alias("is_url"), text.normalized_url(v).alias("url"))
+
+
+@query(r"""select page_id, round(case when host <> '' and not contains(host, 'example.com') and not contains('example.com', host) then -1.0 else contains(path, 'about')::int + contains(path, 'contact')::int + contains(path, 'page')::int - 0.1 * (length(path) - length(replace(path, '/', ''))) end, 6)::double as rank
+    from (select page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\.', '') as host, lower(regexp_extract(url, '://[^/?#]*([^#]*)', 1)) as path from pages)""")
+def page_ranks(spark, d):
+    rank = retrieval.url_rank(F.col("url"), "contact page", "https://www.example.com/", ("about",))
+    return read(spark, d, "pages").select("page_id", F.round(rank, 6).alias("rank"))
+
+
+_ROUTES = ("how do i get from the Old Town to Nile Park on foot?", "route between A and B by bike", "show cafes", "drive from x to y")
+
+
+@query(f"""select event_id, (['the Old Town', 'A', null, 'x'])[event_id % 4 + 1] as origin, (['Nile Park', 'B', null, 'y'])[event_id % 4 + 1] as destination,
+    (['pedestrian', 'bicycle', 'auto', 'auto'])[event_id % 4 + 1] as mode from events""")
+def route_requests(spark, d):
+    return read(spark, d, "events").select("event_id", spatial.route_request(_planted(_ROUTES, "event_id")).alias("r")).select("event_id", "r.*")
+
+
+_ASKED = ("how many cafes are there", "which do not offer tea", "opening hours of b", "list all museums")
+
+
+@query("select event_id, (event_id % 4) <> 2 as exhaustive from events")
+def exhaustive_questions(spark, d):
+    return read(spark, d, "events").select("event_id", guardrails.exhaustive(_planted(_ASKED, "event_id")).alias("exhaustive"))
+
+
+_SAID = ("please update it", "the updated layer", "show parks", "DROP table t")
+
+
+@query("select event_id, (event_id % 4) in (0, 3) as blocked, (event_id % 4) in (0, 1, 3) as blocked_within from events")
+def blocked_words(spark, d):
+    q = _planted(_SAID, "event_id")
+    return read(spark, d, "events").select("event_id", guardrails.blocked_word(q).alias("blocked"), guardrails.blocked_word(q, whole_words=False).alias("blocked_within"))
+
+
+@query("select user_id, array_to_string(list_sort(list_distinct(list(event_type))), ',') || '|docs' as scope from events group by 1")
+def cache_scopes(spark, d):
+    """The scope of a cached result: its sorted layers and its collection. A user has at most five event types."""
+    kinds = read(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("ids"))
+    return kinds.select("user_id", state.scope_key(F.col("ids"), F.lit("docs")).alias("scope"))
+
+
+@query("select e.event_id, coalesce(c_custkey, -1)::bigint as c_custkey from events e full join customer on e.event_id = c_custkey where e.event_id is not null")
+def full_merge(spark, d):
+    """A full outer merge of two lists of hits by key."""
+    c = read(spark, d, "customer").select("c_custkey")
+    both = read(spark, d, "events").select("event_id").join(c, F.col("event_id") == F.col("c_custkey"), "full")
+    return both.where("event_id is not null").select("event_id", F.coalesce("c_custkey", F.lit(-1)).cast("long").alias("c_custkey"))
+
+
+@query("select date_trunc('hour', ts) as start, (['MEMORY', 'ROUTING', 'API', 'CUSTOM'])[event_id % 4 + 1] as module, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def event_windows(spark, d):
+    """The hourly counts of the log stream, over the records as a batch."""
+    return streams.windowed(_logs(spark, d)).withColumn("total", F.round("total", 4))

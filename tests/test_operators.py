@@ -157,3 +157,41 @@ def test_streams(spark, tmp_path):
     assert (r.module, r.duration_ms) == ("MEMORY", 42.0)
     streams.upsert_latest(stream.select("logger", "ts"), str(tmp_path / "up"), str(tmp_path / "cp2"), "logger", "ts").awaitTermination()
     assert spark.read.parquet(str(tmp_path / "up/0")).count() == 1
+
+
+def test_hybrid_by_hand(spark):
+    """The hybrid ranking against BM25, cosine and fusion in plain Python."""
+    import math
+    import re
+
+    texts = ["red house by the sea", "red red wine", "a blue house", "sea and wine and sea", "nothing of it", "house house house red", None]
+    vectors = [[float(i % 3 + 1), float(i % 2), 0.5 * i] for i in range(len(texts))]
+    query, at, pool, k = "red sea house", [1.0, 0.5, 1.0], 4, 3
+    chunks = spark.createDataFrame(list(zip(range(len(texts)), texts, vectors)), "chunk_id long, text string, embedding array<float>")
+    terms = [re.findall(r"[a-z]+", t or "") for t in texts]
+    n, mean = len(terms), sum(map(len, terms)) / len(terms)
+    df = {w: sum(w in t for t in terms) for t in terms for w in t}
+    idf = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in df.items()}
+    floor = 0.25 * sum(idf.values()) / len(idf)
+    idf = {w: x if x >= 0 else floor for w, x in idf.items()}
+    words = {i: sum(idf[w] * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in query.split() if w in t) for i, t in enumerate(terms)}
+    words = {i: s for i, s in words.items() if s > 0}
+    near = {i: sum(a * b for a, b in zip(v, at)) / math.hypot(*v) / math.hypot(*at) for i, v in enumerate(vectors)}
+    lists = [sorted(s, key=lambda i: (-s[i], i))[:pool] for s in (near, words)]
+    score = {}
+    for ranked in lists:
+        for r, i in enumerate(ranked, 1):
+            score[i] = score.get(i, 0) + 1 / (60 + r)
+    got = {r.chunk_id: r for r in retrieval.hybrid(chunks, chunks, query, at, pool=pool, k=k).collect()}
+    best = sorted(score, key=lambda i: (-score[i], i))
+    assert len(got) == k and sorted(round(r.score, 9) for r in got.values()) == sorted(round(score[i], 9) for i in best[:k])
+    assert all(r.score == pytest.approx(score[i]) and (r.dense_score is not None) == (i in lists[0]) for i, r in got.items())
+    assert all(r.bm25_score == pytest.approx(words[i]) for i, r in got.items() if r.bm25_score is not None)
+
+
+def test_decisions_from_the_pending_rows(spark):
+    pending = spark.createDataFrame([("crs", 1, None), ("required", 2, "name"), ("required", 2, "kind")], "kind string, feature_index int, field string")
+    made = pending.where("field is null or field = 'name'").withColumn("action", F.lit("skip"))
+    got = {(r.kind, r.field): r.action for r in validation.resolve(pending, made).collect()}
+    assert got == {("crs", None): "skip", ("required", "name"): "skip", ("required", "kind"): None}
+    assert validation.resolve(pending, made).columns == ["kind", "feature_index", "field", "action"]

@@ -1,26 +1,35 @@
 """Quality rules with n-gram perplexity.
 
-Text is read as symbols of a fixed alphabet of 32, so that a language has at most 2^20 four-symbol grams however
-large the corpus is. Spark counts the grams of all texts by language; modified Kneser-Ney smoothing turns the counts
-into probabilities, again as DataFrame work; they are stored as arrays sorted by a hash of the gram. Each language
-has a lower and an upper band of log-perplexity, from the median and the median absolute deviation over its texts.
+Texts are judged by grams of POINTS code points as they are, in any script; their number grows with the corpus.
+Spark counts the grams of all texts by language, summed up within each task first; modified Kneser-Ney smoothing turns
+the counts into probabilities, again as DataFrame work. A task that scores texts gathers the distinct grams of a unit
+of them and takes the probabilities of these out of the model piece by piece, so that no worker holds the model. Each
+language has a lower and an upper band of log-perplexity, from the median and the median absolute deviation over its
+texts.
+
+The model of four symbols over a fixed alphabet of 32 (grams, count_grams, SortedModel) backs off for unseen grams;
+quality_rules doesn't use it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import scratch, slices, small_side, utf8, written
 
 ORDER, BITS = 4, 5
+#: Code points of a gram; bytes of text whose grams a task gathers at once; rows of the model that it reads at once.
+POINTS, UNIT_BYTES, MODEL_ROWS = 5, 32 << 20, 1 << 20
 #: Half the width of a band: so many times the median absolute deviation, and at least so many nats a symbol.
 WIDTH, LEAST_WIDTH = 8.0, 0.08
 SYMBOLS = b"#*$%&|<>"
@@ -78,26 +87,137 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_counts, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
+def points(texts: list[str], lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the grams of all texts, each begun by line ends; the place of each in the code points; these.
+
+    A key mixes language and code points to 64 bits. U+0000 counts as U+0001.
+    """
+    pad = "\n" * (POINTS - 1)
+    data = np.maximum(np.frombuffer("".join(pad + t for t in texts).encode("utf-32-le"), "<u4"), 1)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    begins = np.cumsum(sizes + len(pad)) - sizes - len(pad)
+    keep = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    return point_keys(np.stack([data[keep + k] for k in range(POINTS)]), lang), keep, data
+
+
+def point_keys(codes: np.ndarray, lang: str) -> np.ndarray:
+    """codes: POINTS rows, a column for each gram."""
+    with np.errstate(over="ignore"):
+        x = np.full(codes.shape[1], zlib.crc32(lang.encode()) + 1, np.uint64)
+        for row in codes:
+            x = (x ^ row) * np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(29)
+    return x.view(np.int64)
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of the batches in lists of about UNIT_BYTES of text."""
+    held, size = [], 0
+    for batch in slices(batches):
+        held.append(batch)
+        size += batch.column("text").nbytes
+        if size >= UNIT_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[int], list[str]]]:
+    """Each language with the places and texts of its rows that have text."""
+    texts, langs = utf8(batch.column("text")), batch.column("lang").to_pylist()
+    for lang in sorted(set(langs)):
+        mine = [i for i, (x, t) in enumerate(zip(langs, texts, strict=True)) if x == lang and t]
+        if mine:
+            yield lang, mine, [texts[i].decode(errors="replace") for i in mine]
+
+
+def _point_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums up by language within each unit; lo and hi: hashes of two texts that have the gram, equal if only one has it."""
+    for unit in _units(batches):
+        parts: dict[str, list[tuple[np.ndarray, ...]]] = {}
+        for batch in unit:
+            for lang, _, texts in _by_lang(batch):
+                key, keep, data = points(texts, lang)
+                codes, unique = pd.factorize(key)
+                hashes = np.repeat(np.fromiter((zlib.crc32(t.encode()) >> 1 for t in texts), np.int32, len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+                first, lo, hi = np.empty(len(unique), np.int64), np.empty(len(unique), np.int32), np.empty(len(unique), np.int32)
+                first[codes], lo[codes], hi[codes[::-1]] = keep, hashes, hashes[::-1]
+                parts.setdefault(lang, []).append((unique, np.bincount(codes), np.stack([data[first + k] for k in range(POINTS)], axis=1), np.minimum(lo, hi), np.maximum(lo, hi)))
+        for lang, found in parts.items():
+            codes, unique = pd.factorize(np.concatenate([x[0] for x in found]))
+            n = np.bincount(codes, weights=np.concatenate([x[1] for x in found])).astype(np.int64)
+            first = np.empty(len(unique), np.int64)
+            first[codes[::-1]] = np.arange(len(codes))[::-1]
+            lo, hi = np.full(len(unique), np.iinfo(np.int32).max), np.full(len(unique), -1)
+            np.minimum.at(lo, codes, np.concatenate([x[3] for x in found]))
+            np.maximum.at(hi, codes, np.concatenate([x[4] for x in found]))
+            lo, hi = lo.astype(np.int32), hi.astype(np.int32)
+            text = np.ascontiguousarray(np.concatenate([x[2] for x in found])[first]).view(f"<U{POINTS}").ravel()
+            for at in range(0, len(text), 1 << 16):
+                part = pa.array(text[at : at + (1 << 16)].tolist(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part, *(pa.array(x[at : at + (1 << 16)]) for x in (n, lo, hi))], names=["lang", "gram", "n", "lo", "hi"])
+
+
+def count_points(docs: DataFrame) -> DataFrame:
+    """(lang, gram, n, lo, hi) of the grams of POINTS code points of all texts of docs (lang, text).
+
+    lo and hi are the same if one text alone, or copies of it, has the gram.
+    """
+    parts = docs.select("lang", "text").mapInArrow(_point_counts, "lang string, gram string, n long, lo int, hi int")
+    return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def _model_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        langs, texts = batch.column("lang").to_numpy(zero_copy_only=False), np.array(batch.column("gram").to_pylist(), f"<U{POINTS}")
+        logp = batch.column("logp").to_numpy()
+        codes = texts.view("<u4").reshape(-1, POINTS).T
+        for lang in set(langs):
+            mine = langs == lang
+            yield pa.RecordBatch.from_arrays([pa.array(point_keys(codes[:, mine], lang)), pa.array(logp[mine].astype(np.float32))], names=["key", "logp"])
+
+
+def _pieces(path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """key and logp of the model, MODEL_ROWS at a time."""
+    store, root = pa.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    for info in store.get_file_info(pa.fs.FileSelector(root)):
+        if info.base_name.endswith(".parquet"):
+            with store.open_input_file(info.path) as f:
+                for piece in pq.ParquetFile(f).iter_batches(MODEL_ROWS):
+                    yield piece.column(0).to_numpy(), piece.column(1).to_numpy()
+
+
+#: How grams are cut: the last n symbols, all but the last of a gram of n, and the size of the longest.
+SYMBOL_CUTS = (lambda gram, n: gram.bitwiseAND(F.lit((1 << n * BITS) - 1)), lambda gram, n: F.shiftright(gram, BITS), ORDER)
+POINT_CUTS = (lambda gram, n: F.substring(gram, -n, n) if n else F.lit(""), lambda gram, n: F.substring(gram, 1, n - 1), POINTS)
+
+
+def kneser_ney(counts: DataFrame, cuts_of: tuple[Callable[[Column, int], Column], Callable[[Column, int], Column], int] = SYMBOL_CUTS) -> DataFrame:
     """(lang, size, gram, logp, backoff) of each seen gram of 1 to ORDER symbols, as counts of (lang, gram, n) give it.
 
+    cuts_of: SYMBOL_CUTS or POINT_CUTS. Below the single symbols stands an even share: of the alphabet, or of the code
+    points that the language has. With POINT_CUTS there is others instead of backoff: logp as the other texts give it,
+    to which a gram that one text alone has is unseen, so that no text vouches for itself.
     logp: log of the interpolated probability of the last symbol after the others; backoff: log of the weight that
     the gram, as a context, leaves to its shorter form (0 where it was never a context). Lower orders count the
     distinct symbols that stand before a gram. Discounts are those of modified Kneser-Ney; where its counts of
     counts are missing, 1/2.
     """
+    tail_of, head_of, order = cuts_of
     counts = written(counts, "gram-counts")
-    of_size = {ORDER: counts}
-    for size in range(ORDER - 1, 0, -1):
+    marks = [("min", "lo"), ("max", "hi")] if cuts_of is POINT_CUTS else []
+    of_size = {order: counts}
+    for size in range(order - 1, 0, -1):
         longer = of_size[size + 1]
-        of_size[size] = longer.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << size * BITS) - 1)).alias("gram")).agg(F.count("*").alias("n"))
+        of_size[size] = longer.groupBy("lang", tail_of(F.col("gram"), size).alias("gram")).agg(F.count("*").alias("n"), *(getattr(F, f)(c).alias(c) for f, c in marks))
     lower: DataFrame | None = None
     made: list[DataFrame] = []
     weights: list[DataFrame] = []
-    for size in range(1, ORDER + 1):
+    for size in range(1, order + 1):
         grams_ = of_size[size]
         n = [F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in range(1, 5)]
-        sums = grams_.groupBy("lang").agg(*n)
+        sums = grams_.groupBy("lang").agg(*n, F.count("*").alias("kinds"))
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
 
         def discount(k: int, y=y):
@@ -105,20 +225,26 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             return F.greatest(F.lit(0.1), F.least(F.lit(k - 0.05), d)).alias(f"d{k}")
 
         # A row for each language; broadcast once counted, so that no language's grams are dealt to one task.
-        cuts = written(sums.select("lang", *(discount(k) for k in (1, 2, 3))), f"discounts-{size}")
+        cuts = written(sums.select("lang", "kinds", *(discount(k) for k in (1, 2, 3))), f"discounts-{size}")
         rows = grams_.join(small_side(cuts), "lang").withColumn("cut", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        rows = rows.withColumn("context", F.shiftright("gram", BITS))
-        contexts = rows.groupBy("lang", "context").agg(F.sum("n").alias("all"), F.sum("cut").alias("free"))
+        rows = rows.withColumn("context", head_of(F.col("gram"), size))
+        contexts = rows.groupBy("lang", "context").agg(F.sum("n").alias("all"), F.sum("cut").alias("free"), *(getattr(F, f)(c).alias(f"context_{c}") for f, c in marks))
         rows = rows.join(contexts, ["lang", "context"])
         if lower is None:
-            shorter = F.lit(1.0 / (1 << BITS))
+            shorter = F.lit(1.0 / (1 << BITS)) if cuts_of is SYMBOL_CUTS else 1 / F.col("kinds")
+            rows = rows.withColumn("others_tail", shorter)
         else:
-            rows = rows.withColumn("tail", F.col("gram").bitwiseAND(F.lit((1 << (size - 1) * BITS) - 1)))
-            rows = rows.join(lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("p_tail")), ["lang", "tail"])
+            rows = rows.withColumn("tail", tail_of(F.col("gram"), size - 1))
+            rows = rows.join(lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("p_tail"), *([F.col("others").alias("others_tail")] if marks else [])), ["lang", "tail"])
             shorter = F.col("p_tail")
-        lower = written(rows.select("lang", "gram", ((F.col("n") - F.col("cut") + F.col("free") * shorter) / F.col("all")).alias("p")), f"order-{size}")
-        made.append(lower.select("lang", F.lit(size).alias("size"), "gram", F.log("p").alias("logp")))
+        p = (F.col("n") - F.col("cut") + F.col("free") * shorter) / F.col("all")
+        weight = F.when(F.col("context_lo") != F.col("context_hi"), F.col("free") / F.col("all")).otherwise(1.0) if marks else None
+        others = [F.when(F.col("lo") != F.col("hi"), p).otherwise(weight * F.col("others_tail")).alias("others")] if marks else []
+        lower = written(rows.select("lang", "gram", p.alias("p"), *others), f"order-{size}")
+        made.append(lower.select("lang", F.lit(size).alias("size"), "gram", F.log("p").alias("logp"), *([F.log("others").alias("others")] if marks else [])))
         weights.append(contexts.select("lang", F.lit(size - 1).alias("size"), F.col("context").alias("gram"), F.log(F.col("free") / F.col("all")).alias("backoff")))
+    if marks:
+        return reduce(DataFrame.unionByName, made)
     model = reduce(DataFrame.unionByName, made).join(reduce(DataFrame.unionByName, weights), ["lang", "size", "gram"], "full")
     return model.select("lang", "size", "gram", "logp", F.coalesce("backoff", F.lit(0.0)).alias("backoff"))
 
@@ -202,22 +328,25 @@ _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def _scores(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = _models(path)
-        for batch in slices(batches):
-            texts, langs = utf8(batch.column("text")), batch.column("lang").to_pylist()
-            score = np.full(len(texts), np.nan)
-            for lang in set(langs):
-                mine = [i for i, (x, t) in enumerate(zip(langs, texts, strict=True)) if x == lang and t]
-                if mine:
-                    codes, begins = grams([texts[i] for i in mine])
-                    seen = np.zeros(1 << ORDER * BITS, bool)
-                    seen[codes] = True
-                    used = np.flatnonzero(seen)
-                    logs = np.zeros(1 << ORDER * BITS, np.float32)
-                    logs[used] = models[lang].logs(used)
-                    score[mine] = -np.add.reduceat(logs[codes], begins, dtype=np.float64) / np.diff([*begins, len(codes)])
-            numbers = np.array([basics(t) for t in texts], np.int64).reshape(-1, 5).T
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *map(pa.array, numbers), pa.array(score, from_pandas=True)], names=["doc_id", "lang", *_FIELDS, "log_perplexity"])
+        for unit in _units(batches):
+            held: list[tuple[int, list[int], np.ndarray, np.ndarray, np.ndarray]] = []
+            for at, batch in enumerate(unit):
+                for lang, mine, texts in _by_lang(batch):
+                    codes, unique = pd.factorize(points(texts, lang)[0])
+                    held.append((at, mine, np.fromiter(map(len, texts), np.int64, len(texts)), codes.astype(np.int32), unique))
+            want = np.unique(np.concatenate([x[4] for x in held] or [np.empty(0, np.int64)]))
+            logs = np.full(len(want), np.nan, np.float32)
+            for key, logp in _pieces(path) if len(want) else ():
+                place = np.minimum(np.searchsorted(want, key), len(want) - 1)
+                there = want[place] == key
+                logs[place[there]] = logp[there]
+            scores = [np.full(batch.num_rows, np.nan) for batch in unit]
+            for at, mine, sizes, codes, unique in held:
+                each = logs[np.searchsorted(want, unique)][codes]
+                scores[at][mine] = -np.add.reduceat(each, np.cumsum(sizes) - sizes, dtype=np.float64) / sizes
+            for batch, score in zip(unit, scores, strict=True):
+                numbers = np.array([basics(t) for t in utf8(batch.column("text"))], np.int64).reshape(-1, 5).T
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *map(pa.array, numbers), pa.array(score, from_pandas=True)], names=["doc_id", "lang", *_FIELDS, "log_perplexity"])
 
     return run
 
@@ -230,9 +359,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     its language. Repeated rows count and return as often as they stand there; an empty table returns no row.
     """
     path = scratch(docs.sparkSession, "kneser-ney")
-    kneser_ney(count_grams(docs)).write.parquet(path)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
+    model = kneser_ney(count_points(rows), POINT_CUTS).where(F.col("size") == POINTS)  # every gram of the texts is in it
+    model.select("lang", "gram", F.col("others").alias("logp")).mapInArrow(_model_keys, "key long, logp float").write.parquet(path)
     rows = written(rows.mapInArrow(_scores(path), f"doc_id {kind}, lang string, " + ", ".join(f"{f} long" for f in _FIELDS) + ", log_perplexity double"), "perplexity")
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
     middle = written(rows.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("middle")), "middles")

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -203,6 +204,32 @@ def test_perplexity_rejects_the_odd_one(spark):
     assert not got[99] and sum(not v for v in got.values()) == 1
 
 
+def test_perplexity_sees_other_scripts(spark):
+    """Words whose letters are shuffled, of the same lengths, are found out in any script."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("абвгдежзиклмнопрсту"), rng.integers(3, 8))) for _ in range(80)]
+    text = lambda: list(rng.choice(words, 150))
+    shuffled = lambda w: "".join(rng.permutation(list(w)))
+    rows = [(i, " ".join(text()), "ru") for i in range(80)] + [(99, " ".join(map(shuffled, text())), "ru")]
+    got = {r.doc_id: r.kept for r in perplexity.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not got[99] and sum(not v for v in got.values()) == 1
+
+
+def test_code_point_model(spark, docs):
+    """The probabilities after each context of seen grams, by plain sums, and the counts of all grams."""
+    rows = docs.where("lang = 'en'").select("lang", "text")
+    pad = "\n" * (perplexity.POINTS - 1)
+    want = Counter((pad + t.text)[i : i + perplexity.POINTS] for t in rows.collect() for i in range(len(t.text or "")))
+    counted = perplexity.count_points(rows)
+    assert {r.gram: r.n for r in counted.collect()} == want
+    model = {(r["size"], r.gram): r.logp for r in perplexity.kneser_ney(counted, perplexity.POINT_CUTS).where("logp is not null").collect()}
+    assert {g for size, g in model if size == perplexity.POINTS} == set(want)
+    sums = Counter()
+    for (size, gram), logp in model.items():
+        sums[size, gram[:-1]] += np.exp(logp)
+    assert abs(sums[1, ""] - 1) < 1e-6 and all(0 < x < 1 + 1e-6 for x in sums.values())
+
+
 def test_warc(spark):
     big = "<p>" + "x" * 1200
     rows = [(1, "http://b.com/x?y", big), (2, "http://a.com/", "small"), (3, "http://a.com/", "small"), (4, None, None), (5, "http://b.com/x y", big), (6, "http://c.b.com", "é" * 600), (5, "http://b.com/x y", big), (None, "http://n.com", big)]

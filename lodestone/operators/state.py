@@ -10,6 +10,8 @@ from lodestone.operators.retrieval import cosine
 
 # The least cosine of a hit, entries kept, tokens and turns of a window.
 THRESHOLD, ENTRIES, BUDGET, TURNS = 0.93, 512, 2000, 5
+#: Blocks into which the entries of a scope are dealt for a lookup.
+BLOCKS = 16
 # Tags of loggers by their last name.
 MODULES = {
     "intent_router": "AGENT_ROUTER", "knowledge_pipeline": "RAG_RETRIEVAL", "hybrid_retriever": "RAG_RETRIEVAL", "vector_store": "RAG_RETRIEVAL", "retrieval_validator": "RAG_RETRIEVAL",
@@ -23,14 +25,21 @@ def scope_key(ids: Column, collection: Column) -> Column:
     return F.concat_ws("|", F.array_join(F.array_sort(F.array_distinct(ids)), ","), collection)
 
 
-def cache_lookup(entries: DataFrame, queries: DataFrame, now: float | None = None, ttl: float = 0.0, threshold: float = THRESHOLD) -> DataFrame:
+def cache_lookup(entries: DataFrame, queries: DataFrame, now: float | None = None, ttl: float = 0.0, threshold: float = THRESHOLD, others: bool = False) -> DataFrame:
     """For each query (query_id, scope, vector) the best fresh entry (entry_id, scope, vector, ts) of its scope.
 
-    Scopes hold at most ENTRIES entries once trimmed, so a query meets no more; ties go to the older entry.
+    A query meets every entry of its scope, however many, but with others the one of its own id. Entries are dealt
+    into BLOCKS by id and the best of each block is found before the best of all; ties go to the older entry.
     """
     fresh = entries if not ttl or now is None else entries.where(F.col("ts") >= now - ttl)
-    pairs = queries.join(fresh.withColumnRenamed("vector", "_v"), "scope").withColumn("score", cosine(F.col("vector"), F.col("_v"))).where(F.col("score") >= threshold)
-    best = pairs.groupBy("query_id").agg(F.max_by(F.struct("entry_id", "score"), F.struct("score", -F.col("ts"), -F.col("entry_id"))).alias("b"))
+    dealt = fresh.withColumnRenamed("vector", "_v").withColumn("_block", F.pmod(F.xxhash64("entry_id"), F.lit(BLOCKS)).cast("int"))
+    asked = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    pairs = asked.join(dealt, ["scope", "_block"])
+    pairs = pairs.where(F.col("entry_id") != F.col("query_id")) if others else pairs
+    pairs = pairs.withColumn("score", cosine(F.col("vector"), F.col("_v"))).where(F.col("score") >= threshold)
+    order = F.struct("score", -F.col("ts"), -F.col("entry_id"))
+    blocks = pairs.groupBy("query_id", "_block").agg(F.max_by(F.struct("entry_id", "score", "ts"), order).alias("b")).select("query_id", "b.*")
+    best = blocks.groupBy("query_id").agg(F.max_by(F.struct("entry_id", "score"), order).alias("b"))
     return best.select("query_id", "b.entry_id", "b.score")
 
 

@@ -511,12 +511,21 @@ def _entries(spark, d) -> DataFrame:
 @query(f"""select query_id, entry_id, round(score, 5) as score from (select q.vec_id as query_id, e.vec_id as entry_id, {_SQL_COS} as score, row_number() over (partition by q.vec_id order by {_SQL_COS} desc, e.vec_id) as n
     from embeddings q, embeddings e where q.vec_id % 20 = 0 and e.vec_id % 20 <> 0 and q.label = e.label and {_SQL_COS} >= 0.3) where n = 1""")
 def cache_lookup(spark, d):
-    """Every vector whose id is divisible by 20 is a query against all others of its scope."""
+    """Every vector whose id is divisible by 20 is a query against those of its scope whose id is not; cache_partners searches all."""
     entries = _entries(spark, d)
     queries = entries.where("entry_id % 20 = 0").select(F.col("entry_id").alias("query_id"), "scope", "vector")
     return state.cache_lookup(entries.where("entry_id % 20 != 0"), queries, threshold=0.3).select("query_id", "entry_id", F.round("score", 5).alias("score"))
 
 
+@query(f"""select query_id, entry_id, round(score, 5) as score from (select q.vec_id as query_id, e.vec_id as entry_id, {_SQL_COS} as score, row_number() over (partition by q.vec_id order by {_SQL_COS} desc, e.vec_id) as n
+    from embeddings q, embeddings e where q.vec_id % 20 = 0 and e.vec_id <> q.vec_id and q.label = e.label and {_SQL_COS} >= 0.3) where n = 1""")
+def cache_partners(spark, d):
+    """Every vector whose id is divisible by 20 is a query against all others of its scope, other queries among them."""
+    entries = _entries(spark, d)
+    queries = entries.where("entry_id % 20 = 0").select(F.col("entry_id").alias("query_id"), "scope", "vector")
+    return state.cache_lookup(entries, queries, threshold=0.3, others=True).select("query_id", "entry_id", F.round("score", 5).alias("score"))
+
+
 @query("select vec_id as entry_id, label::varchar as scope from (select *, row_number() over (partition by label order by vec_id desc) as n from embeddings) where n <= 20")
 def cache_trimmed(spark, d):
     return state.cache_trimmed(_entries(spark, d), 20).select("entry_id", "scope")

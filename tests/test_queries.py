@@ -27,6 +27,13 @@ def test_planted_text_is_found(spark):
     assert QUERIES["scan_flags"](spark, AT).where("flags like '%embedded%'").count()
 
 
+def test_queries_are_searched_too(spark, tmp_path):
+    """The best partner of a query may be another query, but not itself."""
+    rows = [(0, 1, [1.0, 0.0]), (20, 1, [1.0, 0.1]), (3, 1, [1.0, 1.0]), (40, 2, [1.0, 0.0]), (60, 2, [0.9, 0.1]), (80, 3, [1.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r.query_id: r.entry_id for r in QUERIES["cache_partners"](spark, str(tmp_path)).collect()} == {0: 20, 20: 0, 40: 60, 60: 40}
+
+
 def test_entry(spark):
     import __spark_entry__
 

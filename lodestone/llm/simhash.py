@@ -16,7 +16,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import slices, utf8, written
@@ -51,12 +51,14 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         found = np.array([fingerprint(t) for t in utf8(batch.column("text"))], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        more = batch.schema.names[2:]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64)), *map(batch.column, more)], names=["doc_id", "fp", *more])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row of docs."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and more, strings, of each row of docs."""
+    rows = docs.select("doc_id", "text", *more)
+    return rows.mapInArrow(_fingerprints, ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", "fp long", *(f"{c} string" for c in rows.columns[2:])]))
 
 
 def _flips() -> list[tuple[int, int]]:
@@ -173,6 +175,13 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _rooted(prints: DataFrame, first: Column) -> DataFrame:
+    """fp, first (the least of its rows) and root of each distinct fingerprint; linked ones have the same root."""
+    nodes = written(prints.groupBy("fp").agg(F.min(first).alias("first")), "nodes")
+    roots = components(links(nodes.select("fp")))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest linked doc_id) of each row of docs.
 
@@ -181,16 +190,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows give repeated results. An empty table gives no row. Other columns of docs are not looked at.
     """
     prints = written(fingerprints(docs), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(links(nodes.select("fp")))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = _rooted(prints, F.col("doc_id"))
     first = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of = named.join(first, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """docs without all but one row of each group of near duplicates, the one with the smallest doc_id."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group of near duplicates: the one with the smallest doc_id, null ones last, and of rows with
+    the same doc_id the one whose text has the smallest SHA-256.
+
+    Rows without doc_id are documents like any other, and so are rows with the same doc_id and different texts: each
+    may be the first of its group. A null text counts as empty.
+    """
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    prints = written(fingerprints(docs, digest.alias("digest")), "fingerprints")
+    first = _rooted(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).groupBy("root").agg(F.min("first").alias("f"))
+    # One key of id and text, so that the join and the removal of repeated rows share a shuffle.
+    key = lambda id_, text: F.concat_ws(":", F.when(id_.isNull(), "none").otherwise(F.concat(F.lit("id "), id_.cast("string"))), text)
+    keep = first.select(key(F.col("f.doc_id"), F.col("f.digest")).alias("_key"))
+    return docs.withColumn("_key", key(F.col("doc_id"), digest)).join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 

@@ -57,6 +57,16 @@ def test_near_duplicates(spark, docs, none):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values())) and kept.columns == docs.columns
 
 
+def test_first_of_each_keeps_null_and_repeated_ids(spark):
+    """Each text stands for itself whatever its id; of a group the smallest id stays, null ones last."""
+    a, b, c, d = ("alpha beta gamma delta epsilon", "one two three four five six", "red green blue white black grey", "north south east west up down")
+    rows = [(None, a), (None, b), (7, b), (1, c), (1, d), (2, c), (None, a), (1, d)]
+    want = sorted([("None", a), ("7", b), ("1", c), ("1", d)])
+    for order in (rows, rows[::-1]):
+        got = simhash.first_of_each(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted((str(r.doc_id), r.text) for r in got) == want
+
+
 def test_crowds_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 8)
     rng = np.random.default_rng(1)

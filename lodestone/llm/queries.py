@@ -31,7 +31,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adds all documents, takes away those whose text an earlier one has, revises the word counts, and repeats a batch."""
+    """Adds all documents, revises the counts of words-2, takes away documents whose text an earlier one has, and repeats a batch.
+
+    The versions are counters that SQL has too; op5_tokenizer_counts counts with the tokenizers.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
     counters = {"bytes-1": F.octet_length(text), "words-1": F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+"))}
@@ -40,11 +43,30 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A table of its own, so that the join has a shuffle of its own that Spark can split where a digest is frequent.
     first = written(lean.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-of-digest")
     copies = lean.join(first, "digest").where("doc_id > first")
-    rollup = token_rollup.TokenRollup(spark)
-    added = token_rollup.inserts(lean, before)
-    revised = token_rollup.inserts(lean, {"words-2": F.col("`words-2`")})
-    gone = token_rollup.deletes(copies, before | {"words-2": F.col("`words-2`")})
-    return token_rollup.replay(rollup, [("load", added), ("words-2", revised), ("copies", gone), ("load", added)])
+    return token_rollup.replay(token_rollup.TokenRollup(spark), _batches(lean, copies, before | {"words-2": F.col("`words-1`")}, {"words-2": F.col("`words-2`")}))
+
+
+def _batches(lean: DataFrame, copies: DataFrame, before: dict, after: dict) -> list[tuple[str, DataFrame]]:
+    """All rows by the counts before; those of after in their place, under the same keys; the copies taken away; the load again."""
+    load = token_rollup.inserts(lean, before)
+    revised = token_rollup.revisions(lean, {k: before[k] for k in after}, after)
+    return [("load", load), ("revised", revised), ("copies", token_rollup.deletes(copies, before | after)), ("load", load)]
+
+
+def op5_tokenizer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents by the two tokenizers of op4 and op10.
+
+    The counts of the word tokenizer are loaded without the end id that op4 writes and then revised to have it, over
+    the whole table; copies are taken away by their revised counts, and the load is repeated.
+    """
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"), "text")
+    counted = token_rollup.tokenizer_counts(docs, public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    lean = written(counted, "token-counts")  # each text is encoded once
+    first = written(lean.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-of-digest")
+    copies = lean.join(first, "digest").where("doc_id > first")
+    return token_rollup.replay(token_rollup.TokenRollup(spark), _batches(lean, copies, {"word_bpe_49k": F.col("word"), "byte_bpe_multi_50k": F.col("byte")}, {"word_bpe_49k": F.col("word") + 1}))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_url_filter, op4_token_files, op5_token_counts, op6_quality_rules, op7_warc, op8_decontamination, op9_line_dedup, op10_byte_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_url_filter, op4_token_files, op5_token_counts, op5_tokenizer_counts, op6_quality_rules, op7_warc, op8_decontamination, op9_line_dedup, op10_byte_bpe, pipeline)}
 
 _A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _BLANK = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"

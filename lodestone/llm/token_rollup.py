@@ -7,12 +7,17 @@ the delta. Each version names the batches that are in it, so that a batch which
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import scratch
+from lodestone.llm.byte_bpe import _LOADED, ByteBPE
+from lodestone.llm.common import scratch, slices, utf8
+from lodestone.llm.token_files import WordEncoder
 
 KEYS = ("source", "lang", "tokenizer")
 _SUMS = ("n_docs", "n_tokens")
@@ -36,6 +41,22 @@ def revisions(docs: DataFrame, before: dict[str, Column], after: dict[str, Colum
     return deletes(docs, before).unionByName(inserts(docs, after))
 
 
+def tokenizer_counts(docs: DataFrame, word_path: str, byte_path: str, pattern: str) -> DataFrame:
+    """docs (doc_id, source, lang, digest, text) with word and byte in place of text: its numbers of ids by the encoders of op4 and op10."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        words = WordEncoder(word_path)
+        pieces = _LOADED.get((byte_path, pattern)) or _LOADED.setdefault((byte_path, pattern), ByteBPE.from_file(byte_path, pattern))
+        for batch in slices(batches):
+            texts = utf8(batch.column("text"))
+            counts = [pa.array([len(x) for x in words(texts)], pa.int64()), pa.array([len(pieces.encode(t.decode())) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *counts], names=[*kept, "word", "byte"])
+
+    kept = ("doc_id", "source", "lang", "digest")
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept]
+    return docs.select(*kept, "text").mapInArrow(run, ", ".join([*kinds, "word long", "byte long"]))
+
+
 def delta(changes: DataFrame) -> DataFrame:
     return changes.groupBy(*KEYS).agg(F.sum(F.col("sign").cast("long")).alias("n_docs"), F.sum(F.col("sign") * F.col("tokens")).alias("n_tokens"))
 

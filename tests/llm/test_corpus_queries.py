@@ -14,6 +14,46 @@ def test_query(spark, name):
     assert n and not off
 
 
+def test_tokenizer_counts(spark):
+    """By the tokenizer libraries, over the first document of each text."""
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    path, words = P.path("byte_bpe_multi_50k.tiktoken"), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    pieces = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want, seen = {}, set()
+    for source, lang, t in oracle.connect(AT).sql("select source, lang, coalesce(text, '') from documents order by doc_id").fetchall():
+        if t not in seen:
+            seen.add(t)
+            for key, n in (("word_bpe_49k", len(words.encode(t, add_special_tokens=False).ids) + 1), ("byte_bpe_multi_50k", len(pieces.encode_ordinary(t)))):
+                docs, tokens = want.get((source, lang, key), (0, 0))
+                want[source, lang, key] = docs + 1, tokens + n
+    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in QUERIES["op5_tokenizer_counts"](spark, AT).collect()}
+    assert got == want
+
+
+def test_counts_are_revised(spark, monkeypatch):
+    """A batch of op5_token_counts and of op5_tokenizer_counts changes totals of a version that is there already."""
+    from lodestone.llm import token_rollup
+
+    for name, key in (("op5_token_counts", "words-2"), ("op5_tokenizer_counts", "word_bpe_49k")):
+        totals, commit = [], token_rollup.TokenRollup.commit
+
+        def watched(self, *batch, commit=commit, totals=totals, key=key):
+            done = commit(self, *batch)
+            totals.append(sum(r.n_tokens for r in self.totals().where(f"tokenizer = '{key}'").collect()))
+            return done
+
+        with monkeypatch.context() as m:
+            m.setattr(token_rollup.TokenRollup, "commit", watched)
+            QUERIES[name](spark, AT)
+        assert totals[0] and totals[0] != totals[1] > totals[2] == totals[3]
+
+
 def test_pipeline(spark):
     """The stages by plain Python, but for the classifier, whose verdicts are those of its own query."""
     import re

@@ -343,6 +343,33 @@ def heading_sections(spark, d):
     return chunking.sections(read(spark, d, "documents").select("doc_id", catalog.alias("text")))
 
 
+#: Appended to raw texts, which have hardly any headings and wrapped lines.
+CATALOG = "\nbefore any heading.\nOpening hours\nfrom nine to five.\n\nMenu of the house\ntea; coffee.\nLast One"
+WRAPPED = "\nhyphen-\nated words\nare joined\nNext: 7\nlines.\nend"
+
+
+@query()
+def document_sections(spark, d):
+    """The sections of every document's text, given headings after it; a test holds them against plain Python."""
+    t = F.concat(F.coalesce("text", F.lit("")), F.lit(CATALOG))
+    return chunking.sections(read(spark, d, "documents").select("doc_id", t.alias("text")))
+
+
+@query()
+def reflowed_documents(spark, d):
+    """Every document's text, wrapped lines after it, reflowed; a test holds it against plain Python."""
+    t = F.concat(F.coalesce("text", F.lit("")), F.lit(WRAPPED))
+    return read(spark, d, "documents").select("doc_id", document_sources.reflowed(t).alias("text"))
+
+
+@query("select doc_id, case when starts_with(t, h) then t else h || ' — ' || t end as text from (select doc_id, 'd-' || doc_id % 10 as h, case when doc_id % 3 = 0 then 'd-' || doc_id % 10 || ' ' else '' end || coalesce(text, '') as t from documents)")
+def prefixed_documents(spark, d):
+    """Every document's text with a heading before it, which every third one begins with."""
+    heading = F.concat(F.lit("d-"), F.col("doc_id") % 10)
+    t = F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat(heading, F.lit(" "))).otherwise(""), F.coalesce("text", F.lit("")))
+    return read(spark, d, "documents").select("doc_id", text.context_prefix(heading, t).alias("text"))
+
+
 @query()
 def recursive_split(spark, d):
     return chunking.recursive_chunks(read(spark, d, "documents"))

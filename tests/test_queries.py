@@ -1,5 +1,8 @@
 """Every query with an SQL form gives the same rows as DuckDB; the others give rows."""
 
+import re
+import unicodedata
+
 import oracle
 import pytest
 
@@ -34,6 +37,38 @@ def test_queries_are_searched_too(spark, tmp_path):
     assert {r.query_id: r.entry_id for r in QUERIES["cache_partners"](spark, str(tmp_path)).collect()} == {0: 20, 20: 0, 40: 60, 60: 40}
 
 
+def test_whole_texts_are_read(spark, con):
+    """document_sections and reflowed_documents against plain Python, over the raw texts and what is planted after them."""
+    from lodestone.functions.text import HEADING_CHARS, HEADING_WORDS, TERMINAL
+    from lodestone.plans.registry import CATALOG, WRAPPED
+
+    letter = lambda c: unicodedata.category(c)[0] == "L"
+
+    def heading(line):
+        s = line.strip(" ")
+        first = next(filter(letter, s), "")
+        return bool(first) and len(s) <= HEADING_CHARS and len(re.split(r"[ \t\n\x0b\f\r]+", s)) <= HEADING_WORDS and s[-1] not in TERMINAL and not re.match("[a-z]", first)
+
+    def reflowed(t):
+        small = lambda c: unicodedata.category(c) == "Ll"
+        t = re.sub(r"(.)-\n(?=(.))", lambda m: m[1] if letter(m[1]) and small(m[2]) else m[0], t)
+        return re.sub(r"(?<![.!?:;\n])\n(?=(.))", lambda m: " " if small(m[1]) or m[1] in "0123456789(" else m[0], t)
+
+    sections, texts = set(), {}
+    for doc_id, raw in con.sql("select doc_id, coalesce(text, '') from documents").fetchall():
+        texts[doc_id] = reflowed(raw + WRAPPED)
+        n, name, body = 0, None, []
+        for line in [*(raw + CATALOG).split("\n"), None]:
+            if line is None or heading(line):
+                if n and body:
+                    sections.add((doc_id, n, name, "\n".join(body)))
+                n, name, body = n + 1, (line or "").strip(" "), []
+            elif line.strip(" "):
+                body.append(line.strip(" "))
+    assert {tuple(r) for r in QUERIES["document_sections"](spark, AT).collect()} == sections
+    assert {r.doc_id: r.text for r in QUERIES["reflowed_documents"](spark, AT).collect()} == texts
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -73,8 +73,8 @@ def module_tag(logger: Column) -> Column:
     return F.coalesce(known[last], F.when(last != "", F.upper(last)).otherwise(F.lit("APP")))
 
 
-def search_logs(logs: DataFrame, text: str | None = None, modules: list[str] | None = None, levels: list[str] | None = None, since=None, until=None, limit: int = 100, offset: int = 0) -> DataFrame:
-    """Log rows (id, ts, module, level, message, …) that meet all conditions, the newest first; limit 1 to 100000."""
+def matching_logs(logs: DataFrame, text: str | None = None, modules: list[str] | None = None, levels: list[str] | None = None, since=None, until=None) -> DataFrame:
+    """All log rows (id, ts, module, level, message, …) that meet all conditions, in no order."""
     rows = logs
     if text:
         rows = rows.where(F.col("message").ilike(f"%{text}%") | F.col("module").ilike(f"%{text}%") | F.col("logger").ilike(f"%{text}%"))
@@ -82,4 +82,10 @@ def search_logs(logs: DataFrame, text: str | None = None, modules: list[str] | N
         rows = rows.where(F.col(column).isin(wanted)) if wanted else rows
     rows = rows.where(F.col("ts") >= F.lit(since)) if since is not None else rows
     rows = rows.where(F.col("ts") <= F.lit(until)) if until is not None else rows
+    return rows
+
+
+def search_logs(logs: DataFrame, text: str | None = None, modules: list[str] | None = None, levels: list[str] | None = None, since=None, until=None, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of matching_logs, the newest first; limit 1 to 100000."""
+    rows = matching_logs(logs, text, modules, levels, since, until)
     return rows.orderBy(F.desc("ts"), F.desc("id")).offset(max(0, offset)).limit(min(100_000, max(1, limit)))

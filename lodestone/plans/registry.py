@@ -569,10 +569,17 @@ def _logs(spark, d) -> DataFrame:
 def log_query(spark, d):
     from datetime import datetime
 
-    hits = state.search_logs(_logs(spark, d), modules=["MEMORY", "API"], since=datetime(2024, 1, 5), until=datetime(2024, 1, 25), limit=100_000)
+    hits = state.matching_logs(_logs(spark, d), modules=["MEMORY", "API"], since=datetime(2024, 1, 5), until=datetime(2024, 1, 25))
     return hits.select("id", "module", "level", text.duration_ms(F.col("message")).alias("duration_ms"))
 
 
+@query("""select id, module, level from (select event_id as id, ts, (['MEMORY', 'ROUTING', 'API', 'CUSTOM'])[event_id % 4 + 1] as module, event_type as level from events)
+    where module in ('MEMORY', 'API') order by ts desc, id desc limit 50 offset 20""")
+def log_page(spark, d):
+    """One page of the matching rows; limit and offset are the feature."""
+    return state.search_logs(_logs(spark, d), modules=["MEMORY", "API"], limit=50, offset=20).select("id", "module", "level")
+
+
 @query("select module, count(*) as n from (select (['MEMORY', 'ROUTING', 'API', 'CUSTOM'])[event_id % 4 + 1] as module from events) group by 1")
 def log_modules(spark, d):
     return _logs(spark, d).groupBy("module").agg(F.count("*").alias("n"))

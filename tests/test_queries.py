@@ -2,9 +2,11 @@
 
 import re
 import unicodedata
+from datetime import datetime
 
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.plans.registry import ORACLE_SQL, QUERIES
 
@@ -69,6 +71,12 @@ def test_whole_texts_are_read(spark, con):
     assert {r.doc_id: r.text for r in QUERIES["reflowed_documents"](spark, AT).collect()} == texts
 
 
+def test_log_query_has_no_cap(spark, tmp_path):
+    rows = spark.range(250_000).select(F.col("id").alias("event_id"), F.lit(datetime(2024, 1, 10)).alias("ts"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    assert QUERIES["log_query"](spark, str(tmp_path)).count() == 125_000
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import ascii_lower, small_side, written
 
 #: A mined rule needs this share of the labelled urls, so many of them, and this share of block labels.
-MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE, MAX_TOKENS = 0.001, 8, 0.8, 3
+MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE = 0.001, 8, 0.8
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 _BLOCK = "=block"
 
@@ -49,15 +49,27 @@ def tokens(url: Column) -> Column:
 
 
 def mine(labelled: DataFrame) -> DataFrame:
-    """Rules (rule, antecedent, confidence, support) from urls labelled with block true or false; null ones are left out."""
+    """Rules (rule, antecedent, confidence, support) from urls labelled with block true or false; null ones are left out.
+
+    Antecedents have any number of tokens; a rule that contains a shorter one is left out, as the shorter one matches
+    all of its urls.
+    """
     spark = labelled.sparkSession
     rows = written(labelled.where("url is not null and block is not null").select(F.when(F.col("block"), F.array_append(tokens(F.col("url")), F.lit(_BLOCK))).otherwise(tokens(F.col("url"))).alias("items")), "url-tokens")
     n = rows.count()
     if n < MIN_ROWS:
         return spark.createDataFrame([], "rule int, antecedent array<string>, confidence double, support double")
     found = FPGrowth(itemsCol="items", minSupport=max(MIN_SUPPORT, MIN_ROWS / n), minConfidence=MIN_CONFIDENCE).fit(rows).associationRules
-    kept = found.where(F.array_contains("consequent", _BLOCK) & (F.size("antecedent") <= MAX_TOKENS) & (F.col("lift") > 1))
-    return written(kept.select(F.xxhash64(F.array_sort("antecedent")).alias("rule"), "antecedent", "confidence", "support"), "url-rules")
+    kept = found.where(F.array_contains("consequent", _BLOCK) & (F.col("lift") > 1))
+    return minimal(written(kept.select(F.xxhash64(F.array_sort("antecedent")).alias("rule"), "antecedent", "confidence", "support"), "url-rules"))
+
+
+def minimal(rules: DataFrame) -> DataFrame:
+    """rules without those whose tokens include all tokens of a shorter one."""
+    index = rules.select(F.col("rule").alias("inner"), F.size("antecedent").alias("size"), F.explode("antecedent").alias("token"))
+    each = rules.select("rule", F.size("antecedent").alias("of"), F.explode("antecedent").alias("token"))
+    within = each.join(small_side(index), "token").where("size < of").groupBy("rule", "inner", "size").agg(F.count("*").alias("n")).where("n = size")
+    return written(rules.join(within.select("rule").distinct(), "rule", "left_anti"), "minimal-url-rules")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -137,6 +137,17 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0), labelled).count() == 0 and url_filter.judge(pages, labelled.limit(0)).count() == 12
 
 
+def test_url_rules_of_four_tokens(spark):
+    """Any three of the four segments are unsure, all four are sure; what contains them adds no rule."""
+    four = ("p", "q", "r", "s")
+    rows = [(f"http://h/{'/'.join(four)}/{i % 2}", True) for i in range(30)] + [(f"http://h/{'/'.join(x)}/{i % 2}", False) for x in itertools.combinations(four, 3) for i in range(20)]
+    rules = url_filter.mine(spark.createDataFrame(rows, "url string, block boolean"))
+    assert [sorted(r.antecedent) for r in rules.collect()] == [[f"path {x}" for x in four]]
+    pages = spark.createDataFrame([(1, "http://other/s/r/q/p"), (2, "http://h/p/q/r")], "page_id long, url string")
+    got = url_filter.judge(pages, spark.createDataFrame(rows, "url string, block boolean")).collect()
+    assert {r.page_id: r.verdict for r in got} == {1: "block", 2: "allow"}
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files(spark, docs, none, encoding, tmp_path):
     from tokenizers import Tokenizer

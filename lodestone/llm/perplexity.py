@@ -197,8 +197,8 @@ def kneser_ney(counts: DataFrame, cuts_of: tuple[Callable[[Column, int], Column]
     """(lang, size, gram, logp, backoff) of each seen gram of 1 to ORDER symbols, as counts of (lang, gram, n) give it.
 
     cuts_of: SYMBOL_CUTS or POINT_CUTS. Below the single symbols stands an even share: of the alphabet, or of the code
-    points that the language has. With POINT_CUTS there is others instead of backoff: logp as the other texts give it,
-    to which a gram that one text alone has is unseen, so that no text vouches for itself.
+    points that the language has. With POINT_CUTS there is others instead of backoff: logp, but of a gram that one text
+    alone has, as if it were unseen. Grams that several texts have are counted with each text's own.
     logp: log of the interpolated probability of the last symbol after the others; backoff: log of the weight that
     the gram, as a context, leaves to its shorter form (0 where it was never a context). Lower orders count the
     distinct symbols that stand before a gram. Discounts are those of modified Kneser-Ney; where its counts of

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import slices, utf8, written
+from lodestone.llm.common import BROADCAST_ROWS, slices, utf8, written
 
 #: Words of a shingle, and the largest number of differing bits of a link.
 SHINGLE, THRESHOLD = 4, 4
@@ -142,7 +142,8 @@ def links(nodes: DataFrame) -> DataFrame:
     no task holds more than about two blocks, and only a spanning forest of each comparison is kept.
     """
     near = anchors(nodes)
-    sizes = near.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    # Written first: Spark can split a frequent key only where no aggregation of it is joined.
+    sizes = written(near.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "crowds")
     crowds = near.join(sizes, "anchor").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     mine = crowds.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     pairs = mine.select("anchor", "fp", "own", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
@@ -151,27 +152,34 @@ def links(nodes: DataFrame) -> DataFrame:
     return dealt.repartition("anchor", "lo", "hi").sortWithinPartitions("anchor", "lo", "hi", "fp").mapInArrow(_links, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, root) of each node of edges (a, b), where root is the smallest node of its component.
 
-    Alternates large-star and small-star steps; each round is written to the shared folder.
+    Alternates large-star and small-star steps; each round is written to the shared folder. An error if they have
+    not ended after `rounds`; the logarithm of the largest component is what they need.
     """
     def marked(df: DataFrame, round_: int) -> tuple[DataFrame, tuple]:
         kept = written(df, f"components-{round_}")
         return kept, tuple(kept.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    def apart(df: DataFrame, name: str) -> DataFrame:
+        """A table of its own where a node may have more edges than a task should read, so that Spark can split it."""
+        return written(df, name) if mark[0] > BROADCAST_ROWS else df
+
     now, mark = marked(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), 0)
-    for round_ in range(1, 1000):
+    for round_ in range(1, rounds + 1):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = apart(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"least-{round_}")
         large = both.join(low, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = apart(large.distinct(), f"large-{round_}")
+        low = apart(large.groupBy("a").agg(F.min("b").alias("m")), f"least-large-{round_}")
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         now, new = marked(small.where("a != b").distinct(), round_)
         if new == mark:
             break
         mark = new
+    else:
+        raise RuntimeError(f"components are unfinished after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

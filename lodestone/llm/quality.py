@@ -189,7 +189,11 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs whose text scores 1/2 or more, with the columns of docs."""
+    """The rows of docs whose text scores 1/2 or more, with the columns of docs, one named score too.
+
+    Null and empty texts are scored like any other, so they stay or go together, as repeated rows and equal texts do;
+    doc_id is not looked at. Without any label all rows score 1/2 and stay. An empty table gives none.
+    """
     model = train(docs, labels.where(~F.coalesce(held_out(), F.lit(True))))
     plain = docs.withColumnRenamed("score", "score before") if "score" in docs.columns else docs
     return scored(plain, model).where("score >= 0.5").drop("score").toDF(*docs.columns)

@@ -2,6 +2,8 @@
 
 A url is a set of tokens. FP-growth finds the token sets that go with a label often enough and surely enough; a
 url is blocked when all tokens of such a rule are in it, which an inverted index from tokens to rules finds.
+Tokens that stand in exactly the same labelled urls are one item, which a url has if it has any of them: as items of
+their own they would double the itemsets each, and every rule with one of them would be as good with another.
 Given rules of host and path come first, the longest that fits.
 """
 
@@ -39,29 +41,53 @@ def given_rule(rules=RULES) -> tuple[Column, Column]:
 
 
 def tokens(url: Column) -> Column:
-    """Distinct tokens: labels of the host and their parts, segments of the path and keys of the query."""
+    """Distinct tokens: labels of the host and the parts of those with a hyphen, segments of the path and keys of the query."""
     labels = F.split(host(url), r"\.")
-    parts = F.flatten(F.transform(labels, lambda x: F.split(x, "-")))
+    parts = F.flatten(F.transform(F.filter(labels, lambda x: F.contains(x, F.lit("-"))), lambda x: F.split(x, "-")))
     segments = F.split(ascii_lower(path(url)), "[/.]")
     keys = F.regexp_extract_all(url, F.lit("[?&]([^=&#]+)"), 1)
     tag = lambda mark, xs: F.transform(F.filter(xs, lambda x: x != ""), lambda x: F.concat(F.lit(mark), x))
     return F.array_distinct(F.concat(tag("host ", labels), tag("part ", parts), tag("path ", segments), tag("query ", F.coalesce(keys, F.array().cast("array<string>")))))
 
 
+def items(rows: DataFrame, least: int, n: int) -> DataFrame:
+    """token and item (the first token that stands in the same rows) of rows (row, token), n of them.
+
+    Tokens of fewer than `least` rows are in no rule, and those of all rows say nothing about a label: both are left
+    out. So there are at most as many as the tokens of all rows by `least`.
+    """
+    counted = rows.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64(F.lit("second"), "row").cast("decimal(38,0)")).alias("b"))
+    counted = written(counted.where((F.col("n") >= least) & (F.col("n") < n)), "url-items")
+    return counted.join(counted.groupBy("n", "a", "b").agg(F.min("token").alias("item")), ["n", "a", "b"]).select("token", "item")
+
+
 def mine(labelled: DataFrame) -> DataFrame:
-    """Rules (rule, antecedent, confidence, support) from urls labelled with block true or false; null ones are left out.
+    """Rules (rule, antecedent, any_of, confidence, support) from urls labelled with block true or false; null ones are left out.
 
-    Antecedents have any number of tokens; a rule that contains a shorter one is left out, as the shorter one matches
-    all of its urls.
+    antecedent holds items, each named by one token; any_of has the tokens of each item in the same place, any of
+    which will do. Antecedents have any number of items; a rule that contains a shorter one is left out, as the
+    shorter one matches all of its urls.
     """
     spark = labelled.sparkSession
-    rows = written(labelled.where("url is not null and block is not null").select(F.when(F.col("block"), F.array_append(tokens(F.col("url")), F.lit(_BLOCK))).otherwise(tokens(F.col("url"))).alias("items")), "url-tokens")
+    rows = written(labelled.where("url is not null and block is not null").select(F.expr("uuid()").alias("row"), F.col("block"), tokens(F.col("url")).alias("tokens")), "url-tokens")
     n = rows.count()
+    least = max(MIN_ROWS, int(-(-MIN_SUPPORT * n // 1)))
+    nothing = spark.createDataFrame([], "rule long, antecedent array<string>, any_of array<array<string>>, confidence double, support double")
     if n < MIN_ROWS:
-        return spark.createDataFrame([], "rule int, antecedent array<string>, confidence double, support double")
-    found = FPGrowth(itemsCol="items", minSupport=max(MIN_SUPPORT, MIN_ROWS / n), minConfidence=MIN_CONFIDENCE).fit(rows).associationRules
+        return nothing
+    each = rows.select("row", F.explode("tokens").alias("token"))
+    known = written(items(each, least, n), "url-token-items")
+    sets = each.join(small_side(known), "token").groupBy("row").agg(F.collect_set("item").alias("items"))
+    baskets = rows.where("block").select("row", F.array(F.lit(_BLOCK)).alias("label")).join(sets, "row", "full").select(F.concat(F.coalesce("items", F.array()), F.coalesce("label", F.array())).alias("items"))
+    # Confidence needs the rows of the antecedent, which are there; lift needs the share of blocked urls among all rows.
+    lone = rows.where("not block").join(sets, "row", "left_anti").select(F.array().cast("array<string>").alias("items"))
+    found = FPGrowth(itemsCol="items", minSupport=least / n * (1 - 1e-9), minConfidence=MIN_CONFIDENCE).fit(written(baskets.unionByName(lone), "url-baskets")).associationRules
     kept = found.where(F.array_contains("consequent", _BLOCK) & (F.col("lift") > 1))
-    return minimal(written(kept.select(F.xxhash64(F.array_sort("antecedent")).alias("rule"), "antecedent", "confidence", "support"), "url-rules"))
+    kept = minimal(written(kept.select(F.xxhash64(F.array_sort("antecedent")).alias("rule"), F.array_sort("antecedent").alias("antecedent"), "confidence", "support"), "url-rules"))
+    members = known.groupBy("item").agg(F.sort_array(F.collect_list("token")).alias("members"))  # tokens of one url
+    each = kept.select("rule", F.posexplode("antecedent").alias("at", "item")).join(members, "item")
+    any_of = each.groupBy("rule").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "members"))), lambda x: x.members).alias("any_of"))
+    return kept.join(any_of, "rule").select(*nothing.columns)
 
 
 def minimal(rules: DataFrame) -> DataFrame:
@@ -73,10 +99,11 @@ def minimal(rules: DataFrame) -> DataFrame:
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, rule) of each rule all of whose tokens are in the url; urls: distinct url."""
-    index = rules.select("rule", F.size("antecedent").alias("size"), F.explode("antecedent").alias("token"))
+    """(url, rule) of each rule of which the url has a token of every item; urls: distinct url."""
+    index = rules.select("rule", F.size("any_of").alias("size"), F.posexplode("any_of").alias("at", "members")).select("rule", "size", "at", F.explode("members").alias("token"))
     each = urls.select("url", F.explode(tokens(F.col("url"))).alias("token"))
-    return each.join(small_side(index), "token").groupBy("url", "rule", "size").agg(F.count("*").alias("n")).where("n = size").select("url", "rule")
+    hits = each.join(small_side(index), "token").select("url", "rule", "size", "at").distinct()
+    return hits.groupBy("url", "rule", "size").agg(F.count("*").alias("n")).where("n = size").select("url", "rule")
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules=RULES) -> DataFrame:

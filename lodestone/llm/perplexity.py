@@ -2,20 +2,17 @@
 
 Texts are judged by grams of POINTS code points as they are, in any script; their number grows with the corpus.
 Spark counts the grams of all texts by language, summed up within each task first; modified Kneser-Ney smoothing turns
-the counts into probabilities, again as DataFrame work. A task that scores texts gathers the distinct grams of a unit
-of them and takes the probabilities of these out of the model piece by piece, so that no worker holds the model. Each
-language has a lower and an upper band of log-perplexity, from the median and the median absolute deviation over its
-texts.
-
-The model of four symbols over a fixed alphabet of 32 (grams, count_grams, SortedModel) backs off for unseen grams;
-quality_rules doesn't use it.
+the counts into probabilities, again as DataFrame work. The model is stored as arrays of hashes in ascending order with
+the log-probabilities beside them. A task that scores texts gathers the distinct grams of a unit of them and looks
+these up, piece by piece of the model, so that no worker holds it. Each language has a lower and an upper band of
+log-perplexity, from the median and the median absolute deviation over its texts.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
-from functools import lru_cache, reduce
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,64 +24,12 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import scratch, slices, small_side, utf8, written
 
-ORDER, BITS = 4, 5
-#: Code points of a gram; bytes of text whose grams a task gathers at once; rows of the model that it reads at once.
-POINTS, UNIT_BYTES, MODEL_ROWS = 5, 32 << 20, 1 << 20
+#: Code points of a gram; bytes of text whose grams a task gathers at once; bytes of the model that it reads at once.
+POINTS, UNIT_BYTES, MODEL_BYTES = 5, 32 << 20, 8 << 20
 #: Half the width of a band: so many times the median absolute deviation, and at least so many nats a symbol.
 WIDTH, LEAST_WIDTH = 8.0, 0.08
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 50
-_STOPS = b".,;:'\"-()!?"
-
-
-def _alphabet() -> np.ndarray:
-    """Symbol of each byte: 0 line end, 1 white space and controls, 2-27 a-z, 28 A-Z, 29 non-ASCII, 30 stops, 31 the rest."""
-    of = np.full(256, 31, np.uint32)
-    of[:33] = 1
-    of[10] = 0
-    of[97:123] = np.arange(2, 28)
-    of[65:91] = 28
-    of[128:] = 29
-    of[list(_STOPS)] = 30
-    return of
-
-
-ALPHABET = _alphabet()
-PAD = b"\n" * (ORDER - 1)
-
-
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the four-symbol grams of all texts, each begun by line ends, and where each text's codes begin."""
-    data = np.frombuffer(b"".join(PAD + t for t in texts), np.uint8)
-    s = ALPHABET[data]
-    codes = np.zeros(max(len(s) - ORDER + 1, 0), np.uint32)
-    for k in range(ORDER):
-        codes = codes << BITS | s[k : len(s) - ORDER + 1 + k]
-    sizes = np.array([len(t) for t in texts], np.int64)
-    begins = np.cumsum(sizes + len(PAD)) - sizes - len(PAD)
-    keep = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    return codes[keep], np.cumsum(sizes) - sizes
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums up by language within the task; at most 2^20 counters a language."""
-    total: dict[str, np.ndarray] = {}
-    for batch in slices(batches):
-        langs, texts = batch.column("lang").to_pylist(), utf8(batch.column("text"))
-        for lang in set(langs):
-            codes, _ = grams([t for t, x in zip(texts, langs, strict=True) if x == lang])
-            if lang not in total:
-                total[lang] = np.zeros(1 << ORDER * BITS, np.int64)
-            total[lang] += np.bincount(codes, minlength=1 << ORDER * BITS)
-    for lang, n in total.items():
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "gram", "n"])
-
-
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n) over all texts of docs; rows without language have the language ''."""
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
-    return rows.mapInArrow(_counts, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def points(texts: list[str], lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,46 +123,49 @@ def _model_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(point_keys(codes[:, mine], lang)), pa.array(logp[mine].astype(np.float32))], names=["key", "logp"])
 
 
-def _pieces(path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """key and logp of the model, MODEL_ROWS at a time."""
+def looked_up(path: str, want: np.ndarray) -> np.ndarray:
+    """The model's log-probability of each key of want, in ascending order; pieces that hold none of them aren't read."""
+    logs = np.full(len(want), np.nan, np.float32)
     store, root = pa.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    for info in store.get_file_info(pa.fs.FileSelector(root)):
+    for info in store.get_file_info(pa.fs.FileSelector(root)) if len(want) else ():
         if info.base_name.endswith(".parquet"):
             with store.open_input_file(info.path) as f:
-                for piece in pq.ParquetFile(f).iter_batches(MODEL_ROWS):
-                    yield piece.column(0).to_numpy(), piece.column(1).to_numpy()
-
-
-#: How grams are cut: the last n symbols, all but the last of a gram of n, and the size of the longest.
-SYMBOL_CUTS = (lambda gram, n: gram.bitwiseAND(F.lit((1 << n * BITS) - 1)), lambda gram, n: F.shiftright(gram, BITS), ORDER)
-POINT_CUTS = (lambda gram, n: F.substring(gram, -n, n) if n else F.lit(""), lambda gram, n: F.substring(gram, 1, n - 1), POINTS)
-
-
-def kneser_ney(counts: DataFrame, cuts_of: tuple[Callable[[Column, int], Column], Callable[[Column, int], Column], int] = SYMBOL_CUTS) -> DataFrame:
-    """(lang, size, gram, logp, backoff) of each seen gram of 1 to ORDER symbols, as counts of (lang, gram, n) give it.
-
-    cuts_of: SYMBOL_CUTS or POINT_CUTS. Below the single symbols stands an even share: of the alphabet, or of the code
-    points that the language has. With POINT_CUTS there is others instead of backoff: logp, but of a gram that one text
-    alone has, as if it were unseen. Grams that several texts have are counted with each text's own.
-    logp: log of the interpolated probability of the last symbol after the others; backoff: log of the weight that
-    the gram, as a context, leaves to its shorter form (0 where it was never a context). Lower orders count the
-    distinct symbols that stand before a gram. Discounts are those of modified Kneser-Ney; where its counts of
+                file = pq.ParquetFile(f)
+                for g in range(file.num_row_groups):
+                    ends = file.metadata.row_group(g).column(0).statistics
+                    low, high = (np.searchsorted(want, ends.min), np.searchsorted(want, ends.max, "right")) if ends is not None and ends.has_min_max else (0, len(want))
+                    if low < high:
+                        piece = file.read_row_group(g)
+                        key = piece["key"].to_numpy()
+                        at = np.minimum(np.searchsorted(key, want[low:high]), len(key) - 1)
+                        there = key[at] == want[low:high]
+                        logs[low:high][there] = piece["logp"].to_numpy()[at[there]]
+    return logs
+
+
+def _tail(gram: Column, n: int) -> Column:
+    """The last n code points."""
+    return F.substring(gram, -n, n) if n else F.lit("")
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """(lang, size, gram, logp, others) of each seen gram of 1 to POINTS code points, as counts (lang, gram, n, lo, hi) give it.
+
+    logp: log of the interpolated probability of the last code point after the others. Below the single ones stands
+    an even share of the code points that the language has. others: logp, but of a gram that one text alone has, as
+    if it were unseen. Grams that several texts have are counted with each text's own. Lower orders count the
+    distinct code points that stand before a gram. Discounts are those of modified Kneser-Ney; where its counts of
     counts are missing, 1/2.
     """
-    tail_of, head_of, order = cuts_of
-    counts = written(counts, "gram-counts")
-    marks = [("min", "lo"), ("max", "hi")] if cuts_of is POINT_CUTS else []
-    of_size = {order: counts}
-    for size in range(order - 1, 0, -1):
-        longer = of_size[size + 1]
-        of_size[size] = longer.groupBy("lang", tail_of(F.col("gram"), size).alias("gram")).agg(F.count("*").alias("n"), *(getattr(F, f)(c).alias(c) for f, c in marks))
+    of_size = {POINTS: written(counts, "gram-counts")}
+    for size in range(POINTS - 1, 0, -1):
+        of_size[size] = of_size[size + 1].groupBy("lang", _tail(F.col("gram"), size).alias("gram")).agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     lower: DataFrame | None = None
     made: list[DataFrame] = []
-    weights: list[DataFrame] = []
-    for size in range(1, order + 1):
-        grams_ = of_size[size]
+    for size in range(1, POINTS + 1):
+        grams = of_size[size]
         n = [F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in range(1, 5)]
-        sums = grams_.groupBy("lang").agg(*n, F.count("*").alias("kinds"))
+        sums = grams.groupBy("lang").agg(*n, F.count("*").alias("kinds"))
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
 
         def discount(k: int, y=y):
@@ -226,78 +174,21 @@ def kneser_ney(counts: DataFrame, cuts_of: tuple[Callable[[Column, int], Column]
 
         # A row for each language; broadcast once counted, so that no language's grams are dealt to one task.
         cuts = written(sums.select("lang", "kinds", *(discount(k) for k in (1, 2, 3))), f"discounts-{size}")
-        rows = grams_.join(small_side(cuts), "lang").withColumn("cut", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        rows = rows.withColumn("context", head_of(F.col("gram"), size))
-        contexts = rows.groupBy("lang", "context").agg(F.sum("n").alias("all"), F.sum("cut").alias("free"), *(getattr(F, f)(c).alias(f"context_{c}") for f, c in marks))
+        rows = grams.join(small_side(cuts), "lang").withColumn("cut", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+        rows = rows.withColumn("context", F.substring("gram", 1, size - 1))
+        contexts = rows.groupBy("lang", "context").agg(F.sum("n").alias("all"), F.sum("cut").alias("free"), F.min("lo").alias("context_lo"), F.max("hi").alias("context_hi"))
         rows = rows.join(contexts, ["lang", "context"])
         if lower is None:
-            shorter = F.lit(1.0 / (1 << BITS)) if cuts_of is SYMBOL_CUTS else 1 / F.col("kinds")
-            rows = rows.withColumn("others_tail", shorter)
+            rows = rows.withColumn("p_tail", 1 / F.col("kinds")).withColumn("others_tail", F.col("p_tail"))
         else:
-            rows = rows.withColumn("tail", tail_of(F.col("gram"), size - 1))
-            rows = rows.join(lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("p_tail"), *([F.col("others").alias("others_tail")] if marks else [])), ["lang", "tail"])
-            shorter = F.col("p_tail")
-        p = (F.col("n") - F.col("cut") + F.col("free") * shorter) / F.col("all")
-        weight = F.when(F.col("context_lo") != F.col("context_hi"), F.col("free") / F.col("all")).otherwise(1.0) if marks else None
-        others = [F.when(F.col("lo") != F.col("hi"), p).otherwise(weight * F.col("others_tail")).alias("others")] if marks else []
-        lower = written(rows.select("lang", "gram", p.alias("p"), *others), f"order-{size}")
-        made.append(lower.select("lang", F.lit(size).alias("size"), "gram", F.log("p").alias("logp"), *([F.log("others").alias("others")] if marks else [])))
-        weights.append(contexts.select("lang", F.lit(size - 1).alias("size"), F.col("context").alias("gram"), F.log(F.col("free") / F.col("all")).alias("backoff")))
-    if marks:
-        return reduce(DataFrame.unionByName, made)
-    model = reduce(DataFrame.unionByName, made).join(reduce(DataFrame.unionByName, weights), ["lang", "size", "gram"], "full")
-    return model.select("lang", "size", "gram", "logp", F.coalesce("backoff", F.lit(0.0)).alias("backoff"))
-
-
-def _hash(size: int, gram: np.ndarray) -> np.ndarray:
-    """A one-to-one mix of the gram and its size; sorting by it spreads the grams evenly."""
-    x = (gram.astype(np.uint64) << np.uint64(3)) | np.uint64(size)
-    with np.errstate(over="ignore"):
-        x = x * np.uint64(0x9E3779B97F4A7C15)
-        return x ^ (x >> np.uint64(32))
-
-
-class SortedModel:
-    """A language's arrays: hashes in ascending order, logp and backoff beside them."""
-
-    def __init__(self, rows: pa.Table):
-        size, gram = rows["size"].to_numpy(), rows["gram"].to_numpy()
-        key = np.concatenate([_hash(int(s), gram[size == s]) for s in range(ORDER + 1)] or [np.empty(0, np.uint64)])
-        at = np.concatenate([np.flatnonzero(size == s) for s in range(ORDER + 1)])
-        order = np.argsort(key)
-        self.key, at = key[order], at[order]
-        self.logp = rows["logp"].to_numpy(zero_copy_only=False)[at]
-        self.backoff = rows["backoff"].to_numpy(zero_copy_only=False)[at]
-
-    def find(self, size: int, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the grams, and whether each is there."""
-        if not len(self.key):
-            return np.zeros(len(gram), int), np.zeros(len(gram), bool)
-        want = _hash(size, gram)
-        at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
-        return at, self.key[at] == want
-
-    def logs(self, gram: np.ndarray) -> np.ndarray:
-        """Log-probability of the last symbol of each four-symbol gram, backing off where it was not seen."""
-        out, left, rest = np.zeros(len(gram)), np.arange(len(gram)), gram
-        for size in range(ORDER, 0, -1):
-            at, there = self.find(size, rest)
-            there &= ~np.isnan(self.logp[at]) if len(self.key) else there
-            out[left[there]] += self.logp[at[there]]
-            left, rest = left[~there], rest[~there]
-            at, there = self.find(size - 1, rest >> BITS)
-            out[left[there]] += self.backoff[at[there]]
-            rest = rest & ((1 << (size - 1) * BITS) - 1)
-        out[left] += -BITS * np.log(2)
-        return out
-
-
-@lru_cache(8)
-def _models(path: str) -> dict[str, SortedModel]:
-    store, root = pa.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    rows = pq.read_table(root, filesystem=store)
-    langs = rows["lang"].to_numpy(zero_copy_only=False)
-    return {lang: SortedModel(rows.filter(pa.array(langs == lang))) for lang in set(langs)}
+            rows = rows.withColumn("tail", _tail(F.col("gram"), size - 1))
+            rows = rows.join(lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("p_tail"), F.col("others").alias("others_tail")), ["lang", "tail"])
+        p = (F.col("n") - F.col("cut") + F.col("free") * F.col("p_tail")) / F.col("all")
+        weight = F.when(F.col("context_lo") != F.col("context_hi"), F.col("free") / F.col("all")).otherwise(1.0)
+        others = F.when(F.col("lo") != F.col("hi"), p).otherwise(weight * F.col("others_tail"))
+        lower = written(rows.select("lang", "gram", p.alias("p"), others.alias("others")), f"order-{size}")
+        made.append(lower.select("lang", F.lit(size).alias("size"), "gram", F.log("p").alias("logp"), F.log("others").alias("others")))
+    return reduce(DataFrame.unionByName, made)
 
 
 def basics(text: bytes) -> tuple[int, int, int, int, int]:
@@ -335,11 +226,7 @@ def _scores(path: str):
                     codes, unique = pd.factorize(points(texts, lang)[0])
                     held.append((at, mine, np.fromiter(map(len, texts), np.int64, len(texts)), codes.astype(np.int32), unique))
             want = np.unique(np.concatenate([x[4] for x in held] or [np.empty(0, np.int64)]))
-            logs = np.full(len(want), np.nan, np.float32)
-            for key, logp in _pieces(path) if len(want) else ():
-                place = np.minimum(np.searchsorted(want, key), len(want) - 1)
-                there = want[place] == key
-                logs[place[there]] = logp[there]
+            logs = looked_up(path, want)
             scores = [np.full(batch.num_rows, np.nan) for batch in unit]
             for at, mine, sizes, codes, unique in held:
                 each = logs[np.searchsorted(want, unique)][codes]
@@ -361,8 +248,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     path = scratch(docs.sparkSession, "kneser-ney")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
-    model = kneser_ney(count_points(rows), POINT_CUTS).where(F.col("size") == POINTS)  # every gram of the texts is in it
-    model.select("lang", "gram", F.col("others").alias("logp")).mapInArrow(_model_keys, "key long, logp float").write.parquet(path)
+    model = kneser_ney(count_points(rows)).where(F.col("size") == POINTS)  # every gram of the texts is in it
+    arrays = model.select("lang", "gram", F.col("others").alias("logp")).mapInArrow(_model_keys, "key long, logp float")
+    arrays.repartitionByRange("key").sortWithinPartitions("key").write.option("parquet.block.size", MODEL_BYTES).parquet(path)
     rows = written(rows.mapInArrow(_scores(path), f"doc_id {kind}, lang string, " + ", ".join(f"{f} long" for f in _FIELDS) + ", log_perplexity double"), "perplexity")
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
     middle = written(rows.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("middle")), "middles")
@@ -371,5 +259,3 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     bands = written(spread.select("lang", "middle", F.greatest(F.lit(LEAST_WIDTH), WIDTH * F.col("spread")).alias("half")), "bands")
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("middle") - F.col("half"), F.col("middle") + F.col("half")), F.lit(False))
     return rows.join(small_side(bands), "lang", "left").select("doc_id", *_FIELDS, "base_failed", kept.alias("kept"), "log_perplexity")
-
-

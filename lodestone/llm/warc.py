@@ -3,7 +3,9 @@
 Tasks write archives of gzip members, one for each record, into the shared folder; a payload that a later page holds
 too is written there only, as the response, and the others revisit it. Reading an archive back gives one run of
 captures, sorted by url key and timestamp. Runs are merged k at a time through a loser tree, straight from their
-files, and at last in disjoint key ranges at once, which gives the capture histories in global order.
+files. Each round cuts the keys into ranges, finer as the runs grow, and merges each range of a group of runs in a
+task of its own, so that no task has more of a run than of a round before; the last round gives the capture histories
+in global order.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,12 +25,14 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import scratch, slices, utf8, written
+from lodestone.llm.common import scratch, slices, small_side, utf8, written
 
 #: Payloads under this size are never revisits. Bytes of an archive, from which a new one begins.
 MIN_REVISIT, ARCHIVE_BYTES = 1000, 16 << 20
 #: Runs of one merge, rows that a run gives at once, one key of so many that is kept to cut ranges.
 FAN_IN, RUN_ROWS, SAMPLE = 64, 512, 256
+#: Captures that a range of a merge has in the mean, and ranges at most (a power of two); beyond, ranges grow.
+RANGE_ROWS, MAX_RANGES = 8192, 4096
 #: Captures have no time of their own; page n is taken n seconds after this.
 EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -112,7 +117,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     large = rows.where(F.octet_length("html") >= MIN_REVISIT)
     shared = large.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select(F.col("digest").alias("shared"), "last")
-    linked = rows.join(shared, rows["digest"] == shared["shared"], "left").select("page_id", "url", "html", F.when(F.col("last") != F.coalesce("page_id", F.col("last") - 1), F.col("last")).alias("refers_to"))
+    shared = written(shared, "shared-payloads")  # a table of its own, so that Spark can split a frequent digest where it can't be broadcast
+    linked = rows.join(small_side(shared), rows["digest"] == F.col("shared"), "left").select("page_id", "url", "html", F.when(F.col("last") != F.coalesce("page_id", F.col("last") - 1), F.col("last")).alias("refers_to"))
     return written(linked.mapInArrow(_write(folder), "archive string"), "archives")
 
 
@@ -153,20 +159,16 @@ def captures(data: bytes, archive: str) -> list[dict]:
 
 
 class Run:
-    """Writes rows in ascending order of key to a file of its own and keeps its ends and a key of every SAMPLE."""
+    """Writes rows in ascending order of key to a file of its own, with a name that no other task writes."""
 
     def __init__(self, folder: str):
         self.fs, root = store(folder)
         self.fs.create_dir(root, recursive=True)
-        self.name = f"{uuid.uuid4().hex}.parquet"
+        self.name, self.rows = f"{uuid.uuid4().hex}.parquet", []
         self.out = pq.ParquetWriter(f"{root}/{self.name}", _FIELDS, filesystem=self.fs, compression="zstd")
-        self.rows, self.keys, self.last, self.n = [], [], "", 0
 
     def add(self, row: dict) -> None:
-        if self.n % SAMPLE == 0:
-            self.keys.append(row["key"])
         self.rows.append(row)
-        self.last, self.n = row["key"], self.n + 1
         if len(self.rows) >= RUN_ROWS:
             self.flush()
 
@@ -174,14 +176,17 @@ class Run:
         self.out.write_table(pa.Table.from_pylist(self.rows, _FIELDS))
         self.rows = []
 
-    def close(self) -> dict:
+    def close(self) -> str:
         self.flush()
         self.out.close()
-        return {"run": self.name, "n": self.n, "keys": self.keys, "last": self.last}
+        return self.name
 
 
-_RUN = pa.schema([("run", pa.string()), ("n", pa.int64()), ("keys", pa.list_(pa.string())), ("last", pa.string())])
-_RUN_DDL = "run string, n long, keys array<string>, last string"
+#: A row for every SAMPLE captures of a run: its file, the place and key of the first of them, and how many they are.
+_SAMPLES = pa.schema([("file", pa.string()), ("at", pa.int64()), ("key", pa.string()), ("n", pa.int64())])
+_SAMPLES_DDL = "file string, at long, key string, n long"
+_PIECE = pa.schema([("run", pa.int64()), ("piece", pa.int64()), ("file", pa.string())])
+_PIECE_DDL = "run long, piece long, file string"
 
 
 def _index(archives: str, runs: str):
@@ -194,7 +199,8 @@ def _index(archives: str, runs: str):
                 out = Run(runs)
                 for row in rows:
                     out.add(row)
-                yield pa.RecordBatch.from_pylist([out.close()], _RUN)
+                file = out.close()
+                yield pa.RecordBatch.from_pylist([{"file": file, "at": i, "key": rows[i]["key"], "n": min(SAMPLE, len(rows) - i)} for i in range(0, len(rows), SAMPLE)], _SAMPLES)
 
     return run
 
@@ -242,68 +248,75 @@ def loser_tree(runs: list[Iterator[dict]]) -> Iterator[dict]:
             node //= 2
 
 
-def _merge_runs(folder: str):
+def _merged(folder: str, lows: list[str | None], last: bool):
+    """Merges the runs of each row (run, piece, files) within the piece's range: to a file, or in the last round to captures."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = store(folder)
         for batch in batches:
-            for names in batch.column("runs").to_pylist():
-                out = Run(folder)
-                for row in loser_tree([read_run(fs, f"{root}/{n}", None, None) for n in names]):
-                    out.add(row)
-                yield pa.RecordBatch.from_pylist([out.close()], _RUN)
+            for number, piece, files in zip(*(batch.column(c).to_pylist() for c in ("run", "piece", "files")), strict=True):
+                rows = loser_tree([read_run(fs, f"{root}/{f}", lows[piece], lows[piece + 1] if piece + 1 < len(lows) else None) for f in files])
+                if last:
+                    for first, held in enumerate(iter(lambda: list(islice(rows, RUN_ROWS)), [])):  # noqa: B023 - used up at once
+                        yield pa.RecordBatch.from_pylist([r | {"part": piece, "at": first * RUN_ROWS + i} for i, r in enumerate(held)], _HISTORY)
+                else:
+                    out = Run(folder)
+                    for row in rows:
+                        out.add(row)
+                    yield pa.RecordBatch.from_pylist([{"run": number, "piece": piece, "file": out.close()}], _PIECE)
 
     return run
 
 
-def _merge_range(folder: str, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = store(folder)
-        for batch in batches:
-            for number, low, high in zip(*(batch.column(c).to_pylist() for c in ("part", "low", "high")), strict=True):
-                rows = []
-                for at, row in enumerate(loser_tree([read_run(fs, f"{root}/{n}", low, high) for n in names])):
-                    rows.append(row | {"part": number, "at": at})
-                    if len(rows) >= RUN_ROWS:
-                        yield pa.RecordBatch.from_pylist(rows, _HISTORY)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, _HISTORY)
+_HISTORY = pa.schema([*_FIELDS, ("part", pa.int64()), ("at", pa.int64())])
+_HISTORY_DDL = "key string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, part long, at long"
 
-    return run
+
+def read_archives(spark: SparkSession, folder: str, archives: DataFrame) -> tuple[str, DataFrame]:
+    """Reads each archive to a sorted run; gives the runs' folder and the samples of their keys (file, at, key, n)."""
+    runs = scratch(spark, "capture-runs")
+    each = archives.repartition(max(1, min(archives.count(), 4 * spark.sparkContext.defaultParallelism)))
+    return runs, written(each.mapInArrow(_index(folder, runs), _SAMPLES_DDL), "run-samples")
 
 
-_HISTORY = pa.schema([*_FIELDS, ("part", pa.int32()), ("at", pa.int64())])
-_HISTORY_DDL = "key string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, part int, at long"
+def _bits(rows: int) -> int:
+    """Ranges, as a power of two, in which so many rows are merged."""
+    return (min(MAX_RANGES, max(1, -(-rows // RANGE_ROWS))) - 1).bit_length()
 
 
-def _spread(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """The rows, each in a task of its own."""
-    return spark.createDataFrame(spark.sparkContext.parallelize(rows, max(1, len(rows))), schema)
+def _lows(samples: DataFrame, bits: int) -> list[str | None]:
+    """Where each of 2^bits ranges begins; empty ranges begin where the last one does."""
+    parts = samples.select("key").repartitionByRange(1 << bits, "key").groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("low"))
+    cuts = sorted(r[0] for r in parts.select("low").collect())[1 : 1 << bits] if bits else []  # MAX_RANGES at most
+    return [None, *cuts, *[cuts[-1] if cuts else None] * ((1 << bits) - 1 - len(cuts))]
 
 
-def read_archives(spark: SparkSession, folder: str, archives: DataFrame) -> tuple[str, DataFrame]:
-    """Reads each archive to a sorted run; gives the runs' folder and what is known of each run."""
-    runs = scratch(spark, "capture-runs")
-    each = archives.repartition(max(1, min(archives.count(), 4 * spark.sparkContext.defaultParallelism)))
-    return runs, written(each.mapInArrow(_index(folder, runs), _RUN_DDL), "runs")
+def _dealt(pieces: DataFrame, finer: int) -> DataFrame:
+    """(run, piece, files): the files of FAN_IN runs in each range, the ranges of pieces (run, piece, file) cut into 2^finer."""
+    each = pieces.select(F.floor(F.col("run") / FAN_IN).alias("run"), F.explode(F.sequence(F.shiftleft("piece", finer), F.shiftleft(F.col("piece") + 1, finer) - 1)).alias("piece"), "file")
+    return each.groupBy("run", "piece").agg(F.sort_array(F.collect_list("file")).alias("files"))
 
 
-def capture_histories(spark: SparkSession, folder: str, runs: DataFrame) -> DataFrame:
-    """All captures in the order of part and at: by url key, then timestamp, then page.
+def capture_histories(spark: SparkSession, folder: str, samples: DataFrame) -> DataFrame:
+    """All captures in the order of part and at: by url key, then timestamp, then page, archive and place there.
 
-    The driver sees names and a few keys of the runs, never their rows. More than FAN_IN runs are merged in rounds.
+    samples: of the runs in the folder. The driver sees where ranges begin, never rows or names of runs. More than
+    FAN_IN runs are merged in rounds. Captures of equal keys can't be: keys end with archive and place. Without runs
+    there is no row.
     """
-    while runs.count() > FAN_IN:
-        names = [r[0] for r in runs.select("run").orderBy("run").collect()]
-        groups = [(names[i : i + FAN_IN],) for i in range(0, len(names), FAN_IN)]
-        runs = written(_spread(spark, groups, "runs array<string>").mapInArrow(_merge_runs(folder), _RUN_DDL), "runs")
-    names = [r[0] for r in runs.select("run").orderBy("run").collect()]
-    keys = runs.select(F.explode("keys").alias("key"))
-    parts = max(1, min(keys.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    firsts = keys.repartitionByRange(parts, "key").groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("low"))
-    cuts = sorted(r[0] for r in firsts.select("low").collect())[1:]  # at most one for each part
-    ranges = [(i, low, high) for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True))]
-    return _spread(spark, ranges, "part int, low string, high string").mapInArrow(_merge_range(folder, names), _HISTORY_DDL)
+    firsts = samples.where("at = 0").select("file").rdd.map(lambda r: r[0]).zipWithIndex()
+    pieces = written(spark.createDataFrame(firsts, "file string, run long").select("run", F.lit(0).cast("long").alias("piece"), "file"), "runs")
+    n, total = pieces.count(), samples.agg(F.sum("n")).first()[0] or 0
+    bits, now = _bits(total), 0
+    lows = _lows(samples, bits)
+    tasks = lambda df: max(1, min(df.count(), 4 * spark.sparkContext.defaultParallelism))
+    while n > FAN_IN:
+        n = -(-n // FAN_IN)
+        to = min(bits, max(now, _bits(total // n)))
+        dealt = written(_dealt(pieces, to - now), "merge-groups")
+        pieces = written(dealt.repartition(tasks(dealt)).mapInArrow(_merged(folder, lows[:: 1 << bits - to], False), _PIECE_DDL), "runs")
+        now = to
+    dealt = written(_dealt(pieces, bits - now), "merge-groups")
+    return dealt.repartitionByRange(tasks(dealt), "piece").sortWithinPartitions("piece").mapInArrow(_merged(folder, lows, True), _HISTORY_DDL)
 
 
 def archived(pages: DataFrame) -> DataFrame:
@@ -314,8 +327,8 @@ def archived(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     folder = scratch(spark, "archives")
-    runs_folder, runs = read_archives(spark, folder, write_archives(pages, folder))
-    return capture_histories(spark, runs_folder, runs)
+    runs_folder, samples = read_archives(spark, folder, write_archives(pages, folder))
+    return capture_histories(spark, runs_folder, samples)
 
 
 def archive_report(pages: DataFrame) -> DataFrame:

@@ -2,17 +2,17 @@
 
 A window of a benchmark item is a set of shingles that all must stand in a document, so one shingle is prefix enough:
 the rarest over all documents. Documents' shingles are joined with those prefixes only, the place of the shingle
-in the window and the lengths of both bound where the window can lie, and the words there are compared.
+in the window and the lengths of both bound where the window can lie, and the words there are compared. Places and
+hashes alone are joined and, where a side is too large to be broadcast, shuffled; words are read again for documents
+with a candidate only.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ascii_lower, small_side, written
+from lodestone.llm.common import BROADCAST_ROWS, ascii_lower, small_side, written
 
 WINDOW, SHINGLE = 10, 5
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,30 +37,53 @@ def windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     return of.select("win", "words", F.size("words").alias("size")).distinct(), of.select("item_id", "win")
 
 
+def _shingles(at: Column, sizes: list[int]) -> Column:
+    """Hash of the shingle of `size` words that begins at a place; size is one of the column's values in sizes."""
+    out = F.lit(None).cast("long")
+    for size in sizes:
+        out = F.when(F.col("size") == size, _shingle(at, size)).otherwise(out) if len(sizes) > 1 else _shingle(at, size)
+    return out
+
+
+def places(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """doc_id, tag, n (words of the text), pos and h of each shingle of each size, from one pass over the texts.
+
+    Rows hold no words, so that they stay small where they have to be shuffled.
+    """
+    least = min(sizes)
+    each = texts.where(F.size("words") >= least).select("doc_id", "tag", "words", F.explode(F.sequence(F.lit(0), F.size("words") - least)).alias("pos"))
+    each = each.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).where(F.col("pos") + F.col("size") <= F.size("words")) if len(sizes) > 1 else each.withColumn("size", F.lit(least))
+    return each.select("doc_id", "tag", F.size("words").alias("n"), "pos", _shingles(F.col("pos"), sizes).alias("h"))
+
+
 def occurrences(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """doc_id, tag (hash of the text), start, size and win of each place where a window stands in a document."""
+    """doc_id, tag (hash of the text), start, size and win of each place where a window stands in a document.
+
+    The texts are split into words twice: once all of them, for the places of shingles that windows have, and once
+    those in which a window may stand, a row for each text, to compare the words there.
+    """
     texts = docs.select("doc_id", F.xxhash64("text").alias("tag"), words(F.col("text")).alias("words"))
-    found = []
-    sizes = [r[0] for r in distinct.select(F.least("size", F.lit(SHINGLE)).alias("s")).distinct().collect()]  # 1 to SHINGLE
-    for size in sorted(sizes):
-        some = distinct.where(F.least("size", F.lit(SHINGLE)) == size)
-        parts = some.select("win", F.col("size"), "words", F.explode(F.sequence(F.lit(0), F.col("size") - size)).alias("offset"))
-        parts = written(parts.select("win", "size", "offset", _shingle(F.col("offset"), size).alias("h")), "window-shingles")
-        every = texts.where(F.size("words") >= size).select("doc_id", "tag", "words", F.explode(F.sequence(F.lit(0), F.size("words") - size)).alias("pos"))
-        every = every.select("doc_id", "tag", "words", "pos", _shingle(F.col("pos"), size).alias("h"))
-        shingles = parts.select("h").distinct()
-        common = every.select("h").join(small_side(shingles), "h").groupBy("h").agg(F.count("*").alias("df"))
-        ranked = parts.join(common, "h", "left").fillna(0, "df")
-        first = Window.partitionBy("win").orderBy("df", "h", "offset")
-        # A window with a shingle that no document has stands nowhere.
-        prefix = written(ranked.withColumn("nth", F.row_number().over(first)).where("nth = 1 and df > 0").drop("nth", "df"), "prefixes")
-        start = F.col("pos") - F.col("offset")
-        near = every.join(small_side(prefix), "h").where((start >= 0) & (start + F.col("size") <= F.size("words")))
-        same = F.array_join(F.slice("words", start + 1, F.col("size")), " ") == F.col("win")
-        found.append(near.where(same).select("doc_id", "tag", start.alias("start"), "size", "win"))
-    if not found:
+    sizes = sorted(r[0] for r in distinct.select(F.least("size", F.lit(SHINGLE)).alias("s")).distinct().collect())  # 1 to SHINGLE
+    if not sizes:
         return texts.where("false").select("doc_id", "tag", F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit("").alias("win"))
-    return reduce(DataFrame.unionByName, found).distinct()
+    part = F.least("size", F.lit(SHINGLE))
+    parts = distinct.select("win", F.col("size").alias("window"), "words", part.alias("size"), F.explode(F.sequence(F.lit(0), F.col("size") - part)).alias("offset"))
+    parts = written(parts.select("win", "window", "offset", _shingles(F.col("offset"), sizes).alias("h")), "window-shingles")
+    found = written(places(texts, sizes).join(small_side(parts.select("h").distinct()), "h"), "shingle-places")
+    ranked = parts.join(found.groupBy("h").agg(F.count("*").alias("df")), "h", "left").fillna(0, "df")
+    first = Window.partitionBy("win").orderBy("df", "h", "offset")
+    # A window with a shingle that no document has stands nowhere.
+    prefix = written(ranked.withColumn("nth", F.row_number().over(first)).where("nth = 1 and df > 0").drop("nth", "df"), "prefixes")
+    start = F.col("pos") - F.col("offset")
+    near = found.join(small_side(prefix), "h").where((start >= 0) & (start + F.col("window") <= F.col("n")))
+    near = near.groupBy("doc_id", "tag").agg(F.collect_set(F.struct(start.alias("start"), F.col("window").alias("size"), "win")).alias("near"))
+    near = written(near.withColumnsRenamed({"doc_id": "near id", "tag": "near tag"}), "candidates")
+    few = (near.agg(F.sum(F.size("near"))).first()[0] or 0) <= BROADCAST_ROWS  # windows, not rows, bound the size
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
+    both = rows.join(F.broadcast(near) if few else near, F.col("doc_id").eqNullSafe(F.col("near id")) & (F.col("tag") == F.col("near tag")))
+    same = lambda c: F.array_join(F.slice("words", c["start"] + 1, c["size"]), " ") == c["win"]
+    stand = both.withColumn("words", words(F.col("text"))).select("doc_id", "tag", F.explode(F.filter("near", same)).alias("hit"))
+    return stand.select("doc_id", "tag", "hit.*").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -88,7 +111,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no window of the benchmark stands."""
+    """The rows of docs in which no window of the benchmark stands, with the columns of docs.
+
+    Null and empty texts have no words and stay; so do all rows where the benchmark is empty. Rows without doc_id and
+    rows of one doc_id with different texts are judged each by its own text; repeated rows stay or go together. An
+    empty table gives none. Columns of docs named like those of the benchmark stay as they are.
+    """
     distinct, _ = windows(benchmark)
     hit = written(occurrences(docs, distinct).select(F.col("doc_id").alias("hit_id"), F.col("tag").alias("hit_tag")).distinct(), "contaminated")
     hit = hit.select(F.col("hit_id").alias("hit id"), F.col("hit_tag").alias("hit tag"))

@@ -7,7 +7,15 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-READ_ROOTS = ("Project", "Filter", "Sort", "GlobalLimit", "LocalLimit", "Limit", "Offset", "Aggregate", "Distinct", "Union", "Intersect", "Except", "UnresolvedWith", "With", "SubqueryAlias", "Join", "UnresolvedHaving", "WithWindowDefinition", "UnresolvedSubqueryColumnAliases", "UnresolvedRelation", "UnresolvedInlineTable", "OneRowRelation", "WithCTE")
+from lodestone.functions import sql_functions
+
+#: Nodes of a parsed plan that only read; a plan with any other is refused.
+READING = frozenset({
+    "Aggregate", "Distinct", "Except", "Filter", "Generate", "GlobalLimit", "Intersect", "Join", "LateralJoin", "LocalLimit", "LocalRelation", "Offset", "OneRowRelation", "PipeOperator", "Pivot", "Project", "Sort",
+    "SubqueryAlias", "UnresolvedHaving", "UnresolvedHint", "UnresolvedInlineTable", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedWith", "Union", "Unpivot", "WithWindowDefinition",
+})
+#: Functions that reach outside of the query.
+REFUSED_FUNCTIONS = frozenset({"reflect", "java_method", "try_reflect"})
 
 
 def sanitized(names: list[str]) -> list[str]:
@@ -33,6 +41,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.layers = spark, {}
+        sql_functions.register(spark)
 
     def register(self, name: str, df: DataFrame, geometry: str = "GEOMETRY", descriptions: dict[str, str] | None = None) -> DataFrame:
         df = df.toDF(*sanitized(df.columns))
@@ -59,6 +68,27 @@ class Catalog:
         return self.spark.sql(text, args=args or None)
 
 
+# Names of columns that name a feature, and of those that tell its kind.
+NAMES, KINDS = ("name_en", "name_ar", "title", "label", "display_name"), ("tags", "type", "category", "amenity", "classification", "description")
+
+
+def suggested(columns: list[str]) -> list[str]:
+    """The columns to show of a layer: its names, else those with `name` in theirs, then those that tell its kind."""
+    names = [c for c in columns if c == "name"] + [c for c in columns if c != "name" and ("name:" in c or c in NAMES)]
+    names = names or [c for c in columns if "name" in c.lower()]
+    return list(dict.fromkeys([*names, *(c for c in columns if c in KINDS)]))
+
+
+def schema_text(catalog: Catalog) -> str:
+    """The layers and their columns as a text for a model that writes SQL."""
+    quoted = lambda c: c if re.fullmatch(r"\w+", c) else f'"{c}"'
+    out = ["Layers, each with its columns:"]
+    for name, layer in catalog.layers.items():
+        told = ", ".join(f"{c} — {d}" for c, d in layer["descriptions"].items()) or "(no columns)"
+        out += [f'- "{name}", geometry {layer["geometry_type"]}: {told}', f"  shown best: {', '.join(map(quoted, suggested(list(layer['descriptions'])))) or 'none'}"]
+    return "\n".join(out)
+
+
 def describe(column: str, dtype: str) -> str:
     """A plain description for a column that has none."""
     words = column.replace("_", " ").strip()
@@ -76,29 +106,48 @@ def portable(sql: str) -> str:
     return "".join(parts)
 
 
-def _tables(spark: SparkSession, plan) -> tuple[set[str], set[str]]:
-    """Names of relations, and of common table expressions, in a parsed plan, its subqueries included."""
-    text = plan.toString()
-    return set(re.findall(r"UnresolvedRelation \[([^\]]+)\]", text)), set(re.findall(r"CTE \[([^\]]*)\]", text))
+def _each(seq) -> list:
+    """The elements of a Scala sequence."""
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _refused(plan, seen: frozenset[str], subquery) -> str | None:
+    """What in a parsed plan keeps it from being run, or None; seen: names that may be read at this place.
+
+    A common table expression is seen by those after it and by the query itself, not by those before, nor outside of
+    its WITH; by itself only where it is recursive.
+    """
+    kind = plan.getClass().getSimpleName()
+    if kind not in READING:
+        return f"{kind} is not allowed"
+    if kind == "UnresolvedRelation":
+        name = [str(x) for x in _each(plan.multipartIdentifier())]
+        return None if len(name) == 1 and name[0].lower() in seen else f"not allowed: {'.'.join(name)}"
+    if kind == "UnresolvedWith":
+        for relation in _each(plan.cteRelations()):
+            name = relation._1().lower()
+            if bad := _refused(relation._2(), seen | {name} if plan.allowRecursion() else seen, subquery):
+                return bad
+            seen = seen | {name}
+    stack = _each(plan.expressions())
+    while stack:
+        e = stack.pop()
+        if e.getClass().getSimpleName() == "UnresolvedFunction" and _each(e.nameParts())[-1].lower() in REFUSED_FUNCTIONS:
+            return f"not allowed: {_each(e.nameParts())[-1]}"
+        if subquery.isInstance(e) and (bad := _refused(e.plan(), seen, subquery)):
+            return bad
+        stack += _each(e.children())
+    return next((bad for child in _each(plan.children()) if (bad := _refused(child, seen, subquery))), None)
 
 
 def check(spark: SparkSession, sql: str, allowed: set[str]) -> None:
-    """Raises unless sql is one reading statement whose tables are all allowed; what can't be judged is refused."""
+    """Raises unless sql is one reading statement whose tables are all allowed; what isn't known to read is refused."""
     if not sql.strip():
         raise ValueError("an empty query")
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql.strip().rstrip(";"))
     except Exception as e:
         raise ValueError(f"not one SQL statement: {str(e).splitlines()[0]}") from e
-    root = plan.getClass().getSimpleName()
-    if root not in READ_ROOTS:
-        raise ValueError(f"{root} does not read")
-    tables, ctes = _tables(spark, plan)
-    names = {c.strip() for group in ctes for c in group.split(",")}
-    # A table within a subquery expression may not print; every word after FROM or JOIN is looked at as well.
-    bare = re.sub(r"'(?:[^']|'')*'", "''", re.sub(r"(?s)/\*.*?\*/|--[^\n]*", " ", sql))
-    named = {x.strip('`"').replace("`", "").replace('"', "") for x in re.findall(r"(?i)\b(?:from|join)\s+([`\"\w.]+)", bare)}
-    listed = {x.strip().strip('`"') for group in re.findall(r"(?i)\bfrom\s+((?:[`\"\w.]+(?:\s+(?:as\s+)?\w+)?\s*,\s*)+[`\"\w.]+)", bare) for x in (y.split()[0] for y in group.split(","))}
-    seen = {t.replace(", ", ".") for t in tables} | named | listed
-    if bad := {t for t in seen if t.lower() not in {a.lower() for a in allowed | names}} - {"select", "values", "lateral", "unnest"}:
-        raise ValueError(f"not allowed: {', '.join(sorted(bad))}")
+    subquery = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.expressions.PlanExpression", True, spark._jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    if bad := _refused(plan, frozenset(a.lower() for a in allowed), subquery):
+        raise ValueError(bad)

@@ -78,10 +78,23 @@ def cell(lon: Column, lat: Column, size: float) -> Column:
     return (F.floor(lon / size) * 1_000_003 + F.floor(lat / size)).cast("long")
 
 
-def near_cells(lon: Column, lat: Column, size: float, reach: int = 1) -> Column:
-    """The cells of a point and its neighbours."""
-    steps = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
-    return F.array(*(((F.floor(lon / size) + i) * 1_000_003 + F.floor(lat / size) + j).cast("long") for i, j in steps))
+def _cube(lon: Column, lat: Column, metres: float) -> list[Column]:
+    """The cube of space, `metres` wide as the crow flies through the earth, in which a point of the sphere lies."""
+    width = 2 * EARTH * math.sin(min(metres / (2 * EARTH), math.pi / 2)) * 1.0000001
+    around = F.cos(F.radians(lat)) * EARTH
+    return [F.floor(x / width) for x in (around * F.cos(F.radians(lon)), around * F.sin(F.radians(lon)), F.sin(F.radians(lat)) * EARTH)]
+
+
+def space_cell(lon: Column, lat: Column, metres: float) -> Column:
+    """The cube of a point as a long. Cubes know no date line and no poles."""
+    return F.xxhash64(*_cube(lon, lat, metres))
+
+
+def near_space_cells(lon: Column, lat: Column, metres: float) -> Column:
+    """The cube of a point and its neighbours; every point at most `metres` away along the sphere lies in one of them."""
+    steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    cube = _cube(lon, lat, metres)
+    return F.array_distinct(F.array(*(F.xxhash64(*(c + d for c, d in zip(cube, step, strict=True))) for step in steps)))
 
 
 def vertex_mean(points: Column) -> Column:
@@ -130,3 +143,90 @@ def decode_polyline(text: Column, precision: int = 6) -> Column:
 
     n = F.floor(F.size(deltas) / 2).cast("int")
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), at, point, lambda s: s.out)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+
+
+def edges(ring: Column) -> Column:
+    """struct(a, b) of the edges of a ring (array of struct<x,y>), closed or not."""
+    return _pairs(ring)
+
+
+def _crosses(lon: Column, lat: Column, ring: Column) -> Column:
+    over = lambda e: ((lat < e.a.y) != (lat < e.b.y)) & (lon < (lat - e.a.y) * ((e.b.x - e.a.x) / F.nullif(e.b.y - e.a.y, F.lit(0.0))) + e.a.x)
+    return F.size(F.filter(edges(ring), over)) % 2 == 1
+
+
+def on_edge(lon: Column, lat: Column, ring: Column) -> Column:
+    """Whether the point lies on an edge of the ring."""
+    return F.exists(edges(ring), lambda e: (F.abs((lon - e.a.x) * (e.b.y - e.a.y) - (lat - e.a.y) * (e.b.x - e.a.x)) < 1e-12)
+        & lon.between(F.least(e.a.x, e.b.x), F.greatest(e.a.x, e.b.x)) & lat.between(F.least(e.a.y, e.b.y), F.greatest(e.a.y, e.b.y)))
+
+
+def within_rings(lon: Column, lat: Column, rings: Column) -> Column:
+    """Strictly inside the first ring and outside of the others, for rings that are a column; edges are outside."""
+    hole = lambda r: _crosses(lon, lat, r) | on_edge(lon, lat, r)
+    shell = F.get(rings, 0)
+    return F.coalesce(_crosses(lon, lat, shell) & ~on_edge(lon, lat, shell) & ~F.exists(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(1))), hole), F.lit(False))
+
+
+def meets_rings(lon: Column, lat: Column, rings: Column) -> Column:
+    """Inside, or on an edge of any ring."""
+    return within_rings(lon, lat, rings) | F.coalesce(F.exists(rings, lambda r: on_edge(lon, lat, r)), F.lit(False))
+
+
+def _side(a: Column, b: Column, p: Column) -> Column:
+    return F.signum((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x))
+
+
+def segments_meet(e: Column, f: Column) -> Column:
+    """Whether two edges have a point in common."""
+    within = lambda a, b, p: p.x.between(F.least(a.x, b.x), F.greatest(a.x, b.x)) & p.y.between(F.least(a.y, b.y), F.greatest(a.y, b.y))
+    s1, s2, s3, s4 = _side(e.a, e.b, f.a), _side(e.a, e.b, f.b), _side(f.a, f.b, e.a), _side(f.a, f.b, e.b)
+    touch = ((s1 == 0) & within(e.a, e.b, f.a)) | ((s2 == 0) & within(e.a, e.b, f.b)) | ((s3 == 0) & within(f.a, f.b, e.a)) | ((s4 == 0) & within(f.a, f.b, e.b))
+    return ((s1 * s2 < 0) & (s3 * s4 < 0)) | touch
+
+
+def rings_meet(a: Column, b: Column) -> Column:
+    """Whether two polygons have a point in common: edges meet, or one lies in the other."""
+    edges_of = lambda rings: F.flatten(F.transform(rings, edges))
+    cross = F.exists(edges_of(a), lambda e: F.exists(edges_of(b), lambda f: segments_meet(e, f)))
+    first = lambda rings: F.get(F.get(rings, 0), 0)
+    return cross | within_rings(first(a).x, first(a).y, b) | within_rings(first(b).x, first(b).y, a)
+
+
+def self_crossing(ring: Column) -> Column:
+    """Whether two edges of a closed ring that are no neighbours have a point in common."""
+    n = F.size(ring) - 1
+    numbered = F.transform(F.slice(edges(ring), 1, F.greatest(n, F.lit(1))), lambda e, i: F.struct(e.a.alias("a"), e.b.alias("b"), i.alias("i")))
+    apart = lambda e, f: (f.i > e.i + 1) & ~((e.i == 0) & (f.i == n - 1))
+    return (n > 3) & F.exists(numbered, lambda e: F.exists(numbered, lambda f: apart(e, f) & segments_meet(e, f)))
+
+
+def from_utm(east: Column, north: Column, zone: Column, south: Column) -> tuple[Column, Column]:
+    """Lon and lat of UTM metres on WGS84, by Krueger's series to the third order, good to millimetres within a zone."""
+    a, f = 6378137.0, 1 / 298.257223563
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * 0.9996
+    beta = (n / 2 - 2 / 3 * n**2 + 37 / 96 * n**3, n**2 / 48 + n**3 / 15, 17 / 480 * n**3)
+    delta = (2 * n - 2 / 3 * n**2 - 2 * n**3, 7 / 3 * n**2 - 8 / 5 * n**3, 56 / 15 * n**3)
+    xi, eta = (north - F.when(south, 10_000_000.0).otherwise(0.0)) / radius, (east - 500_000.0) / radius
+    x = xi - sum(b * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j, b in enumerate(beta))
+    e = eta - sum(b * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j, b in enumerate(beta))
+    chi = F.asin(F.sin(x) / F.cosh(e))
+    lat = chi + sum(d * F.sin(2 * (j + 1) * chi) for j, d in enumerate(delta))
+    return zone * 6.0 - 183.0 + F.degrees(F.atan2(F.sinh(e), F.cos(x))), F.degrees(lat)
+
+
+def to_utm(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
+    """East and north in metres of UTM on WGS84, for the northern half, by the same series."""
+    a, f = 6378137.0, 1 / 298.257223563
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * 0.9996
+    alpha = (n / 2 - 2 / 3 * n**2 + 5 / 16 * n**3, 13 / 48 * n**2 - 3 / 5 * n**3, 61 / 240 * n**3)
+    e = 2 * math.sqrt(n) / (1 + n)
+    s = F.sin(F.radians(lat))
+    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
+    d = F.radians(lon - (zone * 6.0 - 183.0))
+    xi, eta = F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t))
+    x = xi + sum(c * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j, c in enumerate(alpha))
+    y = eta + sum(c * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j, c in enumerate(alpha))
+    return 500_000.0 + radius * y, radius * x

@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import geo
 from lodestone.functions.text import blank, number
 
 TYPES = ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon")
-_DEPTH = dict(zip(TYPES, (0, 1, 1, 2, 2, 3), strict=True))
+DEPTH = dict(zip(TYPES, (0, 1, 1, 2, 2, 3), strict=True))
 MAX_FEATURES, MAX_VERTICES, MAX_EXTENT, DUPLICATE_SHARE = 100_000, 10_000, 60.0, 0.05
 # Parts of the names of fields that can't be negative.
 COUNT_HINTS = ("capacity", "count", "population", "students", "beds", "size", "area", "number", "num_", "qty", "quantity", "rooms")
@@ -28,7 +29,7 @@ def rings(geometry: str = "geometry") -> Column:
     read = lambda depth: F.from_json(text, "array<" * depth + "array<double>" + ">" * depth)
     out = F.when(F.col(f"{geometry}.type") == "Point", F.array(F.array(point(read(0)))))
     for kind in TYPES[1:]:
-        d = _DEPTH[kind]
+        d = DEPTH[kind]
         parts = F.array(read(1)) if d == 1 else read(2) if d == 2 else F.flatten(read(3))
         out = out.when(F.col(f"{geometry}.type") == kind, F.transform(parts, part))
     return out
@@ -49,7 +50,11 @@ def swapped(parts: Column) -> Column:
 
 
 def checked(features: DataFrame) -> DataFrame:
-    """features with parts (cleaned), issue (the first failing check or null), fixes and pending."""
+    """features with parts (cleaned), issue (the first failing check or null), options, fixes, complex and pending.
+
+    options: what may be decided about the issue. A feature without area or with crossing edges can be kept as it is,
+    a broken one can't. Crossing edges are found among the edges of each ring, and nothing is repaired.
+    """
     rows = features.withColumn("parts", rings())
     area = F.col("geometry.type").isin("Polygon", "MultiPolygon")
     line = F.col("geometry.type").isin("LineString", "MultiLineString")
@@ -64,13 +69,63 @@ def checked(features: DataFrame) -> DataFrame:
         F.when(F.col("geometry").isNull() | F.col("geometry.type").isNull(), "missing_geometry").when(~F.col("geometry.type").isin(*TYPES), "unsupported_type")
         .when(F.col("parts").isNull() | (F.size(flat) == 0), "empty_coordinates").when(swap, "swapped_coordinates").when(off, "out_of_range")
         .when(short, "too_few_vertices").when(area & F.exists("tidy", lambda r: F.abs(shoelace(r)) == 0), "zero_area")
+        .when(area & F.exists("tidy", geo.self_crossing), "self_crossing")
     )
     rows = rows.withColumn("issue", issue)
     fixes = F.filter(F.array(
         F.when(area & F.exists("parts", lambda r: (F.size(r) > 0) & (F.get(r, 0) != F.element_at(r, -1))), F.lit("ring_closed")),
         F.when((area | line) & F.exists("parts", lambda r: F.size(without_repeats(r)) < F.size(r)), F.lit("repeated_vertices")),
     ), lambda x: x.isNotNull())
-    return rows.withColumn("fixes", fixes).withColumn("complex", F.size(flat) > MAX_VERTICES).withColumn("pending", F.col("issue").isNotNull()).withColumn("parts", F.col("tidy")).drop("tidy")
+    return rows.withColumn("fixes", fixes).withColumn("complex", F.size(flat) > MAX_VERTICES).withColumn("pending", F.col("issue").isNotNull()).withColumn("options", options_of(F.col("issue"))).withColumn("parts", F.col("tidy")).drop("tidy")
+
+
+#: What may be decided about each issue of a feature.
+OPTIONS = {
+    "missing_geometry": ("drop", "fix"), "unsupported_type": ("drop",), "empty_coordinates": ("drop",), "swapped_coordinates": ("fix", "keep", "skip"), "out_of_range": ("drop",),
+    "too_few_vertices": ("drop",), "zero_area": ("keep", "drop"), "self_crossing": ("keep", "drop"),
+}
+#: How grave issues and fixes are.
+SEVERITY = dict.fromkeys(OPTIONS, "important") | {"ring_closed": "warning", "repeated_vertices": "warning", "complex": "warning"}
+
+
+def options_of(issue: Column) -> Column:
+    known = F.create_map(*(x for k, v in OPTIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    return known[issue]
+
+
+def issues(checked_rows: DataFrame) -> DataFrame:
+    """_src_index, kind, severity and fixed of each issue and fix of checked features."""
+    found = F.concat(F.array("issue"), F.col("fixes"), F.array(F.when(F.col("complex"), F.lit("complex"))))
+    each = checked_rows.select("_src_index", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("kind"))
+    grave = F.create_map(*(F.lit(x) for pair in SEVERITY.items() for x in pair))
+    return each.withColumn("severity", grave[F.col("kind")]).withColumn("fixed", F.col("kind").isin("ring_closed", "repeated_vertices"))
+
+
+def summary(checked_rows: DataFrame) -> DataFrame:
+    """One row: total, accepted, pending, auto_fixed and the numbers of important and of warning issues."""
+    count = lambda xs, kind: F.sum(F.size(F.filter(xs, lambda x: F.create_map(*(F.lit(v) for pair in SEVERITY.items() for v in pair))[x] == kind)))
+    found = F.filter(F.concat(F.array("issue"), F.col("fixes"), F.array(F.when(F.col("complex"), F.lit("complex")))), lambda x: x.isNotNull())
+    sums = checked_rows.agg(
+        F.count("*").alias("total"), F.count_if(~F.col("pending")).alias("accepted"), F.count_if("pending").alias("pending"), F.sum(F.size("fixes")).alias("auto_fixed"),
+        count(found, "important").alias("important"), count(found, "warning").alias("warning"),
+    )
+    return sums.select(*(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in sums.columns))
+
+
+def feature_cap(features: DataFrame, most: int = MAX_FEATURES) -> DataFrame:
+    """One row: n, and whether it has to be decided if so many go on."""
+    return features.agg(F.count("*").alias("n")).withColumn("decide", F.col("n") > most)
+
+
+def coordinate_columns(features: DataFrame, declared: list[str]) -> DataFrame:
+    """name, dtype and null_count of the declared columns that hold a point's lon or lat, which lie in its geometry."""
+    axes = {n: i for i, names in enumerate((("longitude", "lon", "lng", "long", "x"), ("latitude", "lat", "y"))) for n in names}  # fixed values
+    wanted = [(n, axes[n]) for n in dict.fromkeys(c.strip().lower() for c in declared) if n in axes]
+    if not wanted:
+        return features.sparkSession.createDataFrame([], "name string, dtype string, null_count long")
+    at = F.when(F.col("geometry.type") == "Point", F.from_json("geometry.coordinates", "array<double>"))
+    one = features.select(at.alias("at")).agg(*(F.count_if(F.get("at", i).isNull()).alias(n) for n, i in wanted))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit("float").alias("dtype"), F.col(f"`{n}`").alias("null_count")) for n, _ in wanted))).alias("r")).select("r.*")
 
 
 def duplicate_geometries(rows: DataFrame, key: Column, order: str) -> DataFrame:
@@ -157,13 +212,55 @@ def resolve(pending: DataFrame, decisions: DataFrame) -> DataFrame:
     return pending.join(d, same, "left").drop("_kind", "_index", "_field")
 
 
+def resolve_all(pending: DataFrame, kind: str, action: str) -> DataFrame:
+    """Pending items with one action for all of a kind; a question of the whole file's crs is never decided so."""
+    return pending.withColumn("action", F.when((F.col("kind") == kind) & (F.col("kind") != "crs"), F.lit(action)))
+
+
+def _keys(rows: DataFrame, decisions: DataFrame) -> list[str]:
+    """The columns that name a feature: its place, and its file where both sides have it."""
+    return ["_src_index", *(["_source"] if "_source" in rows.columns and "_source" in decisions.columns else [])]
+
+
 def committed(rows: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The features after decisions (_src_index, action: fix, keep or drop) are carried out; an error while any is pending."""
-    acted = rows.join(decisions, "_src_index", "left")
+    """The features after decisions (_src_index, perhaps _source, action: fix, keep or drop) are carried out; an error while any is pending."""
+    acted = rows.join(decisions, _keys(rows, decisions), "left")
     open_ = F.col("pending") & F.col("action").isNull()
     fixed = F.when(F.col("action") == "fix", swapped(F.col("parts"))).otherwise(F.col("parts"))
     checked_ = acted.withColumn("action", F.when(open_, F.raise_error(F.lit("features are pending"))).otherwise(F.coalesce("action", F.lit("keep"))))
-    return checked_.where("action != 'drop' and geometry is not null").withColumn("parts", fixed).drop("action")
+    return checked_.where("action != 'drop' and geometry is not null").withColumn("parts", fixed).drop("action").select(*rows.columns)
+
+
+def finalized(rows: DataFrame, decisions: DataFrame, drop_duplicates: bool = False) -> DataFrame:
+    """The features (_src_index, geometry, parts, properties) as the decisions on them leave them.
+
+    decisions: _src_index, perhaps _source, kind, field, action and value. By kind, these actions do something:
+    missing_geometry drop, or fix and autofill with value as the geometry's GeoJSON; missing_attribute drop, or fix
+    and autofill with value; swapped_coordinates skip (the feature goes) and fix; outlier null, or fix with value;
+    invalid_geometry drop. Others keep what is there. Features without geometry go in the end; with drop_duplicates
+    only the first of equal geometries stays. The last decision on a field in the order of its kind counts.
+    """
+    keys = _keys(rows, decisions)
+    kind, action, filled = F.col("kind"), F.col("action"), F.col("action").isin("fix", "autofill")
+    drop = (kind.isin("missing_geometry", "missing_attribute", "invalid_geometry") & (action == "drop")) | ((kind == "swapped_coordinates") & (action == "skip"))
+    sets = ((kind == "missing_attribute") & filled) | ((kind == "outlier") & action.isin("null", "fix"))
+    value = F.when(~((kind == "outlier") & (action == "null")), F.col("value"))
+    per = decisions.groupBy(*keys).agg(
+        F.bool_or(drop).alias("_drop"), F.bool_or((kind == "swapped_coordinates") & (action == "fix")).alias("_swap"), F.max(F.when((kind == "missing_geometry") & filled, F.col("value"))).alias("_geometry"),
+        F.array_sort(F.collect_list(F.when(sets, F.struct("field", "kind", value.alias("value"))))).alias("_set"),
+    )
+    given = F.from_json("_geometry", "type string, coordinates string")
+    last = F.map_from_entries(F.transform(F.filter("_set", lambda x, i: (i + 1 == F.size("_set")) | (F.get("_set", i + 1).field != x.field)), lambda x: F.struct(x.field, x.value)))
+    props = F.coalesce("properties", F.create_map().cast("map<string,string>"))
+    acted = rows.join(per, keys, "left").where(~F.coalesce("_drop", F.lit(False)))
+    acted = acted.withColumn("geometry", F.when(F.col("_geometry").isNotNull(), given).otherwise(F.col("geometry"))).where("geometry is not null")
+    acted = acted.withColumn("parts", F.when(F.col("_geometry").isNotNull(), rings()).when(F.coalesce("_swap", F.lit(False)), swapped(F.col("parts"))).otherwise(F.col("parts")))
+    changed = F.map_concat(F.map_filter(props, lambda k, _: ~F.array_contains(F.map_keys("_new"), k)), F.col("_new"))
+    acted = acted.withColumn("_new", last).withColumn("properties", F.when(F.size("_set") > 0, changed).otherwise(F.col("properties"))).drop("_new")
+    out = acted.select(*rows.columns)
+    if drop_duplicates:
+        out = duplicate_geometries(out, F.to_json(F.struct("geometry.type", "parts")), "_src_index").where("not duplicate").drop("duplicate")
+    return out
 
 
 def web_mercator_to_lonlat(x: Column, y: Column) -> tuple[Column, Column]:

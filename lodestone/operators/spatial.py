@@ -10,27 +10,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import geo
+from lodestone.scratch import written
 
 Ring = list[tuple[float, float]]
 
 
-def _cell_size(radius_m: float, max_lat: float) -> float:
-    """Degrees of a cell that is at least the radius wide up to a latitude."""
-    return radius_m / (math.pi / 180 * geo.EARTH * max(0.01, math.cos(math.radians(max_lat)))) * 1.001
-
-
-def within_radius(points: DataFrame, refs: DataFrame, radius_m: float, max_lat: float = 60.0) -> DataFrame:
+def within_radius(points: DataFrame, refs: DataFrame, radius_m: float) -> DataFrame:
     """Each pair of a point and a reference (ref, ref_lon, ref_lat) at most radius_m apart, with distance_m (1 digit).
 
-    References are copied to the nine cells around them and meet points by cell, so no pair is made that is more
-    than two cells apart. Latitudes beyond max_lat are refused.
+    Points lie in cubes of space as wide as the radius and references are copied to the cubes around theirs, so no
+    pair is made that is more than two cubes apart, anywhere on the globe. Points without a place have no pair.
     """
-    size = _cell_size(radius_m, max_lat)
-    p = points.withColumn("_cell", geo.cell(F.col("lon"), F.col("lat"), size))
-    r = refs.withColumn("_cell", F.explode(geo.near_cells(F.col("ref_lon"), F.col("ref_lat"), size)))
+    p = points.where("lon is not null and lat is not null").withColumn("_cell", geo.space_cell(F.col("lon"), F.col("lat"), radius_m))
+    r = refs.withColumn("_cell", F.explode(geo.near_space_cells(F.col("ref_lon"), F.col("ref_lat"), radius_m)))
     d = geo.haversine(F.col("lon"), F.col("lat"), F.col("ref_lon"), F.col("ref_lat"))
-    checked = F.when(F.abs("lat") > max_lat, F.raise_error(F.lit(f"latitude beyond {max_lat}"))).otherwise(d)
-    return p.join(r, "_cell").withColumn("_d", checked).where(F.col("_d") <= radius_m).withColumn("distance_m", F.round("_d", 1)).drop("_cell", "_d")
+    return p.join(r, "_cell").withColumn("_d", d).where(F.col("_d") <= radius_m).withColumn("distance_m", F.round("_d", 1)).drop("_cell", "_d")
 
 
 def nearest(points: DataFrame, lon: float, lat: float, k: int, key: str) -> DataFrame:
@@ -39,27 +33,45 @@ def nearest(points: DataFrame, lon: float, lat: float, k: int, key: str) -> Data
     return points.withColumn("distance_m", d).orderBy("distance_m", key).limit(k).withColumn("distance_m", F.round("distance_m", 1))
 
 
-def nearest_each(points: DataFrame, refs: DataFrame, k: int, key: str, ref: str, start_m: float = 2000.0, max_lat: float = 60.0) -> DataFrame:
-    """The k points nearest to each reference, by rings of growing radius: references that a radius leaves short go on with twice as much."""
-    found, left, radius = [], refs, start_m
-    rank = Window.partitionBy(ref).orderBy("_d", key)
-    total = points.count()
-    while True:
-        size = _cell_size(radius, max_lat)
-        p = points.withColumn("_cell", geo.cell(F.col("lon"), F.col("lat"), size))
-        r = left.withColumn("_cell", F.explode(geo.near_cells(F.col("ref_lon"), F.col("ref_lat"), size)))
-        d = geo.haversine(F.col("lon"), F.col("lat"), F.col("ref_lon"), F.col("ref_lat"))
-        near = p.join(r, "_cell").withColumn("_d", d).where(F.col("_d") <= radius).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-        near = near.withColumn("_n", F.count("*").over(Window.partitionBy(ref)))
-        done = near.where(F.col("_n") >= min(k, total))
-        found.append(done.withColumn("distance_m", F.round("_d", 1)).drop("_cell", "_d", "_n"))
-        left = left.join(done.select(ref).distinct(), ref, "left_anti")
-        if radius > 2 * math.pi * geo.EARTH or not left.take(1):
-            return reduce(DataFrame.unionByName, found)
+def nearest_each(points: DataFrame, refs: DataFrame, k: int, key: str, ref: str, start_m: float | None = None) -> DataFrame:
+    """The k points nearest to each reference, by rings of growing radius: references that a radius leaves short go on with twice as much.
+
+    The first radius, unless given, is that of a circle that would hold k points if they were spread evenly over
+    their box. What a round finds and what it leaves are written, so that no round does the ones before again.
+    References without a place have no points. Points of equal distance come in the order of key.
+    """
+    placed = points.where("lon is not null and lat is not null")
+    box = placed.agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("lon", "lat"))).first()
+    if not box.n:
+        return _ranked(placed.limit(0).crossJoin(refs.limit(0)).withColumn("_d", F.lit(0.0)), ref, key).withColumn("distance_m", F.col("_d")).drop("_d")
+    if start_m is None:
+        metre = math.pi / 180 * geo.EARTH
+        wide = (box.max_lon - box.min_lon) * metre * math.cos(math.radians((box.max_lat + box.min_lat) / 2))
+        start_m = max(1.0, math.sqrt(2 * k * max(wide, 1.0) * max((box.max_lat - box.min_lat) * metre, 1.0) / (math.pi * box.n)))
+    found, left, radius = [], refs.where("ref_lon is not null and ref_lat is not null"), start_m
+    while left.take(1):
+        near = within_radius_raw(placed, left, radius)
+        near = _ranked(near, ref, key).where(F.col("rank") <= k).withColumn("_n", F.count("*").over(Window.partitionBy(ref)))
+        done = written(near.where(F.col("_n") >= min(k, box.n)).withColumn("distance_m", F.round("_d", 1)).drop("_d", "_n"), "nearest")
+        found.append(done)
+        left = written(left.join(done.select(ref).distinct(), ref, "left_anti"), "references")
         radius *= 2
+    return reduce(DataFrame.unionByName, found) if found else _ranked(placed.limit(0).crossJoin(refs.limit(0)).withColumn("_d", F.lit(0.0)), ref, key).withColumn("distance_m", F.col("_d")).drop("_d")
+
+
+def within_radius_raw(points: DataFrame, refs: DataFrame, radius_m: float) -> DataFrame:
+    """As within_radius, with the exact distance _d; beyond half of the globe every pair is near."""
+    d = geo.haversine(F.col("lon"), F.col("lat"), F.col("ref_lon"), F.col("ref_lat"))
+    p = points.withColumn("_cell", geo.space_cell(F.col("lon"), F.col("lat"), radius_m))
+    r = refs.withColumn("_cell", F.explode(geo.near_space_cells(F.col("ref_lon"), F.col("ref_lat"), radius_m)))
+    return p.join(r, "_cell").withColumn("_d", d).where(F.col("_d") <= radius_m).drop("_cell")
+
+
+def _ranked(pairs: DataFrame, ref: str, key: str) -> DataFrame:
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(ref).orderBy("_d", key)))
 
 
-def polygon_join(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
+def box_join(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
     """Points in boxes (minx, miny, maxx, maxy; edges count): boxes are copied to the cells that they cover."""
     xs = F.sequence(F.floor(F.col("minx") / size), F.floor(F.col("maxx") / size))
     ys = F.sequence(F.floor(F.col("miny") / size), F.floor(F.col("maxy") / size))
@@ -68,13 +80,101 @@ def polygon_join(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
     return p.join(spread, "_cell").where("lon between minx and maxx and lat between miny and maxy").drop("_cell")
 
 
+#: Degrees of the finest grid, and cells of its level that a shape covers at most in each direction.
+FINEST, ACROSS = 0.001, 8
+
+
+def _ends(rings: Column) -> tuple[Column, ...]:
+    """minx, miny, maxx, maxy of the first ring."""
+    xs, ys = F.transform(F.get(rings, 0), lambda p: p.x), F.transform(F.get(rings, 0), lambda p: p.y)
+    return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
+
+
+def _gridded(shapes: DataFrame, rings: str) -> DataFrame:
+    """shapes with their box and the level of the grid at which they cover ACROSS cells at most in each direction."""
+    minx, miny, maxx, maxy = _ends(F.col(rings))
+    boxed = shapes.where(F.size(rings) > 0).withColumns({"_minx": minx, "_miny": miny, "_maxx": maxx, "_maxy": maxy})
+    span = F.greatest(F.col("_maxx") - F.col("_minx"), F.col("_maxy") - F.col("_miny"))
+    return boxed.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(span, F.lit(FINEST)) / (FINEST * (ACROSS - 1))))).cast("int"))
+
+
+def _at(v: Column, level: Column) -> Column:
+    return F.floor(v / (FINEST * F.pow(F.lit(2.0), level)))
+
+
+def _covered(boxed: DataFrame, level: Column) -> DataFrame:
+    """A row for each cell of a level that the box covers."""
+    over = lambda low, high: F.explode(F.sequence(_at(F.col(low), level), _at(F.col(high), level)))
+    return boxed.withColumn("_i", over("_minx", "_maxx")).withColumn("_j", over("_miny", "_maxy"))
+
+
+def _levels(boxed: DataFrame) -> list[int]:
+    return sorted(r[0] for r in boxed.select("_level").distinct().collect() if r[0] is not None)  # 20 or so
+
+
+def polygon_join(points: DataFrame, polygons: DataFrame, predicate: str = "intersects") -> DataFrame:
+    """Each pair of a point (lon, lat) and a polygon (rings: a shell, then holes, of struct<x,y>) that holds it.
+
+    Polygons are copied to the cells of a grid that suits their size, points to theirs on each grid in use, and what
+    meets is tested exactly. intersects counts the edges in, within doesn't. Polygons over the date line are to be
+    cut there. Points without a place are in none.
+    """
+    boxed = _gridded(polygons, "rings")
+    levels = _levels(boxed)
+    if not levels:
+        return points.crossJoin(polygons.limit(0))
+    spread = _covered(boxed, F.col("_level"))
+    p = points.where("lon is not null and lat is not null").withColumn("_level", F.explode(F.array(*map(F.lit, levels))))
+    p = p.withColumn("_i", _at(F.col("lon"), F.col("_level"))).withColumn("_j", _at(F.col("lat"), F.col("_level")))
+    test = {"intersects": geo.meets_rings, "within": geo.within_rings}[predicate](F.col("lon"), F.col("lat"), F.col("rings"))
+    boxes = F.col("lon").between(F.col("_minx"), F.col("_maxx")) & F.col("lat").between(F.col("_miny"), F.col("_maxy"))
+    return p.join(spread, ["_level", "_i", "_j"]).where(boxes).where(test).drop("_level", "_i", "_j", "_minx", "_miny", "_maxx", "_maxy")
+
+
+def layers_meet(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """(left_key, right_key) of each pair of polygons (rings) that have a point in common.
+
+    Polygons are copied to the cells of their own level and, a few each, of the coarser ones; a pair meets at the
+    coarser level of its two, and is tested in the one cell in which its boxes' common part begins.
+    """
+    a = _gridded(left.select(F.col(left_key), F.col("rings").alias("_a")), "_a")
+    b = _gridded(right.select(F.col(right_key), F.col("rings").alias("_b")), "_b")
+    levels = sorted({*_levels(a), *_levels(b)})
+    if not levels:
+        return left.select(left_key).crossJoin(right.select(right_key)).limit(0)
+
+    def spread(boxed: DataFrame) -> DataFrame:
+        at = boxed.withColumn("_own", F.col("_level")).withColumn("_level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col("_own"))))
+        return _covered(at, F.col("_level"))
+
+    named = {f"_{c}": f"_b{c}" for c in ("minx", "miny", "maxx", "maxy", "own")}
+    pairs = spread(a).join(spread(b).withColumnsRenamed(named), ["_level", "_i", "_j"]).where("_level = greatest(_own, _bown)")
+    pairs = pairs.where("_minx <= _bmaxx and _bminx <= _maxx and _miny <= _bmaxy and _bminy <= _maxy")
+    first = (F.col("_i") == _at(F.greatest("_minx", "_bminx"), F.col("_level"))) & (F.col("_j") == _at(F.greatest("_miny", "_bminy"), F.col("_level")))
+    return pairs.where(first).where(geo.rings_meet(F.col("_a"), F.col("_b"))).select(left_key, right_key)
+
+
+def area_buffer(points: DataFrame, rings: list[Ring], metres: float) -> DataFrame:
+    """Points in a polygon or at most so many metres from its edges; distance_m is 0 inside."""
+    rings = validate_rings(rings)
+    near = F.least(*(geo.distance_to_line(F.col("lon"), F.col("lat"), r) for r in rings)) if len(rings) > 1 else geo.distance_to_line(F.col("lon"), F.col("lat"), rings[0])
+    d = F.when(geo.intersects(F.col("lon"), F.col("lat"), rings), 0.0).otherwise(near)
+    return points.withColumn("distance_m", F.round(d, 1)).where(d <= metres)
+
+
 def search_polygon(layer: DataFrame, rings: list[Ring], key: str, predicate: str = "intersects", limit: int = 1000, offset: int = 0) -> DataFrame:
-    """A page of the features in a polygon, in the order of key; limit 1 to 10000."""
+    """A page of the features in a polygon, in the order of key; limit 1 to 10000. count_polygon gives their number."""
     test = {"intersects": geo.intersects, "within": geo.contains}[predicate]
     hits = layer.where(test(F.col("lon"), F.col("lat"), validate_rings(rings)))
     return hits.orderBy(key).offset(max(0, offset)).limit(min(10_000, max(1, limit)))
 
 
+def count_polygon(layer: DataFrame, rings: list[Ring], predicate: str = "intersects") -> DataFrame:
+    """One row: total, the number of the features in a polygon, whatever the page."""
+    test = {"intersects": geo.intersects, "within": geo.contains}[predicate]
+    return layer.where(test(F.col("lon"), F.col("lat"), validate_rings(rings))).agg(F.count("*").alias("total"))
+
+
 def search_layers(layers: dict[str, DataFrame], rings: list[Ring], predicate: str = "intersects") -> DataFrame:
     """The features of all layers in a polygon, tagged with _layer; layers without lon and lat are an error."""
     test = {"intersects": geo.intersects, "within": geo.contains}[predicate](F.col("lon"), F.col("lat"), validate_rings(rings))
@@ -111,8 +211,8 @@ def validate_rings(rings: list[Ring]) -> list[Ring]:
     return out
 
 
-def parse_polygon(text: str) -> list[Ring]:
-    """Rings of GeoJSON (a geometry, feature or collection), a coordinate list, WKT, or lines of `lon lat`."""
+def parse_polygons(text: str) -> list[list[Ring]]:
+    """The polygons of a text, a list of rings each: GeoJSON (a geometry, feature or collection), a coordinate list, WKT, or lines of `lon lat`."""
     import json
 
     text = text.strip()
@@ -123,12 +223,22 @@ def parse_polygon(text: str) -> list[Ring]:
         if isinstance(data, dict):
             if data.get("type") not in ("Polygon", "MultiPolygon"):
                 raise ValueError(f"no polygon: {data.get('type')}")
-            data = data["coordinates"] if data["type"] == "Polygon" else data["coordinates"][0]
-        rings = [data] if isinstance(data[0][0], (int, float)) else data
-        return validate_rings([[(float(x), float(y)) for x, y, *_ in r] for r in rings])
-    if m := re.match(r"(?is)^(?:srid=\d+;)?\s*polygon\s*\((.*)\)$", text):
-        return validate_rings([[tuple(map(float, p.split()[:2])) for p in r.split(",")] for r in re.findall(r"\(([^()]*)\)", m[1])])
-    return validate_rings([[tuple(map(float, re.split(r"[,\s]+", line.strip())[:2])) for line in text.splitlines() if line.strip()]])
+            parts = data["coordinates"] if data["type"] == "MultiPolygon" else [data["coordinates"]]
+        else:
+            parts = [[data] if isinstance(data[0][0], (int, float)) else data]
+        return [validate_rings([[(float(x), float(y)) for x, y, *_ in r] for r in rings]) for rings in parts]
+    if m := re.match(r"(?is)^(?:srid=\d+;)?\s*(multi)?polygon\s*\((.*)\)$", text):
+        parts = re.findall(r"\(((?:\s*\([^()]*\)\s*,?)+)\)", m[2]) if m[1] else [m[2]]
+        return [validate_rings([[tuple(map(float, p.split()[:2])) for p in r.split(",")] for r in re.findall(r"\(([^()]*)\)", part)]) for part in parts]
+    return [validate_rings([[tuple(map(float, re.split(r"[,\s]+", line.strip())[:2])) for line in text.splitlines() if line.strip()]])]
+
+
+def parse_polygon(text: str) -> list[Ring]:
+    """The rings of the one polygon of a text; an error where it has several."""
+    polygons = parse_polygons(text)
+    if len(polygons) > 1:
+        raise ValueError(f"{len(polygons)} polygons where one is asked for")
+    return polygons[0]
 
 
 def resolve_layer(wanted: str, names: list[str]) -> str | None:
@@ -157,10 +267,15 @@ def mentioned(layer: DataFrame, label: str, answers: DataFrame, min_length: int
     return each.join(names, "_w").where(F.col("_t").contains(F.lower("label"))).select("answer_id", "label").distinct()
 
 
+# How a routing question names its means, its two places, and a means at the end of a place.
+ON_FOOT, BY_BIKE = r"(?i)\b(walk|walking|on foot|pedestrian)\b", r"(?i)\b(bike|bicycle|cycl)\w*\b"
+PLACES = (r"(?i)\bfrom\s+(.+?)\s+to\s+(.+?)\s*[\?\.!]*$", r"(?i)\bbetween\s+(.+?)\s+and\s+(.+?)\s*[\?\.!]*$")
+MEANS = r"(?i)\s+(by car|by bike|by bicycle|on foot|by foot|walking|driving|cycling)\s*$"
+
+
 def route_request(query: Column) -> Column:
     """struct(origin, destination, mode) of a routing question; null places where none are named."""
-    mode = F.when(query.rlike(r"(?i)\b(walk|walking|on foot|pedestrian)\b"), "pedestrian").when(query.rlike(r"(?i)\b(bike|bicycle|cycl)\w*\b"), "bicycle").otherwise("auto")
-    clean = lambda c: F.trim(F.regexp_replace(F.trim(c), r"(?i)\s+(by car|by bike|by bicycle|on foot|by foot|walking|driving|cycling)\s*$", ""), F.lit("\"'?.! "))
-    a, b = r"(?i)\bfrom\s+(.+?)\s+to\s+(.+?)\s*[\?\.!]*$", r"(?i)\bbetween\s+(.+?)\s+and\s+(.+?)\s*[\?\.!]*$"
-    pick = lambda i: F.when(query.rlike(a), clean(F.regexp_extract(query, a, i))).when(query.rlike(b), clean(F.regexp_extract(query, b, i)))
-    return F.struct(pick(1).alias("origin"), pick(2).alias("destination"), mode.alias("mode"))
+    mode = F.when(query.rlike(ON_FOOT), "pedestrian").when(query.rlike(BY_BIKE), "bicycle").otherwise("auto")
+    place = lambda c: F.trim(F.regexp_replace(F.trim(c), MEANS, ""), F.lit("\"'?.! "))
+    named = lambda i: F.coalesce(*(F.when(query.rlike(p), place(F.regexp_extract(query, p, i))) for p in PLACES))
+    return F.struct(named(1).alias("origin"), named(2).alias("destination"), mode.alias("mode"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 # Function words that don't count as content.
 STOPWORDS = (
-    "the a an of in on at to for and or is are was were how what when where who which many much do does did this that "
-    "these those with about من في على الى إلى عن ما كم هل و او أو هذا هذه التي الذي كيف متى اين أين"
-).split()
+    "the", "a", "an", "of", "in", "on", "at", "to", "for", "and", "or", "is", "are", "was", "were", "how", "what", "when", "where", "who", "which", "many", "much", "do", "does", "did", "this", "that",
+    "these", "those", "with", "about", "من", "في", "على", "الى", "إلى", "عن", "ما", "كم", "هل", "و", "او", "أو", "هذا", "هذه", "التي", "الذي", "كيف", "متى", "اين", "أين",
+)
 # A heading's greatest length and words, and the marks that end a sentence.
 HEADING_CHARS, HEADING_WORDS, TERMINAL = 64, 8, ".!?:;,،؛"
 # A number as it is read from text.
@@ -100,9 +100,33 @@ def duration_ms(message: Column) -> Column:
     return F.regexp_extract(message, r"[—-]\s*([\d.]+)\s*ms", 1).try_cast("double")
 
 
-def stable_uuid(name: Column, namespace: str = "lodestone") -> Column:
-    """A name-based identifier in the form of a uuid5."""
-    h = F.sha1(F.concat(F.lit(namespace), name))
-    variant = F.substring(F.lit("89ab"), 1, 4)
-    nth = F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant.substr(nth, F.lit(1)), F.substring(h, 18, 3)), F.substring(h, 21, 12))
+#: The namespace of names that are URLs, as RFC 4122 gives it.
+URL_NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+
+
+def stable_uuid(name: Column, namespace: str = URL_NAMESPACE) -> Column:
+    """The version 5 UUID of a name: of the SHA-1 of namespace and name, with the bits of version and variant set."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), name.cast("binary")))
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def json_in_prose(text: str) -> dict:
+    """The JSON object that an answer is or holds: without its fence, or its first part in balanced braces."""
+    import json
+    import re
+
+    plain = re.sub(r"\A\s*(?:```(?:json)?)?\s*|\s*(?:```)?\s*\Z", "", text)
+    opened, depths = plain.find("{"), 0
+    candidates = [plain]
+    for at, c in enumerate(plain[max(opened, 0) :], max(opened, 0)):
+        depths += {"{": 1, "}": -1}.get(c, 0)
+        if c == "}" and not depths:
+            candidates.append(plain[opened : at + 1])
+            break
+    for candidate in candidates:
+        try:
+            return json.loads(candidate)
+        except ValueError:
+            continue
+    raise ValueError(f"no JSON in {text[:200]!r}")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import overlap, root_domain, tokens
+from lodestone.functions.text import overlap, root_domain, stable_uuid, tokens
+from lodestone.operators.chunking import recursive_chunks
+from lodestone.scratch import exists, scratch, small_side
 
 # BM25's constants, the rank constant of fusion, sizes of the pool and of the result.
 K1, B, EPSILON, RRF_K, POOL, TOP = 1.5, 0.75, 0.25, 60, 20, 5
@@ -15,36 +20,59 @@ K1, B, EPSILON, RRF_K, POOL, TOP = 1.5, 0.75, 0.25, 60, 20, 5
 DENSE_WEIGHT, OVERLAP_WEIGHT, ENOUGH, LEAST_OVERLAP = 0.6, 0.4, 0.35, 0.05
 # Domains that are nobody's own site, and endings of official ones.
 BLOCKED_DOMAINS = (
-    "linkedin.com facebook.com twitter.com x.com instagram.com youtube.com tiktok.com pinterest.com reddit.com quora.com wikipedia.org wikiwand.com fandom.com "
-    "tripadvisor.com yelp.com foursquare.com glassdoor.com indeed.com crunchbase.com zoominfo.com bloomberg.com mapquest.com yellowpages.com medium.com "
-    "blogspot.com wordpress.com amazon.com booking.com"
-).split()
+    "linkedin.com", "facebook.com", "twitter.com", "x.com", "instagram.com", "youtube.com", "tiktok.com", "pinterest.com", "reddit.com", "quora.com", "wikipedia.org", "wikiwand.com", "fandom.com",
+    "tripadvisor.com", "yelp.com", "foursquare.com", "glassdoor.com", "indeed.com", "crunchbase.com", "zoominfo.com", "bloomberg.com", "mapquest.com", "yellowpages.com", "medium.com",
+    "blogspot.com", "wordpress.com", "amazon.com", "booking.com",
+)
 OFFICIAL = (".edu", ".gov", ".ac.", ".edu.eg", ".gov.eg", ".org")
 
 
-def term_index(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, length) of each term of each chunk; write it once, then search it."""
-    each = chunks.select("chunk_id", F.explode(tokens(F.col("text"))).alias("term"))
-    tf = each.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    return tf.join(chunks.select("chunk_id", F.size(tokens(F.col("text"))).alias("length")), "chunk_id").select("term", "chunk_id", "tf", "length")
+class KeywordIndex:
+    """BM25 over a stored index: postings in the order of their terms, idf of each term, and the sizes of the whole.
 
+    It is built once from chunks (chunk_id, text); a question reads the row groups of its terms only. `build` replaces
+    what the folder holds, which is how changed chunks come in.
+    """
 
-def bm25(chunks: DataFrame, query: str) -> DataFrame:
-    """chunk_id and score of each chunk that has a term of the query.
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def build(cls, chunks: DataFrame, path: str) -> KeywordIndex:
+        """Counts the terms of each chunk, then the chunks of each term; null texts have no term but count as chunks."""
+        spark = chunks.sparkSession
+        sized = chunks.select("chunk_id", tokens(F.col("text")).alias("terms"))
+        tf = sized.select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
+        tf.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
+        # The sizes of chunks come from the postings, where each length stands once a term; the number of chunks can't.
+        postings = spark.read.parquet(f"{path}/postings")
+        n = chunks.select(F.count("*").alias("n"))
+        sizes = n.crossJoin(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))).withColumn("mean", F.try_divide("words", "n"))
+        df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
+        df.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        mean = spark.read.parquet(f"{path}/terms").agg(F.avg("idf").alias("mean_idf"))
+        sizes.crossJoin(mean).coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")
+        return cls(spark, path)
+
+    def scores(self, query: str) -> DataFrame:
+        """chunk_id and score of each chunk that has a term of the query.
+
+        A term in over half of the chunks has EPSILON times the mean idf of all terms.
+        """
+        times = Counter(r[0] for r in self.spark.range(1).select(F.explode(tokens(F.lit(query)))).collect())  # words of one question
+        wanted = F.col("term").isin(list(times))
+        sizes = self.spark.read.parquet(f"{self.path}/sizes")  # one row
+        weight = F.create_map(*(x for t, n in times.items() for x in (F.lit(t), F.lit(n)))) if times else F.create_map().cast("map<string,int>")
+        idf = self.spark.read.parquet(f"{self.path}/terms").where(wanted).crossJoin(F.broadcast(sizes))
+        idf = idf.select("term", (weight[F.col("term")] * F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf"))).alias("idf"), "mean")
+        tf = self.spark.read.parquet(f"{self.path}/postings").where(wanted).join(F.broadcast(idf), "term")
+        part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+        return tf.groupBy("chunk_id").agg(F.sum(part).alias("score"))
 
-    Only the query's terms are counted by chunk; a term in over half of the chunks gets EPSILON times the mean idf,
-    which needs the number of chunks of all terms, counted apart.
-    """
-    sized = chunks.select("chunk_id", tokens(F.col("text")).alias("terms")).withColumn("length", F.size("terms"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    terms = chunks.sparkSession.range(1).select(F.explode(tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
-    df = sized.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.agg(F.avg("idf").alias("mean_idf"))
-    wanted = idf.join(F.broadcast(terms), "term").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf"))).select("term", "idf", "times")
-    tf = sized.select("chunk_id", "length", F.explode("terms").alias("term")).join(F.broadcast(terms.select("term")), "term").groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return tf.join(F.broadcast(wanted), "term").crossJoin(F.broadcast(stats.select("mean"))).groupBy("chunk_id").agg(F.sum(part).alias("score"))
+
+def bm25(chunks: DataFrame, query: str) -> DataFrame:
+    """chunk_id and score of each chunk that has a term of the query, by an index made for this question alone."""
+    return KeywordIndex.build(chunks, scratch(chunks.sparkSession, "keyword-index")).scores(query)
 
 
 def top(scores: DataFrame, k: int, positive: bool = False) -> DataFrame:
@@ -63,7 +91,44 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalized(v: Column) -> Column:
-    return F.transform(v, lambda x: x / F.sqrt(dot(v, v)))
+    """The vector at length 1; a vector of zeros stays."""
+    size = F.sqrt(dot(v, v))
+    return F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(v)
+
+
+def prefixed(text: str, prefix: str) -> str:
+    """The text after the prefix that a model expects, unless it begins with it or there is none."""
+    return text if not prefix.strip() or text.startswith(prefix.strip()) else f"{prefix.strip()} {text}"
+
+
+def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], prefix: str = "passage:", batch: int = 32, text: str = "text") -> DataFrame:
+    """chunks with embedding, of length 1: embed is given `batch` texts at a time, each after the prefix, in each task.
+
+    A null text counts as empty.
+    """
+    @F.pandas_udf("array<float>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            given = [prefixed(t, prefix) for t in texts]
+            yield pd.Series([v for at in range(0, len(given), batch) for v in embed(given[at : at + batch])])
+
+    given = chunks.withColumn("embedding", run(F.coalesce(F.col(text), F.lit(""))))
+    return given.withColumn("embedding", normalized(F.col("embedding")).cast("array<float>"))
+
+
+def reranked(hits: DataFrame, query: str, score: Callable[[str, list[str]], list[float]] | None) -> DataFrame:
+    """hits (chunk_id, rank, text) with rank anew by the scores of a pair model; without one, or where it fails, as they are."""
+    rows = hits.orderBy("rank").collect()  # the hits of one question
+    try:
+        scores = score(query, [r.text for r in rows]) if score else None
+    except Exception:  # the model is an extra; the order that is there will do
+        scores = None
+    if scores is None:
+        return hits
+    order = sorted(range(len(rows)), key=lambda i: (-scores[i], rows[i]["rank"]))
+    at = {rows[i].chunk_id: place for place, i in enumerate(order, 1)}
+    ranks = hits.sparkSession.createDataFrame(list(at.items()), hits.select("chunk_id", "rank").schema)
+    return hits.drop("rank").join(F.broadcast(ranks), "chunk_id").select(*hits.columns)
 
 
 def metadata_filter(df: DataFrame, filters: dict | None) -> DataFrame:
@@ -84,20 +149,28 @@ def fuse(lists: list[tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("chunk_id").agg(F.sum("s").alias("score"), F.min(F.struct("list", "rank")).alias("_first"))
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float], filters: dict | None = None, pool: int = POOL, k: int = TOP) -> DataFrame:
-    """The k best chunks of both rankings, fused; the filter holds for both sides. Ties come in the order of the lists."""
+def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float], filters: dict | None = None, pool: int = POOL, k: int = TOP, index: KeywordIndex | None = None) -> DataFrame:
+    """The k best chunks of both rankings, fused; the filter holds for both sides. Ties come in the order of the lists.
+
+    With an index, its scores over all chunks count and the filter picks among them; without one, the chunks that the
+    filter leaves are indexed for this question.
+    """
     near = top(dense(vectors, vector, filters), pool)
-    words = top(bm25(metadata_filter(chunks, filters), query), pool, positive=True)
+    scores = index.scores(query).join(metadata_filter(chunks, filters).select("chunk_id"), "chunk_id", "left_semi") if index else bm25(metadata_filter(chunks, filters), query)
+    words = top(scores, pool, positive=True)
     best = fuse([(near, 1.0), (words, 1.0)]).orderBy(F.desc("score"), "_first").limit(k).drop("_first")
     a, b = near.select("chunk_id", F.col("score").alias("dense_score")), words.select("chunk_id", F.col("score").alias("bm25_score"))
     return best.join(a, "chunk_id", "left").join(b, "chunk_id", "left")
 
 
-def min_max(score: Column, by: str) -> Column:
-    """Scores of a query from 0 to 1; 1 where all are equal."""
-    w = Window.partitionBy(by)
-    lo, hi = F.min(score).over(w), F.max(score).over(w)
-    return F.when(hi == lo, F.lit(1.0)).otherwise((score - lo) / (hi - lo))
+def min_max(hits: DataFrame, score: str, by: str) -> DataFrame:
+    """hits with scaled: the scores of each query from 0 to 1; 1 where all are equal.
+
+    The ends are sums of groups that hits are joined to, so that no query's hits are gathered in one task.
+    """
+    ends = hits.groupBy(F.col(by).alias("_by")).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    scaled = F.when(F.col("_hi") == F.col("_lo"), F.lit(1.0)).otherwise((F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    return hits.join(small_side(ends), F.col(by).eqNullSafe(F.col("_by"))).withColumn("scaled", scaled).drop("_by", "_lo", "_hi")
 
 
 def sufficiency(hits: DataFrame) -> DataFrame:
@@ -132,11 +205,62 @@ def url_rank(url: Column, query: str, site: str, keywords: tuple[str, ...] = ())
     return F.when(off & (host != ""), F.lit(-1.0)).otherwise(hits - 0.1 * F.regexp_count(path, F.lit("/")))
 
 
+def distinctive_overlap(query: str, text: Column, site: str) -> Column:
+    """The share of the query's words that a text has, without those that the site's host is made of."""
+    import re
+
+    host = re.sub(r"^[a-z]+://", "", site.lower()).split("/")[0]
+    own = set(re.findall(r"[^\W\d_]+", host))
+    return overlap(F.lit(" ".join(w for w in re.findall(r"[^\W\d_]+", query) if w.lower() not in own)), text)
+
+
+def page_context(pages: DataFrame, query: str, embed: Callable[[list[str]], list[list[float]]], k: int = TOP) -> DataFrame:
+    """rank, url and text of the k pieces of pages (url, text) that are nearest to a query; nothing is kept of them."""
+    pieces = recursive_chunks(pages.select(F.col("url").alias("doc_id"), "text"))
+    pieces = pieces.withColumn("chunk_id", F.concat_ws("#", "doc_id", F.lpad(F.col("chunk_index").cast("string"), 9, "0")))
+    asked = embed([prefixed(query, "query:")])[0]
+    size = sum(x * x for x in asked) ** 0.5 or 1.0
+    q = F.array(*(F.lit(x / size) for x in asked))
+    vectors = embedded(pieces, embed).withColumn("score", dot(F.col("embedding"), q))
+    best = top(vectors.select("chunk_id", "score"), k)
+    return best.join(pieces, "chunk_id").select("rank", F.col("doc_id").alias("url"), "text").orderBy("rank")
+
+
 def expansion(chunks: DataFrame, document: Column | str, limit: int = 40) -> DataFrame:
     """The first chunks of a document, in order."""
     return chunks.where(F.col("document_id") == document).orderBy("chunk_index").limit(limit)
 
 
+def expansion_of_best(hits: DataFrame, chunks: DataFrame, limit: int = 40) -> DataFrame:
+    """The first chunks of the document of the best of hits (chunk_id, rank); no row without a hit."""
+    best = hits.orderBy("rank").limit(1).select("chunk_id").join(chunks, "chunk_id").select("document_id")  # one row
+    return chunks.join(F.broadcast(best), "document_id", "left_semi").orderBy("chunk_index").limit(limit)
+
+
+def document_list(documents: DataFrame) -> DataFrame:
+    """Documents (document_id, upload_date, …), the latest first, ties by id."""
+    return documents.orderBy(F.desc("upload_date"), "document_id")
+
+
+def without_document(chunks: DataFrame, documents: DataFrame, ids: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Chunks and documents without the documents of these ids; the chunks are to be written first."""
+    gone = F.col("document_id").isin(ids)
+    return chunks.where(~F.coalesce(gone, F.lit(False))), documents.where(~F.coalesce(gone, F.lit(False)))
+
+
+def provision(spark: SparkSession, path: str, schema: str) -> bool:
+    """Makes an empty collection of a schema; False where there is one already."""
+    if exists(spark, path):
+        return False
+    spark.createDataFrame([], schema).write.parquet(path)
+    return True
+
+
+def stored_count(spark: SparkSession, path: str) -> int:
+    """The rows of a stored collection; 0 where there is none."""
+    return spark.read.parquet(path).count() if exists(spark, path) else 0
+
+
 def distinct_sections(chunks: DataFrame) -> DataFrame:
     """Sections of each document, letter case aside, by first sight."""
     first = chunks.where("section is not null and section != ''").groupBy("document_id", F.lower("section").alias("_k")).agg(F.min_by("section", "chunk_index").alias("section"), F.min("chunk_index").alias("first_index"))
@@ -149,6 +273,15 @@ def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(version, F.xxhash64(*names))).alias("r")).select(key, "r.*")
 
 
+# Fixed value: the namespace of the ids of stored chunks.
+POINT_NAMESPACE = "6f9619ff-8b86-d011-b42d-00cf4fc964ff"
+
+
+def with_point_ids(chunks: DataFrame) -> DataFrame:
+    """chunks with point_id, the same for the same chunk_id at all times, so that storing a chunk again replaces it."""
+    return chunks.withColumn("point_id", stable_uuid(F.col("chunk_id"), POINT_NAMESPACE))
+
+
 def orphans(chunks: DataFrame, documents: DataFrame, key: str) -> DataFrame:
     """Chunks whose document is gone."""
     return chunks.join(documents.select(key), key, "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_QUERY = 2000
@@ -66,12 +66,17 @@ def redacted(text: Column) -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, p[0], p[1]), SECRETS, text)
 
 
-def neutralized(text: Column) -> tuple[Column, Column]:
-    """The text without secrets and with injected instructions quoted; the sorted flags of what was found."""
-    safe = redacted(text)
-    quoted = reduce(lambda t, p: F.regexp_replace(t, f"(?i){p}", "[quoted document text: $0]"), INJECTION, safe)
-    flags = F.array(F.when(any_of(safe, INJECTION), F.lit("embedded_instruction")), F.when(safe != text, F.lit("secret_redacted")))
-    return quoted, F.filter(flags, lambda x: x.isNotNull())
+def neutralized(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with the text without secrets and with injected instructions quoted, and with flags, the sorted signs of what was found.
+
+    The text without secrets is worked out once, in a projection of its own, and is quoted only where an instruction
+    stands in it.
+    """
+    held = docs.withColumn("_safe", redacted(F.col(text))).withColumn("_told", any_of(F.col("_safe"), INJECTION))
+    quoted = reduce(lambda t, p: F.regexp_replace(t, f"(?i){p}", "[quoted document text: $0]"), INJECTION, F.col("_safe"))
+    flags = F.array(F.when(F.col("_told"), F.lit("embedded_instruction")), F.when(F.col("_safe") != F.col(text), F.lit("secret_redacted")))
+    held = held.withColumn("flags", F.filter(flags, lambda x: x.isNotNull()))
+    return held.withColumn(text, F.when(F.col("_told"), quoted).otherwise(F.col("_safe"))).drop("_safe", "_told")
 
 
 def output_reasons(answer: Column, n_sources: Column, found: Column) -> Column:

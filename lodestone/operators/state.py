@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import token_estimate
-from lodestone.operators.retrieval import cosine
+from lodestone.operators.retrieval import cosine, latest
 
 # The least cosine of a hit, entries kept, tokens and turns of a window.
 THRESHOLD, ENTRIES, BUDGET, TURNS = 0.93, 512, 2000, 5
@@ -43,6 +46,56 @@ def cache_lookup(entries: DataFrame, queries: DataFrame, now: float | None = Non
     return best.select("query_id", "b.entry_id", "b.score")
 
 
+def cache_put(entries: DataFrame, new: DataFrame, keep: int = ENTRIES) -> DataFrame:
+    """The entries with new ones added, one of a known entry_id in its place, and the oldest of each scope dropped."""
+    return cache_trimmed(latest(entries.unionByName(new), "entry_id", "ts").select(*entries.columns), keep)
+
+
+def cache_stats(entries: DataFrame) -> DataFrame:
+    """scope, n, and the times of the oldest and the newest entry."""
+    return entries.groupBy("scope").agg(F.count("*").alias("n"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"))
+
+
+def cache_cleared(entries: DataFrame, scope: str | None = None) -> DataFrame:
+    """The entries without those of a scope; without any, where none is named."""
+    return entries.where(F.lit(False)) if scope is None else entries.where(~F.col("scope").eqNullSafe(F.lit(scope)))
+
+
+#: What changes make out of date: the keyword index too, or cached results alone.
+_OUTDATES = {"document": ("index", "cache"), "dataset_commit": ("index", "cache"), "dataset": ("cache",)}
+
+
+def versioned_scope(scope: Column, versions: DataFrame) -> Column:
+    """A scope with the number of changes that concern cached results, so that entries of before are never met again."""
+    n = versions.where(F.col("kind").isin([k for k, v in _OUTDATES.items() if "cache" in v])).count()
+    return F.concat_ws("|", scope, F.lit(f"v{n}"))
+
+
+def index_is_stale(versions: DataFrame, built_at) -> bool:
+    """Whether a change since then concerns the keyword index; versions: kind and ts of each change."""
+    kinds = [k for k, v in _OUTDATES.items() if "index" in v]
+    return bool(versions.where(F.col("kind").isin(kinds) & (F.col("ts") > F.lit(built_at))).take(1))
+
+
+def cacheable(response: Column) -> Column:
+    """Whether a response carries an answer: struct(clarification, knowledge(found, source_tier, needs_web_confirmation), map(results))."""
+    asks = F.coalesce(response["clarification"], F.lit("")) != ""
+    waits = F.coalesce(response["knowledge"]["needs_web_confirmation"], F.lit(False)) | F.coalesce(response["knowledge"]["source_tier"].isin("error", "awaiting_confirmation"), F.lit(False))
+    answers = F.coalesce(F.size(response["map"]["results"]) > 0, F.lit(False)) | F.coalesce(response["knowledge"]["found"], F.lit(False))
+    return ~asks & ~waits & answers
+
+
+def reply_text(response: Column, names: int = 5) -> Column:
+    """What a conversation keeps of a response: its answer, else what it asks, else the names of its first results."""
+    results = response["map"]["results"]
+    named = F.slice(F.array_distinct(F.filter(F.transform(results, lambda r: r["name"]), lambda n: F.coalesce(n, F.lit("")) != "")), 1, names)
+    more = F.size(results) - F.size(named)
+    shown = F.concat(F.lit("(showed on the map: "), F.array_join(named, ", "), F.when(more > 0, F.concat(F.lit(", and "), more, F.lit(" more"))).otherwise(""), F.lit(")"))
+    listed = F.when(results.isNull(), "").when(F.size(named) > 0, shown).otherwise(F.concat(F.lit("(mapped "), F.size(results), F.lit(" feature(s))")))
+    full = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c)
+    return F.coalesce(full(response["knowledge"]["answer"]), full(response["clarification"]), listed)
+
+
 def cache_trimmed(entries: DataFrame, keep: int = ENTRIES) -> DataFrame:
     """The newest entries of each scope."""
     newest = Window.partitionBy("scope").orderBy(F.desc("ts"), F.desc("entry_id"))
@@ -61,6 +114,52 @@ def within_budget(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
     return sized.withColumn("_sum", F.sum("tokens").over(back)).where(F.col("_sum") <= budget).drop("_sum")
 
 
+def session_name(session: Column) -> Column:
+    """The session that a name means; `default` where it is blank."""
+    name = F.trim(session)
+    return F.when(F.coalesce(name, F.lit("")) == "", F.lit("default")).otherwise(name)
+
+
+def without_session(turns: DataFrame, session: str | None) -> DataFrame:
+    """The turns of all other sessions."""
+    return turns.where(~session_name(F.col("session")).eqNullSafe(session_name(F.lit(session))))
+
+
+def folded(turns: DataFrame, budget: int = BUDGET, summarize: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
+    """session, summary and recent of each session: the latest rows within the budget as they are, earlier ones as a summary.
+
+    summarize is given the texts of sessions (`role: text` lines) many at a time; without it there is no summary and
+    only the last TURNS rows stay.
+    """
+    if summarize is None:
+        recent = transcript(last_turns(turns))
+        return recent.select("session", F.lit("").alias("summary"), F.col("transcript").alias("recent"))
+
+    @F.pandas_udf("string")
+    def told(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            full = [t for t in texts if t]
+            made = iter(summarize(full) if full else [])
+            yield pd.Series([next(made) if t else "" for t in texts], dtype="object")
+
+    near = within_budget(turns, budget)
+    early = turns.join(near.groupBy("session").agg(F.min("turn").alias("_first")), "session", "left").where("_first is null or turn < _first").drop("_first")
+    both = transcript(near).select("session", F.col("transcript").alias("recent")).join(transcript(early).select("session", F.col("transcript").alias("_early")), "session", "full")
+    return both.select("session", told(F.coalesce("_early", F.lit(""))).alias("summary"), F.coalesce("recent", F.lit("")).alias("recent"))
+
+
+def condensed(query: str, history: str, rewrite: Callable[[str], str] | None) -> str:
+    """A follow-up question as one that stands alone; the question itself where there is no history, no model, or its text is too long."""
+    asked = query.strip()
+    if rewrite is None or not history:
+        return query
+    try:
+        made = rewrite(f"Conversation:\n{history}\n\nQuestion: {query}\n\nAs a question of its own:").strip().strip('"').strip()
+    except Exception:  # a question is answered without it too
+        return query
+    return made if made and len(made) <= 4 * len(asked) + 200 else asked
+
+
 def transcript(turns: DataFrame) -> DataFrame:
     """session, n_turns and transcript (`role: text` lines in order); blank turns are skipped."""
     rows = turns.where(F.trim("text") != "").groupBy("session").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("line")))).alias("t"))
@@ -89,3 +188,25 @@ def search_logs(logs: DataFrame, text: str | None = None, modules: list[str] | N
     """A page of matching_logs, the newest first; limit 1 to 100000."""
     rows = matching_logs(logs, text, modules, levels, since, until)
     return rows.orderBy(F.desc("ts"), F.desc("id")).offset(max(0, offset)).limit(min(100_000, max(1, limit)))
+
+
+def count_logs(logs: DataFrame, **conditions) -> DataFrame:
+    """One row: total, the number of matching_logs whatever the page."""
+    return matching_logs(logs, **conditions).agg(F.count("*").alias("total"))
+
+
+# The columns of an exported log.
+LOG_COLUMNS = ("iso", "module", "level", "message", "target", "duration_ms", "error_type", "logger")
+
+
+def export_logs(logs: DataFrame, path: str, kind: str = "json") -> None:
+    """Writes log rows as JSON lines, all columns, or as CSV with LOG_COLUMNS, of which a missing one is empty; the newest first."""
+    rows = logs.withColumn("iso", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"))
+    ordered = lambda df: df.orderBy(F.desc("ts"), F.desc("id"))
+    if kind == "json":
+        ordered(rows).write.mode("overwrite").json(path)
+    elif kind == "csv":
+        shown = [F.col(c).cast("string").alias(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in LOG_COLUMNS]
+        ordered(rows).select(*shown).write.mode("overwrite").option("header", True).csv(path)
+    else:
+        raise ValueError(f"json or csv, not {kind}")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import geo, text
 from lodestone.operators import analytics, chunking, guardrails, retrieval, spatial, state, validation
+from lodestone.plans import schema_files
 from lodestone.plans.catalog import Catalog
+from lodestone.scratch import scratch
 from lodestone.sources import documents as document_sources
+from lodestone.sources import layers as layer_sources
 from lodestone.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,7 +201,7 @@ def knn_each(spark, d):
 @query(f"select s_suppkey, count(*) as n from {POINTS}, {REFS} where lon between ref_lon - 0.02::double and ref_lon + 0.02::double and lat between ref_lat - 0.03::double and ref_lat + 0.03::double group by 1")
 def box_join(spark, d):
     boxes = suppliers(spark, d).select("s_suppkey", (F.col("ref_lon") - 0.02).alias("minx"), (F.col("ref_lat") - 0.03).alias("miny"), (F.col("ref_lon") + 0.02).alias("maxx"), (F.col("ref_lat") + 0.03).alias("maxy"))
-    return spatial.polygon_join(customers(spark, d), boxes, 0.05).groupBy("s_suppkey").agg(F.count("*").alias("n"))
+    return spatial.box_join(customers(spark, d), boxes, 0.05).groupBy("s_suppkey").agg(F.count("*").alias("n"))
 
 
 @query(f"select min(lon) as minx, min(lat) as miny, max(lon) as maxx, max(lat) as maxy from {POINTS}")
@@ -270,13 +275,18 @@ def dominant_script(spark, d):
 _QUERY = "the and ing the onenthat heesth tion 42"
 
 
-@query(f"""with t as (select doc_id as chunk_id, {_SQL_TOKENS.format('text')} as w from documents), n as (select count(*) as n, avg(len(w)) as mean from t),
+
+def _sql_bm25(table: str) -> str:
+    return f"""with t as (select doc_id as chunk_id, {_SQL_TOKENS.format('text')} as w from {table}), n as (select count(*) as n, avg(len(w)) as mean from t),
     q as (select token, count(*) as times from (select unnest({_SQL_TOKENS.format("'" + _QUERY + "'")}) as token) group by 1),
     df as (select token, count(*) as df from (select distinct chunk_id, unnest(w) as token from t) group by 1),
     i as (select token, ln(n - df + 0.5) - ln(df + 0.5) as idf from df, n), m as (select avg(idf) as mean_idf from i),
     f as (select chunk_id, token, len(any_value(w)) as size, count(*) as tf from (select chunk_id, w, unnest(w) as token from t) where token in (select token from q) group by 1, 2),
     s as (select chunk_id, sum(times * (case when idf < 0 then 0.25 * mean_idf else idf end) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean))) as score from f join q using (token) join i using (token), m, n group by 1)
-    select chunk_id, round(score, 6) as score from s""")
+    select chunk_id, score from s"""
+
+
+@query(f"select chunk_id, round(score, 6) as score from ({_sql_bm25('documents')})")
 def bm25_scores(spark, d):
     chunks = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     return retrieval.bm25(chunks, _QUERY).select("chunk_id", F.round("score", 6).alias("score"))
@@ -311,13 +321,18 @@ def rrf_fuse(spark, d):
     return retrieval.fuse([(a, 1.0), (b, 2.0)]).select("chunk_id", F.round("score", 9).alias("score"))
 
 
-@query()
+@query(f"""with near as (select chunk_id, score, row_number() over (order by score desc, chunk_id) as rank from (select e.vec_id as chunk_id, {_SQL_COS} as score from embeddings e join documents on doc_id = e.vec_id, (select embedding from embeddings where vec_id = 0) q)),
+    words as (select chunk_id, score, row_number() over (order by score desc, chunk_id) as rank from ({_sql_bm25('(select documents.* from documents join embeddings on doc_id = vec_id)')})),
+    lists as (select 0 as list, * from near where rank <= 20 union all select 1, * from words where rank <= 20 and score > 0),
+    best as (select chunk_id, sum(1.0::double / (60 + rank)) as score, min(list * 100 + rank) as first, max(case when list = 0 then score end) as dense_score, max(case when list = 1 then score end) as bm25_score from lists group by 1)
+    select chunk_id, round(score, 9) as score, round(dense_score, 5) as dense_score, round(bm25_score, 6) as bm25_score from best order by best.score desc, first limit 5""")
 def hybrid_topk(spark, d):
     """A top-k report over documents that have a vector."""
     vectors = read(spark, d, "embeddings").withColumnRenamed("vec_id", "chunk_id")
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang")
     joined = docs.join(vectors, "chunk_id")
-    return retrieval.hybrid(joined, joined, _QUERY, _vector(spark, d))
+    found = retrieval.hybrid(joined, joined, _QUERY, _vector(spark, d))
+    return found.select("chunk_id", F.round("score", 9).alias("score"), F.round("dense_score", 5).alias("dense_score"), F.round("bm25_score", 6).alias("bm25_score"))
 
 
 @query(f"""with w as (select doc_id, text, lang, list_filter(list_distinct({_SQL_TOKENS.format('text')}), lambda x: length(x) > 1 and x not in ({_STOP})) as t from documents),
@@ -370,6 +385,21 @@ def prefixed_documents(spark, d):
     return read(spark, d, "documents").select("doc_id", text.context_prefix(heading, t).alias("text"))
 
 
+@query()
+def chunked_documents(spark, d):
+    """The chunks of every document, with a catalog of headings after every third text; a test holds them against plain Python."""
+    t = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, F.lit(CATALOG)).otherwise(""))
+    pages = read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 4 + 1).alias("page_number"), t.alias("text"))
+    return chunking.chunk_pages(pages).select("document_id", "page_number", "chunk_index", "chunk_id", "section", "text")
+
+
+@query()
+def reflowed_lines(spark, d):
+    """Every document's text, wrapped lines and headings after it, as paragraphs; a test holds it against plain Python."""
+    t = F.concat(F.coalesce("text", F.lit("")), F.lit(WRAPPED + CATALOG + "\nThe\n\ncoffee is good, and\nso is the tea.\nCustomers\n\n(like it)"))
+    return document_sources.reflowed_pages(read(spark, d, "documents").select("doc_id", t.alias("text")), "doc_id")
+
+
 @query()
 def recursive_split(spark, d):
     return chunking.recursive_chunks(read(spark, d, "documents"))
@@ -431,8 +461,22 @@ def redact(spark, d):
     from (select doc_id, t, {_sql_redact('t')} as safe from (select doc_id, coalesce(text, '') || ' ' || {_sql_planted(_PLANTED, 'doc_id')} || ' end' as t from documents))""")
 def scan_flags(spark, d):
     t = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), _planted(_PLANTED, "doc_id"), F.lit(" end"))
-    docs = read(spark, d, "documents").select("doc_id", t.alias("t"))
-    return docs.select("doc_id", F.array_join(guardrails.neutralized(F.col("t"))[1], ",").alias("flags"))
+    docs = read(spark, d, "documents").select("doc_id", t.alias("text"))
+    return guardrails.neutralized(docs).select("doc_id", F.array_join("flags", ",").alias("flags"))
+
+
+def _sql_quote(column: str) -> str:
+    out = column
+    for pattern in guardrails.INJECTION:
+        out = f"regexp_replace({out}, '(?i){pattern}', '[quoted document text: \\0]', 'g')"
+    return out
+
+
+@query(f"select doc_id, {_sql_quote(_sql_redact('t'))} as text from (select doc_id, coalesce(text, '') || ' ' || {_sql_planted(_PLANTED, 'doc_id')} || ' end' as t from documents)")
+def neutralized_documents(spark, d):
+    """The whole texts after redaction, planted instructions quoted."""
+    t = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), _planted(_PLANTED, "doc_id"), F.lit(" end"))
+    return guardrails.neutralized(read(spark, d, "documents").select("doc_id", t.alias("text"))).select("doc_id", "text")
 
 
 @query(f"""select event_id, array_to_string(list_filter([case when length(q) > 2000 then 'length' end, case when {_sql_any('q', guardrails.INJECTION)} then 'prompt_injection' end,
@@ -462,6 +506,11 @@ def intent_heuristic(spark, d):
     return read(spark, d, "events").select("event_id", guardrails.intent(_planted(_PROBES, "event_id"))[0].alias("intent"))
 
 
+@query(f"select event_id, case intent when 'ANALYTICS' then 0.7 when 'HYBRID' then 0.6 when 'KNOWLEDGE' then 0.55 when 'MAP' then case when k = 0 then 0.6 else 0.5 end else 0.3 end::double as sure from ({_sql_intent().replace('select event_id, case', 'select event_id, p, k, case', 1)})")
+def intent_confidence(spark, d):
+    return read(spark, d, "events").select("event_id", guardrails.intent(_planted(_PROBES, "event_id"))[1].alias("sure"))
+
+
 # ---- validation ----------------------------------------------------------------------------------------------------
 
 
@@ -762,9 +811,7 @@ def good_extracts(spark, d):
 def overlap_scaled(spark, d):
     """The share of a question's words in each document, and the same from 0 to 1 in each language."""
     o = read(spark, d, "documents").select("doc_id", "lang", text.overlap(F.lit(_QUERY), F.col("text")).alias("overlap"))
-    ends = o.groupBy("lang").agg(F.min("overlap").alias("lo"), F.max("overlap").alias("hi"))
-    scaled = F.when(F.col("hi") == F.col("lo"), F.lit(1.0)).otherwise((F.col("overlap") - F.col("lo")) / (F.col("hi") - F.col("lo")))
-    return o.join(F.broadcast(ends), o["lang"].eqNullSafe(ends["lang"])).select("doc_id", F.round("overlap", 9).alias("overlap"), F.round(scaled, 9).alias("scaled"))
+    return retrieval.min_max(o, "overlap", "lang").select("doc_id", F.round("overlap", 9).alias("overlap"), F.round("scaled", 9).alias("scaled"))
 
 
 @query("select doc_id, 'D-' || doc_id % 10 || ' — body' as a, 'body of D' as b from documents")
@@ -866,3 +913,221 @@ def full_merge(spark, d):
 def event_windows(spark, d):
     """The hourly counts of the log stream, over the records as a batch."""
     return streams.windowed(_logs(spark, d)).withColumn("total", F.round("total", 4))
+
+
+# ---- layers from files, polygon layers and analysis ----------------------------------------------------------------
+
+_SHAPE = ((0.0, 0.0), (0.031, 0.0052), (0.011, 0.0413))
+
+
+def _triangles(spark, d) -> DataFrame:
+    """A triangle at each supplier; that of every fifth is ten times as large."""
+    scale = F.when(F.col("s_suppkey") % 5 == 0, 10.0).otherwise(1.0)
+    ring = F.array(*(F.struct((F.col("ref_lon") + scale * x).alias("x"), (F.col("ref_lat") + scale * y).alias("y")) for x, y in _SHAPE))
+    return suppliers(spark, d).select("s_suppkey", F.array(ring).alias("rings"))
+
+
+def _sql_in_triangle() -> str:
+    corners = [(f"(ref_lon + scale * {x}::double)", f"(ref_lat + scale * {y}::double)") for x, y in _SHAPE]
+    sides = list(zip(corners, [*corners[1:], corners[0]], strict=True))
+    crossed = " + ".join(f"(case when (lat < {y1}) <> (lat < {y2}) and lon < (lat - {y1}) * (({x2} - {x1}) / ({y2} - {y1})) + {x1} then 1 else 0 end)" for (x1, y1), (x2, y2) in sides)
+    edge = " or ".join(f"(abs((lon - {x1}) * ({y2} - {y1}) - (lat - {y1}) * ({x2} - {x1})) < 1e-12 and lon between least({x1}, {x2}) and greatest({x1}, {x2}) and lat between least({y1}, {y2}) and greatest({y1}, {y2}))" for (x1, y1), (x2, y2) in sides)
+    return f"(({crossed}) % 2 = 1 or {edge})"
+
+
+@query(f"select c_custkey, s_suppkey from {POINTS}, (select *, case when s_suppkey % 5 = 0 then 10.0 else 1.0 end::double as scale from {REFS}) where {_sql_in_triangle()}")
+def points_in_polygons(spark, d):
+    return spatial.polygon_join(customers(spark, d), _triangles(spark, d)).select("c_custkey", "s_suppkey")
+
+
+_SIDE = "0.004::double * (1 + s_suppkey % 7) * (case when s_suppkey % 50 = 0 then 20 else 1 end)"
+_BOXES = f"(select s_suppkey, ref_lon as x, ref_lat as y, ref_lon + {_SIDE} as x2, ref_lat + {_SIDE} as y2 from {REFS})"
+
+
+@query(f"select a.s_suppkey as a, b.s_suppkey as b from {_BOXES} a, {_BOXES} b where a.s_suppkey < b.s_suppkey and a.x <= b.x2 and b.x <= a.x2 and a.y <= b.y2 and b.y <= a.y2")
+def polygons_meet(spark, d):
+    """Squares of very different sizes that meet, touch, or lie in each other."""
+    side = 0.004 * (1 + F.col("s_suppkey") % 7) * F.when(F.col("s_suppkey") % 50 == 0, 20).otherwise(1)
+    lon, lat = F.col("ref_lon"), F.col("ref_lat")
+    ring = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ((lon, lat), (lon + side, lat), (lon + side, lat + side), (lon, lat + side))))
+    squares = suppliers(spark, d).select("s_suppkey", F.array(ring).alias("rings"))
+    return spatial.layers_meet(squares.withColumnRenamed("s_suppkey", "a"), squares.withColumnRenamed("s_suppkey", "b"), "a", "b").where("a < b")
+
+
+def _seam(key: str, lon: str, lat: str) -> tuple[str, str]:
+    """Places around the date line, every other one near the pole; in words that Spark and DuckDB share."""
+    x = f"({lon} - 31.0 + 179.75)"
+    return f"(case when {x} > 180 then {x} - 360 else {x} end)", f"(case when {key} % 2 = 0 then {lat} else 59.9 + {lat} end)"
+
+
+_SEAM_P, _SEAM_R = _seam("c_custkey", "lon", "lat"), _seam("s_suppkey", "ref_lon", "ref_lat")
+
+
+@query(f"""select c_custkey, s_suppkey, round({sql_distance('lon', 'lat', 'ref_lon', 'ref_lat')}, 1) as distance_m from (select c_custkey, {_SEAM_P[0]} as lon, {_SEAM_P[1]} as lat from {POINTS}),
+    (select s_suppkey, {_SEAM_R[0]} as ref_lon, {_SEAM_R[1]} as ref_lat from {REFS}) where {sql_distance('lon', 'lat', 'ref_lon', 'ref_lat')} <= 3000""")
+def radius_over_the_seam(spark, d):
+    """Pairs on both sides of the date line and around the pole."""
+    points = customers(spark, d).select("c_custkey", F.expr(_SEAM_P[0]).alias("x"), F.expr(_SEAM_P[1]).alias("lat")).withColumnRenamed("x", "lon")
+    refs = suppliers(spark, d).select("s_suppkey", F.expr(_SEAM_R[0]).alias("x"), F.expr(_SEAM_R[1]).alias("ref_lat")).withColumnRenamed("x", "ref_lon")
+    return spatial.within_radius(points, refs, 3000).select("c_custkey", "s_suppkey", "distance_m")
+
+
+def _feature_files(spark, d, x: Column, y: Column, crs: str | None) -> str:
+    """GeoJSON files of 100 suppliers each, with the coordinates x and y and a crs member."""
+    s = suppliers(spark, d)
+    geometry = F.struct(F.lit("Point").alias("type"), F.array(x, y).alias("coordinates"))
+    f = s.select(F.floor(F.col("s_suppkey") / 100).alias("part"), F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct("s_suppkey", "s_name").alias("properties")).alias("f"))
+    named = [F.struct(F.struct(F.lit(crs).alias("name")).alias("properties")).alias("crs")] if crs else []
+    files = f.groupBy("part").agg(F.collect_list("f").alias("features")).select("part", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), *named, "features")).alias("value"))
+    path = scratch(spark, "feature-files")
+    files.write.partitionBy("part").text(path)
+    return path
+
+
+@query(f"select s_suppkey, system, round(ref_lon, 6) as lon, round(ref_lat, 6) as lat, false as far from {REFS}, (select unnest(['lon and lat', 'mercator', 'utm']) as system)")
+def layers_of_three_systems(spark, d):
+    """Suppliers written as GeoJSON in lon and lat, in EPSG:3857 and in UTM zone 36, and read back; far: over a centimetre off."""
+    lon, lat, r = F.col("ref_lon"), F.col("ref_lat"), 6378137.0
+    mercator = (F.radians(lon) * r, F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * r)
+    systems = (("lon and lat", (lon, lat), None), ("mercator", mercator, "urn:ogc:def:crs:EPSG::3857"), ("utm", geo.to_utm(lon, lat, 36), "EPSG:32636"))
+    parts = []
+    for name, (x, y), crs in systems:
+        rows = layer_sources.as_rows(layer_sources.read_geojson(spark, _feature_files(spark, d, x, y, crs)), ["s_suppkey"])
+        parts.append(rows.select(F.col("s_suppkey").cast("long").alias("s_suppkey"), F.lit(name).alias("system"), "_lon", "_lat"))
+    both = reduce(DataFrame.unionByName, parts).join(suppliers(spark, d).select("s_suppkey", "ref_lon", "ref_lat"), "s_suppkey")
+    far = geo.haversine(F.col("_lon"), F.col("_lat"), F.col("ref_lon"), F.col("ref_lat")) > 0.01
+    return both.select("s_suppkey", "system", F.round("_lon", 6).alias("lon"), F.round("_lat", 6).alias("lat"), far.alias("far"))
+
+
+@query(f"select c_custkey, lon, lat from {POINTS} where lon between 31.1 and 31.25 and lat between 29.85 and 30.0")
+def layer_round_trip(spark, d):
+    """A layer written by cells, and what a box of it reads."""
+    path = scratch(spark, "layer")
+    layer_sources.write_layer(customers(spark, d).select("c_custkey", "lon", "lat"), path)
+    return layer_sources.read_layer(spark, path, (31.1, 29.85, 31.25, 30.0)).select("c_custkey", "lon", "lat")
+
+
+_DECLARED = """{"fields": [{"name": "n_nationkey", "type": "INTEGER", "primary_key": true, "description": "Key of the nation"}, {"name": "N_NAME", "type": "TEXT", "not_null": true},
+    {"name": "n_regionkey", "references": {"table": "region", "column": "r_regionkey"}}, {"name": "unknown", "type": "TEXT"}]}"""
+
+
+@query("""select * from (values ('n_nationkey', 'integer', 0::bigint, 'INTEGER', 'Key of the nation', 'schema', true, true, null), ('n_name', 'string', 0, 'TEXT', '', '', true, false, null),
+    ('n_regionkey', 'integer', 0, 'integer', '', '', false, false, 'region.r_regionkey'), ('extra', 'null', (select count(*) from nation), 'null', '', '', false, false, null)) t("column", dtype, nulls, type, description, source, required, primary_key, foreign_key)""")
+def schema_overlay(spark, d):
+    """What a schema file says, laid over the columns found."""
+    rows = read(spark, d, "nation").select(*(F.col(c).cast("string").alias(c) for c in ("n_nationkey", "n_name", "n_regionkey")), F.lit("").alias("extra"))
+    return schema_files.overlaid(validation.column_report(rows), schema_files.parse_schema(_DECLARED))
+
+
+def _six_kinds(spark, d) -> DataFrame:
+    lon, lat, k = F.col("lon"), F.col("lat"), F.col("c_custkey") % 6
+    shape = lambda kind, fmt, *a: F.struct(F.lit(kind).alias("type"), F.format_string(fmt, *a).alias("coordinates"))
+    geometry = (
+        F.when(k == 1, shape("Point", "[%s,%s]", lon, lat)).when(k == 2, shape("Point", "[%s,%s]", lat, lon + 100)).when(k == 3, shape("Polygon", "[[[%s,%s],[%s,%s],[%s,%s]]]", lon, lat, lon + 0.1, lat, lon, lat + 0.1))
+        .when(k == 4, shape("Polygon", "[[[%s,%s],[%s,%s],[%s,%s],[%s,%s]]]", lon, lat, lon + 0.1, lat + 0.1, lon + 0.1, lat, lon, lat + 0.2)).when(k == 5, shape("LineString", "[[%s,%s],[%s,%s],[%s,%s]]", lon, lat, lon, lat, lon + 1, lat))
+    )
+    return customers(spark, d).select(F.col("c_custkey").alias("_src_index"), geometry.alias("geometry"), F.create_map(F.lit("name"), F.col("c_name"), F.lit("seats"), F.col("c_custkey").cast("string")).alias("properties"))
+
+
+@query("""select count(*) as total, count(*) filter (c_custkey % 6 in (1, 3, 5)) as accepted, count(*) filter (c_custkey % 6 in (0, 2, 4)) as pending, count(*) filter (c_custkey % 6 in (3, 4, 5)) as auto_fixed,
+    count(*) filter (c_custkey % 6 in (0, 2, 4)) as important, count(*) filter (c_custkey % 6 in (3, 4, 5)) as warning from customer""")
+def validation_summary(spark, d):
+    """Features without geometry, swapped, open, crossing themselves, and with repeated vertices."""
+    return validation.summary(validation.checked(_six_kinds(spark, d)))
+
+
+@query("""select kind, severity, fixed, count(*) as n from (select case c_custkey % 6 when 0 then 'missing_geometry' when 2 then 'swapped_coordinates' when 3 then 'ring_closed' when 4 then unnest(['ring_closed', 'self_crossing']) when 5 then 'repeated_vertices' end as kind from customer)
+    t join (values ('missing_geometry', 'important', false), ('swapped_coordinates', 'important', false), ('self_crossing', 'important', false), ('ring_closed', 'warning', true), ('repeated_vertices', 'warning', true)) k(kind, severity, fixed) using (kind) group by 1, 2, 3""".replace(
+    "case c_custkey % 6 when 0 then 'missing_geometry' when 2 then 'swapped_coordinates' when 3 then 'ring_closed' when 4 then unnest(['ring_closed', 'self_crossing']) when 5 then 'repeated_vertices' end as kind",
+    "unnest(case c_custkey % 6 when 0 then ['missing_geometry'] when 2 then ['swapped_coordinates'] when 3 then ['ring_closed'] when 4 then ['ring_closed', 'self_crossing'] when 5 then ['repeated_vertices'] else [] end) as kind"))
+def validation_issues(spark, d):
+    return validation.issues(validation.checked(_six_kinds(spark, d))).groupBy("kind", "severity", "fixed").agg(F.count("*").alias("n"))
+
+
+@query("""select c_custkey, case when c_custkey % 6 = 0 then 1.0 when c_custkey % 6 = 2 then lon + 100 else lon end as x, case when c_custkey % 6 = 0 then 2.0 else lat end as y, case when c_custkey % 5 = 1 then 'given' else c_name end as name,
+    case when c_custkey % 7 = 1 then null when c_custkey % 7 = 2 then '0' else c_custkey::varchar end as seats from """ + POINTS + """ where c_custkey % 6 <> 4 and not (c_custkey % 6 = 0 and c_custkey % 4 = 0)""")
+def finalized_features(spark, d):
+    """Decisions on missing and swapped geometries, missing names, outliers and crossing rings, carried out at once."""
+    rows = validation.checked(_six_kinds(spark, d))
+    k = F.col("_src_index")
+    made = lambda test, kind, action, field=None, value=None: F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(field).cast("string").alias("field"), F.lit(action).alias("action"), F.lit(value).cast("string").alias("value")))
+    decisions = rows.select("_src_index", F.explode(F.filter(F.array(
+        made((k % 6 == 0) & (k % 4 == 0), "missing_geometry", "drop"), made((k % 6 == 0) & (k % 4 != 0), "missing_geometry", "fix", None, '{"type":"Point","coordinates":[1,2]}'), made(k % 6 == 2, "swapped_coordinates", "fix"),
+        made(k % 6 == 4, "invalid_geometry", "drop"), made(k % 5 == 1, "missing_attribute", "autofill", "name", "given"), made(k % 7 == 1, "outlier", "null", "seats"), made(k % 7 == 2, "outlier", "fix", "seats", "0"),
+    ), lambda x: x.isNotNull())).alias("d")).select("_src_index", "d.*")
+    p = F.get(F.get("parts", 0), 0)
+    return validation.finalized(rows, decisions).select(F.col("_src_index").alias("c_custkey"), p.x.alias("x"), p.y.alias("y"), F.col("properties")["name"].alias("name"), F.col("properties")["seats"].alias("seats"))
+
+
+@query("""select o_orderpriority as category, (count(*) filter (o_orderstatus = 'F'))::double as F, (count(*) filter (o_orderstatus = 'O'))::double as O, (count(*) filter (o_orderstatus = 'P'))::double as P, count(*)::double as total
+    from orders where o_orderpriority in (select o_orderpriority from orders where starts_with(o_orderpriority, '1') or starts_with(o_orderpriority, '2')) group by 1""")
+def comparison_plan(spark, d):
+    """A question answered by its plan: profile, filter, cross-tab."""
+    orders = read(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice", F.col("o_orderkey").alias("_pos"))
+    wanted = sorted(r[0] for r in orders.select("o_orderpriority").distinct().collect() if r[0][:1] in "12")  # five priorities
+    plan = {"operation": "comparison", "group_by": "o_orderpriority", "compare_by": "o_orderstatus", "filters": {"o_orderpriority": wanted, "nothing": ["x"]}}
+    answer = analytics.analyze("compare status by priority as a pie chart", {"orders": orders}, lambda question, fields: plan)
+    return answer.table.select("category", *sorted(c for c in answer.table.columns if c in "FOP"), "total")
+
+
+@query(ORACLE_SQL["histogram_10"])
+def distribution_plan(spark, d):
+    """A question that a heuristic plan answers."""
+    c = customers(spark, d).select("c_custkey", "c_mktsegment", F.col("c_acctbal").alias("balance"), "_pos")
+    return analytics.analyze("the distribution of the balance", {"customers": c}).table
+
+
+@query(f"select count(*) as total from {POINTS} where {_sql_inside(_RING)} or {_sql_edge(_RING)}")
+def polygon_total(spark, d):
+    """The number of all features of the search whose page polygon_page gives."""
+    return spatial.count_polygon(customers(spark, d), [_RING])
+
+
+@query("select count(*) as total from (select (['MEMORY', 'ROUTING', 'API', 'CUSTOM'])[event_id % 4 + 1] as module, event_type from events) where contains(lower(module), 'mem') or contains(lower(event_type), 'mem')")
+def log_total(spark, d):
+    return state.count_logs(_logs(spark, d), text="mem")
+
+
+_NEAR = "select c_custkey, round(st_distance(st_point(lon, lat), st_point(31.2, 30.05)), 1) as distance_m from customer where st_dwithin(st_point(lon, lat), st_point(31.2, 30.05), 5000) and st_within(st_point(lon, lat), st_makeenvelope(31.0, 30.0, 31.21, 30.2))"
+
+
+@query(f"select c_custkey, round({sql_distance('lon', 'lat', '31.2::double', '30.05::double')}, 1) as distance_m from {POINTS} where {sql_distance('lon', 'lat', '31.2::double', '30.05::double')} <= 5000 and lon > 31.0 and lon < 31.21 and lat > 30.0 and lat < 30.2")
+def sql_spatial(spark, d):
+    catalog = Catalog(spark)
+    catalog.register("customer", customers(spark, d).select("c_custkey", "lon", "lat"))
+    return catalog.query(_NEAR)
+
+
+@query("""select vec_id as entry_id, label::varchar as scope, ts from (select *, row_number() over (partition by label order by ts desc, vec_id desc) as n from (select vec_id, label, case when vec_id % 3 = 0 then vec_id + 1000000 else vec_id end::double as ts from embeddings)) where n <= 20""")
+def cache_after_puts(spark, d):
+    """Every third entry is put again, later; the newest of each scope stay."""
+    entries = _entries(spark, d)
+    again = entries.where("entry_id % 3 = 0").withColumn("ts", F.col("ts") + 1_000_000)
+    return state.cache_put(entries, again, 20).select("entry_id", "scope", "ts")
+
+
+@query("select label::varchar as scope, count(*) as n, min(vec_id)::double as oldest, max(vec_id)::double as newest from embeddings where label <> 3 group by 1")
+def cache_statistics(spark, d):
+    return state.cache_stats(state.cache_cleared(_entries(spark, d), "3"))
+
+
+def _responses(spark, d) -> DataFrame:
+    """Responses of eight kinds, made of events."""
+    k = F.col("event_id") % 8
+    names = F.array(*(F.struct(F.when(F.col("event_id") % 3 != i, F.concat(F.lit(f"place {i} "), F.col("event_id") % 2)).alias("name")) for i in (0, 1, 2, 3, 4, 5, 6, 6)))
+    knowledge = F.when(k < 4, F.struct(F.when(k == 0, "an answer").alias("answer"), (k != 3).alias("found"), F.when(k == 1, "error").otherwise("documents").alias("source_tier"), (k == 2).alias("needs_web_confirmation")))
+    return read(spark, d, "events").select("event_id", F.struct(F.when(k == 4, "which city?").alias("clarification"), knowledge.alias("knowledge"), F.when(k > 4, F.struct(F.when(k == 5, names).when(k == 6, F.slice(names, 1, 2)).otherwise(F.slice(names, 1, 0)).alias("results"))).alias("map")).alias("r"))
+
+
+@query("select event_id, event_id % 8 in (0, 5, 6) as cacheable from events")
+def cacheable_responses(spark, d):
+    return _responses(spark, d).select("event_id", state.cacheable(F.col("r")).alias("cacheable"))
+
+
+@query("""with p as (select event_id, list_distinct(list_filter(list_transform([0, 1, 2, 3, 4, 5, 6, 6], lambda i: case when event_id % 3 <> i then 'place ' || i || ' ' || event_id % 2 end), lambda x: x is not null)) as unsorted,
+        list_filter(list_transform([0, 1, 2, 3, 4, 5, 6], lambda i: case when event_id % 3 <> i then 'place ' || i || ' ' || event_id % 2 end), lambda x: x is not null) as names,
+        list_filter(list_transform([0, 1], lambda i: case when event_id % 3 <> i then 'place ' || i || ' ' || event_id % 2 end), lambda x: x is not null) as two from events)
+    select event_id, case event_id % 8 when 0 then 'an answer' when 4 then 'which city?' when 5 then '(showed on the map: ' || array_to_string(names[1:5], ', ') || ', and 3 more)'
+        when 6 then '(showed on the map: ' || array_to_string(two, ', ') || case when len(two) < 2 then ', and 1 more' else '' end || ')' when 7 then '(mapped 0 feature(s))' else '' end as reply from p""")
+def replies(spark, d):
+    return _responses(spark, d).select("event_id", state.reply_text(F.col("r")).alias("reply"))

@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -10,4 +11,4 @@ sys.path[:0] = [str(Path(__file__).parents[1]), str(Path(__file__).parent)]
 def spark():
     from lodestone.session import session
 
-    return session("tests", 8)
+    return session("tests", int(os.environ.get("TEST_CPUS", "8")))

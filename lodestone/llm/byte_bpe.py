@@ -12,8 +12,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +28,47 @@ MEMO_PIECES, MEMO_CHARS = 400_000, 8_000_000
 PLAIN = r"\x00-\x1b\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u017f"
 
 
-class ByteBPE:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import ahocorasick
+class Pieces(dict):
+    """The ids of pieces as bytes; a piece that is asked for the first time is encoded, and beyond MEMO_CHARS all are forgotten."""
+
+    def __init__(self, encode_piece: Callable[[bytes], list[int]]):
+        self.encode_piece, self.kept = encode_piece, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        if self.kept + len(piece) > MEMO_CHARS:
+            self.clear()
+            self.kept = 0
+        self.kept += len(piece)
+        ids = self.encode_piece(piece.encode())
+        self[piece] = out = pack(f"<{len(ids)}I", *ids)
+        return out
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
+class Splitter:
+    """The matches of a pattern in a text."""
+
+    def __init__(self, pattern: str):
         import regex
 
-        self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
         self.find = regex.compile(pattern).findall
         # In texts of these blocks alone, the standard library's classes are those of the pattern, and faster.
         self.odd = re.compile(f"[^{PLAIN}]").search
         self.find_plain = re.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")).findall
+
+    def __call__(self, text: str) -> list[str]:
+        return (self.find if self.odd(text) else self.find_plain)(text)
+
+
+class ByteBPE:
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        import ahocorasick
+
+        self.ranks, self.tokens, self.pieces = ranks, {i: t for t, i in ranks.items()}, Splitter(pattern)
         trie = ahocorasick.Automaton()
         for token, i in ranks.items():
             trie.add_word(token.decode("latin-1"), (i, len(token)))
@@ -46,13 +78,11 @@ class ByteBPE:
         self.whole = lru_cache(MEMO_PIECES)(lambda i: self.merged(self.tokens[i]) == [i])
         self.reach = max(map(len, ranks))
         self.starts: dict[str, list[tuple[int, int]]] = {}
-        self.memo: dict[str, bytes] = {}
-        self.kept = 0
+        self.memo = Pieces(self.encode_piece)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
-        with open(path, "rb") as lines:
-            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
+        return cls(read_ranks(path), pattern)
 
     def merged(self, data: bytes, below: int | None = None) -> list[int]:
         """The ids that merging the neighbours of lowest rank gives, step by step (below a rank); for short data."""
@@ -134,14 +164,7 @@ class ByteBPE:
         return path
 
     def encode(self, text: str) -> np.ndarray:
-        pieces = (self.find if self.odd(text) else self.find_plain)(text)
-        if new := set(pieces).difference(self.memo):
-            if self.kept + sum(map(len, new)) > MEMO_CHARS:
-                self.memo, self.kept = {}, 0
-                new = set(pieces)
-            self.kept += sum(map(len, new))
-            self.memo.update((x, np.array(self.encode_piece(x.encode()), dtype="<u4").tobytes()) for x in new)
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), dtype="<u4")
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.pieces(text))), dtype="<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))

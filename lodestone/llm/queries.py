@@ -22,6 +22,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.labels_of_pages(spark, pages, table(spark, sf_dir, "labels")))
 
 
+def url_given_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3_url_filter gives before any mined rule: host, path and the given rule of each url."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame([], "url string, block boolean"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,29 +36,6 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adds all documents, revises the counts of words-2, takes away documents whose text an earlier one has, and repeats a batch.
-
-    The versions are counters that SQL has too; op5_tokenizer_counts counts with the tokenizers.
-    """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    counters = {"bytes-1": F.octet_length(text), "words-1": F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+"))}
-    lean = docs.select("doc_id", "source", "lang", F.sha2(text.cast("binary"), 256).alias("digest"), *(c.alias(k) for k, c in counters.items()), F.regexp_count(text, F.lit("[A-Za-z]+|[0-9]+")).alias("words-2"))
-    before = {k: F.col(f"`{k}`") for k in counters}
-    # A table of its own, so that the join has a shuffle of its own that Spark can split where a digest is frequent.
-    first = written(lean.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-of-digest")
-    copies = lean.join(first, "digest").where("doc_id > first")
-    return token_rollup.replay(token_rollup.TokenRollup(spark), _batches(lean, copies, before | {"words-2": F.col("`words-1`")}, {"words-2": F.col("`words-2`")}))
-
-
-def _batches(lean: DataFrame, copies: DataFrame, before: dict, after: dict) -> list[tuple[str, DataFrame]]:
-    """All rows by the counts before; those of after in their place, under the same keys; the copies taken away; the load again."""
-    load = token_rollup.inserts(lean, before)
-    revised = token_rollup.revisions(lean, {k: before[k] for k in after}, after)
-    return [("load", load), ("revised", revised), ("copies", token_rollup.deletes(copies, before | after)), ("load", load)]
-
-
-def op5_tokenizer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents by the two tokenizers of op4 and op10.
 
     The counts of the word tokenizer are loaded without the end id that op4 writes and then revised to have it, over
@@ -64,9 +46,26 @@ def op5_tokenizer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"), "text")
     counted = token_rollup.tokenizer_counts(docs, public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     lean = written(counted, "token-counts")  # each text is encoded once
+    return _rolled_up(spark, lean, {"word_bpe_49k": F.col("word"), "byte_bpe_multi_50k": F.col("byte")}, {"word_bpe_49k": F.col("word") + 1})
+
+
+def rollup_of_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup of op5_token_counts with counters of bytes and words, which SQL has too, in place of tokenizers."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    counters = {"bytes-1": F.octet_length(text), "words-1": F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+"))}
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    lean = docs.select("doc_id", "source", "lang", F.sha2(text.cast("binary"), 256).alias("digest"), *(c.alias(k) for k, c in counters.items()), F.regexp_count(text, F.lit("[A-Za-z]+|[0-9]+")).alias("words-2"))
+    return _rolled_up(spark, lean, {k: F.col(f"`{k}`") for k in counters} | {"words-2": F.col("`words-1`")}, {"words-2": F.col("`words-2`")})
+
+
+def _rolled_up(spark: SparkSession, lean: DataFrame, before: dict, after: dict) -> DataFrame:
+    """All rows by the counts before; those of after in their place, under the same keys; the copies taken away; the load again."""
+    # A table of its own, so that the join has a shuffle of its own that Spark can split where a digest is frequent.
     first = written(lean.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-of-digest")
     copies = lean.join(first, "digest").where("doc_id > first")
-    return token_rollup.replay(token_rollup.TokenRollup(spark), _batches(lean, copies, {"word_bpe_49k": F.col("word"), "byte_bpe_multi_50k": F.col("byte")}, {"word_bpe_49k": F.col("word") + 1}))
+    load = token_rollup.inserts(lean, before)
+    revised = token_rollup.revisions(lean, {k: before[k] for k in after}, after)
+    return token_rollup.replay(token_rollup.TokenRollup(spark), [("load", load), ("revised", revised), ("copies", token_rollup.deletes(copies, before | after)), ("load", load)])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,13 +96,22 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_url_filter, op4_token_files, op5_token_counts, op5_tokenizer_counts, op6_quality_rules, op7_warc, op8_decontamination, op9_line_dedup, op10_byte_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_url_filter, url_given_rules, op4_token_files, op5_token_counts, rollup_of_counters, op6_quality_rules, op7_warc, op8_decontamination, op9_line_dedup, op10_byte_bpe, pipeline)}
 
 _A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _BLANK = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 
 ORACLE_SQL = {
-    "op5_token_counts": r"""
+    "url_given_rules": rf"""
+        with u as (
+            select page_id, translate(regexp_extract(coalesce(url, ''), '^(.*?)://([^/?#]*)', 2, 's'), {_A_TO_Z}) as host, regexp_extract(coalesce(url, ''), '^(.*?)://[^/?#]*([^?#]*)', 2, 's') as path from pages
+        ), r as (
+            select * from (values ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')) t(rule, on_host, on_path, verdict)
+        ), m as (
+            select page_id, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict from u join r on (host = on_host or ends_with(host, '.' || on_host)) and starts_with(path, on_path) group by 1
+        )
+        select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from u left join m using (page_id)""",
+    "rollup_of_counters": r"""
         with d as (
             select doc_id, source, lang, coalesce(text, '') t, min(doc_id) over (partition by coalesce(text, '')) as first from documents
         ), c as (

@@ -53,6 +53,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo, self.memo_words = Tokenizer.from_file(path), {}, memo_words
+        # What the rules above rest on, asked of the tokenizer itself.
+        for text, same in ((" Ab\tC\n", "ab c"), ("abc.", "abc ."), ("x1!", "x1 !")):
+            if self._ids(text) != self._ids(same):
+                raise ValueError(f"{path} is no tokenizer of lower-cased words without white space")
         self.mark = np.array(self._ids(self.MARK), dtype="<i4")
         self.letters = str.maketrans(dict(enumerate(_byte_letters())))
 
@@ -84,14 +88,22 @@ class WordEncoder:
                 text = end.sub(b" ", text)
         return text.split()
 
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+    def _split(self, texts: list[bytes]) -> list[list[bytes]]:
+        """The words of each text, all of them learned."""
         split = [self.words(t) for t in texts]
-        seen = {w for words in split for w in words}
+        seen = set().union(*split)
         new = seen.difference(self.memo)
         if len(self.memo) + len(new) > self.memo_words:
             self.memo, new = {}, seen
         self._learn(new)
-        return [np.frombuffer(b"".join(map(self.memo.__getitem__, words)), dtype="<i4") for words in split]
+        return split
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.frombuffer(b"".join(map(self.memo.__getitem__, words)), dtype="<i4") for words in self._split(texts)]
+
+    def counts(self, texts: list[bytes]) -> list[int]:
+        """The number of ids of each text."""
+        return [sum(map(len, map(self.memo.__getitem__, words))) // 4 for words in self._split(texts)]
 
 
 def _encoder(path: str):
@@ -127,8 +139,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, encoding: str = "di
 
 
 def _placed(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of the files with the file and the place in it; file names sort in the order of the ids."""
-    return spark.read.parquet(path).select("*", F.element_at(F.split(F.col("_metadata.file_name"), "-"), 2).alias("file"), F.col("_metadata.row_index").alias("at"))
+    """The rows of the files with the file's number and the place in it; numbers go up in the order of the ids."""
+    return spark.read.parquet(path).select("*", F.element_at(F.split(F.col("_metadata.file_name"), "-"), 2).cast("long").alias("file"), F.col("_metadata.row_index").alias("at"))
 
 
 def _starts(placed: DataFrame, rows: DataFrame) -> DataFrame:
@@ -140,7 +152,11 @@ def _starts(placed: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, ids, n_tokens and start: the number of ids before the document, counted over the files in order."""
+    """doc_id, ids, n_tokens and start: the number of ids before the document, counted over the files in order.
+
+    Rows come as they were written: null doc_ids first, repeated rows as often as they stood there, none for an empty
+    table. Every row has the end id at least.
+    """
     placed = _placed(spark, path)
     starts = _starts(placed, placed.select("file", "at", "n_tokens")).select("file", "at", "start")
     return placed.join(starts, ["file", "at"]).select("doc_id", "ids", "n_tokens", "start")
@@ -158,5 +174,5 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, read back from the files."""
     placed = _placed(spark, path)
     kind = placed.schema["doc_id"].dataType.simpleString()
-    digests = placed.select("file", "at", "doc_id", "ids", "n_tokens").mapInArrow(_crc32, f"file string, at long, doc_id {kind}, n_tokens long, ids_crc32 long")
+    digests = placed.select("file", "at", "doc_id", "ids", "n_tokens").mapInArrow(_crc32, f"file long, at long, doc_id {kind}, n_tokens long, ids_crc32 long")
     return _starts(placed, digests).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -2,25 +2,28 @@
 
 A batch brings signed rows: +1 adds a document's tokens, -1 takes them away; a revision is both. Spark sums the batch
 to one delta for each key before anything is shuffled, and the next version of the totals is the last one plus
-the delta. Each version names the batches that are in it, so that a batch which comes again changes nothing.
+the delta. Each version lists the batches that are in it, so that a batch which comes again changes nothing.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.byte_bpe import _LOADED, ByteBPE
+from lodestone.llm.byte_bpe import Pieces, Splitter, read_ranks
 from lodestone.llm.common import scratch, slices, utf8
 from lodestone.llm.token_files import WordEncoder
 
 KEYS = ("source", "lang", "tokenizer")
 _SUMS = ("n_docs", "n_tokens")
+#: Versions that stay besides the last.
+KEEP = 2
 
 
 def inserts(docs: DataFrame, counters: dict[str, Column]) -> DataFrame:
@@ -41,15 +44,27 @@ def revisions(docs: DataFrame, before: dict[str, Column], after: dict[str, Colum
     return deletes(docs, before).unionByName(inserts(docs, after))
 
 
+@lru_cache(2)
+def _piece_ids(path: str, pattern: str) -> Pieces:
+    import tiktoken
+
+    return Pieces(tiktoken.Encoding("rollup", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})._encode_single_piece)
+
+
 def tokenizer_counts(docs: DataFrame, word_path: str, byte_path: str, pattern: str) -> DataFrame:
-    """docs (doc_id, source, lang, digest, text) with word and byte in place of text: its numbers of ids by the encoders of op4 and op10."""
+    """docs (doc_id, source, lang, digest, text) with word and byte in place of text: its numbers of ids by the tokenizers of op4 and op10.
+
+    The ids are those of these operators; here pieces that a worker has not seen yet are encoded by the tiktoken
+    library. Null and empty texts have 0 ids; rows without doc_id and repeated rows are counted like others, an empty table
+    gives none.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = WordEncoder(word_path)
-        pieces = _LOADED.get((byte_path, pattern)) or _LOADED.setdefault((byte_path, pattern), ByteBPE.from_file(byte_path, pattern))
+        split, ids = Splitter(pattern), _piece_ids(byte_path, pattern)
         for batch in slices(batches):
             texts = utf8(batch.column("text"))
-            counts = [pa.array([len(x) for x in words(texts)], pa.int64()), pa.array([len(pieces.encode(t.decode())) for t in texts], pa.int64())]
+            counts = [pa.array(words.counts(texts), pa.int64()), pa.array([sum(map(len, map(ids.__getitem__, split(t.decode())))) // 4 for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *counts], names=[*kept, "word", "byte"])
 
     kept = ("doc_id", "source", "lang", "digest")
@@ -58,46 +73,79 @@ def tokenizer_counts(docs: DataFrame, word_path: str, byte_path: str, pattern: s
 
 
 def delta(changes: DataFrame) -> DataFrame:
+    """The change of each key's totals; null sources and languages are keys, repeated rows count each, no rows no keys."""
     return changes.groupBy(*KEYS).agg(F.sum(F.col("sign").cast("long")).alias("n_docs"), F.sum(F.col("sign") * F.col("tokens")).alias("n_tokens"))
 
 
 class TokenRollup:
-    """Totals as a row of versions under one folder; a version is whole once its _SUCCESS file stands."""
+    """Totals as a row of versions under one folder.
+
+    A writer writes a version to a folder of its own and commits it by making the file v<number>.commit, which names
+    that folder and which only one writer can make; another that was first is noticed, and the batch is added to its
+    version instead. The last KEEP versions stay.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or scratch(spark, "rollup")
-        self.version = self._last()
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at, jvm
-
-    def _last(self) -> int:
-        fs, at, jvm = self._fs()
-        if not fs.exists(at):
-            return -1
-        names = [s.getPath().getName() for s in fs.listStatus(at)]
-        whole = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/batches/_SUCCESS"))]
-        return max(whole, default=-1)
+        self.version, self.folder = self._last()
+
+    def _fs(self, name: str = ""):
+        """The file system, and the path of a name in the folder."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _last(self) -> tuple[int, str]:
+        fs, at = self._fs()
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        last = max((int(n[1:-7]) for n in names if n.endswith(".commit") and n[1:-7].isdigit()), default=-1)
+        return last, self._folder(last) if last >= 0 else ""
+
+    def _folder(self, version: int) -> str:
+        """The folder that a commit file names."""
+        return self.spark.read.text(f"{self.path}/v{version}.commit").first()[0]
+
+    def _claimed(self, version: int, folder: str) -> bool:
+        """Makes the commit file; False if it is there already."""
+        fs, at = self._fs(f"v{version}.commit")
+        if fs.exists(at):
+            return False
+        try:
+            out = fs.create(at, False)
+        except Exception:  # made by another writer since
+            if fs.exists(at):
+                return False
+            raise
+        out.write(bytearray(folder.encode()))
+        out.close()
+        return True
 
     def _read(self, what: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.version}/{what}")
+        return self.spark.read.parquet(f"{self.path}/{self.folder}/{what}")
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """Adds a batch; False, and nothing done, if a batch of this name is in already."""
-        done = self.spark.createDataFrame([(batch_id,)], "batch string")
-        new = delta(changes)
-        if self.version >= 0:
-            if self._read("batches").where(F.col("batch") == batch_id).take(1):
-                return False
-            new = self._read("totals").unionByName(new).groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in _SUMS))
-            done = self._read("batches").unionByName(done)
-        out = f"{self.path}/v{self.version + 1}"
-        new.write.mode("overwrite").parquet(f"{out}/totals")
-        done.coalesce(1).write.mode("overwrite").parquet(f"{out}/batches")  # last: it makes the version whole
-        self.version += 1
-        return True
+        """Adds a batch; False, and nothing done, if a batch of this name is in already: the name says what is in it."""
+        while True:
+            done = self.spark.createDataFrame([(batch_id,)], "batch string")
+            new = delta(changes)
+            if self.version >= 0:
+                if self._read("batches").where(F.col("batch") == batch_id).take(1):
+                    return False
+                new = self._read("totals").unionByName(new).groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in _SUMS))
+                done = self._read("batches").unionByName(done)
+            folder = f"v{self.version + 1}-{uuid.uuid4().hex}"
+            new.write.parquet(f"{self.path}/{folder}/totals")
+            done.coalesce(1).write.parquet(f"{self.path}/{folder}/batches")
+            if self._claimed(self.version + 1, folder):
+                self.version, self.folder = self.version + 1, folder
+                self._forget(self.version - KEEP - 1)
+                return True
+            self.version, self.folder = self._last()
+
+    def _forget(self, version: int) -> None:
+        """Removes the version's folder; the commit file stays, so that its number isn't given again."""
+        if version >= 0:
+            fs, at = self._fs(self._folder(version))
+            fs.delete(at, True)
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs and n_tokens of the keys with any document left."""

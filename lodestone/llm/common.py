@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.scratch import BROADCAST_ROWS, cleared, remove, scratch, shared_dir, small_side, written
+
+__all__ = ["BROADCAST_ROWS", "SLICE_BYTES", "UPPER", "ascii_lower", "cleared", "remove", "scratch", "shared_dir", "slices", "small_side", "table", "utf8", "written"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Bytes of text that a Python helper takes at once.
@@ -27,53 +28,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master a local one where it is unset."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        if sc.master != "local" and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-        base = sc.getCheckpointDir()
-    return base.rstrip("/")
-
-
-#: Scratch paths of each open `cleared`, the innermost last.
-_OPEN: list[list[str]] = []
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1].append(path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@contextmanager
-def cleared(spark: SparkSession) -> Iterator[None]:
-    """Removes at its end the scratch paths made within; results that are still to be read have to be written elsewhere."""
-    _OPEN.append([])
-    try:
-        yield
-    finally:
-        for path in _OPEN.pop():
-            remove(spark, path)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and outlives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that each holds SLICE_BYTES of the column or one row."""
     for batch in batches:
@@ -91,13 +45,3 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
-#: Rows up to which a table whose size has been counted is broadcast.
-BROADCAST_ROWS = 200_000
-
-
-def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df, to be broadcast if it has at most so many rows (BROADCAST_ROWS); else Spark chooses how to join it."""
-    rows = BROADCAST_ROWS if rows is None else rows
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import BROADCAST_ROWS, ascii_lower, small_side, written
+from lodestone.llm.common import ascii_lower, small_side, written
 
 WINDOW, SHINGLE = 10, 5
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -78,9 +78,10 @@ def occurrences(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     near = found.join(small_side(prefix), "h").where((start >= 0) & (start + F.col("window") <= F.col("n")))
     near = near.groupBy("doc_id", "tag").agg(F.collect_set(F.struct(start.alias("start"), F.col("window").alias("size"), "win")).alias("near"))
     near = written(near.withColumnsRenamed({"doc_id": "near id", "tag": "near tag"}), "candidates")
-    few = (near.agg(F.sum(F.size("near"))).first()[0] or 0) <= BROADCAST_ROWS  # windows, not rows, bound the size
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    both = rows.join(F.broadcast(near) if few else near, F.col("doc_id").eqNullSafe(F.col("near id")) & (F.col("tag") == F.col("near tag")))
+    key = F.col("doc_id").eqNullSafe(F.col("near id")) & (F.col("tag") == F.col("near tag"))
+    # Texts of other documents are sorted out by ids alone, which are small, before any text is moved.
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").join(small_side(near.select("near id", "near tag")), key, "left_semi")
+    both = rows.join(near, key)
     same = lambda c: F.array_join(F.slice("words", c["start"] + 1, c["size"]), " ") == c["win"]
     stand = both.withColumn("words", words(F.col("text"))).select("doc_id", "tag", F.explode(F.filter("near", same)).alias("hit"))
     return stand.select("doc_id", "tag", "hit.*").distinct()

@@ -17,8 +17,8 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and runs of digits, in lower case."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)([^\W\d_]+|\d+)"), 1)
+    """Runs of letters and of number signs that are no digits, and runs of digits, in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{Nl}\p{No}]+|\p{Nd}+"), 0)
 
 
 def content_tokens(text: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import sql_functions
+from lodestone.scratch import exists, file_system, remove
 
 #: Nodes of a parsed plan that only read; a plan with any other is refused.
 READING = frozenset({
@@ -36,22 +39,48 @@ def sanitized(names: list[str]) -> list[str]:
     return out
 
 
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
 class Catalog:
-    """Layers registered under display names; each is a temporary view."""
+    """Layers registered under display names; each is a temporary view.
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.layers = spark, {}
+    With a path, layers are stored there and a later catalog of the same path has them again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.layers, self.path = spark, {}, path
         sql_functions.register(spark)
+        if path and exists(spark, path):
+            fs, at = file_system(spark, path)
+            for folder in (str(s.getPath()) for s in fs.listStatus(at)):
+                if exists(spark, f"{folder}/meta/_SUCCESS"):
+                    layer = json.loads(spark.read.text(f"{folder}/meta").first()[0])
+                    self.layers[layer["name"]] = layer
+                    spark.read.parquet(f"{folder}/data").createOrReplaceTempView(quoted(layer["name"]))
+
+    def _folder(self, name: str) -> str:
+        return f"{self.path}/{hashlib.sha1(name.encode()).hexdigest()[:16]}"
 
     def register(self, name: str, df: DataFrame, geometry: str = "GEOMETRY", descriptions: dict[str, str] | None = None) -> DataFrame:
+        """Names the layer's columns so that SQL can, describes those without a description, and replaces a layer of this name."""
         df = df.toDF(*sanitized(df.columns))
-        df.createOrReplaceTempView(name)
-        self.layers[name] = {"name": name, "geometry_type": geometry, "n_columns": len(df.columns), "descriptions": {c: (descriptions or {}).get(c, describe(c, t)) for c, t in df.dtypes}}
+        layer = {"name": name, "geometry_type": geometry, "n_columns": len(df.columns), "descriptions": {c: (descriptions or {}).get(c, describe(c, t)) for c, t in df.dtypes}}
+        if self.path:
+            remove(self.spark, f"{self._folder(name)}/meta")  # the layer is whole again when that stands
+            df.write.mode("overwrite").parquet(f"{self._folder(name)}/data")
+            self.spark.createDataFrame([(json.dumps(layer),)], "value string").coalesce(1).write.text(f"{self._folder(name)}/meta")
+            df = self.spark.read.parquet(f"{self._folder(name)}/data")
+        df.createOrReplaceTempView(quoted(name))
+        self.layers[name] = layer
         return df
 
     def drop(self, name: str) -> None:
         self.layers.pop(name, None)
-        self.spark.catalog.dropTempView(name)
+        self.spark.sql(f"drop view if exists {quoted(name)}")
+        if self.path:
+            remove(self.spark, self._folder(name))
 
     def columns(self) -> DataFrame:
         rows = [(n, layer["geometry_type"], c, d) for n, layer in self.layers.items() for c, d in layer["descriptions"].items()]

@@ -256,7 +256,7 @@ def entity_match(spark, d):
 
 # ---- text and retrieval --------------------------------------------------------------------------------------------
 
-_SQL_TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{M}}]+|\d+')"
+_SQL_TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{Nl}}\p{{No}}]+|\p{{Nd}}+')"
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 
 
@@ -685,6 +685,17 @@ def sql_window(spark, d):
     return catalog.query(_RANKS)
 
 
+_ABOVE = "select c_nationkey, count(*) as n, (select max(s_acctbal) from supplier) as most from customer where c_acctbal > (select avg(c_acctbal) from customer) and c_nationkey in (select n_nationkey from nation where n_regionkey < 3) group by c_nationkey"
+
+
+@query(_ABOVE)
+def sql_subqueries(spark, d):
+    catalog = Catalog(spark)
+    for name in ("customer", "supplier", "nation"):
+        catalog.register(name, read(spark, d, name))
+    return catalog.query(_ABOVE)
+
+
 @query("select 'customer' as name, 'GEOMETRY' as geometry_type, 5 as n_columns union all select 'nation', 'Polygon', 3")
 def catalog_listing(spark, d):
     catalog = Catalog(spark)

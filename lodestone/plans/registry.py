@@ -351,25 +351,31 @@ def chunk_ids(spark, d):
     return chunking.page_chunks(chunks).select("chunk_id", F.col("chunk_index").cast("int").alias("chunk_index"))
 
 
-@query("select doc_id, unnest([1, 2])::int as section_index, unnest(['Opening hours', 'Menu of the house']) as section, unnest(['from nine to five.' || chr(10) || 'closed on day ' || doc_id % 7 || '.', 'tea; coffee.']) as body from documents")
-def heading_sections(spark, d):
-    """Every document's text under two given headings, as raw ones have hardly any."""
-    catalog = F.concat(F.lit("before any heading.\nOpening hours\nfrom nine to five.\nclosed on day "), F.col("doc_id") % 7, F.lit(".\n\nMenu of the house\ntea; coffee.\nLast One"))
-    return chunking.sections(read(spark, d, "documents").select("doc_id", catalog.alias("text")))
-
-
 #: Appended to raw texts, which have hardly any headings and wrapped lines.
 CATALOG = "\nbefore any heading.\nOpening hours\nfrom nine to five.\n\nMenu of the house\ntea; coffee.\nLast One"
 WRAPPED = "\nhyphen-\nated words\nare joined\nNext: 7\nlines.\nend"
 
 
-@query()
-def document_sections(spark, d):
-    """The sections of every document's text, given headings after it; a test holds them against plain Python."""
+_SQL_CATALOG, _SQL_WRAPPED = ("'" + t.replace("\n", "' || chr(10) || '") + "'" for t in (CATALOG, WRAPPED))
+_SQL_HEAD = f"""s <> '' and length(s) <= {text.HEADING_CHARS} and len(regexp_split_to_array(s, '[ \\t\\n\\x0B\\f\\r]+')) <= {text.HEADING_WORDS} and right(s, 1) not in ({', '.join(f"'{c}'" for c in text.TERMINAL)})
+    and regexp_extract(s, '(\\p{{L}})', 1) <> '' and not regexp_matches(regexp_extract(s, '(\\p{{L}})', 1), '[a-z]')"""
+
+
+@query(f"""with l as (select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as pos from (select doc_id, coalesce(text, '') || {_SQL_CATALOG} as t from documents)),
+    h as (select *, {_SQL_HEAD} as head from (select *, trim(line) as s from l)), m as (select *, sum(head::int) over (partition by doc_id order by pos) as n from h)
+    select doc_id, n::int as section_index, max(s) filter (head) as section, string_agg(s, chr(10) order by pos) filter (not head and s <> '') as body from m where n > 0 group by doc_id, n having count(*) filter (not head and s <> '') > 0""")
+def heading_sections(spark, d):
+    """The sections of every document's text, given headings after it, as raw ones have hardly any."""
     t = F.concat(F.coalesce("text", F.lit("")), F.lit(CATALOG))
     return chunking.sections(read(spark, d, "documents").select("doc_id", t.alias("text")))
 
 
+@query()
+def document_sections(spark, d):
+    """As heading_sections; a test holds it against plain Python."""
+    return heading_sections(spark, d)
+
+
 @query()
 def reflowed_documents(spark, d):
     """Every document's text, wrapped lines after it, reflowed; a test holds it against plain Python."""
@@ -585,12 +591,12 @@ def _entries(spark, d) -> DataFrame:
 
 
 @query(f"""select query_id, entry_id, round(score, 5) as score from (select q.vec_id as query_id, e.vec_id as entry_id, {_SQL_COS} as score, row_number() over (partition by q.vec_id order by {_SQL_COS} desc, e.vec_id) as n
-    from embeddings q, embeddings e where q.vec_id % 20 = 0 and e.vec_id % 20 <> 0 and q.label = e.label and {_SQL_COS} >= 0.3) where n = 1""")
+    from embeddings q, embeddings e where q.vec_id % 20 = 0 and q.label = e.label and {_SQL_COS} >= 0.93) where n = 1""")
 def cache_lookup(spark, d):
-    """Every vector whose id is divisible by 20 is a query against those of its scope whose id is not; cache_partners searches all."""
+    """Every vector whose id is divisible by 20 is a query against all of its scope, its own entry among them."""
     entries = _entries(spark, d)
     queries = entries.where("entry_id % 20 = 0").select(F.col("entry_id").alias("query_id"), "scope", "vector")
-    return state.cache_lookup(entries.where("entry_id % 20 != 0"), queries, threshold=0.3).select("query_id", "entry_id", F.round("score", 5).alias("score"))
+    return state.cache_lookup(entries, queries).select("query_id", "entry_id", F.round("score", 5).alias("score"))
 
 
 @query(f"""select query_id, entry_id, round(score, 5) as score from (select q.vec_id as query_id, e.vec_id as entry_id, {_SQL_COS} as score, row_number() over (partition by q.vec_id order by {_SQL_COS} desc, e.vec_id) as n
@@ -798,10 +804,18 @@ def readable_documents(spark, d):
     return document_sources.readable(read(spark, d, "documents"), "doc_id").select("doc_id", "readable")
 
 
-@query("select doc_id, 'hyphenated words are joined' || chr(10) || 'Next: ' || doc_id % 7 || ' lines.' || chr(10) || 'end' as text from documents")
+def _sql_reflow(t: str) -> str:
+    """Without looking around: a second pass takes the line ends whose neighbours the first one has used up."""
+    joined = f"regexp_replace({t}, '(\\p{{L}})-\\n(\\p{{Ll}})', '\\1\\2', 'g')"
+    once = lambda x: f"regexp_replace({x}, '(^|[^.!?:;\\n])\\n([\\p{{Ll}}0-9(])', '\\1 \\2', 'g')"
+    return once(once(joined))
+
+
+@query("select doc_id, " + _sql_reflow(f"(coalesce(text, '') || {_SQL_WRAPPED})") + " as text from documents")
 def reflowed_text(spark, d):
-    wrapped = F.concat(F.lit("hyphen-\nated words\nare joined\nNext: "), F.col("doc_id") % 7, F.lit("\nlines.\nend"))
-    return read(spark, d, "documents").select("doc_id", document_sources.reflowed(wrapped).alias("text"))
+    """Every document's text with wrapped lines after it, reflowed."""
+    t = F.concat(F.coalesce("text", F.lit("")), F.lit(WRAPPED))
+    return read(spark, d, "documents").select("doc_id", document_sources.reflowed(t).alias("text"))
 
 
 @query(r"select doc_id, case when length(t) > 80 then substr(t, 1, 80) || '…' else t end as snippet from (select doc_id, trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g')) as t from documents)")
@@ -825,11 +839,11 @@ def overlap_scaled(spark, d):
     return retrieval.min_max(o, "overlap", "lang").select("doc_id", F.round("overlap", 9).alias("overlap"), F.round("scaled", 9).alias("scaled"))
 
 
-@query("select doc_id, 'D-' || doc_id % 10 || ' — body' as a, 'body of D' as b from documents")
+@query("select doc_id, case when starts_with(lower(coalesce(text, '')), 'd-' || doc_id % 10) then text else 'D-' || doc_id % 10 || ' — ' || coalesce(text, '') end as a, 'body of D: ' || coalesce(text, '') as b from documents")
 def context_prefixes(spark, d):
-    """A heading stands before a text unless the text begins with it."""
-    docs = read(spark, d, "documents")
-    return docs.select("doc_id", text.context_prefix(F.concat(F.lit("D-"), F.col("doc_id") % 10), F.lit("body")).alias("a"), text.context_prefix(F.lit("Body"), F.lit("body of D")).alias("b"))
+    """A heading stands before a text unless the text begins with it, letter case aside."""
+    t, head = F.coalesce("text", F.lit("")), F.concat(F.lit("D-"), F.col("doc_id") % 10)
+    return read(spark, d, "documents").select("doc_id", text.context_prefix(head, t).alias("a"), text.context_prefix(F.lit("Body"), F.concat(F.lit("body of D: "), t)).alias("b"))
 
 
 def _sections(spark, d) -> DataFrame:

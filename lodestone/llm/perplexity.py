@@ -3,15 +3,17 @@
 Texts are judged by grams of POINTS code points as they are, in any script; their number grows with the corpus.
 Spark counts the grams of all texts by language, summed up within each task first; modified Kneser-Ney smoothing turns
 the counts into probabilities, again as DataFrame work. The model is stored as arrays of hashes in ascending order with
-the log-probabilities beside them. A task that scores texts gathers the distinct grams of a unit of them and looks
-these up, piece by piece of the model, so that no worker holds it. Each language has a lower and an upper band of
-log-perplexity, from the median and the median absolute deviation over its texts.
+the log-probabilities beside them. The distinct grams of a unit of texts are asked for as arrays of hashes, dealt by
+range of hash, so that a task looks up what all units want of its range and reads each piece of the model about once;
+the answers go back by unit to the tasks that score. No worker holds the model. Each language has a lower and an
+upper band of log-perplexity a word, from the median and the median absolute deviation over its texts: marks that are
+put to every word cost little each, as they are foreseen, but much a word.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -19,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet as pq
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +29,18 @@ from lodestone.llm.common import scratch, slices, small_side, utf8, written
 
 #: Code points of a gram; bytes of text whose grams a task gathers at once; bytes of the model that it reads at once.
 POINTS, UNIT_BYTES, MODEL_BYTES = 5, 32 << 20, 8 << 20
-#: Half the width of a band: so many times the median absolute deviation, and at least so many nats a symbol.
-WIDTH, LEAST_WIDTH = 8.0, 0.08
+#: Grams of the model in a range of hashes, the bits of which ranges are made at most, and tasks that share a range.
+RANGE_GRAMS, RANGE_BITS, SHARED = 1 << 15, 12, 16
+#: How far a band reaches below and above the median: so many median absolute deviations, and so many nats a word at least.
+BELOW, ABOVE, LEAST_WIDTH = 5.0, 8.0, 0.4
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 50
 
 
+#: What the code points of a gram are multiplied by: powers of an odd number.
+_WEIGHTS = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(POINTS)]
+
+
 def points(texts: list[str], lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the grams of all texts, each begun by line ends; the place of each in the code points; these.
 
@@ -42,16 +51,20 @@ def points(texts: list[str], lang: str) -> tuple[np.ndarray, np.ndarray, np.ndar
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     begins = np.cumsum(sizes + len(pad)) - sizes - len(pad)
     keep = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    return point_keys(np.stack([data[keep + k] for k in range(POINTS)]), lang), keep, data
+    n = len(data) - len(pad)
+    wide = data.astype(np.uint64)
+    return point_keys([wide[k : n + k] for k in range(POINTS)], lang)[keep], keep, data
 
 
-def point_keys(codes: np.ndarray, lang: str) -> np.ndarray:
+def point_keys(codes: Sequence[np.ndarray], lang: str) -> np.ndarray:
     """codes: POINTS rows, a column for each gram."""
     with np.errstate(over="ignore"):
-        x = np.full(codes.shape[1], zlib.crc32(lang.encode()) + 1, np.uint64)
-        for row in codes:
-            x = (x ^ row) * np.uint64(0x9E3779B97F4A7C15)
-            x ^= x >> np.uint64(29)
+        x = np.full(len(codes[0]), zlib.crc32(lang.encode()) + 1, np.uint64)
+        for row, weight in zip(codes, _WEIGHTS, strict=True):
+            x += row.astype(np.uint64, copy=False) * np.uint64(weight)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
     return x.view(np.int64)
 
 
@@ -123,24 +136,100 @@ def _model_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(point_keys(codes[:, mine], lang)), pa.array(logp[mine].astype(np.float32))], names=["key", "logp"])
 
 
-def looked_up(path: str, want: np.ndarray) -> np.ndarray:
-    """The model's log-probability of each key of want, in ascending order; pieces that hold none of them aren't read."""
-    logs = np.full(len(want), np.nan, np.float32)
+class SortedArrays:
+    """The stored model: pieces of ascending keys with their log-probabilities, found by their ends."""
+
+    def __init__(self, path: str):
+        self.store, root = pa.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        self.pieces: list[tuple[int | None, int | None, str, int]] = []
+        for info in self.store.get_file_info(pa.fs.FileSelector(root)):
+            if info.base_name.endswith(".parquet"):
+                with self.store.open_input_file(info.path) as f:
+                    groups = pq.ParquetFile(f).metadata
+                for g in range(groups.num_row_groups):
+                    ends = groups.row_group(g).column(0).statistics
+                    self.pieces.append((ends.min, ends.max, info.path, g) if ends is not None and ends.has_min_max else (None, None, info.path, g))
+        self.last: tuple[tuple[str, int], np.ndarray, np.ndarray] | None = None
+
+    def _read(self, path: str, group: int) -> tuple[np.ndarray, np.ndarray]:
+        """A piece; the last one is kept, as keys that are asked for next are often of the same."""
+        if self.last is None or self.last[0] != (path, group):
+            with self.store.open_input_file(path) as f:
+                piece = pq.ParquetFile(f).read_row_group(group)
+            self.last = (path, group), piece["key"].to_numpy(), piece["logp"].to_numpy()
+        return self.last[1:]
+
+    def find(self, want: np.ndarray) -> np.ndarray:
+        """The log-probability of each key of want, in ascending order; pieces that hold none of them aren't read."""
+        logs = np.full(len(want), np.nan, np.float32)
+        for least, most, path, group in self.pieces if len(want) else ():
+            low, high = (0, len(want)) if least is None else (np.searchsorted(want, least), np.searchsorted(want, most, "right"))
+            if low < high:
+                key, logp = self._read(path, group)
+                at = np.minimum(np.searchsorted(key, want[low:high]), len(key) - 1)
+                there = key[at] == want[low:high]
+                logs[low:high][there] = logp[at[there]]
+        return logs
+
+
+def _keys_of(unit: list[pa.RecordBatch]) -> tuple[list[tuple[int, list[int], np.ndarray, np.ndarray, np.ndarray]], np.ndarray, int]:
+    """(batch, places, lengths, codes, keys) of the texts of a unit by language, all its keys in ascending order, and a hash of these."""
+    held = []
+    for at, batch in enumerate(unit):
+        for lang, mine, texts in _by_lang(batch):
+            codes, unique = pd.factorize(points(texts, lang)[0])
+            held.append((at, mine, np.fromiter(map(len, texts), np.int64, len(texts)), codes.astype(np.int32), unique))
+    want = np.unique(np.concatenate([x[4] for x in held] or [np.empty(0, np.int64)]))
+    return held, want, np.uint64(xxhash.xxh64_intdigest(want.tobytes())).view(np.int64).item()
+
+
+def _asked(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a unit wants of each range of keys."""
+        for unit in _units(batches):
+            _, want, name = _keys_of(unit)
+            of = want >> (63 - bits) >> 1
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1), len(want)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    yield pa.RecordBatch.from_arrays([pa.array([of[a]], pa.int64()), pa.array([name], pa.int64()), pa.array([want[a:b].tobytes()], pa.binary())], names=["range", "unit", "keys"])
+
+    return run
+
+
+def _answered(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+        for batch in batches:
+            model = model or SortedArrays(path)
+            for of, unit, keys in zip(*(batch.column(c).to_pylist() for c in ("range", "unit", "keys")), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([of], pa.int64()), pa.array([unit], pa.int64()), pa.array([model.find(np.frombuffer(keys, np.int64)).tobytes()], pa.binary())], names=["range", "unit", "logs"])
+
+    return run
+
+
+def answers(rows: DataFrame, model: str, n: int) -> str:
+    """The folder of what each unit of rows (doc_id, lang, text) is to know of a stored model of n grams."""
+    bits = min(RANGE_BITS, (-(-n // RANGE_GRAMS)).bit_length())
+    asked = rows.mapInArrow(_asked(bits), "range long, unit long, keys binary").repartition("range", F.pmod("unit", F.lit(SHARED))).sortWithinPartitions("range")
+    told = asked.mapInArrow(_answered(model), "range long, unit long, logs binary")
+    path = scratch(rows.sparkSession, "answers")
+    told.repartition("unit").sortWithinPartitions("unit", "range").write.partitionBy("unit").parquet(path)
+    return path
+
+
+def _told(path: str, unit: int, size: int) -> np.ndarray | None:
+    """The answers of a unit in the order of its keys; None where they are not those of as many keys."""
     store, root = pa.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    for info in store.get_file_info(pa.fs.FileSelector(root)) if len(want) else ():
+    parts: dict[int, bytes] = {}  # units of the same keys have the same answers
+    at = pa.fs.FileSelector(f"{root}/unit={unit}", allow_not_found=True)
+    for info in store.get_file_info(at):
         if info.base_name.endswith(".parquet"):
             with store.open_input_file(info.path) as f:
-                file = pq.ParquetFile(f)
-                for g in range(file.num_row_groups):
-                    ends = file.metadata.row_group(g).column(0).statistics
-                    low, high = (np.searchsorted(want, ends.min), np.searchsorted(want, ends.max, "right")) if ends is not None and ends.has_min_max else (0, len(want))
-                    if low < high:
-                        piece = file.read_row_group(g)
-                        key = piece["key"].to_numpy()
-                        at = np.minimum(np.searchsorted(key, want[low:high]), len(key) - 1)
-                        there = key[at] == want[low:high]
-                        logs[low:high][there] = piece["logp"].to_numpy()[at[there]]
-    return logs
+                rows = pq.ParquetFile(f).read(["range", "logs"])
+            parts |= zip(rows["range"].to_pylist(), rows["logs"].to_pylist(), strict=True)
+    logs = np.frombuffer(b"".join(parts[k] for k in sorted(parts)), np.float32)
+    return logs if len(logs) == size else None
 
 
 def _tail(gram: Column, n: int) -> Column:
@@ -204,10 +293,12 @@ def basics(text: bytes) -> tuple[int, int, int, int, int]:
         number: dict[bytes, int] = {}
         ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
         k = len(number)
-        two = np.unique(ids[:-1] * k + ids[1:], return_inverse=True)[1].astype(np.int64)
-        _, back, times = np.unique(two[:-1] * k + ids[2:], return_inverse=True, return_counts=True)
+        two = ids[:-1] * k + ids[1:]
+        if k >= 1 << 20:  # three of them would not fit into 63 bits
+            two = pd.factorize(two)[0]
+        back = pd.factorize(two[:-1] * k + ids[2:])[0]
         hit = np.zeros(n, bool)
-        again = times[back] > 1
+        again = np.bincount(back)[back] > 1
         for j in range(3):
             hit[j : n - 2 + j] |= again
         repeated = int(hit.sum())
@@ -217,22 +308,20 @@ def basics(text: bytes) -> tuple[int, int, int, int, int]:
 _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _scores(path: str):
+def _scores(model: str, told: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in _units(batches):
-            held: list[tuple[int, list[int], np.ndarray, np.ndarray, np.ndarray]] = []
-            for at, batch in enumerate(unit):
-                for lang, mine, texts in _by_lang(batch):
-                    codes, unique = pd.factorize(points(texts, lang)[0])
-                    held.append((at, mine, np.fromiter(map(len, texts), np.int64, len(texts)), codes.astype(np.int32), unique))
-            want = np.unique(np.concatenate([x[4] for x in held] or [np.empty(0, np.int64)]))
-            logs = looked_up(path, want)
-            scores = [np.full(batch.num_rows, np.nan) for batch in unit]
+            held, want, name = _keys_of(unit)
+            logs = _told(told, name, len(want))
+            if logs is None:  # the rows came in other units than those that were asked for
+                logs = SortedArrays(model).find(want)
+            sums = [np.full(batch.num_rows, np.nan) for batch in unit]
             for at, mine, sizes, codes, unique in held:
                 each = logs[np.searchsorted(want, unique)][codes]
-                scores[at][mine] = -np.add.reduceat(each, np.cumsum(sizes) - sizes, dtype=np.float64) / sizes
-            for batch, score in zip(unit, scores, strict=True):
+                sums[at][mine] = -np.add.reduceat(each, np.cumsum(sizes) - sizes, dtype=np.float64)
+            for batch, total in zip(unit, sums, strict=True):
                 numbers = np.array([basics(t) for t in utf8(batch.column("text"))], np.int64).reshape(-1, 5).T
+                score = np.where(numbers[0] > 0, total / np.maximum(numbers[0], 1), np.nan)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *map(pa.array, numbers), pa.array(score, from_pandas=True)], names=["doc_id", "lang", *_FIELDS, "log_perplexity"])
 
     return run
@@ -242,8 +331,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """The base measures of each row of docs, base_failed, log_perplexity and kept.
 
     A null text counts as empty: it has no word, so it fails the base rules. Rows without language are a language of
-    their own. A text is kept if it passes the base rules and its log-perplexity a symbol lies within the bands of
-    its language. Repeated rows count and return as often as they stand there; an empty table returns no row.
+    their own. A text is kept if it passes the base rules and its log-perplexity a word lies within the bands of
+    its language; texts without words have none. Repeated rows count and return as often as they stand there; an empty table returns no row.
     """
     path = scratch(docs.sparkSession, "kneser-ney")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -251,11 +340,13 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     model = kneser_ney(count_points(rows)).where(F.col("size") == POINTS)  # every gram of the texts is in it
     arrays = model.select("lang", "gram", F.col("others").alias("logp")).mapInArrow(_model_keys, "key long, logp float")
     arrays.repartitionByRange("key").sortWithinPartitions("key").write.option("parquet.block.size", MODEL_BYTES).parquet(path)
-    rows = written(rows.mapInArrow(_scores(path), f"doc_id {kind}, lang string, " + ", ".join(f"{f} long" for f in _FIELDS) + ", log_perplexity double"), "perplexity")
+    told = answers(rows, path, docs.sparkSession.read.parquet(path).count())
+    rows = written(rows.mapInArrow(_scores(path, told), f"doc_id {kind}, lang string, " + ", ".join(f"{f} long" for f in _FIELDS) + ", log_perplexity double"), "perplexity")
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
     middle = written(rows.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("middle")), "middles")
     off = rows.join(small_side(middle), "lang").withColumn("off", F.abs(F.col("log_perplexity") - F.col("middle")))
     spread = off.groupBy("lang").agg(F.first("middle").alias("middle"), F.percentile_approx("off", 0.5, 10000).alias("spread"))
-    bands = written(spread.select("lang", "middle", F.greatest(F.lit(LEAST_WIDTH), WIDTH * F.col("spread")).alias("half")), "bands")
-    kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("middle") - F.col("half"), F.col("middle") + F.col("half")), F.lit(False))
+    reach = lambda times: F.greatest(F.lit(LEAST_WIDTH), times * F.col("spread"))
+    bands = written(spread.select("lang", (F.col("middle") - reach(BELOW)).alias("low"), (F.col("middle") + reach(ABOVE)).alias("high")), "bands")
+    kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
     return rows.join(small_side(bands), "lang", "left").select("doc_id", *_FIELDS, "base_failed", kept.alias("kept"), "log_perplexity")

@@ -2,8 +2,8 @@
 
 Documents come in batches of ascending doc_id. The runs hold the hashes of all keys of earlier batches, bucketed and
 sorted in one file a bucket, so that a batch is merge-anti-joined against each of them without moving or sorting it
-again; what is new becomes a run of the lowest level. FAN_IN runs of a level are compacted into one of the next. A
-manifest in the runs' folder lists them by level, so that a later call goes on where an earlier one ended.
+again; what is new becomes a run of the lowest level. FAN_IN runs of a level are compacted into one of the next, bucket
+by bucket, which moves no key either. A manifest in the runs' folder lists them by level, so that a later call goes on where an earlier one ended.
 """
 
 from __future__ import annotations
@@ -60,8 +60,9 @@ class LevelledRuns:
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
     def _write(self, keys: DataFrame) -> str:
+        """Writes keys that are dealt into the buckets already, so that each bucket is one file."""
         name = f"line_run_{uuid.uuid4().hex}"
-        keys.repartition(self.buckets, *_KEY).write.bucketBy(self.buckets, *_KEY).sortBy(*_KEY).option("path", f"{self.path}/{name}").saveAsTable(name)
+        keys.write.bucketBy(self.buckets, *_KEY).sortBy(*_KEY).option("path", f"{self.path}/{name}").saveAsTable(name)
         self.known.add(name)
         return name
 
@@ -84,12 +85,13 @@ class LevelledRuns:
 
     def add(self, keys: DataFrame) -> DataFrame:
         """Writes the keys, with what else they have, as a run, and gives them as a plain table."""
-        name = self._write(keys)
+        name = self._write(keys.repartition(self.buckets, *_KEY))
         self.levels[0].append(name)
         for at, level in enumerate(self.levels):
             if len(level) < FAN_IN:
                 break
-            merged = self._write(reduce(DataFrame.unionByName, map(self._table, level)))
+            # No key is in two runs; asking for distinct ones has Spark read them bucket by bucket.
+            merged = self._write(reduce(DataFrame.unionByName, map(self._table, level)).distinct())
             self.levels[at] = []
             if at + 1 == len(self.levels):
                 self.levels.append([])

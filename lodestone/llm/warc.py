@@ -286,8 +286,10 @@ def _bits(rows: int) -> int:
 def _lows(samples: DataFrame, bits: int) -> list[str | None]:
     """Where each of 2^bits ranges begins; empty ranges begin where the last one does."""
     parts = samples.select("key").repartitionByRange(1 << bits, "key").groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("low"))
-    cuts = sorted(r[0] for r in parts.select("low").collect())[1 : 1 << bits] if bits else []  # MAX_RANGES at most
-    return [None, *cuts, *[cuts[-1] if cuts else None] * ((1 << bits) - 1 - len(cuts))]
+    found = sorted(r[0] for r in parts.select("low").collect())[1:] if bits else []  # one for each part
+    want = (1 << bits) - 1
+    cuts = found if len(found) <= want else [found[(i + 1) * (len(found) + 1) // (want + 1) - 1] for i in range(want)]
+    return [None, *cuts, *[cuts[-1] if cuts else None] * (want - len(cuts))]
 
 
 def _dealt(pieces: DataFrame, finer: int) -> DataFrame:

@@ -7,9 +7,11 @@ their row groups and pages by the minimum and maximum of doc_id.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from struct import pack
 
 import numpy as np
@@ -23,7 +25,7 @@ END_ID = 1
 #: Bytes of a row group and of a page, rows of a page.
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 64 << 10, 1000
 #: Words whose ids a worker keeps; beyond it starts over.
-MEMO_WORDS = 800_000
+MEMO_WORDS = 400_000
 
 
 def _byte_letters() -> str:
@@ -33,89 +35,76 @@ def _byte_letters() -> str:
     return "".join(chr(b if b in own else next(rest)) for b in range(256))
 
 
+class Words(dict):
+    """The ids of words as bytes; a word that is asked for the first time is encoded, and beyond `most` all are forgotten."""
+
+    #: a-z and the small letters of Latin-1, which neither lower-casing nor composition changes.
+    _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+    def __init__(self, tokenizer, most: int):
+        self.tokenizer, self.most, self.letters = tokenizer, most, str.maketrans(dict(enumerate(_byte_letters())))
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        if self._PLAIN.fullmatch(word):
+            ids = [t.id for t in self.tokenizer.model.tokenize(word.decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode_batch_fast([word.decode()], add_special_tokens=False)[0].ids
+        self[word] = out = pack(f"<{len(ids)}i", *ids)
+        return out
+
+
 class WordEncoder:
     """Encodes text with a tokenizers file; the ids of each word are kept for its next use.
 
     The tokenizer drops white space and no token or pattern of it reaches across, so a text's ids are those of its
     words one after the other. It lower-cases by itself, so A-Z is lower-cased before; and between a letter or digit
     and a mark other than the apostrophe a piece always ends, so a space is put there. Both leave fewer words to
-    learn. Words of plain small letters go to the BPE model at once; others to the library, many at a time with a
-    private-use character between them; those with such a character, or with the sign that begins special tokens,
-    one by one.
+    learn. Words of plain small letters go to the BPE model at once, others to the library.
     """
 
-    MARK = "\ue000"
-    _ENDS = (re.compile(rb"(?<=[a-z0-9])(?=[!-&(-/:-@\[-`{-~])"), re.compile(rb"(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])(?=[!-&(-/:-@\[-`{-~])"))
-    #: a-z and the small letters of Latin-1, which neither lower-casing nor composition changes.
-    _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+    #: A mark with a letter or digit before it.
+    _END = re.compile(rb"[!-&(-/:-@\[-`{-~](?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.memo_words = Tokenizer.from_file(path), {}, memo_words
+        self.memo = Words(Tokenizer.from_file(path), memo_words)
         # What the rules above rest on, asked of the tokenizer itself.
+        ids = lambda text: self.memo.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         for text, same in ((" Ab\tC\n", "ab c"), ("abc.", "abc ."), ("x1!", "x1 !")):
-            if self._ids(text) != self._ids(same):
+            if ids(text) != ids(same):
                 raise ValueError(f"{path} is no tokenizer of lower-cased words without white space")
-        self.mark = np.array(self._ids(self.MARK), dtype="<i4")
-        self.letters = str.maketrans(dict(enumerate(_byte_letters())))
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def _learn(self, words: set[bytes]) -> None:
-        memo, plain, of, letters = self.memo, self._PLAIN.fullmatch, self.tokenizer.model.tokenize, self.letters
-        unknown = []
-        for w in words:
-            if plain(w):
-                ids = [t.id for t in of(w.decode("latin-1").translate(letters))]
-                memo[w] = pack(f"<{len(ids)}i", *ids)
-            elif b"\xee" in w or b"<|" in w:
-                memo[w] = np.array(self._ids(w.decode()), dtype="<i4").tobytes()
-            else:
-                unknown.append(w)
-        for at in range(0, len(unknown), 1 << 12):
-            part = unknown[at : at + (1 << 12)]
-            ids = np.array(self._ids(f" {self.MARK} ".join([w.decode() for w in part] + [""])), dtype="<i4")
-            ends = np.flatnonzero(np.all([np.roll(ids, -k) == x for k, x in enumerate(self.mark)], axis=0))
-            starts = [0, *(ends + len(self.mark))]
-            memo.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, starts, ends, strict=False))
 
     def words(self, text: bytes) -> list[bytes]:
-        if b"<|" not in text:
-            text = text.lower()
-            for end in self._ENDS:
-                text = end.sub(b" ", text)
-        return text.split()
-
-    def _split(self, texts: list[bytes]) -> list[list[bytes]]:
-        """The words of each text, all of them learned."""
-        split = [self.words(t) for t in texts]
-        seen = set().union(*split)
-        new = seen.difference(self.memo)
-        if len(self.memo) + len(new) > self.memo_words:
-            self.memo, new = {}, seen
-        self._learn(new)
-        return split
+        return (text if b"<|" in text else self._END.sub(rb" \g<0>", text.lower())).split()
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        return [np.frombuffer(b"".join(map(self.memo.__getitem__, words)), dtype="<i4") for words in self._split(texts)]
+        return [np.frombuffer(b"".join(map(self.memo.__getitem__, self.words(t))), dtype="<i4") for t in texts]
 
     def counts(self, texts: list[bytes]) -> list[int]:
         """The number of ids of each text."""
-        return [sum(map(len, map(self.memo.__getitem__, words))) // 4 for words in self._split(texts)]
+        return [sum(map(len, map(self.memo.__getitem__, self.words(t)))) // 4 for t in texts]
+
+
+@lru_cache(2)
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of a file, with what it has learned in earlier tasks of this worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordEncoder(path)
 
 
 def _encoder(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        of = WordEncoder(path)
+        of = encoder_of(path)
         for batch in slices(batches):
-            ids = [np.append(x, np.int32(END_ID)) for x in of(utf8(batch.column("text")))]
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
+            ids = of(utf8(batch.column("text")))
+            ends = np.cumsum([0, *(len(x) + 1 for x in ids)], dtype=np.int32)
+            values = np.full(ends[-1], END_ID, np.int32)
+            for at, x in zip(ends.tolist(), ids, strict=False):
+                values[at : at + len(x)] = x
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(np.diff(ends).astype(np.int64))], names=["doc_id", "ids", "n_tokens"])
 
     return encode

@@ -7,7 +7,6 @@ the delta. Each version lists the batches that are in it, so that a batch which
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.byte_bpe import Pieces, Splitter, read_ranks
 from lodestone.llm.common import scratch, slices, utf8
-from lodestone.llm.token_files import WordEncoder
+from lodestone.llm.token_files import encoder_of
 
 KEYS = ("source", "lang", "tokenizer")
 _SUMS = ("n_docs", "n_tokens")
@@ -59,8 +58,7 @@ def tokenizer_counts(docs: DataFrame, word_path: str, byte_path: str, pattern: s
     gives none.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = WordEncoder(word_path)
+        words = encoder_of(word_path)
         split, ids = Splitter(pattern), _piece_ids(byte_path, pattern)
         for batch in slices(batches):
             texts = utf8(batch.column("text"))

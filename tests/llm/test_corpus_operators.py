@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from lodestone import scratch
 from lodestone.llm import byte_bpe, common, decontamination, line_dedup, perplexity, quality, simhash, token_files, token_rollup, url_filter, warc
 
 ODD = ["", None, "  \n\t", "one", "One", "a b c d e f", "a b c d e f", "é ½ Ⅷ x²3 日本語 <|endoftext|>x don't  ", "x" * 3000, "ab " * 2000, "The quick brown fox jumps over the lazy dog again and again\nshared line of text\n", "shared line of text\nother\n SHARED line of text \n", "\n\n", "tail without end\nshared line of text"]
@@ -123,6 +124,38 @@ def test_quality(spark, docs, none):
     assert quality.accepted(docs, labels).columns == docs.columns
 
 
+def test_trees_against_all_splits():
+    """A step of two leaves is the split of the largest gain among all; more leaves go on from there."""
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        g, h = rng.normal(size=9), rng.random(9) + 0.1
+        gain = lambda k: sum(g[a:b].sum() ** 2 / (h[a:b].sum() + 1) for a, b in ((0, k), (k, 9)))
+        k = max(range(1, 9), key=gain)
+        want = np.repeat([g[:k].sum() / (h[:k].sum() + 1), g[k:].sum() / (h[k:].sum() + 1)], [k, 9 - k])
+        assert np.allclose(quality._tree(g, h, 2), want)
+        assert len(np.unique(quality._tree(g, h, 3))) == 3
+
+
+def test_additive_model_by_plain_loops():
+    """Scores are sums of table entries; a label that two features make together is learned by their pair alone."""
+    import math
+
+    rng = np.random.default_rng(10)
+    x = np.column_stack([rng.random(2000), rng.random(2000), rng.integers(0, 2, 2000), np.ones(2000)])
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
+    model = quality.fit(x, y)
+    assert (0, 1) in [(i, j) for i, j, _ in model.pairs] and (0, 1) == max(model.pairs, key=lambda p: np.abs(p[2]).sum())[:2]
+    got = model.score(x)
+    for row, score in zip(x[:200].tolist(), got[:200], strict=True):
+        bins = [sum(c <= v for c in cuts) for v, cuts in zip(row, model.cuts, strict=True)]
+        logit = model.start + sum(t[b] for t, b in zip(model.tables, bins, strict=True)) + sum(t[model.coarse[i][bins[i]]][model.coarse[j][bins[j]]] for i, j, t in model.pairs)
+        assert abs(score - 1 / (1 + math.exp(-logit))) < 1e-9
+    assert ((got >= 0.5) == (y == 1)).mean() > 0.93
+    # The same model whatever the order of the rows, repeated ones among them.
+    mixed = rng.permutation(2000)
+    assert np.allclose(quality.fit(x[mixed], y[mixed]).score(x), got)
+
+
 def test_url_filter(spark):
     urls = [f"http://{'spam-farm' if i % 3 == 0 else 'blog'}.example.com/en/{i}" for i in range(90)]
     labelled = spark.createDataFrame([(u, "spam" in u) for u in urls] + [(None, True)], "url string, block boolean")
@@ -166,6 +199,42 @@ def test_token_files(spark, docs, none, encoding, tmp_path):
     assert token_files.token_digests(spark, str(tmp_path / "n")).count() == 0
 
 
+def test_token_file_layout(spark, monkeypatch, tmp_path):
+    """Encodings, row groups and page indexes are in the files, and a reader asks for what it wants only."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(token_files, "ROW_GROUP_BYTES", 64 << 10)
+    monkeypatch.setattr(token_files, "PAGE_BYTES", 4 << 10)
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words, 150))) for i in range(1500)], "doc_id long, text string").coalesce(1)
+    for encoding, mark in (("dictionary", "PLAIN_DICTIONARY"), ("delta", "DELTA_BINARY_PACKED")):
+        path = str(tmp_path / encoding)
+        token_files.write_tokens(docs, path, P.path("word_bpe_49k.json"), encoding)
+        groups = [pq.ParquetFile(f).metadata.row_group(g) for f in sorted((tmp_path / encoding).glob("*.parquet")) for g in range(pq.ParquetFile(f).metadata.num_row_groups)]
+        ids = [g.column(1) for g in groups if g.num_rows]
+        assert len(ids) > 2 and all(mark in c.encodings and c.has_offset_index and c.has_column_index for c in ids)
+        some = spark.read.parquet(path).where("doc_id = 700").select("n_tokens")
+        plan = some._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(doc_id,700)" in plan and "ReadSchema: struct<doc_id:bigint,n_tokens:bigint>" in plan and some.count() == 1
+        part = token_files.read_tokens(spark, path).where("doc_id in (3, 1499)").orderBy("doc_id").collect()
+        assert [len(r.ids) for r in part] == [r.n_tokens for r in part] and part[0].ids[-1] == token_files.END_ID
+    with pytest.raises(ValueError, match="encoding"):
+        token_files.write_tokens(docs, str(tmp_path / "x"), P.path("word_bpe_49k.json"), "plain")
+    with pytest.raises(ValueError, match="lower-cased"):
+        token_files.WordEncoder(P.path("byte_bpe_50k.json"))
+
+
+def test_file_numbers_are_numbers(spark, tmp_path):
+    """File 100000 comes after file 99999."""
+    for number, doc, n in ((99999, 1, 2), (100000, 2, 3)):
+        out = tmp_path / str(number)
+        spark.createDataFrame([(doc, list(range(n)), n)], "doc_id long, ids array<int>, n_tokens long").coalesce(1).write.parquet(str(out))
+        (tmp_path / "all").mkdir(exist_ok=True)
+        next(out.glob("part-*.parquet")).rename(tmp_path / "all" / f"part-{number:05d}-x.parquet")
+    assert {r.doc_id: r.start for r in token_files.token_digests(spark, str(tmp_path / "all")).collect()} == {1: 0, 2: 2}
+
+
 def test_byte_bpe(spark, docs, none):
     import tiktoken
 
@@ -207,13 +276,91 @@ def test_quality_rules(spark, docs, none):
     assert perplexity.quality_rules(none).count() == 0
 
 
-def test_kneser_ney_sums_to_one(spark, docs):
-    path = common.scratch(spark, "kn-test")
-    perplexity.kneser_ney(perplexity.count_grams(docs.where("lang = 'en'"))).write.parquet(path)
-    model = perplexity._models(path)["en"]
-    for context in (0, 2 << 10 | 3 << 5 | 4, 31, 1 << 5 | 2):
-        p = np.exp(model.logs(np.array([context << 5 | s for s in range(32)], np.uint32)))
-        assert abs(p.sum() - 1) < 1e-6
+def plain_log_perplexity(texts):
+    """A word of each text of a language, by modified Kneser-Ney over grams of five code points, without numpy or Spark."""
+    import math
+
+    counts, holders = Counter(), {}
+    for t in texts:
+        for i in range(len(t)):
+            g = ("\n" * 4 + t)[i : i + 5]
+            counts[g] += 1
+            holders.setdefault(g, set()).add(t)
+    orders = {5: (counts, holders)}
+    for size in range(4, 0, -1):
+        of, by = Counter(), {}
+        for g in orders[size + 1][0]:
+            of[g[1:]] += 1
+            by.setdefault(g[1:], set()).update(orders[size + 1][1][g])
+        orders[size] = of, by
+    p, others = {}, {}
+    for size in range(1, 6):
+        of, by = orders[size]
+        n = {k: sum(v == k for v in of.values()) for k in range(1, 5)}
+        cut = {k: min(k - 0.05, max(0.1, k - (k + 1) * n[1] / (n[1] + 2 * n[2]) * n[k + 1] / n[k] if n[k] and n[1] else 0.5)) for k in (1, 2, 3)}
+        total, free, holding = Counter(), Counter(), {}
+        for g, v in of.items():
+            total[g[:-1]] += v
+            free[g[:-1]] += cut[min(v, 3)]
+            holding.setdefault(g[:-1], set()).update(by[g])
+        for g, v in of.items():
+            c, below, below_others = g[:-1], *((p[g[1:]], others[g[1:]]) if size > 1 else (1 / len(of), 1 / len(of)))
+            p[g] = (v - cut[min(v, 3)] + free[c] * below) / total[c]
+            others[g] = p[g] if len(by[g]) > 1 else (free[c] / total[c] if len(holding[c]) > 1 else 1.0) * below_others
+    return {t: -sum(math.log(others[("\n" * 4 + t)[i : i + 5]]) for i in range(len(t))) / len(t.split()) for t in texts}
+
+
+def test_log_perplexity_and_bands_by_plain_python(spark):
+    rng = np.random.default_rng(7)
+    words = {lang: ["".join(rng.choice(list(letters), rng.integers(2, 7))) for _ in range(60)] for lang, letters in (("en", "etaoinshr"), (None, "абвгдежз"))}
+    rows = [(lang, " ".join(rng.choice(words[lang], 70))) for lang in words for _ in range(25)]
+    rows += [rows[3], rows[3], ("en", " ".join(f"q{i}x#" for i in range(70))), ("en", "short"), ("en", ""), ("en", None), (None, " ".join(rng.permutation(list("абвгдежз" * 50))))]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string").repartition(5)
+    got = {r.doc_id: r for r in perplexity.quality_rules(docs).collect()}
+    rejected = 0
+    for lang in words:
+        texts = [t for x, t in rows if x == lang and t]
+        want = plain_log_perplexity(texts)
+        at = lambda xs: sorted(xs)[-(-len(xs) // 2) - 1]
+        middle = at([want[t] for t in texts])
+        spread = at([abs(want[t] - middle) for t in texts])
+        low, high = (middle + sign * max(perplexity.LEAST_WIDTH, times * spread) for sign, times in ((-1, perplexity.BELOW), (1, perplexity.ABOVE)))
+        for i, (x, t) in enumerate(rows):
+            if x == lang and t:
+                assert abs(got[i].log_perplexity - want[t]) < 1e-5
+                inside = low <= want[t] <= high
+                assert got[i].kept == (inside and not got[i].base_failed), i
+                rejected += not inside and not got[i].base_failed
+    assert rejected and not any(got[i].kept or got[i].log_perplexity is not None for i, (_, t) in enumerate(rows) if not t)
+
+
+def test_model_pieces(spark, monkeypatch):
+    """Keys are found in files of several pieces, and only where they are."""
+    path = common.scratch(spark, "pieces")
+    keys = np.random.default_rng(8).integers(-(2**62), 2**62, 50_000)
+    rows = spark.createDataFrame([(int(k), float(i % 97)) for i, k in enumerate(keys)], "key long, logp float")
+    rows.repartitionByRange(3, "key").sortWithinPartitions("key").write.option("parquet.block.size", 50_000).parquet(path)
+    some = np.sort(keys[::7])
+    of = dict(zip(keys.tolist(), (np.arange(50_000) % 97).tolist(), strict=True))
+    model = perplexity.SortedArrays(path)
+    assert len(model.pieces) > 3 and model.find(some).tolist() == [of[k] for k in some.tolist()]
+    assert np.isnan(model.find(np.array([5, 2**63 - 1]))).all() and len(model.find(some[:0])) == 0
+
+
+@pytest.mark.parametrize("told", [True, False])
+def test_units_are_answered(spark, monkeypatch, told):
+    """Units that find their answers and units that don't are scored alike, over many ranges of keys."""
+    rng = np.random.default_rng(12)
+    rows = [(i, "".join(rng.choice(list("etaoin é日"), 300)), ("en", "de", None)[i % 3]) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (60, None, "en"), (61, "", None)], "doc_id long, text string, lang string").repartition(7, "doc_id")
+    want = {r.doc_id: r.log_perplexity for r in perplexity.quality_rules(docs).collect()}
+    monkeypatch.setattr(perplexity, "RANGE_GRAMS", 100)
+    monkeypatch.setattr(perplexity, "UNIT_BYTES", 2000)
+    asked, answers = [], perplexity.answers
+    monkeypatch.setattr(perplexity, "answers", lambda rows, *a: asked.append(answers(rows if told else rows.where("doc_id % 2 = 0"), *a)) or asked[-1])
+    got = {r.doc_id: r.log_perplexity for r in perplexity.quality_rules(docs).collect()}
+    assert set(got) == set(want) and all(got[i] is None if x is None else abs(got[i] - x) < 1e-6 for i, x in want.items())
+    assert spark.read.parquet(asked[0]).select("unit").distinct().count() > 4
 
 
 def test_perplexity_rejects_the_odd_one(spark):
@@ -243,7 +390,7 @@ def test_code_point_model(spark, docs):
     want = Counter((pad + t.text)[i : i + perplexity.POINTS] for t in rows.collect() for i in range(len(t.text or "")))
     counted = perplexity.count_points(rows)
     assert {r.gram: r.n for r in counted.collect()} == want
-    model = {(r["size"], r.gram): r.logp for r in perplexity.kneser_ney(counted, perplexity.POINT_CUTS).where("logp is not null").collect()}
+    model = {(r["size"], r.gram): r.logp for r in perplexity.kneser_ney(counted).where("logp is not null").collect()}
     assert {g for size, g in model if size == perplexity.POINTS} == set(want)
     sums = Counter()
     for (size, gram), logp in model.items():
@@ -269,17 +416,32 @@ def test_warc(spark):
 
 
 def test_many_runs_are_merged_in_rounds(spark, monkeypatch):
+    """Runs are merged two at a time, in ranges of a few rows; keys of one url stand in several runs."""
     monkeypatch.setattr(warc, "FAN_IN", 2)
-    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 200)
-    pages = spark.createDataFrame([(i, f"http://h{i % 7}.com/{i}", f"t{i}") for i in range(40)], "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 900)
+    monkeypatch.setattr(warc, "SAMPLE", 2)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 5)
+    rows = [(i, f"http://h{i % 7}.com/{i % 3}", f"t{i}", "a", 1) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, key string, part int").repartition(3)
     folder = common.scratch(spark, "t")
-    runs_folder, runs = warc.read_archives(spark, folder, warc.write_archives(pages, folder))
-    assert runs.count() > 2
-    rounds = warc._spread(spark, [([r[0] for r in runs.select("run").limit(2).collect()],)], "runs array<string>").mapInArrow(warc._merge_runs(runs_folder), warc._RUN_DDL)
-    assert rounds.count() == 1
+    runs_folder, samples = warc.read_archives(spark, folder, warc.write_archives(pages, folder))
+    assert samples.where("at = 0").count() > 4 and samples.agg(F.sum("n")).first()[0] == 60
+    got = warc.capture_histories(spark, runs_folder, samples).orderBy("part", "at").collect()
+    assert [r.key for r in got] == sorted(r.key for r in got) and sorted(r.page_id for r in got) == list(range(60))
+    assert max(r.part for r in got) >= 4 and max(Counter(r.part for r in got).values()) < 60
+
+
+def test_warc_with_clashing_columns(spark):
+    rows = [(i, f"http://h.com/{i}", "y" * 1500, "d", "s", 1, 2, "r") for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, shared string, last int, n int, refers_to string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive_report(pages).collect()}
+    assert got == {i: ("revisit", 3) for i in range(3)} | {3: ("response", None)}
 
 
-def test_decontamination(spark, docs, none):
+@pytest.mark.parametrize("broadcast", [common.BROADCAST_ROWS, 0])
+def test_decontamination(spark, docs, none, broadcast, monkeypatch):
+    """Whether sides are broadcast or shuffled."""
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", broadcast)
     bench = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog again and again"), (20, "A, b c! d e f"), (3, "one"), (4, "..."), (None, "one"), (5, None), (6, "absent words here")], "item_id long, text string")
     got = {r.doc_id: r for r in decontamination.decontaminate(docs, bench).collect()}
     items = {r.item_id: re.findall(r"[0-9a-z\x80-\U0010ffff]+", low(r.text)) for r in bench.collect() if r.item_id}
@@ -316,6 +478,27 @@ def test_line_dedup(spark, docs, none, batches):
         assert (r.n_lines, r.n_dropped, r.kept_sha256) == (n, n - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()), r.doc_id
     assert len(got) == docs.count() and line_dedup.line_digests(none, batches).count() == 0
     assert line_dedup.without_repeats(docs, batches).columns == [*docs.columns, "n_lines", "n_dropped"]
+    own = line_dedup.without_repeats(docs.withColumn("n_lines", F.lit(5)), batches, counts=None)
+    assert own.columns == [*docs.columns, "n_lines"] and own.where("n_lines = 5").count() == docs.count()
+
+
+def test_line_runs_outlive_a_call(spark):
+    """A second call with the same folder drops the lines of the first one's documents; runs are read without a sort."""
+    store = common.scratch(spark, "store")
+    lines = [f"a line of text, number {i}" for i in range(6)]
+    first = spark.createDataFrame([(1, "\n".join(lines[:3])), (2, lines[0])], "doc_id long, text string")
+    then = spark.createDataFrame([(3, "\n".join(lines[1:5])), (4, lines[4]), (5, lines[5])], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.without_repeats(first, 2, store).collect()} == {1: "\n".join(lines[:3]), 2: ""}
+    assert {r.doc_id: r.text for r in line_dedup.without_repeats(then, 2, store).collect()} == {3: "\n".join(lines[3:5]), 4: "", 5: lines[5]}
+    runs = line_dedup.LevelledRuns(spark, store)
+    assert sum(map(len, runs.levels)) == 2  # three of the lowest level are one of the next
+    merged = spark.read.parquet(f"{store}/{runs.levels[1][0]}").select(F.input_file_name().alias("f"), "h1", "h2")
+    assert merged.groupBy(F.expr("pmod(hash(h1, h2), 8)")).agg(F.count_distinct("f").alias("n")).where("n > 1").count() == 0
+    assert {(r.h1, r.h2) for df in runs.runs() for r in df.collect()} == {(r.h1, r.h2) for r in line_dedup.hashed_lines(first.unionByName(then)).collect()}
+    keys = line_dedup.hashed_lines(then).groupBy("h1", "h2").count()
+    plan = runs.fresh(keys)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+    runs.forget()
 
 
 def test_rollup(spark, docs):
@@ -329,3 +512,56 @@ def test_rollup(spark, docs):
     r.commit("c", token_rollup.deletes(docs.where("doc_id = 8"), counters))
     again = token_rollup.TokenRollup(spark, r.path)
     assert again.version == 2 and again.totals().agg(F.sum("n_tokens"), F.sum("n_docs")).first() == (total + 7 - 3000, docs.count() - 1)
+    assert not again.commit("a", token_rollup.inserts(docs, counters))
+
+
+def test_rollup_of_two_writers(spark, docs):
+    """The one that comes second adds its batch to what the first has written; old versions go, the last stay whole."""
+    counters, row = {"v1": F.lit(1)}, docs.where("doc_id = 0")
+    a = token_rollup.TokenRollup(spark)
+    a.commit("0", token_rollup.inserts(row, counters))
+    b = token_rollup.TokenRollup(spark, a.path)
+    assert a.commit("1", token_rollup.inserts(row, counters)) and b.commit("2", token_rollup.inserts(row, counters))
+    assert b.version == 2 and not b.commit("1", token_rollup.inserts(row, counters))
+    for i in range(3, 6):
+        b.commit(str(i), token_rollup.inserts(row, counters))
+    assert token_rollup.TokenRollup(spark, a.path).totals().agg(F.sum("n_docs")).first()[0] == 6
+
+
+def plain_tokens(url):
+    h, p = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url).groups()
+    labels = [x for x in low(h).split(".") if x]
+    parts = [y for x in labels if "-" in x for y in x.split("-") if y]
+    return {*(f"host {x}" for x in labels), *(f"part {x}" for x in parts), *(f"path {x}" for x in re.split("[/.]", low(p)) if x), *(f"query {x}" for x in re.findall(r"[?&]([^=&#]+)", url))}
+
+
+def test_mined_rules_against_all_itemsets(spark):
+    """Every set of items of the labelled urls is counted; a url is blocked if a sure and frequent one is in it."""
+    rng = np.random.default_rng(6)
+    words = ["shop", "blog", "win-now", "cheap", "news", "a", "b"]
+
+    def url():
+        w = list(rng.choice(words, 4))
+        return f"http://{w[0]}.{w[1]}.long.host.of.many.labels.com/{w[2]}/{w[3]}?{'x' if rng.random() < 0.5 else 'y'}=1"
+
+    urls = [url() for _ in range(400)]
+    blocked = [("cheap" in u and "?x" in u) or ("win-now" in u.split("/")[2] and "a" in u.split("?")[0].split("/")[3:]) or rng.random() < 0.05 for u in urls]
+    rows = [plain_tokens(u) for u in urls]
+    places = {t: frozenset(i for i, r in enumerate(rows) if t in r) for r in rows for t in r}
+    item = {t: min(x for x in places if places[x] == at) for t, at in places.items() if 8 <= len(at) < len(rows)}
+    sets, block = [frozenset(item[t] for t in r if t in item) for r in rows], set(np.flatnonzero(blocked))
+    sure = []
+    for size in range(1, 9):
+        for s in {frozenset(c) for r in sets for c in itertools.combinations(sorted(r), size)}:
+            at = set.intersection(*(set(places[x]) for x in s))
+            both = at & block
+            if len(both) >= 8 and len(both) >= 0.8 * len(at) and len(both) / len(at) > len(block) / len(rows) and not any(x < s for x in sure):
+                sure.append(s)
+    labelled = spark.createDataFrame([(u, bool(b)) for u, b in zip(urls, blocked, strict=True)], "url string, block boolean")
+    assert {frozenset(r.antecedent) for r in url_filter.mine(labelled).collect()} == set(sure) and len(sure) >= 3
+    asked = urls + [url() for _ in range(100)] + ["http://cheap.net?x=1", "http://other.org/cheap?x", "http://now.com/a/"]
+    pages = spark.createDataFrame(list(enumerate(asked)), "page_id long, url string").withColumn("token", F.lit("t")).withColumn("rule", F.lit(1))
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, labelled, ()).collect()}
+    for i, u in enumerate(asked):
+        mine = {item[t] for t in plain_tokens(u) if t in item}
+        assert (got[i] == "block") == any(s <= mine for s in sure), u

@@ -36,8 +36,8 @@ def nearest(points: DataFrame, lon: float, lat: float, k: int, key: str) -> Data
 def nearest_each(points: DataFrame, refs: DataFrame, k: int, key: str, ref: str, start_m: float | None = None) -> DataFrame:
     """The k points nearest to each reference, by rings of growing radius: references that a radius leaves short go on with twice as much.
 
-    The first radius, unless given, is that of a circle that would hold k points if they were spread evenly over
-    their box. What a round finds and what it leaves are written, so that no round does the ones before again.
+    The first radius, unless given, is that of a circle that would hold four times k points if they were spread evenly
+    over their box. What a round finds and what it leaves are written, so that no round does the ones before again.
     References without a place have no points. Points of equal distance come in the order of key.
     """
     placed = points.where("lon is not null and lat is not null")
@@ -47,7 +47,7 @@ def nearest_each(points: DataFrame, refs: DataFrame, k: int, key: str, ref: str,
     if start_m is None:
         metre = math.pi / 180 * geo.EARTH
         wide = (box.max_lon - box.min_lon) * metre * math.cos(math.radians((box.max_lat + box.min_lat) / 2))
-        start_m = max(1.0, math.sqrt(2 * k * max(wide, 1.0) * max((box.max_lat - box.min_lat) * metre, 1.0) / (math.pi * box.n)))
+        start_m = max(1.0, math.sqrt(4 * k * max(wide, 1.0) * max((box.max_lat - box.min_lat) * metre, 1.0) / (math.pi * box.n)))
     found, left, radius = [], refs.where("ref_lon is not null and ref_lat is not null"), start_m
     while left.take(1):
         near = within_radius_raw(placed, left, radius)

@@ -51,7 +51,6 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.layers, self.path = spark, {}, path
-        sql_functions.register(spark)
         if path and exists(spark, path):
             fs, at = file_system(spark, path)
             for folder in (str(s.getPath()) for s in fs.listStatus(at)):
@@ -91,9 +90,11 @@ class Catalog:
         return self.columns().groupBy("name", "geometry_type").agg(F.array_sort(F.collect_list(F.struct("column", "description"))).alias("columns"))
 
     def query(self, sql: str, **args) -> DataFrame:
-        """Runs one reading statement over registered layers only."""
+        """Runs one reading statement over registered layers only; it may call the functions of sql_functions."""
         text = portable(sql)
         check(self.spark, text, set(self.layers))
+        if re.search(r"(?i)\bst_\w+\s*\(", text):
+            sql_functions.register(self.spark)
         return self.spark.sql(text, args=args or None)
 
 

@@ -322,7 +322,7 @@ def rrf_fuse(spark, d):
 
 
 @query(f"""with near as (select chunk_id, score, row_number() over (order by score desc, chunk_id) as rank from (select e.vec_id as chunk_id, {_SQL_COS} as score from embeddings e join documents on doc_id = e.vec_id, (select embedding from embeddings where vec_id = 0) q)),
-    words as (select chunk_id, score, row_number() over (order by score desc, chunk_id) as rank from ({_sql_bm25('(select documents.* from documents join embeddings on doc_id = vec_id)')})),
+    words as (select chunk_id, score, row_number() over (order by round(score, 9) desc, chunk_id) as rank from ({_sql_bm25('(select documents.* from documents join embeddings on doc_id = vec_id)')})),
     lists as (select 0 as list, * from near where rank <= 20 union all select 1, * from words where rank <= 20 and score > 0),
     best as (select chunk_id, sum(1.0::double / (60 + rank)) as score, min(list * 100 + rank) as first, max(case when list = 0 then score end) as dense_score, max(case when list = 1 then score end) as bm25_score from lists group by 1)
     select chunk_id, round(score, 9) as score, round(dense_score, 5) as dense_score, round(bm25_score, 6) as bm25_score from best order by best.score desc, first limit 5""")

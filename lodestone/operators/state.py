@@ -85,13 +85,18 @@ def cacheable(response: Column) -> Column:
     return ~asks & ~waits & answers
 
 
+# How a conversation notes what a map showed.
+SHOWN, MORE, MAPPED = ("(showed on the map: ", ")"), (", and ", " more"), ("(mapped ", " feature(s))")
+
+
 def reply_text(response: Column, names: int = 5) -> Column:
     """What a conversation keeps of a response: its answer, else what it asks, else the names of its first results."""
     results = response["map"]["results"]
     named = F.slice(F.array_distinct(F.filter(F.transform(results, lambda r: r["name"]), lambda n: F.coalesce(n, F.lit("")) != "")), 1, names)
     more = F.size(results) - F.size(named)
-    shown = F.concat(F.lit("(showed on the map: "), F.array_join(named, ", "), F.when(more > 0, F.concat(F.lit(", and "), more, F.lit(" more"))).otherwise(""), F.lit(")"))
-    listed = F.when(results.isNull(), "").when(F.size(named) > 0, shown).otherwise(F.concat(F.lit("(mapped "), F.size(results), F.lit(" feature(s))")))
+    within = lambda ends, x: F.concat(F.lit(ends[0]), x, F.lit(ends[1]))
+    shown = within(SHOWN, F.concat(F.array_join(named, ", "), F.when(more > 0, within(MORE, more.cast("string"))).otherwise("")))
+    listed = F.when(results.isNull(), "").when(F.size(named) > 0, shown).otherwise(within(MAPPED, F.size(results).cast("string")))
     full = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c)
     return F.coalesce(full(response["knowledge"]["answer"]), full(response["clarification"]), listed)
 

@@ -170,6 +170,13 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float
     return best.join(a, "chunk_id", "left").join(b, "chunk_id", "left")
 
 
+def merged(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The rows of two lists of hits by key, of either or of both, with in_left and in_right."""
+    a, b = left.withColumn("in_left", F.lit(True)), right.withColumn("in_right", F.lit(True))
+    both = a.join(b, key, "full")
+    return both.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_left", "in_right")})
+
+
 def min_max(hits: DataFrame, score: str, by: str) -> DataFrame:
     """hits with scaled: the scores of each query from 0 to 1; 1 where all are equal.
 

@@ -195,6 +195,16 @@ def search_logs(logs: DataFrame, text: str | None = None, modules: list[str] | N
     return rows.orderBy(F.desc("ts"), F.desc("id")).offset(max(0, offset)).limit(min(100_000, max(1, limit)))
 
 
+def module_counts(logs: DataFrame) -> DataFrame:
+    """module and n, the number of its log rows."""
+    return logs.groupBy("module").agg(F.count("*").alias("n"))
+
+
+def logs_cleared(logs: DataFrame, before=None) -> DataFrame:
+    """The log rows from a time on; none without one."""
+    return logs.where(F.lit(False)) if before is None else logs.where(F.col("ts") >= F.lit(before))
+
+
 def count_logs(logs: DataFrame, **conditions) -> DataFrame:
     """One row: total, the number of matching_logs whatever the page."""
     return matching_logs(logs, **conditions).agg(F.count("*").alias("total"))

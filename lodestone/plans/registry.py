@@ -637,7 +637,7 @@ def log_page(spark, d):
 
 @query("select module, count(*) as n from (select (['MEMORY', 'ROUTING', 'API', 'CUSTOM'])[event_id % 4 + 1] as module from events) group by 1")
 def log_modules(spark, d):
-    return _logs(spark, d).groupBy("module").agg(F.count("*").alias("n"))
+    return state.module_counts(_logs(spark, d))
 
 
 @query("select doc_id from documents where doc_id not in (select doc_id from labels)")
@@ -929,9 +929,9 @@ def cache_scopes(spark, d):
 @query("select e.event_id, coalesce(c_custkey, -1)::bigint as c_custkey from events e full join customer on e.event_id = c_custkey where e.event_id is not null")
 def full_merge(spark, d):
     """A full outer merge of two lists of hits by key."""
-    c = read(spark, d, "customer").select("c_custkey")
-    both = read(spark, d, "events").select("event_id").join(c, F.col("event_id") == F.col("c_custkey"), "full")
-    return both.where("event_id is not null").select("event_id", F.coalesce("c_custkey", F.lit(-1)).cast("long").alias("c_custkey"))
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("event_id"), "c_custkey")
+    both = retrieval.merged(read(spark, d, "events").select("event_id"), c, "event_id").where("in_left")
+    return both.select("event_id", F.coalesce("c_custkey", F.lit(-1)).cast("long").alias("c_custkey"))
 
 
 @query("select date_trunc('hour', ts) as start, (['MEMORY', 'ROUTING', 'API', 'CUSTOM'])[event_id % 4 + 1] as module, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")

@@ -461,6 +461,9 @@ def test_logs_are_written_out(spark, tmp_path):
     state.export_logs(logs, str(tmp_path / "c"), "csv")
     rows = [r for f in sorted((tmp_path / "c").glob("*.csv")) for r in csv.DictReader(open(f))]
     assert [r["message"] for r in rows] == ["c", "a, b"] and tuple(rows[0]) == state.LOG_COLUMNS and rows[1]["iso"].startswith("2024-01-01T00:00:00") and rows[1]["target"] in ("", '""')
+    from datetime import datetime
+
+    assert state.logs_cleared(logs).count() == 0 and [r.id for r in state.logs_cleared(logs, datetime(2024, 1, 2)).collect()] == [2]
     state.export_logs(logs, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2 and state.count_logs(logs, text="mem").first()[0] == 1
     with pytest.raises(ValueError):

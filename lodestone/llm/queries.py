@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, decontamination, line_dedup, perplexity, quality, simhash, token_files, token_rollup, url_filter, warc
+from lodestone.llm import byte_bpe, decontamination, line_dedup, perplexity, quality, simhash, spelling, token_files, token_rollup, url_filter, warc, whitening
 from lodestone.llm.common import scratch, table, written
 
 
@@ -90,13 +90,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), drop=97)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_url_filter, url_given_rules, op4_token_files, op5_token_counts, rollup_of_counters, op6_quality_rules, op7_warc, op8_decontamination, op9_line_dedup, op10_byte_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_url_filter, url_given_rules, op4_token_files, op5_token_counts, rollup_of_counters, op6_quality_rules, op7_warc, op8_decontamination, op9_line_dedup, op10_byte_bpe, op11_spelling, op13_whitening, pipeline)}
 
 _A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _BLANK = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
@@ -165,4 +173,37 @@ ORACLE_SQL = {
         select doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_dropped,
             sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
         from m group by doc_id""",
+    "op11_spelling": rf"""
+        with recursive step as (
+            select i, i::bigint as c, 0 as k from range(256) t(i) union all select i, case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from step where k < 8
+        ), crc as (
+            select list(c order by i) as tab from step where k = 8
+        ), runs as (
+            select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_A_TO_Z}), '[a-z\x{{C0}}-\x{{FF}}]+')) as w from documents
+        ), own as (
+            select doc_id, w, count(*) as k from runs group by 1, 2
+        ), codes as (
+            select w, k, flatten(list_transform(string_split(doc_id::varchar || ':' || w, ''), lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [195::bigint, unicode(x)::bigint - 64] end)) as b from own
+        ), h as (
+            select w, k, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: xor(c >> 8, tab[xor(c & 255, x) + 1])), 4294967295::bigint) as h from codes, crc
+        ), counts as (
+            select case when h % 97 = 0 then left(w, (h % length(w))::bigint) || substr(w, (h % length(w))::bigint + 2) else w end as word, sum(k)::bigint as n from h group by 1
+        ), words as (
+            select word, n from counts where length(word) >= 5 and n >= 3
+        ), dropped as (
+            select word, i, left(word, i - 1) || substr(word, i + 1) as rest from (select word, unnest(range(1, length(word) + 1)) as i from words)
+        ), near as (
+            select a.word, b.word as other from dropped a join dropped b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+            union select d.word, w.word from dropped d join words w on d.rest = w.word
+            union select w.word, d.word from dropped d join words w on d.rest = w.word
+        ), best as (
+            select near.word, count(*) as n_near, max(n) as m, min(struct_pack(less := -n, other := other)).other as other from near join words w on w.word = other group by 1
+        ), forms as (
+            select word, n, coalesce(n_near, 0)::bigint as n_near, case when m >= 2 * n then other end as form, case when m >= 2 * n then m end as form_n from words left join best using (word)
+        ), way as (
+            select word, form as goal from forms where form is not null union all select way.word, f.form from way join forms f on f.word = goal where f.form is not null
+        ), last as (
+            select way.word, goal from way join forms f on f.word = goal where f.form is null
+        )
+        select word, form, coalesce(goal, word) as root, n, n_near, form_n from forms left join last using (word)""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, decontamination, line_dedup, perplexity, quality, simhash, spelling, token_files, token_rollup, url_filter, warc, whitening
+from lodestone.llm import byte_bpe, decontamination, line_dedup, perplexity, quality, simhash, spelling, token_files, token_rollup, toxicity, url_filter, warc, whitening
 from lodestone.llm.common import scratch, table, written
 
 
@@ -94,6 +94,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"), drop=97)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitening(table(spark, sf_dir, "embeddings"))
 
@@ -104,7 +108,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_url_filter, url_given_rules, op4_token_files, op5_token_counts, rollup_of_counters, op6_quality_rules, op7_warc, op8_decontamination, op9_line_dedup, op10_byte_bpe, op11_spelling, op13_whitening, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_url_filter, url_given_rules, op4_token_files, op5_token_counts, rollup_of_counters, op6_quality_rules, op7_warc, op8_decontamination, op9_line_dedup, op10_byte_bpe, op11_spelling, op12_toxicity, op13_whitening, pipeline)}
 
 _A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _BLANK = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"

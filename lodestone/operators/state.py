@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import token_estimate
-from lodestone.operators.retrieval import cosine, latest
+from lodestone.operators.retrieval import latest
+from lodestone.operators.vector_index import pairs_within
 
 # The least cosine of a hit, entries kept, tokens and turns of a window.
 THRESHOLD, ENTRIES, BUDGET, TURNS = 0.93, 512, 2000, 5
-#: Blocks into which the entries of a scope are dealt for a lookup.
-BLOCKS = 16
 # Tags of loggers by their last name.
 MODULES = {
     "intent_router": "AGENT_ROUTER", "knowledge_pipeline": "RAG_RETRIEVAL", "hybrid_retriever": "RAG_RETRIEVAL", "vector_store": "RAG_RETRIEVAL", "retrieval_validator": "RAG_RETRIEVAL",
@@ -31,18 +31,14 @@ def scope_key(ids: Column, collection: Column) -> Column:
 def cache_lookup(entries: DataFrame, queries: DataFrame, now: float | None = None, ttl: float = 0.0, threshold: float = THRESHOLD, others: bool = False) -> DataFrame:
     """For each query (query_id, scope, vector) the best fresh entry (entry_id, scope, vector, ts) of its scope.
 
-    A query meets every entry of its scope, however many, but with others the one of its own id. Entries are dealt
-    into BLOCKS by id and the best of each block is found before the best of all; ties go to the older entry.
+    With others, a query leaves out the entry of its own id. A query meets the entries that bounds on the distances
+    leave to its threshold, all of them, however many; ties go to the older entry.
     """
     fresh = entries if not ttl or now is None else entries.where(F.col("ts") >= now - ttl)
-    dealt = fresh.withColumnRenamed("vector", "_v").withColumn("_block", F.pmod(F.xxhash64("entry_id"), F.lit(BLOCKS)).cast("int"))
-    asked = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    pairs = asked.join(dealt, ["scope", "_block"])
+    pairs = pairs_within(fresh.withColumnRenamed("vector", "_v"), queries, ["scope"], threshold, "_v", "vector")
     pairs = pairs.where(F.col("entry_id") != F.col("query_id")) if others else pairs
-    pairs = pairs.withColumn("score", cosine(F.col("vector"), F.col("_v"))).where(F.col("score") >= threshold)
     order = F.struct("score", -F.col("ts"), -F.col("entry_id"))
-    blocks = pairs.groupBy("query_id", "_block").agg(F.max_by(F.struct("entry_id", "score", "ts"), order).alias("b")).select("query_id", "b.*")
-    best = blocks.groupBy("query_id").agg(F.max_by(F.struct("entry_id", "score"), order).alias("b"))
+    best = pairs.groupBy("query_id").agg(F.max_by(F.struct("entry_id", "score"), order).alias("b"))
     return best.select("query_id", "b.entry_id", "b.score")
 
 
@@ -178,10 +174,14 @@ def module_tag(logger: Column) -> Column:
 
 
 def matching_logs(logs: DataFrame, text: str | None = None, modules: list[str] | None = None, levels: list[str] | None = None, since=None, until=None) -> DataFrame:
-    """All log rows (id, ts, module, level, message, …) that meet all conditions, in no order."""
+    """All log rows (id, ts, module, level, message, …) that meet all conditions, in no order.
+
+    The text is looked for in message, target and logger, of which any may be null or missing.
+    """
     rows = logs
     if text:
-        rows = rows.where(F.col("message").ilike(f"%{text}%") | F.col("module").ilike(f"%{text}%") | F.col("logger").ilike(f"%{text}%"))
+        searched = [c for c in ("message", "target", "logger") if c in logs.columns]
+        rows = rows.where(reduce(lambda a, b: a | b, (F.coalesce(F.col(c).ilike(f"%{text}%"), F.lit(False)) for c in searched), F.lit(False)))
     for column, wanted in (("module", modules), ("level", levels)):
         rows = rows.where(F.col(column).isin(wanted)) if wanted else rows
     rows = rows.where(F.col("ts") >= F.lit(since)) if since is not None else rows

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import geo, text
 from lodestone.operators import analytics, chunking, guardrails, retrieval, spatial, state, validation
+from lodestone.operators.vector_index import VectorIndex
 from lodestone.plans import schema_files
 from lodestone.plans.catalog import Catalog
 from lodestone.scratch import scratch
@@ -306,6 +307,23 @@ def dense_topk(spark, d):
     return retrieval.top(retrieval.dense(vectors, _vector(spark, d)), 20).select("chunk_id", F.round("score", 5).alias("score"))
 
 
+@query(ORACLE_SQL["dense_topk"])
+def indexed_topk(spark, d):
+    """The report of dense_topk by a stored index, which reads the lists that may hold a hit."""
+    index = VectorIndex.build(read(spark, d, "embeddings").withColumnRenamed("vec_id", "chunk_id"), scratch(spark, "vector-index"))
+    return index.top(_vector(spark, d), 20).select("chunk_id", F.round("score", 5).alias("score"))
+
+
+@query(f"""select query_id, chunk_id, rank, round(score, 5) as score from (select q.vec_id as query_id, e.vec_id as chunk_id, {_SQL_COS} as score, row_number() over (partition by q.vec_id order by {_SQL_COS} desc, e.vec_id) as rank
+    from embeddings q, embeddings e where q.vec_id % 20 = 0) where rank <= 10""")
+def indexed_topk_each(spark, d):
+    """Every vector whose id is divisible by 20 is a query against all vectors of a stored index."""
+    vectors = read(spark, d, "embeddings")
+    index = VectorIndex.build(vectors.withColumnRenamed("vec_id", "chunk_id"), scratch(spark, "vector-index"))
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return index.top_each(queries, 10).withColumn("score", F.round("score", 5))
+
+
 @query(f"select e.vec_id as chunk_id, round({_SQL_COS}, 5) as score from embeddings e, (select embedding from embeddings where vec_id = 0) q where label in (1, 3, 5)")
 def dense_filtered(spark, d):
     vectors = read(spark, d, "embeddings").withColumnRenamed("vec_id", "chunk_id")
@@ -1108,9 +1126,10 @@ def polygon_total(spark, d):
     return spatial.count_polygon(customers(spark, d), [_RING])
 
 
-@query("select count(*) as total from (select (['MEMORY', 'ROUTING', 'API', 'CUSTOM'])[event_id % 4 + 1] as module, event_type from events) where contains(lower(module), 'mem') or contains(lower(event_type), 'mem')")
+@query("select count(*) as total from (select (['agents.memory', 'agents.routing', 'api', 'custom'])[event_id % 4 + 1] as logger, case when event_id % 10 = 3 then 'Member ' || user_id end as target, event_type from events) where contains(logger, 'mem') or contains(lower(event_type), 'mem') or contains(lower(target), 'mem')")
 def log_total(spark, d):
-    return state.count_logs(_logs(spark, d), text="mem")
+    targets = read(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 10 == 3, F.concat(F.lit("Member "), "user_id")).alias("target"))
+    return state.count_logs(_logs(spark, d).join(targets, "id"), text="mem")
 
 
 _NEAR = "select c_custkey, round(st_distance(st_point(lon, lat), st_point(31.2, 30.05)), 1) as distance_m from customer where st_dwithin(st_point(lon, lat), st_point(31.2, 30.05), 5000) and st_within(st_point(lon, lat), st_makeenvelope(31.0, 30.0, 31.21, 30.2))"

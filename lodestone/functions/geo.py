@@ -78,9 +78,15 @@ def cell(lon: Column, lat: Column, size: float) -> Column:
     return (F.floor(lon / size) * 1_000_003 + F.floor(lat / size)).cast("long")
 
 
+#: Width of the smallest cubes, in metres; a distance of 0 has them as well.
+LEAST_CUBE = 0.001
+
+
 def _cube(lon: Column, lat: Column, metres: float) -> list[Column]:
     """The cube of space, `metres` wide as the crow flies through the earth, in which a point of the sphere lies."""
-    width = 2 * EARTH * math.sin(min(metres / (2 * EARTH), math.pi / 2)) * 1.0000001
+    if metres < 0:
+        raise ValueError(f"a distance of {metres} m")
+    width = max(2 * EARTH * math.sin(min(metres / (2 * EARTH), math.pi / 2)) * 1.0000001, LEAST_CUBE)
     around = F.cos(F.radians(lat)) * EARTH
     return [F.floor(x / width) for x in (around * F.cos(F.radians(lon)), around * F.sin(F.radians(lon)), F.sin(F.radians(lat)) * EARTH)]
 

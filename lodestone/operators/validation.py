@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import geo
 from lodestone.functions.text import blank, number
+from lodestone.scratch import small_side, written
 
 TYPES = ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon")
 DEPTH = dict(zip(TYPES, (0, 1, 1, 2, 2, 3), strict=True))
@@ -129,9 +130,15 @@ def coordinate_columns(features: DataFrame, declared: list[str]) -> DataFrame:
 
 
 def duplicate_geometries(rows: DataFrame, key: Column, order: str) -> DataFrame:
-    """rows with duplicate: an earlier row has the same key. Keys are counted before rows are joined to them."""
-    first = rows.groupBy(key.alias("_key")).agg(F.min(order).alias("_first"))
-    return rows.withColumn("_key", key).join(first, "_key").withColumn("duplicate", F.col(order) > F.col("_first")).drop("_key", "_first")
+    """rows with duplicate: an earlier row has the same key. A row without key is like no other.
+
+    Keys that occur again are a table of their own, so that Spark can split the rows of a frequent one.
+    """
+    keyed = rows.withColumn("_key", key)
+    first = keyed.where("_key is not null").groupBy("_key").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    found = keyed.where("_key is not null").join(small_side(written(first, "repeated-keys")), "_key", "left").withColumn("duplicate", F.coalesce(F.col(order) > F.col("_first"), F.lit(False)))
+    none = keyed.where("_key is null").withColumn("duplicate", F.lit(False))
+    return found.drop("_key", "_first").unionByName(none.drop("_key"))
 
 
 def duplicates_need_decision(rows: DataFrame) -> DataFrame:
@@ -140,10 +147,14 @@ def duplicates_need_decision(rows: DataFrame) -> DataFrame:
 
 
 def unique_ids(rows: DataFrame, id_: str, order: str) -> DataFrame:
-    """rows with new_id: the first of equal ids keeps it, others get one that is made of id and place."""
+    """rows with new_id: the first of equal ids keeps it, others get one that is made of id and place.
+
+    Rows without id, which may be most of them, get theirs where they stand.
+    """
     nth = F.row_number().over(Window.partitionBy(id_).orderBy(order))
     made = F.concat(F.lit("u-"), F.substring(F.sha1(F.concat_ws(":", F.col(id_).cast("string"), F.col(order).cast("string"))), 1, 16))
-    return rows.withColumn("new_id", F.when(F.col(id_).isNotNull() & (nth == 1), F.col(id_).cast("string")).otherwise(made))
+    named = rows.where(F.col(id_).isNotNull()).withColumn("new_id", F.when(nth == 1, F.col(id_).cast("string")).otherwise(made))
+    return named.unionByName(rows.where(F.col(id_).isNull()).withColumn("new_id", made))
 
 
 def empty_to_null(rows: DataFrame, required: tuple[str, ...] = ()) -> DataFrame:

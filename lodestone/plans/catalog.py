@@ -15,8 +15,10 @@ from lodestone.scratch import exists, file_system, remove
 #: Nodes of a parsed plan that only read; a plan with any other is refused.
 READING = frozenset({
     "Aggregate", "Distinct", "Except", "Filter", "Generate", "GlobalLimit", "Intersect", "Join", "LateralJoin", "LocalLimit", "LocalRelation", "Offset", "OneRowRelation", "PipeOperator", "Pivot", "Project", "Sort",
-    "SubqueryAlias", "UnresolvedHaving", "UnresolvedHint", "UnresolvedInlineTable", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedWith", "Union", "Unpivot", "WithWindowDefinition",
+    "SubqueryAlias", "UnresolvedHaving", "UnresolvedHint", "UnresolvedInlineTable", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedTableValuedFunction", "UnresolvedWith", "Union", "Unpivot", "WithWindowDefinition",
 })
+#: Functions that make rows of their arguments and nothing else.
+TABLE_FUNCTIONS = frozenset({"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"})
 #: Functions that reach outside of the query.
 REFUSED_FUNCTIONS = frozenset({"reflect", "java_method", "try_reflect"})
 
@@ -150,6 +152,10 @@ def _refused(plan, seen: frozenset[str], subquery) -> str | None:
     kind = plan.getClass().getSimpleName()
     if kind not in READING:
         return f"{kind} is not allowed"
+    if kind == "UnresolvedTableValuedFunction":
+        name = [str(x).lower() for x in _each(plan.name())]
+        if len(name) != 1 or name[0] not in TABLE_FUNCTIONS:
+            return f"not allowed: {'.'.join(name)}"
     if kind == "UnresolvedRelation":
         name = [str(x) for x in _each(plan.multipartIdentifier())]
         return None if len(name) == 1 and name[0].lower() in seen else f"not allowed: {'.'.join(name)}"

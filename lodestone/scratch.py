@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,15 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: Scratch paths of each open `cleared`, the innermost last.
-_OPEN: list[list[str]] = []
+#: Scratch paths of each open `cleared` of this thread or task, the innermost last.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _OPEN.get():
+        _OPEN.get()[-1].append(path)
     return path
 
 
@@ -56,12 +57,17 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def cleared(spark: SparkSession) -> Iterator[None]:
-    """Removes at its end the scratch paths made within; results that are still to be read have to be written elsewhere."""
-    _OPEN.append([])
+    """Removes at its end the scratch paths made within; results that are still to be read have to be written elsewhere.
+
+    Paths that other threads make meanwhile are theirs.
+    """
+    paths: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), paths))
     try:
         yield
     finally:
-        for path in _OPEN.pop():
+        _OPEN.reset(token)
+        for path in paths:
             remove(spark, path)
 
 

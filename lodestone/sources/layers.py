@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import geo
 from lodestone.operators import validation
 from lodestone.plans.catalog import sanitized
+from lodestone.scratch import exists, file_system
 
 # Column names of latitude and longitude, the first found counts.
 LAT, LON = ("lat", "latitude", "y"), ("lon", "lng", "long", "longitude", "x")
@@ -138,18 +139,43 @@ def layer_type(features: DataFrame) -> DataFrame:
     return kinds.select(F.when(F.size("k") == 1, F.get("k", 0)).otherwise(F.lit("GEOMETRY")).alias("geometry_type"))
 
 
-def write_layer(points: DataFrame, path: str, cell_size: float = 0.1) -> None:
-    """Parquet clustered by grid cell, so that read_layer skips what lies outside of its box."""
-    points.withColumn("cell", geo.cell(F.col("lon"), F.col("lat"), cell_size)).repartitionByRange("cell", "lon", "lat").sortWithinPartitions("cell").write.mode("overwrite").parquet(path)
+#: The file of a stored layer that names the size of its cells.
+_SIZE = "_cell_size"
 
 
-def read_layer(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, cell_size: float = 0.1) -> DataFrame:
+def write_layer(points: DataFrame, path: str, cell_size: float = 0.1) -> None:
+    """Parquet clustered by grid cell, so that read_layer skips what lies outside of its box; the cells' size is stored with it."""
+    points.withColumn("cell", geo.cell(F.col("lon"), F.col("lat"), cell_size)).repartitionByRange("cell", "lon", "lat").sortWithinPartitions("cell").write.mode("overwrite").parquet(path)
+    fs, at = file_system(points.sparkSession, f"{path}/{_SIZE}")
+    out = fs.create(at, True)
+    out.write(bytearray(repr(float(cell_size)).encode()))
+    out.close()
+
+
+def _cell_size(spark: SparkSession, path: str) -> float | None:
+    """The size of the cells of a stored layer; None for one that was stored without it."""
+    if not exists(spark, f"{path}/{_SIZE}"):
+        return None
+    # Spark's readers pass over names that begin with _, so the file is read by the file system.
+    fs, at = file_system(spark, f"{path}/{_SIZE}")
+    stream = fs.open(at)
+    try:
+        return float(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
+def read_layer(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
     """A layer that write_layer wrote, as a whole or within a box (minx, miny, maxx, maxy, edges included).
 
-    The box also bounds the cells, which are sorted, so that row groups of other cells are never read.
+    The box also bounds the cells, which are sorted, so that row groups of other cells are never read. A layer without
+    a stored size of its cells is read as a whole and filtered.
     """
     layer = spark.read.parquet(path)
-    if box is not None:
+    cell_size = _cell_size(spark, path) if box is not None else None
+    if box is not None and cell_size is None:
+        layer = layer.where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
+    elif box is not None:
         minx, miny, maxx, maxy = (F.lit(float(v)) for v in box)
         low, high = (math.floor(v / cell_size) * 1_000_003 + math.floor(w / cell_size) for v, w in ((box[0], box[1]), (box[2], box[3])))
         layer = layer.where(F.col("cell").between(low, high) & F.col("lon").between(minx, maxx) & F.col("lat").between(miny, maxy))

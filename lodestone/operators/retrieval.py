@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -10,12 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import overlap, root_domain, stable_uuid, tokens
+from lodestone.functions.text import overlap, root_domain, stable_uuid
 from lodestone.operators.chunking import recursive_chunks
-from lodestone.scratch import exists, scratch, small_side
+from lodestone.operators.keyword_index import KeywordIndex, bm25
+from lodestone.scratch import exists, small_side
 
-# BM25's constants, the rank constant of fusion, sizes of the pool and of the result.
-K1, B, EPSILON, RRF_K, POOL, TOP = 1.5, 0.75, 0.25, 60, 20, 5
+# The rank constant of fusion, sizes of the pool and of the result.
+RRF_K, POOL, TOP = 60, 20, 5
 # Weights and thresholds of sufficiency.
 DENSE_WEIGHT, OVERLAP_WEIGHT, ENOUGH, LEAST_OVERLAP = 0.6, 0.4, 0.35, 0.05
 # Domains that are nobody's own site, and endings of official ones.
@@ -27,61 +27,6 @@ BLOCKED_DOMAINS = (
 OFFICIAL = (".edu", ".gov", ".ac.", ".edu.eg", ".gov.eg", ".org")
 
 
-class KeywordIndex:
-    """BM25 over a stored index: postings in the order of their terms, idf of each term, and the sizes of the whole.
-
-    It is built once from chunks (chunk_id, text); a question reads the row groups of its terms only. `build` replaces
-    what the folder holds, which is how changed chunks come in.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    @classmethod
-    def build(cls, chunks: DataFrame, path: str, clustered: bool = True) -> KeywordIndex:
-        """Counts the terms of each chunk, then the chunks of each term; null texts have no term but count as chunks.
-
-        clustered: postings and terms are put in order, which pays from the second question on.
-        """
-        spark = chunks.sparkSession
-        sized = chunks.select("chunk_id", tokens(F.col("text")).alias("terms"))
-        tf = sized.select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
-        ordered = lambda df, *keys: df.repartitionByRange(*keys).sortWithinPartitions(*keys) if clustered else df
-        ordered(tf, "term", "chunk_id").write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
-        # The sizes of chunks come from the postings, where each length stands once a term; the number of chunks can't.
-        postings = spark.read.parquet(f"{path}/postings")
-        n = chunks.select(F.count("*").alias("n"))
-        sizes = n.crossJoin(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))).withColumn("mean", F.try_divide("words", "n"))
-        df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
-        df = df.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-        ordered(df, "term").write.mode("overwrite").parquet(f"{path}/terms")
-        mean = spark.read.parquet(f"{path}/terms").agg(F.avg("idf").alias("mean_idf"))
-        sizes.crossJoin(mean).coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")
-        return cls(spark, path)
-
-    def scores(self, query: str) -> DataFrame:
-        """chunk_id and score of each chunk that has a term of the query.
-
-        A term in over half of the chunks has EPSILON times the mean idf of all terms.
-        """
-        times = Counter(r[0] for r in self.spark.range(1).select(F.explode(tokens(F.lit(query)))).collect())  # words of one question
-        wanted = F.col("term").isin(list(times))
-        sizes = self.spark.read.parquet(f"{self.path}/sizes")  # one row
-        weight = F.create_map(*(x for t, n in times.items() for x in (F.lit(t), F.lit(n)))) if times else F.create_map().cast("map<string,int>")
-        idf = self.spark.read.parquet(f"{self.path}/terms").where(wanted).crossJoin(F.broadcast(sizes))
-        idf = idf.select("term", (weight[F.col("term")] * F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf"))).alias("idf"), "mean")
-        tf = self.spark.read.parquet(f"{self.path}/postings").where(wanted).join(F.broadcast(idf), "term")
-        part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-        # Added up in order, so that chunks of the same numbers have the same score whatever task they come from.
-        added = F.aggregate(F.array_sort(F.collect_list(part)), F.lit(0.0), lambda s, x: s + x)
-        return tf.groupBy("chunk_id").agg(added.alias("score"))
-
-
-def bm25(chunks: DataFrame, query: str) -> DataFrame:
-    """chunk_id and score of each chunk that has a term of the query, by an index made for this question alone."""
-    return KeywordIndex.build(chunks, scratch(chunks.sparkSession, "keyword-index"), clustered=False).scores(query)
-
-
 def top(scores: DataFrame, k: int, positive: bool = False) -> DataFrame:
     """The k best of (chunk_id, score) with rank from 1, ties by chunk_id; those not above 0 go after the cut."""
     best = scores.orderBy(F.desc("score"), "chunk_id").limit(k)
@@ -163,7 +108,8 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float
     filter leaves are indexed for this question.
     """
     near = top(dense(vectors, vector, filters), pool)
-    scores = index.scores(query).join(metadata_filter(chunks, filters).select("chunk_id"), "chunk_id", "left_semi") if index else bm25(metadata_filter(chunks, filters), query)
+    left = metadata_filter(chunks, filters)
+    scores = index.top(query, pool, left if filters else None) if index else bm25(left, query)
     words = top(scores, pool, positive=True)
     best = fuse([(near, 1.0), (words, 1.0)]).orderBy(F.desc("score"), "_first").limit(k).drop("_first")
     a, b = near.select("chunk_id", F.col("score").alias("dense_score")), words.select("chunk_id", F.col("score").alias("bm25_score"))

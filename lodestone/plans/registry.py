@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import geo, text
 from lodestone.operators import analytics, chunking, guardrails, retrieval, spatial, state, validation
+from lodestone.operators.keyword_index import KeywordIndex
 from lodestone.operators.vector_index import VectorIndex
 from lodestone.plans import schema_files
 from lodestone.plans.catalog import Catalog
@@ -35,7 +36,8 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return document_sources.spread(rows) if name in ("documents", "pages") else rows
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,6 +295,23 @@ def bm25_scores(spark, d):
     return retrieval.bm25(chunks, _QUERY).select("chunk_id", F.round("score", 6).alias("score"))
 
 
+@query(f"select chunk_id, round(score, 6) as score from ({_sql_bm25('documents')}) order by round(score, 9) desc, chunk_id limit 20")
+def bm25_topk(spark, d):
+    """A top-k report by a stored index, which leaves blocks of chunks unread that can't have a hit."""
+    index = KeywordIndex.build(read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), scratch(spark, "keyword-index"))
+    return index.top(_QUERY, 20).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(f"select chunk_id, round(score, 6) as score from ({_sql_bm25('(select * from documents where doc_id % 10 <> 3)')})")
+def bm25_after_changes(spark, d):
+    """The scores of an index that grew in two commits, had a tenth of its chunks put again and another tenth taken away."""
+    chunks = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    index = KeywordIndex.build(chunks.where("chunk_id % 2 = 0").withColumn("text", F.when(F.col("chunk_id") % 10 != 4, F.col("text")).otherwise("the and 42")), scratch(spark, "keyword-index"))
+    index = index.put(chunks.where("chunk_id % 2 = 1")).put(chunks.where("chunk_id % 10 = 4"))
+    index = index.delete(chunks.where("chunk_id % 10 = 3").select("chunk_id"))
+    return index.scores(_QUERY).select("chunk_id", F.round("score", 6).alias("score"))
+
+
 def _vector(spark, d) -> list[float]:
     return read(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]
 

@@ -15,6 +15,16 @@ DROPPED = ("script", "style", "nav", "footer", "header", "noscript")
 PAGE_CHARS, SPACE_SHARE = 40, 0.05
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """The rows dealt out to all cores, if a few row groups hold them all.
+
+    A row group is read by one task, and texts cost far more to work on than to move. Columns and filters still reach
+    the scan. A table of as many parts as there are cores, as large ones are, stays as it is.
+    """
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(cores) if texts.rdd.getNumPartitions() < cores else texts
+
+
 def html_text(html: Column) -> Column:
     """The text of a page: without DROPPED elements, comments and tags, entities undone, white space collapsed."""
     out = F.coalesce(html, F.lit(""))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.scratch import BROADCAST_ROWS, cleared, remove, scratch, shared_dir, small_side, written
+from lodestone.sources.documents import spread
 
 __all__ = ["BROADCAST_ROWS", "SLICE_BYTES", "UPPER", "ascii_lower", "cleared", "remove", "scratch", "shared_dir", "slices", "small_side", "table", "utf8", "written"]
 
@@ -20,7 +21,8 @@ SLICE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def ascii_lower(text: Column) -> Column:

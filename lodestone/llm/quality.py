@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,19 +141,26 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        x = np.array([features(t) for t in utf8(batch.column("text"))], dtype=float)
-        yield pa.RecordBatch.from_arrays([batch.column("label"), *(pa.array(c) for c in x.T)], names=["label", *FEATURES])
+        texts = utf8(batch.column("text"))
+        x = np.array([features(t) for t in texts], dtype=float)
+        ids = batch.column("doc_id").cast(pa.string())
+        tags = pa.array([xxhash.xxh64_intdigest(t) >> 1 for t in texts], pa.int64())
+        yield pa.RecordBatch.from_arrays([ids, tags, batch.column("label"), *(pa.array(c) for c in x.T)], names=["doc_id", "tag", "label", *FEATURES])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> AdditiveModel:
     """Fits labels (doc_id, quality 0 or 1) to the texts of docs; at most `rows` labelled rows are looked at.
 
     Labels without doc_id or quality are left out; a doc_id with several labels counts by their mean, 1 from 1/2 on.
+    A null text counts as empty. The bound holds for rows of docs as well: equal rows are taken once, and of a doc_id
+    that many different texts have, those of the smallest hashes.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, so it may be broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", "text")
-    data: pd.DataFrame = texts.mapInArrow(_measured, "label double, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
+    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").mapInArrow(_measured, "doc_id string, tag long, label double, " + ", ".join(f"{f} double" for f in FEATURES))
+    # Features in place of texts are what is sorted; each task keeps `rows` of them at most before they meet.
+    kept = found.dropDuplicates(["doc_id", "tag"]).orderBy(F.xxhash64("doc_id"), "tag", "doc_id").limit(rows)
+    data: pd.DataFrame = kept.drop("doc_id", "tag").toPandas()
     data = data.sort_values(["label", *FEATURES], ignore_index=True)  # the same model whatever order the rows came in
     return fit(data[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), data["label"].to_numpy(float))
 

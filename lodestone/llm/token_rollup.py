@@ -7,6 +7,7 @@ the delta. Each version lists the batches that are in it, so that a batch which
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -78,9 +79,12 @@ def delta(changes: DataFrame) -> DataFrame:
 class TokenRollup:
     """Totals as a row of versions under one folder.
 
-    A writer writes a version to a folder of its own and commits it by making the file v<number>.commit, which names
-    that folder and which only one writer can make; another that was first is noticed, and the batch is added to its
-    version instead. The last KEEP versions stay.
+    A writer writes a version to a folder of its own and commits it by the file v<number>.commit, which names that
+    folder and which only one writer can make; another that was first is noticed, and the batch is added to its version
+    instead. The file is written under another name first, so no reader sees it half written; one without content, as
+    a writer that died could leave behind when commits were written in place, does not count and its number is passed
+    over. The last KEEP versions stay. On object stores, whose renames are not exclusive, there may be one
+    writer at a time only.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
@@ -95,11 +99,15 @@ class TokenRollup:
     def _last(self) -> tuple[int, str]:
         fs, at = self._fs()
         names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-        last = max((int(n[1:-7]) for n in names if n.endswith(".commit") and n[1:-7].isdigit()), default=-1)
-        return last, self._folder(last) if last >= 0 else ""
+        numbers = sorted((int(n[1:-7]) for n in names if n.endswith(".commit") and n[1:-7].isdigit()), reverse=True)
+        self.taken = max(numbers, default=-1)
+        return next(((n, folder) for n in numbers if (folder := self._folder(n))), (-1, ""))
 
     def _folder(self, version: int) -> str:
-        """The folder that a commit file names."""
+        """The folder that a commit file names; nothing where the file is empty or gone."""
+        fs, at = self._fs(f"v{version}.commit")
+        if not fs.exists(at) or not fs.getFileStatus(at).getLen():
+            return ""
         return self.spark.read.text(f"{self.path}/v{version}.commit").first()[0]
 
     def _claimed(self, version: int, folder: str) -> bool:
@@ -107,15 +115,19 @@ class TokenRollup:
         fs, at = self._fs(f"v{version}.commit")
         if fs.exists(at):
             return False
-        try:
-            out = fs.create(at, False)
-        except Exception:  # made by another writer since
-            if fs.exists(at):
-                return False
-            raise
+        _, own = self._fs(f"_{folder}.commit")
+        out = fs.create(own, False)
         out.write(bytearray(folder.encode()))
         out.close()
-        return True
+        try:
+            if fs.getScheme() == "file":  # a rename there replaces what has the name, a link doesn't
+                os.link(own.toUri().getPath(), at.toUri().getPath())
+                return True
+            return not fs.exists(at) and fs.rename(own, at)
+        except FileExistsError:
+            return False
+        finally:
+            fs.delete(own, False)
 
     def _read(self, what: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{self.folder}/{what}")
@@ -130,19 +142,20 @@ class TokenRollup:
                     return False
                 new = self._read("totals").unionByName(new).groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in _SUMS))
                 done = self._read("batches").unionByName(done)
-            folder = f"v{self.version + 1}-{uuid.uuid4().hex}"
+            number = max(self.version, self.taken) + 1
+            folder = f"v{number}-{uuid.uuid4().hex}"
             new.write.parquet(f"{self.path}/{folder}/totals")
             done.coalesce(1).write.parquet(f"{self.path}/{folder}/batches")
-            if self._claimed(self.version + 1, folder):
-                self.version, self.folder = self.version + 1, folder
+            if self._claimed(number, folder):
+                self.version, self.folder = number, folder
                 self._forget(self.version - KEEP - 1)
                 return True
             self.version, self.folder = self._last()
 
     def _forget(self, version: int) -> None:
         """Removes the version's folder; the commit file stays, so that its number isn't given again."""
-        if version >= 0:
-            fs, at = self._fs(self._folder(version))
+        if version >= 0 and (folder := self._folder(version)):
+            fs, at = self._fs(folder)
             fs.delete(at, True)
 
     def totals(self) -> DataFrame:

@@ -62,6 +62,25 @@ def context_prefix(heading: Column, text: Column) -> Column:
     return F.when(blank(heading) | F.lower(text).startswith(F.lower(heading)), text).otherwise(F.concat(heading, F.lit(" — "), text))
 
 
+def round_half_even(value: Column, digits: int) -> Column:
+    """A double at so many decimal digits (0 to 7), by its exact binary value, ties to even.
+
+    The product with the power of ten is split into the double nearest to it and what that leaves, which together are
+    exact, so that values just beside a tie go to their own side. Doubles too large to have such digits stay.
+    """
+    if not 0 <= digits <= 7:
+        raise ValueError(f"{digits} digits")
+    x, ten = value.cast("double"), F.lit(float(10**digits))
+    y = x * ten
+    wide = x * F.lit(134217729.0)  # 2^27 + 1: the upper half of the digits of x, then the lower one
+    high = wide - (wide - x)
+    left = (high * ten - y) + (x - high) * ten
+    near = F.rint(y)
+    off = y - near
+    exact = near + F.when((off == 0.5) & (left > 0) | (off + left > 0.5), 1.0).when((off == -0.5) & (left < 0) | (off + left < -0.5), -1.0).otherwise(0.0)
+    return F.when((F.abs(y) >= F.lit(2.0**53)) | F.isnan(x), x).otherwise(exact / ten)
+
+
 def token_estimate(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     return F.greatest(F.floor(F.length(t) / 4), F.regexp_count(t, F.lit(r"\S+"))).cast("long")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import geo, text
-from lodestone.operators import analytics, chunking, guardrails, retrieval, spatial, state, validation
+from lodestone.operators import analytics, chunking, evaluation, guardrails, retrieval, spatial, state, validation
 from lodestone.operators.keyword_index import KeywordIndex
 from lodestone.operators.vector_index import VectorIndex
 from lodestone.plans import schema_files
@@ -1194,3 +1194,31 @@ def cacheable_responses(spark, d):
         when 6 then '(showed on the map: ' || array_to_string(two, ', ') || case when len(two) < 2 then ', and 1 more' else '' end || ')' when 7 then '(mapped 0 feature(s))' else '' end as reply from p""")
 def replies(spark, d):
     return _responses(spark, d).select("event_id", state.reply_text(F.col("r")).alias("reply"))
+
+
+@query("select l_orderkey, l_linenumber, round_even((l_quantity / 8)::decimal(18, 3), 2)::double as eighths from lineitem")
+def rounded_to_even(spark, d):
+    """Eighths of quantities at two digits: half of them are ties."""
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.round_half_even(F.col("l_quantity") / 8, 2).alias("eighths"))
+
+
+def _sql_content(column: str) -> str:
+    return f"list_filter(list_distinct({_SQL_TOKENS.format(column)}), lambda x: length(x) > 1 and x not in ({_STOP}))"
+
+
+@query(f"""with a as (select q.conv_id, r.turn, q.text as question, r.text as answer, coalesce(c.text, '') as context from conversations q join conversations r on r.conv_id = q.conv_id and r.turn = q.turn + 1 left join conversations c on c.conv_id = q.conv_id and c.turn = 1 where q.role = 'user' and r.role = 'assistant'),
+    t as (select conv_id, turn, answer, context, {_sql_content('question')} as q, {_sql_content('answer')} as w, {_sql_content('context')} as c, string_split(regexp_replace(coalesce(answer, ''), '([.!?؟])[ \t\n\r\v\f]+', '\1' || chr(10), 'g'), chr(10)) as parts from a),
+    s as (select *, list_filter(list_transform(parts, lambda x: {_sql_content('x')}), lambda x: len(x) > 0) as claims from t),
+    f as (select *, len(list_filter(claims, lambda x: len(list_intersect(x, c)) / len(x)::double >= 0.6)) / nullif(len(claims), 0)::double as share from s)
+    select conv_id, turn, case when coalesce(answer, '') <> '' then round(case when len(q) = 0 then 0 else len(list_intersect(q, w)) / len(q)::double end, 4) end as answer_relevancy,
+        case when coalesce(answer, '') <> '' and trim(context) <> '' then round(share, 6) end as faithfulness,
+        conv_id % 5 = 0 or not coalesce(coalesce(answer, '') <> '' and trim(context) <> '' and share < 0.5, false) as faithful from f""")
+def answer_scores(spark, d):
+    """Each assistant's turn against the question before it and the first answer of its conversation, and the gate."""
+    turns = read(spark, d, "conversations")
+    asked = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
+    told = turns.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"))
+    first = turns.where("turn = 1").select("conv_id", F.col("text").alias("context"))
+    rows = asked.join(told, ["conv_id", "turn"]).join(first, "conv_id", "left").withColumns({"found": F.lit(True), "n_sources": F.lit(1), "derived": F.col("conv_id") % 5 == 0})
+    scored = evaluation.gated(evaluation.evaluated(rows, faithfulness="lexical"))
+    return scored.select("conv_id", "turn", "answer_relevancy", F.round("faithfulness", 6).alias("faithfulness"), (~F.array_contains("reasons", "low_faithfulness")).alias("faithful"))

@@ -18,7 +18,7 @@ READING = frozenset({
     "SubqueryAlias", "UnresolvedHaving", "UnresolvedHint", "UnresolvedInlineTable", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedTableValuedFunction", "UnresolvedWith", "Union", "Unpivot", "WithWindowDefinition",
 })
 #: Functions that make rows of their arguments and nothing else.
-TABLE_FUNCTIONS = frozenset({"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"})
+TABLE_FUNCTIONS = frozenset({"explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"})
 #: Functions that reach outside of the query.
 REFUSED_FUNCTIONS = frozenset({"reflect", "java_method", "try_reflect"})
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import geo, text
-from lodestone.operators import analytics, chunking, evaluation, guardrails, retrieval, spatial, state, validation
+from lodestone.operators import analytics, chunking, evaluation, guardrails, repair, retrieval, spatial, state, validation
 from lodestone.operators.keyword_index import KeywordIndex
 from lodestone.operators.vector_index import VectorIndex
 from lodestone.plans import schema_files
@@ -1016,6 +1016,39 @@ def polygons_meet(spark, d):
     return spatial.layers_meet(squares.withColumnRenamed("s_suppkey", "a"), squares.withColumnRenamed("s_suppkey", "b"), "a", "b").where("a < b")
 
 
+_X = ("o_orderkey * 7 % 101", "o_orderkey * 13 % 97", "o_orderkey * 29 % 83", "o_orderkey * 37 % 79")
+_Y = ("o_custkey * 3 % 103", "o_custkey * 11 % 89", "o_custkey * 17 % 107", "(o_orderkey + o_custkey) % 71")
+_QUADS = f"(select o_orderkey, {', '.join(f'({x})::double as x{i}, ({y})::double as y{i}' for i, (x, y) in enumerate(zip(_X, _Y, strict=True)))} from orders)"
+
+
+def _sql_turn(i: int, j: int, k: int) -> str:
+    """Twice the signed area of the triangle of three corners."""
+    return f"((x{j} - x{i}) * (y{k} - y{i}) - (y{j} - y{i}) * (x{k} - x{i}))"
+
+
+def _sql_tie(a: int, b: int, c: int, d: int) -> tuple[str, str]:
+    """Whether the edges ab and cd cross, and the area of the triangles that they form with bc and da."""
+    crossing = f"({_sql_turn(a, b, c)} * {_sql_turn(a, b, d)} < 0 and {_sql_turn(c, d, a)} * {_sql_turn(c, d, b)} < 0)"
+    part = f"({_sql_turn(c, d, a)} / ({_sql_turn(c, d, a)} - {_sql_turn(c, d, b)}))"  # where on ab
+    return crossing, f"((1 - {part}) * abs({_sql_turn(b, c, a)}) + {part} * abs({_sql_turn(a, d, b)})) / 2"
+
+
+_TIES = (_sql_tie(0, 1, 2, 3), _sql_tie(1, 2, 3, 0))
+_QUAD = f"abs({_sql_turn(0, 1, 2)} + {_sql_turn(0, 2, 3)}) / 2"
+
+
+@query(f"""select o_orderkey, case when {_TIES[0][0]} or {_TIES[1][0]} then 2 when {_QUAD} = 0 then 0 else 1 end::int as n_polygons,
+    round(case when {_TIES[0][0]} then {_TIES[0][1]} when {_TIES[1][0]} then {_TIES[1][1]} else {_QUAD} end, 4) as area from {_QUADS}""")
+def repaired_polygons(spark, d):
+    """Quadrilaterals of which many cross themselves or run back on an edge: parts (0 without area) and area once repaired."""
+    corners = [F.array(F.expr(x).cast("double"), F.expr(y).cast("double")) for x, y in zip(_X, _Y, strict=True)]
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.to_json(F.array(F.array(*corners, corners[0]))).alias("coordinates"))
+    rows = repair.repaired(read(spark, d, "orders").select("o_orderkey", geometry.alias("geometry")))
+    area = F.aggregate(F.transform(validation.rings(), geo.ring_area), F.lit(0.0), lambda s, a: s + F.abs(a))
+    kept = F.col("repair") == "kept"
+    return rows.select("o_orderkey", F.when(kept, 0).otherwise(F.size(validation.rings())).alias("n_polygons"), F.round(F.when(kept, 0.0).otherwise(area), 4).alias("area"))
+
+
 def _seam(key: str, lon: str, lat: str) -> tuple[str, str]:
     """Places around the date line, every other one near the pole; in words that Spark and DuckDB share."""
     x = f"({lon} - 31.0 + 179.75)"

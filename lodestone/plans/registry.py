@@ -1094,6 +1094,15 @@ def layers_of_three_systems(spark, d):
     return both.select("s_suppkey", "system", F.round("_lon", 6).alias("lon"), F.round("_lat", 6).alias("lat"), far.alias("far"))
 
 
+@query(f"select s_suppkey, s_name, round(ref_lon, 6) as lon, round(ref_lat, 6) as lat from (select s.s_suppkey, s.s_name, r.ref_lon, r.ref_lat from supplier s join {REFS} r on r.s_suppkey = s.s_suppkey)")
+def split_collections(spark, d):
+    """Suppliers written as GeoJSON in EPSG:3857, and read back by blocks of the files."""
+    lon, lat, r = F.col("ref_lon"), F.col("ref_lat"), 6378137.0
+    path = _feature_files(spark, d, F.radians(lon) * r, F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * r, "urn:ogc:def:crs:EPSG::3857")
+    rows = layer_sources.as_rows(layer_sources.read_geojson_split(spark, path), ["s_suppkey", "s_name"])
+    return rows.select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", F.round("_lon", 6).alias("lon"), F.round("_lat", 6).alias("lat"))
+
+
 @query(f"select c_custkey, lon, lat from {POINTS} where lon between 31.1 and 31.25 and lat between 29.85 and 30.0")
 def layer_round_trip(spark, d):
     """A layer written by cells, and what a box of it reads."""

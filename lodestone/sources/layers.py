@@ -11,6 +11,7 @@ from lodestone.functions import geo
 from lodestone.operators import validation
 from lodestone.plans.catalog import sanitized
 from lodestone.scratch import exists, file_system
+from lodestone.sources.split_geojson import split_collections, with_collections
 
 # Column names of latitude and longitude, the first found counts.
 LAT, LON = ("lat", "latitude", "y"), ("lon", "lng", "long", "longitude", "x")
@@ -84,7 +85,7 @@ def _features(rows: DataFrame) -> DataFrame:
 def read_geojson(spark: SparkSession, path: str, crs: str | None = None) -> DataFrame:
     """Features with _source, _src_index (the place in the file), epsg, id, geometry (type, coordinates as text) and properties.
 
-    A file holds one feature collection and is read by one task; read_geojson_lines is for larger ones. Coordinates
+    A file holds one feature collection and is read by one task; read_geojson_split is for larger ones. Coordinates
     become lon and lat: from the system that the file's crs member names, or from crs (EPSG:<code>) where it is
     given. What can't be converted is an error.
     """
@@ -94,6 +95,23 @@ def read_geojson(spark: SparkSession, path: str, crs: str | None = None) -> Data
     return _features(each)
 
 
+def read_geojson_split(spark: SparkSession, path: str, crs: str | None = None) -> DataFrame:
+    """As read_geojson, with the same rows, but each file is split over tasks, in blocks of spark.sql.files.maxPartitionBytes.
+
+    For collections of any size: no task holds more than a block and the features that begin in it. Files are read
+    twice and their features written to the shared folder once. Objects in lists of other members than features must
+    not stand in the collection.
+    """
+    texts, around = split_collections(spark, path)
+    head = around.select("_source", F.from_json("value", "type string, crs string").alias("c"))
+    head = head.select("_source", _epsg(crs, F.col("c.crs")).alias("epsg"), F.coalesce(F.col("c.type"), F.lit("")).alias("_type"))
+    bad = head.where("_type <> 'FeatureCollection'").select("_source").first()
+    if bad:
+        raise ValueError(f"no feature collection in {bad._source}")
+    each = with_collections(texts.withColumnRenamed("value", "_text"), head.drop("_type"))
+    return _features(each.select("_source", F.col("_src_index").cast("int").alias("_src_index"), "epsg", F.from_json("_text", _FEATURE).alias("f")))
+
+
 def _epsg(crs: str | None, named: Column) -> Column:
     if crs is None:
         return epsg_of(named)

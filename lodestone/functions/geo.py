@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,6 +61,11 @@ def intersects(lon: Column, lat: Column, rings: list[list[tuple[float, float]]])
     return in_box(lon, lat, rings) & (contains(lon, lat, rings) | edge)
 
 
+def half_open(lon: Column, lat: Column, rings: list[list[tuple[float, float]]]) -> Column:
+    """Inside by the number of edges crossed; of the edges those to the left and below count, so that areas that share an edge never share a point."""
+    return in_box(lon, lat, rings) & reduce(lambda a, b: a != b, (_crossings(lon, lat, r) for r in rings))
+
+
 def distance_to_line(lon: Column, lat: Column, line: list[tuple[float, float]]) -> Column:
     """Metres to the nearest segment, in a plane around the line's mean latitude."""
     ky = math.pi / 180 * EARTH

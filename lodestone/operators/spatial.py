@@ -176,8 +176,11 @@ def count_polygon(layer: DataFrame, rings: list[Ring], predicate: str = "interse
 
 
 def search_layers(layers: dict[str, DataFrame], rings: list[Ring], predicate: str = "intersects") -> DataFrame:
-    """The features of all layers in a polygon, tagged with _layer; layers without lon and lat are an error."""
-    test = {"intersects": geo.intersects, "within": geo.contains}[predicate](F.col("lon"), F.col("lat"), validate_rings(rings))
+    """The features of all layers in a polygon, tagged with _layer; layers without lon and lat are an error.
+
+    intersects counts the edges in, within doesn't; half_open counts a point on an edge to one of its two sides.
+    """
+    test = {"intersects": geo.intersects, "within": geo.contains, "half_open": geo.half_open}[predicate](F.col("lon"), F.col("lat"), validate_rings(rings))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.where(test).withColumn("_layer", F.lit(name)) for name, df in layers.items()])
 
 

@@ -11,12 +11,10 @@ from __future__ import annotations
 import json
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,22 +29,25 @@ BLOCK, FIRST_BLOCKS, FAN_IN = 256, 64, 8
 NAMED_BLOCKS = 1000
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words = batch.column("words")
-        sizes = pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False)
-        flat = words.flatten().dictionary_encode()
-        many = max(len(flat.dictionary), 1)
-        keys, counts = np.unique(np.repeat(np.arange(len(sizes)), sizes) * many + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
-        offsets = pa.array(np.searchsorted(keys, np.arange(len(sizes) + 1) * many).astype(np.int32))
-        terms = flat.dictionary.take(pa.array(keys % many))
-        yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(offsets, terms), pa.ListArray.from_arrays(offsets, pa.array(counts))], names=["chunk_id", "length", "terms", "tf"])
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def counted(chunks: DataFrame) -> DataFrame:
-    """chunk_id, length, and the distinct terms of each chunk with their counts; a chunk is one row, so nothing is shuffled."""
-    words = chunks.select("chunk_id", tokens(F.col("text")).alias("words"))
-    return words.mapInArrow(_counted, f"chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, length int, terms array<string>, tf array<long>")
+    """chunk_id, length, and the distinct terms of each chunk with their counts; a chunk is one row, so nothing is shuffled.
+
+    Sorted words have equal ones in runs, so the count of a term is the distance between the beginnings of two runs.
+    """
+    def runs(words: Column) -> Column:
+        n = F.size(words)
+        begins = lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1))
+        at = F.when(n > 0, F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), begins)).otherwise(F.array().cast("array<int>"))
+        next_at = lambda at: F.concat(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.array(n))
+        tf = lambda at: F.zip_with(at, F.slice(next_at(at), 1, F.size(at)), lambda a, b: (b - a).cast("long"))
+        return _with(at, lambda at: F.struct(n.alias("length"), F.transform(at, lambda i: F.get(words, i)).alias("terms"), tf(at).alias("tf")))
+
+    return chunks.select("chunk_id", _with(F.array_sort(tokens(F.col("text"))), runs).alias("c")).select("chunk_id", "c.length", "c.terms", "c.tf")
 
 
 def _postings(rows: DataFrame, *more: str) -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +29,13 @@ SLACK = 1e-6
 
 def directions(column: pa.Array, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The vectors at length 1, and which of them have a direction: not null, of the given size, finite, not all zero."""
-    lists = column.to_pylist()
-    size = size or max((len(v) for v in lists if v), default=1)
-    good = np.array([v is not None and len(v) == size and None not in v for v in lists], bool)
-    x = np.zeros((len(lists), size))
+    lengths = pc.list_value_length(column).fill_null(-1).to_numpy(zero_copy_only=False)
+    size = size or max(1, int(lengths.max(initial=1)))
+    good = lengths == size
+    x = np.zeros((len(lengths), size))
     if good.any():
-        x[good] = np.array([lists[i] for i in np.flatnonzero(good)], float)
+        flat = column.filter(pa.array(good)).flatten().cast(pa.float64())
+        x[good] = flat.to_numpy(zero_copy_only=False).reshape(-1, size)  # a null entry is not a number here
     good &= np.isfinite(x).all(axis=1)
     x[~good] = 0
     norm = np.sqrt((x * x).sum(axis=1))
@@ -52,17 +54,20 @@ def apart(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def centres_of(vectors: DataFrame, column: str, lists: int, sample: int = SAMPLE, rounds: int = ROUNDS) -> np.ndarray:
     """Centres of so many lists at most, by Lloyd's rounds over a random sample of so many vectors.
 
-    The sample only shapes the lists; every vector is indexed and found whatever they are.
+    The sample only shapes the lists; every vector is indexed and found whatever they are. Tasks draw it, so that the
+    driver is given about so many vectors in all, and not so many of each task to choose from.
     """
     some = vectors.where(F.col(column).isNotNull() & (F.size(column) > 0)).select(F.col(column).cast("array<double>").alias("v"))
-    rows = [r.v for r in some.orderBy(F.rand(7)).limit(sample).collect()]
-    if not rows:
+    n = some.count()
+    drawn = some.where(F.rand(7) < sample / n) if n > sample else some
+    rows = drawn.toArrow().column("v").combine_chunks()
+    if not len(rows):
         return np.zeros((1, 1))
-    sizes = [len(r) for r in rows]
-    x, good = directions(pa.array(rows), max(set(sizes), key=lambda n: (sizes.count(n), n)))
+    sizes, times = np.unique(pc.list_value_length(rows).to_numpy(zero_copy_only=False), return_counts=True)
+    x, good = directions(rows, int(max(zip(times, sizes, strict=True))[1]))
     x = np.unique(x[good], axis=0)
     if not len(x):
-        return np.zeros((1, max(sizes)))
+        return np.zeros((1, int(sizes.max())))
     centres = x[:: max(1, len(x) // lists)][:lists].copy()
     for _ in range(rounds):
         at = np.concatenate([apart(x[i : i + 2048], centres).argmin(axis=1) for i in range(0, len(x), 2048)])

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import context_prefix, looks_like_heading
 
 SIZE, OVERLAP = 800, 120
+#: Texts that are cut and given back at a time, so that a batch is not held with all of its pieces.
+ROWS = 64
 # Separators from coarse to fine.
 SEPARATORS = ("\n\n", "\n", ". ", "! ", "؟ ", "? ", "؛ ", "; ", ", ", " ", "")
 
@@ -56,7 +58,7 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators:
 def recursive_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, chunk_index and text of each piece of docs (doc_id of any type, text); null and blank texts have none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, max(b.num_rows, 1), ROWS)):
             made = [split_text(t, size, overlap) if t else [] for t in batch.column("text").to_pylist()]
             counts = [len(x) for x in made]
             of = pa.array(np.repeat(np.arange(len(made)), counts))

@@ -16,14 +16,16 @@ DROPPED = ("script", "style", "nav", "footer", "header", "noscript")
 PAGE_CHARS, SPACE_SHARE = 40, 0.05
 
 
-def spread(texts: DataFrame) -> DataFrame:
+def spread(texts: DataFrame, rows: int | None = None) -> DataFrame:
     """The rows dealt out to all cores, if a few row groups hold them all.
 
     A row group is read by one task, and texts cost far more to work on than to move. Columns and filters still reach
-    the scan. A table of as many parts as there are cores, as large ones are, stays as it is.
+    the scan. A table of as many parts as there are cores, as large ones are, stays as it is. With rows, a task is
+    given about so many of them, however large the table is: for work that takes long for each row.
     """
-    cores = texts.sparkSession.sparkContext.defaultParallelism
-    return texts.repartition(cores) if texts.rdd.getNumPartitions() < cores else texts
+    parts = texts.rdd.getNumPartitions()
+    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, -(-texts.count() // rows) if rows else 0)
+    return texts.repartition(tasks) if parts < tasks else texts
 
 
 def _replaced(text: Column, pattern: str, close: str) -> Column:

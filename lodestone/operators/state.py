@@ -31,11 +31,11 @@ def scope_key(ids: Column, collection: Column) -> Column:
 def cache_lookup(entries: DataFrame, queries: DataFrame, now: float | None = None, ttl: float = 0.0, threshold: float = THRESHOLD, others: bool = False) -> DataFrame:
     """For each query (query_id, scope, vector) the best fresh entry (entry_id, scope, vector, ts) of its scope.
 
-    With others, a query leaves out the entry of its own id. A query meets the entries that bounds on the distances
-    leave to its threshold, all of them, however many; ties go to the older entry.
+    With others, a query leaves out the entry of its own id. A query meets all entries of its scope, however many, in
+    blocks of both; ties go to the older entry.
     """
     fresh = entries if not ttl or now is None else entries.where(F.col("ts") >= now - ttl)
-    pairs = pairs_within(fresh.withColumnRenamed("vector", "_v"), queries, ["scope"], threshold, "_v", "vector")
+    pairs = pairs_within(fresh.withColumnRenamed("vector", "_v"), queries, ["scope"], threshold, "_v", "vector", nearest=True, but=("entry_id", "query_id") if others else None)
     pairs = pairs.where(F.col("entry_id") != F.col("query_id")) if others else pairs
     order = F.struct("score", -F.col("ts"), -F.col("entry_id"))
     best = pairs.groupBy("query_id").agg(F.max_by(F.struct("entry_id", "score"), order).alias("b"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -124,18 +125,63 @@ def distance_of(score: float) -> float:
     return float(np.sqrt(max(0.0, 2 - 2 * score)))
 
 
-def pairs_within(entries: DataFrame, queries: DataFrame, on: list[str], threshold: float, entry: str, query: str, lists: int = 64) -> DataFrame:
+#: Rows of a side that are compared at a time, about.
+BLOCK = 2048
+
+
+def _compared(on: list[str], threshold: float, entry: str, query: str, nearest: bool, but: tuple[str, str] | None) -> Callable:
+    """Pairs of a block of entries and one of queries, by products of matrices; the bounds give way by SLACK."""
+
+    def run(entries: pa.Table, queries: pa.Table) -> pa.Table:
+        of = lambda t: list(zip(*(t.column(c).to_pylist() for c in on), strict=True))
+        scopes: dict[tuple, int] = {}
+        a, b = (np.array([scopes.setdefault(v, len(scopes)) for v in of(t)], int) for t in (entries, queries))
+        vectors = [t.column(c).combine_chunks() for t, c in ((entries, entry), (queries, query))]
+        left, right = [np.zeros(0, int)], [np.zeros(0, int)]
+        for size in np.unique(pc.list_value_length(vectors[1]).fill_null(0).to_numpy(zero_copy_only=False)):
+            if size:
+                (x, has), (y, asks) = (directions(v, int(size)) for v in vectors)
+                near = np.where((b[:, None] == a) & asks[:, None] & has, y @ x.T, -np.inf)
+                if but:
+                    ids = [np.array(t.column(c).to_pylist(), object) for t, c in zip((entries, queries), but, strict=True)]
+                    near[ids[1][:, None] == ids[0]] = -np.inf
+                least = np.maximum(threshold, near.max(axis=1, initial=-np.inf)) if nearest else np.full(len(near), threshold)
+                q, e = np.nonzero(near >= least[:, None] - SLACK)
+                left.append(e)
+                right.append(q)
+        e, q = (pa.array(np.concatenate(x)) for x in (left, right))
+        first, second = entries.take(e), queries.drop_columns(on).take(q)
+        return pa.table([*first.columns, *second.columns], names=[*first.column_names, *second.column_names])
+
+    return run
+
+
+def pairs_within(entries: DataFrame, queries: DataFrame, on: list[str], threshold: float, entry: str, query: str, nearest: bool = False, but: tuple[str, str] | None = None) -> DataFrame:
     """Pairs of an entry and a query, equal in the columns `on`, whose cosine is the threshold or more, with score.
 
-    Both have a vector each, in columns named `entry` and `query`. No index is stored: the lists are laid for this
-    join, and a query meets the lists and ranges that its threshold leaves, not all entries.
+    Both have a vector each, in columns named `entry` and `query`. Rows are dealt out to blocks by `on`, large groups to
+    several, and each two blocks that belong together are compared in one task. With nearest, pairs that another of
+    the block surpasses may stay out; `but` names a column of each side, whose values have to differ.
     """
-    centres = centres_of(entries, entry, lists, sample=20 * lists)
-    everywhere = np.tile([0.0, 2.0], (len(centres), 1))
-    t = distance_of(threshold)
-    asked = probes(queries, centres, everywhere, query, lambda d, _: np.full(len(d), t))
-    met = listed(entries, centres, entry).join(asked, [*on, "_list"]).where("_r between _low and _high")
-    return met.withColumn("score", cosine(F.col(query), F.col(entry))).where(F.col("score") >= threshold).drop("_list", "_r", "_low", "_high")
+    entries, queries = (df.where(reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in on))) for df in (entries, queries))
+    groups = max(1, -(-entries.count() // BLOCK))
+    group = F.pmod(F.xxhash64(*on), F.lit(groups))
+    blocks = lambda df: df.groupBy(group.alias("_g")).agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+    of = blocks(entries).withColumnRenamed("n", "_a").join(blocks(queries).withColumnRenamed("n", "_b"), "_g")
+    of = F.broadcast(of)  # a row for each BLOCK entries at most
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        held = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+        rows = df.withColumn("_g", group).join(of, "_g").withColumn(f"{own}i", F.pmod(F.xxhash64(*held), F.col(own)))
+        return rows.withColumn(f"{other}i", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).withColumn("_unit", F.struct("_g", "_ai", "_bi")).drop("_g", "_a", "_b", "_ai", "_bi")
+
+    fields = [*entries.schema, *(f for f in queries.schema if f.name not in on)]
+    run, drop = _compared(on, threshold, entry, query, nearest, but), lambda t: t.drop_columns(["_unit"])
+    asked = dealt(queries, "_b", "_a")
+    # Named anew, as both sides may come of one table.
+    both = dealt(entries, "_a", "_b").groupBy("_unit").cogroup(asked.toDF(*asked.columns).groupBy("_unit"))
+    met = both.applyInArrow(lambda x, y: run(drop(x), drop(y)), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+    return met.withColumn("score", cosine(F.col(query), F.col(entry))).where(F.col("score") >= threshold)
 
 
 class VectorIndex:

@@ -45,3 +45,15 @@ def test_pieces_are_given_back_by_few_texts(spark, monkeypatch):
     monkeypatch.setattr(chunking, "ROWS", 3)
     docs = spark.range(0, 20, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), (F.col("id") % 4).cast("int")).alias("text"))
     assert sorted((r.doc_id, r.chunk_index, r.text) for r in chunking.recursive_chunks(docs).collect()) == [(i, 0, " ".join(["word"] * (i % 4))) for i in range(20) if i % 4]
+
+
+def test_only_the_nearest_of_a_block_come_out(spark, monkeypatch):
+    monkeypatch.setattr(vector_index, "BLOCK", 16)
+    entries = spark.range(90).select(F.col("id").alias("e"), (F.col("id") % 3).alias("scope"), F.array(F.cos(F.col("id") / 60), F.sin(F.col("id") / 60)).alias("a"))
+    queries = entries.where("e % 5 = 0").select(F.col("e").alias("q"), "scope", F.col("a").alias("b"))
+    rows = vector_index.pairs_within(entries, queries, ["scope"], 0.5, "a", "b", nearest=True, but=("e", "q")).collect()
+    best = {}
+    for r in rows:
+        best[r.q] = max(best.get(r.q, (0, 0)), (round(r.score, 9), -r.e))
+    assert {q: abs(q + e) for q, (_, e) in best.items()} == dict.fromkeys(range(0, 90, 5), 3)
+    assert len(rows) < 18 * 12  # not the 29 others of a scope

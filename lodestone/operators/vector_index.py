@@ -3,7 +3,8 @@
 Vectors are compared by cosine, so their directions are points of the unit sphere and distances between these obey the
 triangle inequality. Each vector lies in the list of its nearest centre, at a known distance from it. A vector at most
 t away from a question lies at a distance from the centre that differs by t at most from the question's own, so lists
-are skipped by their ranges of distances, and of a list, which is stored in that order, a range is read.
+are skipped by their ranges of distances, and of a list, which is stored in that order, a range is read. Many questions
+at a time are compared with blocks of lists as matrices.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from lodestone.scratch import exists, file_system
 
 #: Vectors that centres are found from, rounds that move them, and the most lists there are.
 SAMPLE, ROUNDS, LISTS = 20_000, 5, 4096
-#: What bounds give way by, so that rounding skips nothing.
-SLACK = 1e-6
+#: What bounds give way by, so that rounding skips nothing, and what products of directions give way by.
+SLACK, ROUNDING = 1e-6, 1e-9
+#: Numbers in the vectors of a side that a task compares at a time, and numbers in a table that it makes of them.
+NUMBERS, CELLS = 1 << 21, 1 << 20
 
 
 def directions(column: pa.Array, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -79,9 +82,17 @@ def centres_of(vectors: DataFrame, column: str, lists: int, sample: int = SAMPLE
     return centres
 
 
+def few(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so few rows that a table of so many columns has CELLS numbers at most."""
+    step = max(1, CELLS // max(1, width))
+    for batch in batches:
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
+
+
 def _listed(centres: np.ndarray, column: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches, len(centres)):
             x, good = directions(batch.column(column), centres.shape[1])
             d = apart(x, centres)
             at = d.argmin(axis=1)
@@ -97,27 +108,24 @@ def listed(vectors: DataFrame, centres: np.ndarray, column: str) -> DataFrame:
     return vectors.mapInArrow(_listed(centres, column), f"{schema}, _list int, _r double")
 
 
-def _probes(centres: np.ndarray, ranges: np.ndarray, column: str, reach: Callable[[np.ndarray, pa.RecordBatch], np.ndarray]) -> Callable:
-    """For each question the lists that it has to read, with the range of distances in each."""
-
+def _in_blocks(centres: np.ndarray, column: str, wanted: Callable[[np.ndarray, pa.RecordBatch], np.ndarray]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches, len(centres)):
             x, good = directions(batch.column(column), centres.shape[1])
-            d = apart(x, centres)
-            t = reach(d, batch)[:, None] + SLACK
-            # The second bound is that of the plane midway between a list's centre and the nearest one.
-            need = good[:, None] & (d - ranges[:, 1] <= t) & (ranges[:, 0] - d <= t) & ((d - d.min(axis=1, keepdims=True)) / 2 <= t)
-            rows, lists = np.nonzero(need)
-            low, high = (d - t)[rows, lists], (d + t)[rows, lists]
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns), pa.array(lists.astype(np.int32)), pa.array(low), pa.array(high)], names=[*batch.schema.names, "_list", "_low", "_high"])
+            rows, blocks = np.nonzero(good[:, None] & wanted(apart(x, centres), batch))
+            ends = np.searchsorted(rows, np.arange(len(x) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(blocks.astype(np.int32)))], names=[*batch.schema.names, "_blocks"])
 
     return run
 
 
-def probes(queries: DataFrame, centres: np.ndarray, ranges: np.ndarray, column: str, reach: Callable) -> DataFrame:
-    """queries, one row for each list that may hold a vector within reach, with _list, _low and _high."""
+def in_blocks(queries: DataFrame, centres: np.ndarray, column: str, wanted: Callable) -> DataFrame:
+    """queries, one row for each block that wanted (of distances from the centres and a batch) marks, as _block.
+
+    Tasks of Python give back numbers of blocks only; Spark copies the rows.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema)
-    return queries.mapInArrow(_probes(centres, ranges, column, reach), f"{schema}, _list int, _low double, _high double")
+    return queries.mapInArrow(_in_blocks(centres, column, wanted), f"{schema}, _blocks array<int>").withColumn("_block", F.explode("_blocks")).drop("_blocks")
 
 
 def distance_of(score: float) -> float:
@@ -184,6 +192,53 @@ def pairs_within(entries: DataFrame, queries: DataFrame, on: list[str], threshol
     return met.withColumn("score", cosine(F.col(query), F.col(entry))).where(F.col("score") >= threshold)
 
 
+def _usable(column: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the vectors with a direction, their numbers and their directions."""
+    column = column.combine_chunks()
+    x, good = directions(column, size)
+    numbers = column.filter(pa.array(good)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(good), numbers.reshape(-1, size), x[good]
+
+
+def _distinct(x: np.ndarray, k: int) -> np.ndarray:
+    """Places, in order, of all rows but those that k equal ones precede."""
+    _, which = np.unique(np.ascontiguousarray(x).view(f"V{x.itemsize * x.shape[1]}").ravel(), return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    before = np.arange(len(x)) - np.searchsorted(which[order], which[order])
+    return np.sort(order[before < k])
+
+
+def _scores(x: np.ndarray, y: np.ndarray, e: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosines of rows e of x and q of y, numbers added up one by one as `cosine` does, so that they are the same to the bit."""
+    dots, square, squares = np.zeros(len(e)), np.zeros(len(x)), np.zeros(len(y))
+    for a, b in zip(x.T, y.T, strict=True):
+        dots += a[e] * b[q]
+        square += a * a
+        squares += b * b
+    return dots / np.sqrt(square[e] * squares[q])
+
+
+def _nearest_of_block(entries: pa.Table, queries: pa.Table, key: str, vector: str, size: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of queries, places of entries and scores: the k nearest entries of each query, ties by key, without those under _least."""
+    order = pc.sort_indices(entries, sort_keys=[(key, "ascending")], null_placement="at_start").to_numpy()
+    at, x, along = _usable(entries.column("_v").take(pa.array(order)), size)
+    some = _distinct(x, k) if len(x) else np.zeros(0, int)
+    at, x, along = order[at[some]], np.asfortranarray(x[some]), along[some]
+    asks, y, toward = _usable(queries.column(vector), size)
+    least = queries.column("_least").to_numpy()[asks].copy()
+    step = max(1, CELLS // max(1, len(x)))
+    for i in range(0, len(y) if len(x) else 0, step):
+        near, low = toward[i : i + step] @ along.T, least[i : i + step]
+        many = np.flatnonzero((near >= low[:, None]).sum(axis=1) > k)
+        if len(many):
+            low[many] = np.partition(near[many], -k, axis=1)[:, -k]
+        q, e = np.nonzero(near >= low[:, None] - ROUNDING)
+        scores = _scores(x, y[i : i + step], e, q)
+        best = np.lexsort((e, -scores, q))
+        best = best[np.arange(len(q)) - np.searchsorted(q, q) < k]  # q is in order before and after
+        yield asks[i + q[best]], at[e[best]], scores[best]
+
+
 class VectorIndex:
     """Vectors (a key, an embedding and metadata) in lists, in one folder; a new version is switched to when it is whole.
 
@@ -261,31 +316,67 @@ class VectorIndex:
     def top_each(self, queries: DataFrame, k: int, query: str = "query_id", vector: str = "vector") -> DataFrame:
         """query, key, score and rank of the k nearest of each query (query, vector), exactly; all queries at a time.
 
-        The lists nearest to a query that hold k vectors give a first reach; with it all lists and ranges that could
-        hold a nearer one are read.
+        Lists are put together to blocks, large ones dealt out to several. The block of a query's nearest list gives a
+        first score; all blocks with a list that may hold a better one are compared with it then. A task compares a
+        block with a part of the queries, whatever their number.
         """
-        sizes, centres, everywhere = self.sizes, self.centres, np.where(np.isfinite(self.ranges), self.ranges, [[9.0, -9.0]])
-
-        def first(d: np.ndarray, _: pa.RecordBatch) -> np.ndarray:
-            order = np.argsort(d, axis=1)
-            enough = (np.cumsum(sizes[order], axis=1) < k).sum(axis=1).clip(max=d.shape[1] - 1)
-            return d[np.arange(len(d)), order[np.arange(len(d)), enough]]
-
-        def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x, good = directions(batch.column(vector), centres.shape[1])
-                d = apart(x, centres)
-                rows, lists = np.nonzero(good[:, None] & (d <= first(d, batch)[:, None]))
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns), pa.array(lists.astype(np.int32))], names=[*batch.schema.names, "_list"])
-
+        spark, sizes, ranges, centres, key, size = self.spark, self.sizes, self.ranges, self.centres, self.key, self.centres.shape[1]
+        most = max(1, NUMBERS // size)
+        first, parts, blocks = self._blocks(min(most, max(BLOCK, -(-int(sizes.sum()) // (4 * spark.sparkContext.defaultParallelism)))))
         asked = queries.select(query, vector)
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema)
-        rows = self.rows().select(self.key, F.col(self.column).alias("_v"), "_list", "_r")
-        score = cosine(F.col(vector), F.col("_v"))
-        by = Window.partitionBy(query).orderBy(F.desc("score"), self.key)
-        near = rows.join(asked.mapInArrow(lists_of, f"{schema}, _list int"), "_list").select(query, self.key, score.alias("score"))
-        kth = near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).groupBy(query).agg(F.min("score").alias("_score"), F.count("*").alias("_n"))
-        bound = asked.join(kth, query, "left").withColumn("_reach", F.when(F.col("_n") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("_score")))).otherwise(F.lit(2.0))).drop("_score", "_n")
-        again = probes(bound, centres, everywhere, vector, lambda d, batch: batch.column("_reach").to_numpy(zero_copy_only=False))
-        met = rows.join(again, "_list").where("_r between _low and _high").select(query, self.key, score.alias("score"))
+        shares = max(1, -(-asked.count() // most))
+        holds = np.zeros((len(sizes), blocks), np.float32)
+        for i in np.flatnonzero(sizes):
+            holds[i, first[i] : first[i] + parts[i]] = 1
+
+        def nearest(d: np.ndarray, _: pa.RecordBatch) -> np.ndarray:
+            return first[np.where(sizes, d, np.inf).argmin(axis=1)][:, None] == np.arange(blocks)
+
+        def within_reach(d: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+            t = np.sqrt(np.maximum(0, 2 - 2 * batch.column("_least").to_numpy()))[:, None] + SLACK
+            # The last bound is that of the plane midway between a list's centre and the nearest one.
+            need = (sizes > 0) & (d - ranges[:, 1] <= t) & (ranges[:, 0] - d <= t) & ((d - d.min(axis=1, keepdims=True)) / 2 <= t)
+            return need.astype(np.float32) @ holds > 0
+
+        def first_score(entries: pa.Table, some: pa.Table) -> pa.Table:
+            least = some.column("_least").to_numpy().copy()
+            for q, _, scores in _nearest_of_block(entries, some, key, vector, size, k):
+                at, n = np.unique(q, return_counts=True)
+                ends = np.cumsum(n)
+                least[at[n == k]] = scores[ends[n == k] - 1]
+            return some.select([query, vector]).append_column("_least", pa.array(least))
+
+        def best(entries: pa.Table, some: pa.Table) -> pa.Table:
+            found = [pa.table([some.column(query).take(pa.array(q)), entries.column(key).take(pa.array(e)), pa.array(scores)], names=[query, key, "score"]) for q, e, scores in _nearest_of_block(entries, some, key, vector, size, k)]
+            none = pa.table([some.column(query).slice(0, 0), entries.column(key).slice(0, 0), pa.array([], pa.float64())], names=[query, key, "score"])
+            return pa.concat_tables([none, *found])
+
+        of = F.broadcast(spark.createDataFrame([(int(i), int(first[i]), int(parts[i])) for i in np.flatnonzero(sizes)], "_list int, _block int, _parts int"))  # LISTS rows at most
+        rows = self.rows().select(key, F.col(self.column).alias("_v"), "_list").join(of, "_list").withColumn("_block", F.col("_block") + F.pmod(F.xxhash64(key), "_parts"))
+        unit = F.col("_block").cast("long") * shares
+        entries = rows.select(key, "_v", F.explode(F.sequence(unit, unit + shares - 1)).alias("_unit")).repartition(blocks * shares, "_unit")
+
+        def compared(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+            some = rows.select(query, vector, "_least", (unit + F.pmod(F.xxhash64(query), F.lit(shares))).alias("_unit"))
+            # Named anew, as both sides may come of one table; dealt out by number, as Spark would put small blocks into one task.
+            some = some.toDF(*some.columns).repartition(blocks * shares, "_unit")
+            return entries.groupBy("_unit").cogroup(some.groupBy("_unit")).applyInArrow(run, schema)
+
+        kinds = {f.name: f.dataType.simpleString() for f in asked.schema} | {key: self.rows().schema[key].dataType.simpleString()}
+        started = in_blocks(asked.withColumn("_least", F.lit(-2.0)), centres, vector, nearest)
+        bound = compared(started, first_score, f"`{query}` {kinds[query]}, `{vector}` {kinds[vector]}, _least double")
+        met = compared(in_blocks(bound, centres, vector, within_reach), best, f"`{query}` {kinds[query]}, `{key}` {kinds[key]}, score double")
+        by = Window.partitionBy(query).orderBy(F.desc("score"), key)
         return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+    def _blocks(self, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Of each list its first block and the number of its blocks, and how many blocks of so many vectors there are."""
+        first, parts, blocks, room = np.zeros(len(self.sizes), int), np.ones(len(self.sizes), int), 0, 0
+        for i in np.flatnonzero(self.sizes):
+            n = int(self.sizes[i])
+            if n > size:
+                first[i], parts[i], blocks, room = blocks, -(-n // size), blocks - (-n // size), 0
+            else:
+                blocks, room = (blocks, room) if n <= room else (blocks + 1, size)
+                first[i], room = blocks - 1, room - n
+        return first, parts, max(1, blocks)

@@ -1,10 +1,11 @@
 """The vector index and the threshold join against numpy over all rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import state
+from lodestone.operators import state, vector_index
 from lodestone.operators.vector_index import VectorIndex, pairs_within
 
 SCHEMA = "chunk_id long, embedding array<float>, label int, score double, rank int"
@@ -64,6 +65,40 @@ def test_top_of_each_query_is_that_of_a_scan(spark, tmp_path):
     assert few.top_each(queries.where("query_id = 0"), 6).count() == 4
 
 
+def test_queries_and_lists_of_any_size_are_compared_by_blocks(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setattr(vector_index, "BLOCK", 16)
+    monkeypatch.setattr(vector_index, "NUMBERS", 8 * 16)  # lists go over several blocks, and queries over several parts
+    x = clusters(400, 8, 6, 0.3, 5)
+    x[50:200] = x[7]
+    index = VectorIndex.build(table(spark, x, ODD), str(tmp_path / "v"))
+    assert index._blocks(16)[1].max() > 1
+    queries = spark.createDataFrame([(i, [float(c) for c in x[i]]) for i in range(0, 400, 5)] + [(-1, None), (-2, [float("nan")] * 8)], "query_id long, vector array<double>")
+    found = index.top_each(queries, 4)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    assert got == {i: [j for j, _ in plain_top(x, x[i], 4)] for i in range(0, 400, 5)}
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" not in plan  # rows met queries one pair at a time
+    assert plan.count("REPARTITION_BY_NUM") >= 3  # else Spark puts a small table into one task
+
+
+def test_a_task_holds_few_scores_at_a_time(monkeypatch):
+    monkeypatch.setattr(vector_index, "CELLS", 1000)
+    x = clusters(200, 8, 4, 0.5, 6)
+    x[20:120] = x[3]
+    keys = np.random.default_rng(1).permutation(200)
+    entries = pa.table({"chunk_id": keys, "_v": pa.array([*np.float32(x[keys])], pa.list_(pa.float32()))})
+    queries = pa.table({"vector": pa.array([*np.float32(x[::10]), None], pa.list_(pa.float32())), "_least": [-2.0] * 20 + [-2.0]})
+    parts = list(vector_index._nearest_of_block(entries, queries, "chunk_id", "vector", 8, 3))
+    assert len(parts) > 2  # rows that are copies count three times only
+    got = [(int(q), int(keys[e])) for qs, es, _ in parts for q, e in zip(qs, es, strict=True)]
+    assert got == [(i, j) for i in range(20) for j, _ in plain_top(x, np.float32(x[10 * i]), 3)]
+    batch = pa.RecordBatch.from_pydict({"a": list(range(25))})
+    assert [b.num_rows for b in vector_index.few(iter([batch]), 100)] == [10, 10, 5]
+
+
 def test_empty_and_unusable_tables(spark, tmp_path):
     for name, rows in (("none", []), ("odd", ODD)):
         index = VectorIndex.build(table(spark, np.zeros((0, 8)), rows), str(tmp_path / name))
